@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, packing, token_files
+from . import exact_dedup, language_id, mixing, packing, pii, secret_scan, token_files
 
 #: Name of the vocabulary file of op6 and op9 in the tokenizers folder.
 VOCABULARY = "byte_bpe_50k.json"
@@ -36,6 +36,16 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op2_rows(table(spark, sf_dir, "documents"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, n_assign, n_access, n_hex, base_sha256, spans``."""
+    return secret_scan.op4_rows(table(spark, sf_dir, "documents"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, n_email, n_ip, n_card, n_phone, n_term, base_sha256, spans``."""
+    return pii.op5_rows(table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32``, read back from the files."""
     manifest = token_files.write_token_files(table(spark, sf_dir, "documents"), vocabulary())
@@ -56,6 +66,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_mixing": op2_mixing,
+    "op4_secret_scan": op4_secret_scan,
+    "op5_pii": op5_pii,
     "op6_token_files": op6_token_files,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_packing": op9_packing,
