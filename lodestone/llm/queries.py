@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, packing, pii, secret_scan, token_files
+from . import exact_dedup, language_id, mixing, packing, pii, secret_scan, token_files, vector_dedup
 
 #: Name of the vocabulary file of op6 and op9 in the tokenizers folder.
 VOCABULARY = "byte_bpe_50k.json"
@@ -36,6 +36,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op2_rows(table(spark, sf_dir, "documents"))
 
 
+def op3_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``vec_id, n_links, component_id, kept``."""
+    return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, base_sha256, spans``."""
     return secret_scan.op4_rows(table(spark, sf_dir, "documents"))
@@ -66,6 +71,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_mixing": op2_mixing,
+    "op3_vector_dedup": op3_vector_dedup,
     "op4_secret_scan": op4_secret_scan,
     "op5_pii": op5_pii,
     "op6_token_files": op6_token_files,
