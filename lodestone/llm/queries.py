@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, ngram_join, packing, pii, secret_scan, token_files, vector_dedup
+from . import exact_dedup, language_id, mixing, ngram_join, packing, pii, secret_scan, substring_dedup, token_files, vector_dedup
 
 #: Name of the vocabulary file of op6 and op9 in the tokenizers folder.
 VOCABULARY = "byte_bpe_50k.json"
@@ -62,6 +62,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, n_words, n_removed, kept_sha256``."""
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``."""
     out = packing.pack(table(spark, sf_dir, "documents"), vocabulary())
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pii": op5_pii,
     "op6_token_files": op6_token_files,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_packing": op9_packing,
     "op10_ngram_join": op10_ngram_join,
 }
