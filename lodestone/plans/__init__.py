@@ -1 +1,25 @@
+"""Every registered query of the engine and its SQL."""
 
+from __future__ import annotations
+
+from importlib import import_module
+
+from .registry import ORACLES, QUERIES, Query
+
+FLAGSHIP = "token_count"
+MODULES = ["text_plans"]
+
+
+def _load() -> None:
+    for m in MODULES:
+        import_module(f"{__name__}.{m}")
+
+
+def queries() -> dict[str, Query]:
+    _load()
+    return dict(QUERIES)
+
+
+def oracles() -> dict[str, str]:
+    _load()
+    return dict(ORACLES)
