@@ -6,8 +6,8 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES, Query
 
-FLAGSHIP = "token_count"
-MODULES = ["text_plans"]
+FLAGSHIP = "hybrid_search"
+MODULES = ["text_plans", "search_plans"]
 
 
 def _load() -> None:
