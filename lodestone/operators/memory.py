@@ -48,8 +48,8 @@ def feedback(action: Column) -> Column:
 
 
 def citations(log: DataFrame, key: str) -> DataFrame:
-    """``key, citation_count, positive, negative, last_at`` from a citation log with ``feedback`` and ``at``."""
-    return log.groupBy(key).agg(F.count("*").alias("citation_count"), F.count_if(F.col("feedback") > 0).alias("positive"), F.count_if(F.col("feedback") < 0).alias("negative"), F.max("at").alias("last_at"))
+    """``key, citation_count, positive, negative, last_at`` from a citation log with ``feedback`` and ``secs``."""
+    return log.groupBy(key).agg(F.count("*").alias("citation_count"), F.count_if(F.col("feedback") > 0).alias("positive"), F.count_if(F.col("feedback") < 0).alias("negative"), F.max("secs").alias("last_at"))
 
 
 def next_task(queue: DataFrame) -> DataFrame:

@@ -57,7 +57,7 @@ def change_kinds(states: DataFrame, group: str, order: list[str], lookback: int
 
 def revert_lessons(changes: DataFrame, lessons: DataFrame, days: int = 90) -> DataFrame:
     """A pending lesson for each revert that has none yet."""
-    new = changes.where("kind = 'revert'").select(F.col("head").alias("revert_commit"), F.col("message").alias("what_failed"), F.lit("pending").alias("status"), F.col("at").alias("created_at"), (F.col("at") + 86_400 * days).alias("expires_at"))
+    new = changes.where("kind = 'revert'").select(F.col("head").alias("revert_commit"), F.col("message").alias("what_failed"), F.lit("pending").alias("status"), F.col("secs").alias("created_at"), (F.col("secs") + 86_400 * days).alias("expires_at"))
     return new.dropDuplicates(["revert_commit"]).join(lessons.select("revert_commit"), "revert_commit", "left_anti")
 
 

@@ -60,12 +60,12 @@ def follows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` with ``ts`` as a timestamp, ``at`` as epoch seconds and ``k`` from its properties."""
+    """``events`` with ``ts`` as a timestamp, ``secs`` as epoch seconds and ``k`` from its properties."""
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return e.withColumns({"at": F.unix_seconds("ts"), "k": F.get_json_object("props", "$.k").cast("long")})
+    return e.withColumns({"secs": F.unix_seconds("ts"), "k": F.get_json_object("props", "$.k").cast("long")})
 
 
 # The same for the other engine.
-EVENT_LOG = "SELECT event_id, ts, user_id, event_type, value, props, CAST(floor(epoch(ts)) AS BIGINT) AS at, CAST(props ->> '$.k' AS BIGINT) AS k FROM events"
+EVENT_LOG = "SELECT event_id, ts, user_id, event_type, value, props, CAST(floor(epoch(ts)) AS BIGINT) AS secs, CAST(props ->> '$.k' AS BIGINT) AS k FROM events"
 #: The newest event's time stands for now.
 NOW = "(SELECT max(CAST(floor(epoch(ts)) AS BIGINT)) FROM events)"
