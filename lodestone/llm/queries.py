@@ -91,10 +91,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_join": op10_ngram_join,
 }
 
+_T = "coalesce(text, '')"
+_LOWER = f"translate({_T}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "[^\\x20\\x09-\\x0D]+"
+#: Smallest row reachable from each row over the links (a, b), both ways.
+_REACH = "reach(id, r) AS (SELECT id, id FROM nodes UNION SELECT reach.id, links.b FROM reach JOIN links ON reach.r = links.a)"
+_SECRETS = [("assign", "((?i:password|passwd|secret|token|api_?key))[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 2), ("access", "AKIA[A-Z0-9]{12,}", 0), ("hex", "[0-9a-f]{32,}", 0)]
+
 ORACLES: dict[str, str] = {
-    "op7_exact_dedup": """
+    "op3_vector_dedup": f"""
+        WITH RECURSIVE nodes AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+        good AS (SELECT * FROM nodes WHERE label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+        links AS (SELECT x.id AS a, y.id AS b FROM good x JOIN good y ON x.label = y.label AND len(x.v) = len(y.v) AND x.id <> y.id
+            WHERE list_dot_product(x.v, y.v) / (sqrt(list_dot_product(x.v, x.v)) * sqrt(list_dot_product(y.v, y.v))) >= 0.98), {_REACH}
+        SELECT id AS vec_id, (SELECT count(*) FROM links WHERE a = id) AS n_links, min(r) AS component_id, id = min(r) AS kept FROM reach GROUP BY id
+    """,
+    "op4_secret_scan": "WITH m AS ("
+    + " UNION ALL ".join(f"SELECT doc_id, '{kind}' AS kind, {o} AS o, regexp_extract_all({_T}, '{p}') AS ms, regexp_extract_all({_T}, '{p}', {g}) AS vs, string_split_regex({_T}, '{p}') AS gs FROM documents" for o, (kind, p, g) in enumerate(_SECRETS))
+    + """), x AS (SELECT doc_id, kind, o, ms[i] AS hit, vs[i] AS v, list_sum(list_transform(gs[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda g: length(g))), 0) AS s FROM (SELECT *, unnest(generate_series(1, len(ms))) AS i FROM m)),
+        f AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS b, count(*) FILTER (kind = 'hex') AS c, string_agg(concat(kind, ':', CAST(s AS BIGINT), ':', CAST(s + length(hit) AS BIGINT)), ',' ORDER BY s, o) AS spans FROM x WHERE kind <> 'assign' OR length(v) >= 8 GROUP BY doc_id)
+        SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents LEFT JOIN f USING (doc_id)
+    """,
+    "op7_exact_dedup": f"""
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
-        FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+        FROM (SELECT doc_id, {_LOWER} AS t FROM documents)
+    """,
+    "op8_substring_dedup": f"""
+        WITH w AS (SELECT doc_id, regexp_extract_all({_T}, '{_WORDS}') AS ws FROM documents),
+        win AS (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS k FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 34)) AS i FROM w WHERE len(ws) >= 35)),
+        cover AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(generate_series(i, i + 34)) AS p FROM win WHERE k IN (SELECT k FROM win GROUP BY k HAVING count(*) > 1)) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+               sha256(array_to_string(list_filter(ws, lambda x, i: ps IS NULL OR NOT list_contains(ps, i)), ' ')) AS kept_sha256 FROM w LEFT JOIN cover USING (doc_id)
+    """,
+    "op10_ngram_join": f"""
+        WITH RECURSIVE w AS (SELECT doc_id AS id, regexp_extract_all({_LOWER}, '{_WORDS}') AS ws FROM documents), nodes AS (SELECT id FROM w),
+        s AS (SELECT id, unnest(list_distinct(CASE WHEN len(ws) >= 5 THEN list_transform(generate_series(1, len(ws) - 4), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END)) AS g FROM w),
+        n AS (SELECT id, count(*) AS n FROM s GROUP BY id), c AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.id <> y.id GROUP BY ALL),
+        links AS (SELECT a, b FROM c JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 5 * c >= 4 * (x.n + y.n - c)), {_REACH}
+        SELECT id AS doc_id, (SELECT count(*) FROM links WHERE a = id) AS n_links, min(r) AS component_id, id = min(r) AS kept FROM reach GROUP BY id
     """,
 }
