@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from .common import connected_components, local_roots, materialize
 
 WORDS, SIMILARITY = 5, 0.8
-TREES, DEPTH = 16, 8
-RECALL = 0.99
+TREES, DEPTH = 24, 6
+RECALL = 0.9999
 #: Standard errors of the estimated similarity that a pair may lie below the threshold and still be verified.
-SLACK = 4.5
+SLACK = 5.0
 #: Texts of one bucket or cluster that a task compares with as many others; larger ones are dealt out in pairs of such parts.
 PART = 1024
 _EDGES = "cid long, other long"
