@@ -23,8 +23,8 @@ MAX_PASSES = 3
 BLOCK_WORDS = 256
 SHARDS = 64
 MAX_SOURCES = 100_000
-#: Documents in one step of a source's stream; steps are summed first, so no task sees a whole source.
-STEP_DOCS = 20_000
+#: Documents in one step of the streams, and how many steps there are at least and most; steps are summed first, so no task sees a whole source.
+STEP_DOCS, LEAST_STEPS, MOST_STEPS = 500, 64, 1_000_000
 
 
 def targets(sizes: list[int], weights: list[int], cap: float = MAX_PASSES) -> np.ndarray:
@@ -165,7 +165,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
     base = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("h")), "sizes")
-    steps = max(16, base.count() // STEP_DOCS)
+    steps = min(MOST_STEPS, max(LEAST_STEPS, base.count() // STEP_DOCS))
     base = base.withColumn("step", F.pmod("h", F.lit(steps)))
     by_source = base.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(by_source) > MAX_SOURCES:
