@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: The separators of words in every word-based operator here: space and the ASCII controls 9 to 13.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+#: A node is heavy from so many edges on, or from this share of all edges; there are at most twice HEAVY_NODES of them.
+HEAVY_LEAST, HEAVY_NODES = 256, 4_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -75,23 +77,32 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     """``(node, component)`` for every node of ``edges``; the component is its smallest node.
 
     Alternating large-star and small-star rounds; each round is two partially aggregated group-bys and two equi-joins,
-    so a node of any degree is one row of the minimum table and its edges can be split by AQE. Every round's edges are
-    a table in the shared folder. Self loops and repeated edges are ignored; an empty input gives an empty result.
+    so a node of any degree is one row of the minimum table, and heavy nodes' edges are not dealt by the node. Every round's
+    edges are a table in the shared folder. Self loops and repeated edges are ignored; an empty input gives an empty result.
     """
 
     def stamp(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
 
+    def with_low(e: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+        """Edges with the least neighbour of ``u``, and the least neighbours themselves. Nodes of more than ``heavy`` edges (a bounded number) are joined by broadcast, so their edges stay where they are."""
+        low = e.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("degree"))
+        heavy = max(HEAVY_LEAST, n // HEAVY_NODES)
+        if n <= heavy:
+            return e.join(low, "u"), low
+        hot = F.broadcast(low.where(F.col("degree") > heavy))
+        cold = e.join(hot.select("u"), "u", "left_anti").join(low.where(F.col("degree") <= heavy), "u")
+        return e.join(hot, "u").unionByName(cold), low
+
     e = materialize(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     seen = stamp(e)
     for _ in range(max_rounds):
         if not seen[0]:
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("low"))
-        small = large.join(least, "u").where("v != low").select(F.col("v").alias("u"), F.col("low").alias("v"))
+        large = with_low(both, seen[0])[0].where("v > u").select(F.col("v").alias("u"), F.least("u", "low").alias("v")).distinct()
+        pairs, least = with_low(large, seen[0])
+        small = pairs.where("v != low").select(F.col("v").alias("u"), F.col("low").alias("v"))
         nxt = materialize(small.unionByName(least.select("u", F.col("low").alias("v"))).where("u != v").distinct(), "edges")
         now = stamp(nxt)
         discard(e)
