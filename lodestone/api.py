@@ -226,6 +226,44 @@ class Workspace:
         words = [w for w in dict.fromkeys(query.lower().replace("?", " ").split()) if len(w) >= 3 and w not in T.RATIONALE_STOP]
         return lexical.any_substring(self.log("commits"), "message", words, [F.desc("secs"), F.asc("commit_hash")], limit=limit)
 
+    def record_commits(self, log: DataFrame) -> None:
+        """Append commits (see ``sources.vcs.commits``) that the log does not have."""
+        names = [c.split()[0] for c in LOGS["commits"].split(", ")]
+        log.select(*names).dropDuplicates(["commit_hash"]).join(self.log("commits").select("commit_hash"), "commit_hash", "left_anti").select(*names).write.mode("append").parquet(f"{self.root}/logs/commits")
+
+    def generate_pages(self, branch: str = "main") -> DataFrame:
+        """Render a page for each file without one of its present content; the pages written, by path."""
+        f = self.table("files", branch)
+        stale = snapshot.stale(self.pages().select("path", "content_hash"), f)
+        names = self.table("symbols", branch).groupBy("path").agg(F.array_join(F.slice(F.sort_array(F.collect_set("name")), 1, 20), ", ").alias("names"))
+        does = F.concat(F.lit("A "), F.col("language"), F.lit(" file with "), F.coalesce("names", F.lit("no symbols")), F.lit("."))
+        page = T.redact_page(S.render_page(F.col("path"), does, F.lit(None).cast("string")))
+        rows = stale.join(names, "path", "left").select("path", "content_hash", page.alias("content"), self.now.alias("secs"))
+        rows.write.mode("append").parquet(f"{self.root}/logs/pages")
+        return self.pages().join(stale.select("path"), "path", "left_semi")
+
+    def pages(self) -> DataFrame:
+        try:
+            log = self.spark.read.schema("path string, content_hash string, content string, secs long").parquet(f"{self.root}/logs/pages")
+        except AnalysisException:
+            log = self.spark.createDataFrame([], "path string, content_hash string, content string, secs long")
+        return memory.latest(log, ["path"], ["secs"])
+
+    def search_pages(self, query: str, limit: int = 10, branch: str = "main") -> DataFrame:
+        """Pages of files that exist, by BM25 over whole words."""
+        live = self.pages().join(self.table("files", branch).select("path"), "path", "left_semi")
+        words = self.spark.createDataFrame([(0, query)], "query_id long, q string").select("query_id", F.explode(lexical.words(F.col("q"))).alias("term"))
+        hits = lexical.bm25(words, lexical.build_index(live, "path", "content"), limit)
+        return hits.select(F.col("doc_id").alias("path"), "score", "rank").orderBy("rank")
+
+    def integrity(self, branch: str = "main") -> DataFrame:
+        """``table, rows`` of the branch's snapshot: reading it all validates every file's footer."""
+        out = None
+        for t in SNAPSHOT_TABLES:
+            n = self.table(t, branch).agg(F.lit(t).alias("table"), F.count("*").alias("rows"))
+            out = n if out is None else out.unionByName(n)
+        return out
+
     # Memory -----------------------------------------------------------------------------------------------------------
 
     def remember(self, payload: str, key: str | None = None, summary: str = "", category: str = "note", scope: str = "local") -> str:

@@ -100,3 +100,14 @@ def test_sync_and_rollback(ws, spark):
     ws.rollback("main", head)
     assert ws.outline("app/new.py").count() == 0 and ws.checkpoints("main").count() == 0
     ws.clock = clock
+
+
+def test_pages_commits_and_integrity(ws, spark):
+    assert ws.generate_pages().count() == len(FILES) and ws.generate_pages().count() == 0
+    assert ws.search_pages("authenticator").first()["path"] == "app/auth.py"
+    assert {r["table"]: r["rows"] for r in ws.integrity().collect()}["files"] == len(FILES)
+    c = spark.createDataFrame([("h1", "a", 5, "add the store because of speed", "s"), ("h2", "a", 6, "other", "s")], "commit_hash string, author string, secs long, message string, summary string")
+    ws.record_commits(c)
+    ws.record_commits(c)
+    assert [r["commit_hash"] for r in ws.rationale("why was speed changed?").collect()] == ["h1"]
+    assert ws.rationale("why?").count() == 2
