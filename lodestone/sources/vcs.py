@@ -15,7 +15,7 @@ def _strip(x: Column) -> Column:
 
 def commits(exports: DataFrame, text_col: str = "value") -> DataFrame:
     """``commit_hash, author, secs, message, summary`` from exported logs: records of hash, author, ISO time, subject and perhaps a body."""
-    rows = exports.select(F.split(F.explode(F.split(text_col, RECORD)), FIELD).alias("r")).where(F.size("r") >= 4)
+    rows = exports.select(F.explode(F.transform(F.split(text_col, RECORD), lambda x: F.split(x, FIELD))).alias("r")).where(F.size("r") >= 4)
     part = lambda i: _strip(F.get("r", F.lit(i)))
     body = F.coalesce(part(4), F.lit(""))
     message = F.when(body != "", F.concat(part(3), F.lit("\n"), body)).otherwise(part(3))
