@@ -37,9 +37,9 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", body_col: str = "text",
 
 
 def _scored(hits: DataFrame, index: Index, phrase: list[str]) -> DataFrame:
-    """``hits`` (query_id, phrase..., doc_id, tf) with each phrase's score; ``n`` is counted over the hits, which are all documents with the phrase."""
+    """``hits`` (phrase..., doc_id, tf), a row for each phrase and document that has it, with its score: once for all queries that ask the phrase."""
     stats = index.lengths.agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"))
-    n = hits.select(*phrase, "doc_id").distinct().groupBy(*phrase).agg(F.count("*").alias("n"))
+    n = hits.groupBy(*phrase).agg(F.count("*").alias("n"))
     scored = hits.join(n, phrase).join(index.lengths, "doc_id").crossJoin(F.broadcast(stats))  # one row of totals
     idf = F.greatest(F.lit(IDF_FLOOR), F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)))
     return scored.withColumn("part", idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
@@ -55,8 +55,9 @@ def _top(scores: DataFrame, k: int, digits: int = 6) -> DataFrame:
 def bm25(queries: DataFrame, index: Index, k: int = 10) -> DataFrame:
     """``query_id, doc_id, score, rank``: whole terms OR'ed; ``queries`` has ``query_id, term``."""
     q = queries.select("query_id", "term").distinct()
-    hits = q.join(index.postings.select("term", "doc_id", "tf"), "term")
-    return _top(_scored(hits, index, ["term"]), k)
+    # A semi-join on the grouping key sinks below an index that is built on the fly, so only asked terms are counted.
+    hits = index.postings.select("term", "doc_id", "tf").join(q.select("term").distinct(), "term", "left_semi")
+    return _top(q.join(_scored(hits, index, ["term"]), "term"), k)
 
 
 def bm25_prefix(queries: DataFrame, index: Index, k: int = 50) -> DataFrame:
