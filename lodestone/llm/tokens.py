@@ -10,15 +10,16 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 _RUNS = re.compile(r"\s |\s\Z")
-_GROUP = 4_000
-#: Chunks remembered by a worker process; at this number it starts afresh. About 40 bytes each.
-KNOWN_CHUNKS = 1_500_000
+_GROUP = 64
+#: Chunks remembered by a worker process; beyond this number those that did not recur are forgotten. About 200 bytes each.
+KNOWN_CHUNKS = 500_000
 
 
 class ChunkEncoder:
@@ -34,23 +35,38 @@ class ChunkEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known, self.flat, self.ends = pa.array([], type=pa.large_string()), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.known: dict[str, int] = {}
+        self.flat, self.ends, self.again = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def _keep_recurring(self) -> None:
+        """Forget chunks met in one batch only; all, if too many recur."""
+        keep = np.flatnonzero(self.again)
+        if len(keep) > KNOWN_CHUNKS // 2:
+            return self._forget()
+        strings = list(self.known)
+        begins = np.concatenate([[0], self.ends[:-1]])
+        n = self.ends[keep] - begins[keep]
+        stops = np.cumsum(n)
+        self.flat = self.flat[np.arange(n.sum()) + np.repeat(begins[keep] - (stops - n), n)]
+        self.ends, self.again = stops, np.zeros(len(keep), bool)
+        self.known = {strings[i]: k for k, i in enumerate(keep.tolist())}
 
     def _places(self, words: pa.Array) -> np.ndarray:
         """The index of each of the distinct ``words`` in the table of known chunks, which learns the new ones."""
         if len(self.known) > KNOWN_CHUNKS:
-            self._forget()
-        at = pc.index_in(words, value_set=self.known)
-        new = words.filter(pc.is_null(at))
+            self._keep_recurring()
+        strings, known = words.to_pylist(), self.known
+        at = np.fromiter(map(known.get, strings, repeat(-1)), np.int64, len(strings))
+        new = np.flatnonzero(at < 0)
+        self.again[at[at >= 0]] = True
         if len(new):
-            ids, ends = self._chunks(new)
+            ids, ends = self._chunks(words.take(pa.array(new)))
             self.ends = np.concatenate([self.ends, ends + len(self.flat)])
             self.flat = np.concatenate([self.flat, ids])
-            first = len(self.known)
-            self.known = pa.concat_arrays([self.known, new])
-        out = at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-        out[out < 0] = np.arange(len(new)) + (first if len(new) else 0)
-        return out
+            at[new] = np.arange(len(known), len(known) + len(new))
+            self.again = np.concatenate([self.again, np.zeros(len(new), bool)])
+            known.update(zip([strings[i] for i in new], at[new].tolist(), strict=True))
+        return at
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
