@@ -39,7 +39,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", body_col: str = "text",
 def _scored(hits: DataFrame, index: Index, phrase: list[str]) -> DataFrame:
     """``hits`` (phrase..., doc_id, tf), a row for each phrase and document that has it, with its score: once for all queries that ask the phrase."""
     stats = index.lengths.agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"))
-    n = hits.groupBy(*phrase).agg(F.count("*").alias("n"))
+    # Counted on tf, so that both sides of the join below have one plan and Spark runs it once.
+    n = hits.groupBy(*phrase).agg(F.count_if(F.col("tf") > 0).alias("n"))
     scored = hits.join(n, phrase).join(index.lengths, "doc_id").crossJoin(F.broadcast(stats))  # one row of totals
     idf = F.greatest(F.lit(IDF_FLOOR), F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)))
     return scored.withColumn("part", idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))

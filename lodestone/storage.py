@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,13 +18,20 @@ def shared_dir(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    base = "file://" + tempfile.mkdtemp(prefix="lodestone-")
+    folder = tempfile.mkdtemp(prefix="lodestone-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    base = "file://" + folder
     spark.conf.set("lodestone.shared.dir", base)
     return base
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/lodestone-{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession)}/lodestone-{name}-{uuid.uuid4().hex}"
+    """``df`` written once as Parquet in the shared folder and read back: cuts lineage, survives lost executors, prunes columns."""
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back.lodestone_path = path
