@@ -1,61 +1,21 @@
-"""What several corpus operators share: scratch tables in the cluster's shared folder, and connected components."""
+"""What several corpus operators share: words, scratch tables in the cluster's shared folder, connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import discard, materialize, scratch_path
+
+__all__ = ["WORD_PATTERN", "connected_components", "discard", "local_roots", "materialize", "scratch_path"]
+
 #: The separators of words in every word-based operator here: space and the ASCII controls 9 to 13.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: A node is heavy from so many edges on, or from this share of all edges; there are at most twice HEAVY_NODES of them.
 HEAVY_LEAST, HEAVY_NODES = 256, 4_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where that is unset a local session (tests) gets a temporary folder; a cluster without the setting is an error,
-    because a machine-local folder would lose rows there.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("lodestone.shared.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    base = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-    spark.sparkContext.setCheckpointDir(base)
-    spark.conf.set("lodestone.shared.dir", base)
-    return base
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lodestone-{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back: cuts lineage, survives lost executors, prunes columns."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
-    back.lodestone_path = path
-    return back
-
-
-def discard(*frames: DataFrame) -> None:
-    """Delete tables made by :func:`materialize` that no later plan reads."""
-    for df in frames:
-        delete_path(df.sparkSession, df.lodestone_path)
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest member of each of ``n`` nodes' components under the edges (a[i], b[i]); vectorised label propagation with pointer jumping."""
     root = np.arange(n)
