@@ -11,11 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
-WORD_BREAK = r"[^\p{L}\p{N}]+"
+WORD = r"[\p{L}\p{N}]+"
 
 
 def words(x: Column) -> Column:
-    return F.filter(F.split(F.lower(x), WORD_BREAK), lambda w: w != "")
+    return F.regexp_extract_all(F.lower(x), F.lit(WORD), F.lit(0))
 
 
 @dataclass
@@ -64,13 +64,13 @@ def bm25(queries: DataFrame, index: Index, k: int = 10) -> DataFrame:
 def bm25_prefix(queries: DataFrame, index: Index, k: int = 50) -> DataFrame:
     """Prefix terms: each counts once over all columns and once over the body, so a hit in the body counts twice.
 
-    Vocabulary and prefixes meet on their first two characters, then by ``startswith``; only matching postings move on.
+    Postings and prefixes meet on their first two characters, then by ``startswith``.
     """
     q = queries.select("query_id", F.col("term").alias("prefix")).where(F.length("prefix") >= 2).distinct()
     p = q.select("prefix").distinct().withColumn("head", F.substring("prefix", 1, 2))
-    vocabulary = index.postings.select("term").distinct().withColumn("head", F.substring("term", 1, 2))
-    grown = vocabulary.join(p, "head").where(F.col("term").startswith(F.col("prefix"))).select("term", "prefix")
-    tf = index.postings.join(grown, "term").groupBy("prefix", "doc_id").agg(F.sum("tf").alias("tf"), F.sum("tf_body").alias("tf_body"))
+    # The prefixes of a batch are the small side; postings that match none end at this join.
+    grown = index.postings.join(p, (F.substring("term", 1, 2) == F.col("head")) & F.startswith(F.col("term"), F.col("prefix")))
+    tf = grown.groupBy("prefix", "doc_id").agg(F.sum("tf").alias("tf"), F.sum("tf_body").alias("tf_body"))
     kinds = F.explode(F.array(F.struct(F.lit("all").alias("part_of"), F.col("tf").alias("tf")), F.struct(F.lit("body").alias("part_of"), F.col("tf_body").alias("tf")))).alias("x")
     each = tf.select("prefix", "doc_id", kinds).select("prefix", "doc_id", "x.part_of", "x.tf").where("tf > 0")
     return _top(q.join(_scored(each, index, ["prefix", "part_of"]), "prefix"), k)
