@@ -124,6 +124,13 @@ class TokenFileReader:
         return np.flatnonzero((self.doc_ids == doc_id) & self.known).tolist()
 
 
+def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The store behind a folder's address and the path in it; Hadoop's names of object stores are taken as pyarrow's."""
+    for theirs, ours in (("s3a://", "s3://"), ("s3n://", "s3://")):
+        uri = ours + uri[len(theirs) :] if uri.startswith(theirs) else uri
+    return pafs.FileSystem.from_uri(uri)
+
+
 def write_token_files(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Encode every text, append ``end_id`` and write files in ascending id order; returns their manifest.
 
@@ -135,7 +142,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc, part = encoder(vocabulary), TaskContext.get().partitionId()
-        fs, root = pafs.FileSystem.from_uri(path)
+        fs, root = filesystem(path)
         writer, name = None, f"{root}/part-{part:06d}-{uuid.uuid4().hex}.szt"
         end = np.array([end_id], "<u4")
         for pdf in batches:
@@ -172,7 +179,7 @@ def read_token_files(manifest: DataFrame, path: str) -> DataFrame:
         base += r["n_ids"]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fs, _ = pafs.FileSystem.from_uri(path)
+        fs, _ = filesystem(path)
         for pdf in batches:
             for name, base in zip(pdf["path"], pdf["base"], strict=True):
                 with fs.open_input_file(name) as stream:
