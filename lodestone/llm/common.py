@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import discard, materialize, scratch_path
 
-__all__ = ["WORD_PATTERN", "connected_components", "discard", "local_roots", "materialize", "scratch_path"]
+__all__ = ["HEAVY_LEAST", "HEAVY_NODES", "WORD_PATTERN", "connected_components", "discard", "local_roots", "materialize", "scratch_path", "trim_memory"]
 
 #: The separators of words in every word-based operator here: space and the ASCII controls 9 to 13.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -16,6 +19,15 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 HEAVY_LEAST, HEAVY_NODES = 256, 4_000
 
 
+def trim_memory() -> None:
+    """Hand memory that Arrow and the allocator hold but don't use back to the system: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest member of each of ``n`` nodes' components under the edges (a[i], b[i]); vectorised label propagation with pointer jumping."""
     root = np.arange(n)

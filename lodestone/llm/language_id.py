@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trim_memory
+
 ORDERS = (1, 2, 3)
 BUCKET_BITS = 15
 #: Labelled rows learned from, for each language; a smaller corpus is learned from whole.
@@ -130,6 +132,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
         for texts in batches:
             pred, score = score_batch(texts.tolist(), langs, logp, bits)
             yield pd.DataFrame({"lang_pred": pred, "score": np.round(score, 9)})
+        trim_memory()
 
     out = docs.select(*[F.col(f"`{c}`") for c in keep], predict(F.col(text_col)).alias("__ls_id"))
     return out.select(*[F.col(f"`{c}`") for c in keep], "__ls_id.lang_pred", "__ls_id.score")

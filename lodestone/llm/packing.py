@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trim_memory
 from .tokens import encoder, slices
 
 SEQUENCE = 2048
@@ -116,6 +117,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
             flat, ends = enc.encode(texts[span.start : span.stop])
             ids += [np.concatenate([x, end]) for x in np.split(flat, ends[:-1])]
         sizes = [len(x) for x in ids]
+        trim_memory()
         rows = [(i, start, n, (g << 32) | s, off) for s, seq in enumerate(plan_group(sizes, length)) for (i, start, n), off in zip(seq, np.cumsum([0] + [p[2] for p in seq]).tolist(), strict=False)]
         which = [r[0] for r in rows]
         return pa.table({

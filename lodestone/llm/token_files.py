@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_path
+from .common import materialize, scratch_path, trim_memory
 from .tokens import encoder, slices
 
 # Fixed values of the seekable format.
@@ -156,6 +156,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
                 for i, stop in zip(span, ends, strict=True):
                     writer.add(ids[i], np.concatenate([flat[start:stop], end]))
                     start = stop
+        trim_memory()
         if writer is not None:
             writer.close()
             yield pd.DataFrame({"part": [part], "path": [name], "n_docs": [len(writer.docs)], "n_ids": [writer.n_ids]})

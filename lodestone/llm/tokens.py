@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 _RUNS = re.compile(r"\s |\s\Z")
 _GROUP = 64
 #: Chunks remembered by a worker process; beyond this number those that did not recur are forgotten. About 200 bytes each.
-KNOWN_CHUNKS = 500_000
+KNOWN_CHUNKS = 200_000
 
 
 class ChunkEncoder:
