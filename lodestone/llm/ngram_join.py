@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, local_roots, materialize
+from .common import connected_components, local_roots, materialize, trim_memory
 
 WORDS, SIMILARITY = 5, 0.8
 TREES, DEPTH = 24, 6
@@ -77,6 +77,7 @@ def _sign(docs: DataFrame, id_col: str, text_col: str, words: int, depth: int) -
                 "id": pdf["id"], "n": [len(s) for s in sets], "k1": [int.from_bytes(b[:8], "little", signed=True) for b in both], "k2": [int.from_bytes(b[8:], "little", signed=True) for b in both],
                 "keys": keys, "sig": [s.tobytes() for s in sigs],
             })
+        trim_memory()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInPandas(run, "id long, n long, k1 long, k2 long, keys array<long>, sig binary")
@@ -176,11 +177,18 @@ def _clusters(classes: DataFrame, similarity: float) -> DataFrame:
 def _large(sig: np.ndarray, side: np.ndarray | None, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect every pair of agreeing signatures: rows are taken up by pivots, then rows of different groups are compared."""
     n = len(sig)
-    root, one, two = np.arange(n), [], []
+    none = np.zeros(0, int)
+    root, one, two = np.arange(n), [none], [none]
+    if side is not None:  # two parts of a bucket: only pairs across
+        a, b = np.flatnonzero(~side), np.flatnonzero(side)
+        for at in range(0, len(a), 64):
+            i, j = np.nonzero((sig[a[at : at + 64], None, :] == sig[None, b, :]).sum(axis=2) >= least)
+            one.append(a[at + i]), two.append(b[j])
+        return np.concatenate(one), np.concatenate(two)
     for p in range(n):
         if root[p] != p:
             continue  # taken up by an earlier row, whose agreement with p makes them one cluster
-        other = np.flatnonzero(root != p) if side is None else np.flatnonzero((root != p) & (side != side[p]))
+        other = np.flatnonzero(root != p)
         hit = other[(sig[other] == sig[p]).sum(axis=1) >= least]
         if len(hit):
             one.append(np.full(len(hit), p)), two.append(hit)
@@ -188,16 +196,12 @@ def _large(sig: np.ndarray, side: np.ndarray | None, least: int) -> tuple[np.nda
     # Rows that joined a group without being a pivot are compared with the rows outside it.
     groups, sizes = np.unique(root, return_counts=True)
     for k in np.argsort(sizes)[:-1]:
-        inside = np.flatnonzero(root == groups[k])
         outside = np.flatnonzero(root != groups[k])
-        for i in inside:
-            if i == groups[k] and side is None:
-                continue
-            o = outside if side is None else outside[side[outside] != side[i]]
-            hit = o[(sig[o] == sig[i]).sum(axis=1) >= least]
-            one.append(np.full(len(hit), i)), two.append(hit)
-    none = np.zeros(0, int)
-    return np.concatenate([none, *one]), np.concatenate([none, *two])
+        for i in np.flatnonzero(root == groups[k]):
+            if i != groups[k]:
+                hit = outside[(sig[outside] == sig[i]).sum(axis=1) >= least]
+                one.append(np.full(len(hit), i)), two.append(hit)
+    return np.concatenate(one), np.concatenate(two)
 
 
 def _verified(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, classes: DataFrame, cluster: DataFrame) -> DataFrame:
@@ -226,6 +230,7 @@ def _verified(docs: DataFrame, id_col: str, text_col: str, words: int, similarit
                     outs.append(verify_group(pdf, similarity))
             if outs:
                 yield pd.concat(outs, ignore_index=True)
+        trim_memory()
 
     return materialize(dealt.mapInPandas(verify, "cid long, links long, other long"), "links")
 
