@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import HEAVY_LEAST, HEAVY_NODES, discard, materialize, trim_memory
 
 WINDOW = 35
 ANCHOR = 12
@@ -27,9 +27,9 @@ GRAM = 5
 RUN = 256
 #: Distinct runs of one anchor that an FM-index takes; windows of anchors with more are counted by their hashes, which spreads them.
 HOT = 2_000
-SHARD_WORDS = 1_000_000
-#: Rows of 16 bytes that are broadcast at most; more are joined by shuffle.
-BROADCAST_ROWS = 2_000_000
+SHARD_WORDS = 150_000
+#: Document keys (16 bytes each) that are broadcast at most; more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 _B = [0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93]
 _INV = [pow(b, -1, 1 << 64) for b in _B]
 
@@ -206,8 +206,7 @@ def repeated_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     runs = materialize(docs.mapInPandas(split, f"id {id_type}, th long, start int, wins int, m long, c long, again boolean"), "runs")
     anchors = runs.groupBy("m").agg(F.count("*").alias("n"), F.max("again").alias("again")).where("n > 1 or again").select("m")
     anchors = materialize(anchors, "anchors")
-    small = anchors.count() <= BROADCAST_ROWS
-    known = runs.join(F.broadcast(anchors) if small else anchors, "m", "left_semi").withColumn("rn", F.monotonically_increasing_id())
+    known = runs.join(anchors, "m", "left_semi").withColumn("rn", F.monotonically_increasing_id())
     known = materialize(known, "repeated")
     discard(runs)
     contents = known.groupBy("m", "c").agg(F.count("*").alias("cnt"), F.min("rn").alias("rn"), F.max("again").alias("again"))
@@ -215,7 +214,10 @@ def repeated_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Anchors with runs that occur once need the index; a run that occurs twice is repeated whole.
     per = contents.groupBy("m").agg(F.count("*").alias("d"), F.sum(F.when(F.col("cnt") == 1, 1).otherwise(0)).alias("single"), F.max("again").alias("again"))
     open_ = per.where("single > 0 and (d > 1 or again)").select("m", "d")
-    chosen = contents.join(open_, "m").select("rn", "m", "cnt", "d")
+    heavy = max(HEAVY_LEAST, contents.count() // HEAVY_NODES)  # anchors of more runs than this are at most HEAVY_NODES
+    hot_anchors = F.broadcast(open_.where(F.col("d") > heavy))
+    cold = contents.join(hot_anchors.select("m"), "m", "left_anti").join(open_.where(F.col("d") <= heavy), "m")
+    chosen = contents.join(hot_anchors, "m").unionByName(cold).select("rn", "m", "cnt", "d")
     chosen = known.select("rn", "id", "th", "start", "wins").join(chosen, "rn").groupBy("id", "th").agg(F.collect_list(F.struct("start", "wins", "m", "cnt", "d")).alias("runs"))
     chosen = materialize(chosen, "chosen")
     n_docs = chosen.count()
@@ -268,6 +270,7 @@ def repeated_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 s, e = _stretches(hit)
                 start = int(pdf["start"].iloc[k])
                 out += [(pdf["id"].iloc[k], pdf["th"].iloc[k], start + a, start + b + window - 1) for a, b in zip(s, e, strict=True)]
+        trim_memory()
         return pd.DataFrame(out, columns=["id", "th", "s", "e"])
 
     span = f"id {id_type}, th long, s int, e int"
