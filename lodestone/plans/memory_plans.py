@@ -160,8 +160,16 @@ def simhash(spark, sf_dir):
 
 @query("simhash_dups", _SIM.replace("benchmark WHERE text IS NOT NULL", "(SELECT doc_id AS item_id, text FROM documents WHERE text IS NOT NULL AND doc_id % 4 = 0)") + """, c AS (SELECT h, min(item_id) AS rep FROM s GROUP BY h) SELECT x.rep AS a, y.rep AS b, CAST(bit_count(xor(x.h, y.h)) AS INTEGER) AS distance FROM c x JOIN c y ON x.rep < y.rep AND bit_count(xor(x.h, y.h)) <= 3""")
 def simhash_dups(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("text is not null and doc_id % 4 = 0")
-    return memory.simhash_pairs(memory.simhash(d, "doc_id", "text"), "doc_id")
+    return _near_hashes(table(spark, sf_dir, "documents").where("text is not null and doc_id % 4 = 0"))
+
+
+@query("simhash_dups_whole")
+def simhash_dups_whole(spark, sf_dir):
+    return _near_hashes(table(spark, sf_dir, "documents").where("text is not null"))
+
+
+def _near_hashes(docs):
+    return memory.simhash_pairs(memory.simhash(docs, "doc_id", "text"), "doc_id")
 
 
 @query("cosine_dedup_class", """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL), p AS (SELECT a.vec_id AS id, b.vec_id AS o, round(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 6) AS s FROM (SELECT * FROM v WHERE vec_id % 10 = 3) a, v b WHERE a.vec_id <> b.vec_id)

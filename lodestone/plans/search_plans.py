@@ -259,6 +259,14 @@ def stack_trace_targets(spark, sf_dir):
     return intervals.enclosing(frames, symbols(spark, sf_dir))
 
 
+@query("stack_trace_targets_whole")
+def stack_trace_targets_whole(spark, sf_dir):
+    k = F.get_json_object("props", "$.k").cast("long")
+    path = F.concat(F.lit("src/f"), (F.col("event_id") % 50).cast("string"), F.lit(".py"))
+    frames = table(spark, sf_dir, "events").select(F.col("event_id").alias("frame_id"), path.alias("path"), (k * 7).alias("line"))
+    return intervals.enclosing(frames, symbols(spark, sf_dir))
+
+
 @query("line_in_symbol", f"SELECT symbol_id FROM ({SYMBOLS}) WHERE path = 'src/f17.py' AND 40 BETWEEN start_line AND end_line")
 def line_in_symbol(spark, sf_dir):
     return symbols(spark, sf_dir).where((F.col("path") == "src/f17.py") & F.lit(40).between(F.col("start_line"), F.col("end_line"))).select("symbol_id")
@@ -291,6 +299,11 @@ def ambiguous_names(spark, sf_dir):
     return resolve.ambiguous(symbols(spark, sf_dir).where("start_line < 50"))
 
 
+@query("ambiguous_names_whole")
+def ambiguous_names_whole(spark, sf_dir):
+    return resolve.ambiguous(symbols(spark, sf_dir))
+
+
 @query("point_lookup", f"SELECT doc_id, path FROM ({FILES}) WHERE doc_id = 42 UNION ALL SELECT doc_id, path FROM ({FILES}) WHERE path = (SELECT path FROM ({FILES}) WHERE doc_id = 7)")
 def point_lookup(spark, sf_dir):
     f = files(spark, sf_dir).select("doc_id", "path")
@@ -328,6 +341,14 @@ def edge_resolve(spark, sf_dir):
     return resolve.resolve_imports(resolve.without_stdlib(i, "module"), f).select("importer", "module", "target")
 
 
+@query("edge_resolve_whole")
+def edge_resolve_whole(spark, sf_dir):
+    from .fixtures import derived
+
+    f, i = (derived(spark, sf_dir, x.removesuffix(" WHERE p_partkey < 200"), "part") for x in (_IMPORT_FILES, _IMPORTS))
+    return resolve.resolve_imports(resolve.without_stdlib(i, "module"), f).select("importer", "module", "target")
+
+
 @query("substring_search", "WITH r AS (SELECT conv_id, turn, text FROM conversations WHERE text IS NOT NULL ORDER BY conv_id DESC, turn DESC LIMIT 100) SELECT conv_id, turn FROM r WHERE contains(lower(text), 'the') OR contains(lower(text), 'eau') ORDER BY conv_id DESC, turn DESC LIMIT 5")
 def substring_search(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").where("text is not null")
@@ -346,7 +367,16 @@ def mentions_topk(spark, sf_dir):
 
 @query("naive_hits", f"""WITH k AS (SELECT item_id, list_slice(list_filter(regexp_extract_all(lower(text), '[a-zA-Z0-9_\\-]+'), lambda w: length(w) >= 3), 1, 6) AS ks FROM benchmark WHERE text IS NOT NULL AND item_id < 20) SELECT item_id, doc_id, hits FROM (SELECT item_id, doc_id, CAST(len(list_filter(ks, lambda w: contains(t, w))) AS INTEGER) AS hits FROM k, (SELECT doc_id, lower(text) AS t FROM documents WHERE text IS NOT NULL)) WHERE hits > 0""")
 def naive_hits(spark, sf_dir):
+    return _hits(spark, sf_dir, table(spark, sf_dir, "benchmark").where("text is not null and item_id < 20"))
+
+
+@query("naive_hits_whole")
+def naive_hits_whole(spark, sf_dir):
+    return _hits(spark, sf_dir, table(spark, sf_dir, "benchmark").where("text is not null"))
+
+
+def _hits(spark, sf_dir, items):
     from ..operators import evaluation
 
-    b = table(spark, sf_dir, "benchmark").where("text is not null and item_id < 20").select(F.col("item_id"), F.slice(T.keywords(F.col("text"), ["-"]), 1, 6).alias("words"))
+    b = items.select(F.col("item_id"), F.slice(T.keywords(F.col("text"), ["-"]), 1, 6).alias("words"))
     return evaluation.naive_hits(b, table(spark, sf_dir, "documents"), "item_id")

@@ -179,7 +179,18 @@ TRACE = """concat('Traceback', chr(10), '  File "src/f', CAST(event_id % 50 AS V
 def stack_trace_parse(spark, sf_dir):
     from .fixtures import event_log
 
-    t = event_log(spark, sf_dir).where("event_id % 10 < 5").select("event_id", F.expr(TRACE.replace("chr(10)", "'\\n'")).alias("t"))
+    return _frames(event_log(spark, sf_dir).where("event_id % 10 < 5"))
+
+
+@query("stack_trace_parse_whole")
+def stack_trace_parse_whole(spark, sf_dir):
+    from .fixtures import event_log
+
+    return _frames(event_log(spark, sf_dir))
+
+
+def _frames(events: DataFrame) -> DataFrame:
+    t = events.select("event_id", F.expr(TRACE.replace("chr(10)", "'\\n'")).alias("t"))
     f = t.select("event_id", F.explode(T.trace_frames(F.col("t"))).alias("f"), F.array_join(T.trace_exceptions(F.col("t")), ",").alias("exceptions"))
     return f.select("event_id", "f.file", "f.line", F.col("f.function").alias("func"), "exceptions")
 
@@ -262,7 +273,15 @@ _SECTIONS = """WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest
 
 @query("doc_sections", _SECTIONS)
 def doc_sections(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("text is not null and doc_id % 3 = 0")
+    return _sectioned(table(spark, sf_dir, "documents").where("text is not null and doc_id % 3 = 0"))
+
+
+@query("doc_sections_whole")
+def doc_sections_whole(spark, sf_dir):
+    return _sectioned(table(spark, sf_dir, "documents").where("text is not null"))
+
+
+def _sectioned(d: DataFrame) -> DataFrame:
     d = d.withColumn("text", F.concat(F.lit("intro\n# "), F.replace("text", F.lit(". "), F.lit("\n## "))))
     return S.sections(d, "doc_id", "text").select("doc_id", "section", "start_line", "end_line", F.md5("body").alias("body"))
 
