@@ -16,6 +16,8 @@ FILES = f"SELECT doc_id, {PATH} AS path, text, lang, source FROM documents"
 SYMBOLS = """SELECT p_partkey AS symbol_id, p_name AS name, concat(CASE WHEN p_partkey % 50 < 10 THEN 'tests/' ELSE 'src/' END, 'f', CAST(p_partkey % 50 AS VARCHAR(9)), '.py') AS path,
   CAST(floor(p_partkey / 50) * 12 + 1 AS BIGINT) AS start_line, CAST(floor(p_partkey / 50) * 12 + 1 + p_size % 20 AS BIGINT) AS end_line, p_brand AS kind FROM part"""
 CALLS = """SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey AND a.l_orderkey % 20 = 0"""
+# The same calls of all orders.
+ALL_CALLS = CALLS.removesuffix(" AND a.l_orderkey % 20 = 0")
 # Changed ranges: one for each supplier, in one of the files.
 RANGES = """SELECT concat(CASE WHEN s_suppkey % 50 < 10 THEN 'tests/' ELSE 'src/' END, 'f', CAST(s_suppkey % 50 AS VARCHAR(9)), '.py') AS path, CAST(s_suppkey * 3 % 400 + 1 AS BIGINT) AS lo, CAST(s_suppkey * 3 % 400 + 9 AS BIGINT) AS hi FROM supplier"""
 # Part to supplier: suppliers have no outgoing edge, so their rank is handed back.
@@ -46,6 +48,10 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark, sf_dir, CALLS, "lineitem")
 
 
+def all_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived(spark, sf_dir, ALL_CALLS, "lineitem")
+
+
 def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark, sf_dir, RANGES, "supplier")
 

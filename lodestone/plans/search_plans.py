@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import classify as C
 from ..functions import text as T
 from ..operators import graph, intervals, lexical, ranking, resolve, vectors
-from .fixtures import CALLS, FILES, FOLLOWS, RANGES, SUPPLY, SYMBOLS, calls, event_log, files, follows, ranges, supply, symbols
+from .fixtures import CALLS, FILES, FOLLOWS, RANGES, SUPPLY, SYMBOLS, all_calls, calls, event_log, files, follows, ranges, supply, symbols
 from .registry import query, table
 from .text_plans import TRACE
 
@@ -168,9 +168,9 @@ def _hops(edges: str, seeds: str, depth: int, direction: str) -> str:
 _SEEDS = "SELECT DISTINCT src AS seed FROM ({e}) WHERE src % 90 = 7"
 
 
-def _khop(direction: str, depth: int):
+def _khop(direction: str, depth: int, called=calls):
     def run(spark, sf_dir):
-        e = calls(spark, sf_dir)
+        e = called(spark, sf_dir)
         return graph.neighbourhood(e, e.where("src % 90 = 7").select(F.col("src").alias("seed")), depth, direction)
 
     return run
@@ -178,6 +178,7 @@ def _khop(direction: str, depth: int):
 
 for _name, _dir, _depth in (("khop_down", "down", 3), ("khop_up", "up", 2), ("khop_both", "both", 2)):
     query(_name, _hops(CALLS, _SEEDS.format(e=CALLS), _depth, _dir))(_khop(_dir, _depth))
+    query(_name + "_whole")(_khop(_dir, _depth, all_calls))
 
 
 @query("khop_multiseed", f"SELECT node, min(distance) AS distance FROM ({_hops(CALLS, _SEEDS.format(e=CALLS), 2, 'both')}) GROUP BY node")
@@ -185,11 +186,21 @@ def khop_multiseed(spark, sf_dir):
     return _khop("both", 2)(spark, sf_dir).groupBy("node").agg(F.min("distance").alias("distance"))
 
 
+@query("khop_multiseed_whole")
+def khop_multiseed_whole(spark, sf_dir):
+    return _khop("both", 2, all_calls)(spark, sf_dir).groupBy("node").agg(F.min("distance").alias("distance"))
+
+
 @query("khop_nearest", f"SELECT seed, node, distance FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY distance, node) AS rn FROM ({_hops(CALLS, _SEEDS.format(e=CALLS), 2, 'both')})) WHERE rn <= 50")
 def khop_nearest(spark, sf_dir):
     return graph.nearest(_khop("both", 2)(spark, sf_dir), 50)
 
 
+@query("khop_nearest_whole")
+def khop_nearest_whole(spark, sf_dir):
+    return graph.nearest(_khop("both", 2, all_calls)(spark, sf_dir), 50)
+
+
 @query("graph_degrees", f"WITH e AS ({SUPPLY}) SELECT node, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree, sum(o) = 0 AS dangling FROM (SELECT src AS node, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e) GROUP BY node")
 def graph_degrees(spark, sf_dir):
     return graph.degrees(supply(spark, sf_dir))
@@ -228,8 +239,8 @@ _TOUCHED = f"WITH s AS ({SYMBOLS}), r AS ({RANGES}), e AS ({CALLS}), t AS (SELEC
 _CALLERS = _TOUCHED + ", c AS (SELECT name, path, min(symbol_id) AS symbol_id FROM s WHERE symbol_id IN (SELECT src FROM e WHERE dst IN (SELECT symbol_id FROM t)) GROUP BY name, path) SELECT name, path, symbol_id FROM c WHERE {not_}contains(lower(path), 'test')"
 
 
-def _impact(spark, sf_dir):
-    return intervals.impact(symbols(spark, sf_dir), calls(spark, sf_dir), ranges(spark, sf_dir))
+def _impact(spark, sf_dir, called=calls):
+    return intervals.impact(symbols(spark, sf_dir), called(spark, sf_dir), ranges(spark, sf_dir))
 
 
 @query("blast_touched", _TOUCHED + " SELECT symbol_id FROM t")
@@ -242,11 +253,21 @@ def blast_callers(spark, sf_dir):
     return _impact(spark, sf_dir)[1].select("name", "path", "symbol_id")
 
 
+@query("blast_callers_whole")
+def blast_callers_whole(spark, sf_dir):
+    return _impact(spark, sf_dir, all_calls)[1].select("name", "path", "symbol_id")
+
+
 @query("blast_tests", _CALLERS.format(not_=""))
 def blast_tests(spark, sf_dir):
     return _impact(spark, sf_dir)[2].select("name", "path", "symbol_id")
 
 
+@query("blast_tests_whole")
+def blast_tests_whole(spark, sf_dir):
+    return _impact(spark, sf_dir, all_calls)[2].select("name", "path", "symbol_id")
+
+
 _FRAMES = "SELECT event_id AS frame_id, concat('src/f', CAST(event_id % 50 AS VARCHAR(9)), '.py') AS path, k * 7 AS line FROM (SELECT event_id, CAST({k} AS BIGINT) AS k FROM events) WHERE event_id % 10 = 3"
 
 
@@ -282,6 +303,13 @@ def test_recommend(spark, sf_dir):
     return intervals.recommended_tests(ranges(spark, sf_dir), derived(spark, sf_dir, _PATHS, "part"), _impact(spark, sf_dir)[2])
 
 
+@query("test_recommend_whole")
+def test_recommend_whole(spark, sf_dir):
+    from .fixtures import derived
+
+    return intervals.recommended_tests(ranges(spark, sf_dir), derived(spark, sf_dir, _PATHS, "part"), _impact(spark, sf_dir, all_calls)[2])
+
+
 @query("symbols_files", f"WITH s AS ({SYMBOLS}) SELECT symbol_id, name, s.path, n FROM s JOIN (SELECT path, count(*) AS n FROM s GROUP BY path) f ON s.path = f.path")
 def symbols_files(spark, sf_dir):
     s = symbols(spark, sf_dir)
@@ -294,6 +322,11 @@ def callees_callers(spark, sf_dir):
     return resolve.file_neighbours(symbols(spark, sf_dir), calls(spark, sf_dir), 30)
 
 
+@query("callees_callers_whole")
+def callees_callers_whole(spark, sf_dir):
+    return resolve.file_neighbours(symbols(spark, sf_dir), all_calls(spark, sf_dir), 30)
+
+
 @query("ambiguous_names", f"SELECT name, count(DISTINCT path) AS n, string_agg(DISTINCT path, ',' ORDER BY path) AS paths FROM ({SYMBOLS}) WHERE start_line < 50 GROUP BY name HAVING count(DISTINCT path) > 1")
 def ambiguous_names(spark, sf_dir):
     return resolve.ambiguous(symbols(spark, sf_dir).where("start_line < 50"))

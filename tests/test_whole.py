@@ -6,6 +6,7 @@ from test_oracles import DATA, TABLES, rows
 
 from lodestone import plans
 
+ORDERS = [(" AND a.l_orderkey % 20 = 0", "")]
 BOUNDS = {
     "simhash_dups": [(" AND doc_id % 4 = 0", "")],
     "doc_sections": [(" AND doc_id % 3 = 0", "")],
@@ -14,6 +15,7 @@ BOUNDS = {
     "naive_hits": [(" AND item_id < 20", "")],
     "edge_resolve": [(" WHERE p_partkey < 200", "")],
     "ambiguous_names": [(" WHERE start_line < 50", "")],
+    **dict.fromkeys(["khop_down", "khop_up", "khop_both", "khop_multiseed", "khop_nearest", "blast_callers", "blast_tests", "test_recommend", "callees_callers"], ORDERS),
 }
 
 
