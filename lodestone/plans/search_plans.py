@@ -24,6 +24,10 @@ def _asked(spark, sf_dir, most: int, chars: int | None = None):
     return b.withColumn("term", F.substring("term", 1, chars)) if chars else b
 
 
+def _asked_whole(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(lexical.words(F.col("text"))).alias("term"))
+
+
 _BM25 = f"""tok AS (SELECT doc_id, unnest({_W}) AS term FROM documents), dl AS (SELECT doc_id, coalesce(len({_W}), 0) AS dl FROM documents), tf AS (SELECT term, doc_id, count(*) AS tf FROM tok GROUP BY ALL),
     n AS (SELECT term, count(*) AS n FROM tf GROUP BY term), st AS (SELECT count(*) AS nn, avg(dl) AS avgdl FROM dl),
     bq AS (SELECT DISTINCT query_id, term FROM (SELECT item_id AS query_id, unnest(list_slice({_W}, 1, 6)) AS term FROM benchmark)),
@@ -36,6 +40,11 @@ def bm25_exact(spark, sf_dir):
     return lexical.bm25(_asked(spark, sf_dir, 6), _index(spark, sf_dir), 10)
 
 
+@query("bm25_exact_whole")
+def bm25_exact_whole(spark, sf_dir):
+    return lexical.bm25(_asked_whole(spark, sf_dir), _index(spark, sf_dir), 10)
+
+
 _NAME_W = _WORDS.format(x="path")
 
 
@@ -53,6 +62,11 @@ def bm25_topk(spark, sf_dir):
     return lexical.bm25_prefix(_asked(spark, sf_dir, 3, 4), _index(spark, sf_dir, "path"), 20)
 
 
+@query("bm25_topk_whole")
+def bm25_topk_whole(spark, sf_dir):
+    return lexical.bm25_prefix(_asked_whole(spark, sf_dir), _index(spark, sf_dir, "path"), 20)
+
+
 def _cos(a: str, b: str) -> str:
     dot = lambda x, y: f"list_dot_product({x}, {y})"
     return f"{dot(a, b)} / (sqrt({dot(a, a)}) * sqrt({dot(b, b)}))"
@@ -135,15 +149,24 @@ _HYBRID = f"""WITH {_BM25}, {_VEC}, l AS (SELECT query_id, doc_id AS symbol_id,
 @query("hybrid_search", _HYBRID)
 def hybrid_search(spark, sf_dir):
     """Text and vector candidates of every benchmark item fused with hubs: the engine's main query, as one plan for all items."""
+    return _hybrid(spark, sf_dir, _asked(spark, sf_dir, 6), F.substring("text", 1, 60))
+
+
+@query("hybrid_search_whole")
+def hybrid_search_whole(spark, sf_dir):
+    return _hybrid(spark, sf_dir, _asked_whole(spark, sf_dir), F.col("text"))
+
+
+def _hybrid(spark, sf_dir, asked_words, asked_text):
     from pyspark.sql import Window
 
     docs, e, bench = files(spark, sf_dir), table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "benchmark")
-    lex = lexical.bm25(_asked(spark, sf_dir, 6), _index(spark, sf_dir), 50).select("query_id", F.col("doc_id").alias("symbol_id"), (F.col("rank") - 1).alias("lexical_rank"))
+    lex = lexical.bm25(asked_words, _index(spark, sf_dir), 50).select("query_id", F.col("doc_id").alias("symbol_id"), (F.col("rank") - 1).alias("lexical_rank"))
     asked = e.join(bench.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "embedding")
     sem = vectors.topk(asked, e, 50).select("query_id", F.col("vec_id").alias("symbol_id"), (F.col("rank") - 1).alias("semantic_rank"))
     none = lex.where("false").select("query_id", "symbol_id", F.lit(None).cast("int").alias("distance"))
     c = ranking.merge_candidates(lex, sem, none).join(docs.select(F.col("doc_id").alias("symbol_id"), F.col("path").alias("name"), "path"), "symbol_id").withColumn("is_target", F.lit(False))
-    q = bench.select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("query"), F.lit("architecture").alias("intent"))
+    q = bench.select(F.col("item_id").alias("query_id"), asked_text.alias("query"), F.lit("architecture").alias("intent"))
     top = table(spark, sf_dir, "documents").select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(200)
     hubs = top.select(F.col("doc_id").alias("symbol_id"), (F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id")) - 1).alias("hub_rank"), F.lit(0.0).alias("pagerank"))
     s = ranking.fuse(c, q, hubs).withColumn("score", F.round("score", 6))

@@ -5,8 +5,10 @@ import pytest
 from test_oracles import DATA, TABLES, rows
 
 from lodestone import plans
+from lodestone.plans.search_plans import _W
 
 ORDERS = [(" AND a.l_orderkey % 20 = 0", "")]
+SIX_WORDS = (f"list_slice({_W}, 1, 6)", _W)
 BOUNDS = {
     "simhash_dups": [(" AND doc_id % 4 = 0", "")],
     "doc_sections": [(" AND doc_id % 3 = 0", "")],
@@ -15,6 +17,9 @@ BOUNDS = {
     "naive_hits": [(" AND item_id < 20", "")],
     "edge_resolve": [(" WHERE p_partkey < 200", "")],
     "ambiguous_names": [(" WHERE start_line < 50", "")],
+    "bm25_exact": [SIX_WORDS],
+    "bm25_topk": [(f"list_slice({_W}, 1, 3)", _W), ("substr(term, 1, 4)", "term")],
+    "hybrid_search": [SIX_WORDS, ("substr(text, 1, 60)", "text")],
     **dict.fromkeys(["khop_down", "khop_up", "khop_both", "khop_multiseed", "khop_nearest", "blast_callers", "blast_tests", "test_recommend", "callees_callers"], ORDERS),
 }
 
