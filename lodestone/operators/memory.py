@@ -11,6 +11,8 @@ from .vectors import cosine
 # Feedback of each action.
 FEEDBACK = {"thumbs_up": 1, "helpful": 1, "thumbs_down": -1, "unhelpful": -1}
 MAX_ATTEMPTS, WORKER_ATTEMPTS = 5, 3
+#: New notes in one broadcast, on average; more are classified in several passes over the kept ones.
+NOTE_BLOCK = 2_500
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -111,11 +113,17 @@ def classify_notes(new: DataFrame, kept: DataFrame) -> DataFrame:
     """``id, status, matched, similarity, stage`` of each new note (id, simhash, vector) against the kept ones (id, simhash, vector).
 
     First the smallest kept id within three bits; else the nearest vector by cosine. The kept notes of one store are
-    compared with a batch of new ones; they meet in a broadcast of the batch, whose size is checked.
+    compared with the new ones, of which a block at a time is broadcast; blocks are dealt by a hash of the id.
     """
-    most = 5_000
-    if new.limit(most + 1).count() > most:
-        raise ValueError(f"a batch has {most} notes at most")
+    blocks = max(1, -(-new.count() // NOTE_BLOCK))
+    out = None
+    for b in range(blocks):
+        part = _classified(new.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b) if blocks > 1 else new, kept)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _classified(new: DataFrame, kept: DataFrame) -> DataFrame:
     k = kept.select(F.col("id").alias("kept_id"), F.col("simhash").alias("kept_hash"), F.col("vector").alias("kept_vector"))
     pairs = k.join(F.broadcast(new), F.col("id") != F.col("kept_id"))
     d = hamming(F.col("simhash"), F.col("kept_hash"))

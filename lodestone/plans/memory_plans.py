@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import classify as C
 from ..functions import text as T
 from ..operators import evaluation, memory, packing, snapshot
+from ..storage import materialize
 from ..streaming import events as S
 from .fixtures import EVENT_LOG, FILES, NOW, event_log, files
 from .registry import query, table
@@ -179,6 +180,15 @@ def cosine_dedup_class(spark, sf_dir):
     return memory.classify_notes(e.where("id % 10 = 3"), e).select("id", "status", "matched", "similarity")
 
 
+@query("cosine_dedup_class_whole")
+def cosine_dedup_class_whole(spark, sf_dir):
+    """Every vector against all others, after the simhash of its document's text where it has one."""
+    h = memory.simhash(table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("id"), "text"), "id", "text")
+    e = table(spark, sf_dir, "embeddings").where("embedding is not null").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    notes = materialize(e.join(h, "id", "left").select("id", "simhash", "vector"), "notes")  # read once for each block
+    return memory.classify_notes(notes, notes).select("id", "status", "matched", "similarity", "stage")
+
+
 _MEM = "SELECT p_partkey AS id, p_name AS content, CASE WHEN p_partkey % 3 = 0 THEN 'global' ELSE 'local' END AS scope, p_size / 50.0 AS utility FROM part"
 
 

@@ -1,10 +1,13 @@
 """Queries over whole tables against the SQL of their bounded namesakes with the bound taken out, on DuckDB."""
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_oracles import DATA, TABLES, rows
 
 from lodestone import plans
+from lodestone.operators import memory
 from lodestone.plans.search_plans import _W
 
 ORDERS = [(" AND a.l_orderkey % 20 = 0", "")]
@@ -41,3 +44,28 @@ def test_whole_table(spark, duck, name):
     got, want = plans.queries()[name + "_whole"](spark, DATA).toPandas(), duck.execute(sql).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want) and len(want)
+
+
+def test_notes_are_classified_in_blocks(spark, monkeypatch):
+    """Every vector with its document's simhash, against plain Python; 500 notes in blocks of 100."""
+    monkeypatch.setattr(memory, "NOTE_BLOCK", 100)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("text is not null")
+    hashes = {r["doc_id"]: r["simhash"] & (2**64 - 1) for r in memory.simhash(docs, "doc_id", "text").collect()}
+    vectors = {r["vec_id"]: np.array(r["embedding"], float) for r in spark.read.parquet(f"{DATA}/embeddings.parquet").where("embedding is not null").collect()}
+    want = {}
+    for i, v in vectors.items():
+        near = [(o, (hashes[i] ^ hashes[o]).bit_count()) for o in sorted(vectors) if o != i and i in hashes and o in hashes]
+        near = [(o, d) for o, d in near if d <= 3]
+        s, o = max((round(float(v @ w / np.sqrt((v @ v) * (w @ w))), 6), -o) for o, w in vectors.items() if o != i)
+        status = "duplicate" if s >= 0.92 else "consolidate" if s >= 0.8 else "novel"
+        want[i] = ("duplicate", near[0][0], "simhash", 1 - near[0][1] / 64) if near else (status, None if status == "novel" else -o, "cosine", s)
+    got = {r["id"]: (r["status"], r["matched"], r["stage"], r["similarity"]) for r in plans.queries()["cosine_dedup_class_whole"](spark, DATA).collect()}
+    assert {i: x[:3] for i, x in got.items()} == {i: x[:3] for i, x in want.items()}
+    assert all(abs(got[i][3] - want[i][3]) < 2e-6 for i in want) and {x[2] for x in want.values()} == {"simhash", "cosine"}
+
+
+def test_notes_have_no_largest_batch(spark):
+    new = spark.range(5_001).select("id", F.lit(None).cast("long").alias("simhash"), F.array(F.lit(1.0), F.lit(0.0)).alias("vector"))
+    kept = new.where("id = 7")
+    got = memory.classify_notes(new, kept)
+    assert got.count() == 5_001 and got.where("matched = 7").count() == 5_000
