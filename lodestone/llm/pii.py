@@ -1,13 +1,14 @@
 """Information-theoretic sanitisation of personal data, in DataFrame operations only.
 
-Patterns find the protected entities. Corpus co-occurrence then tells how much a term that stands near an entity
-discloses of it: PMI(entity; term) against the entity's own information -log P(entity). A term that discloses at least
-``disclosure`` of it, with support in several documents, is a span of its own in the contexts of that entity.
+Patterns find the protected entities. Corpus co-occurrence then tells how much a term of the same document (or, with a
+``context``, one that stands near an entity) discloses of it: PMI(entity; term) against the entity's own information
+-log P(entity). A term that discloses at least ``disclosure`` of it, with support in several documents, is a span of its
+own wherever it stands in the documents of that entity.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -21,7 +22,7 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IP_PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 TERM = r"\p{L}{4,}+"
-#: Code points on either side of an entity that count as its context.
+#: Code points on either side of an entity that count as its context, where co-occurrence is not by document.
 CONTEXT = 60
 #: Share of an entity's information from which a term is withheld, and documents that must show the pair.
 DISCLOSURE, SUPPORT = 0.9, 3
@@ -78,17 +79,41 @@ def _contexts(kind: str, width: int) -> Column:
     return F.transform(F.col(kind), around)
 
 
-def disclose(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT, context: int = CONTEXT) -> DataFrame:
+def _named(kind: str) -> Column:
+    """The canonical forms of a row's entities of ``kind``."""
+    return F.transform(kind, lambda s: F.concat(F.lit(kind + ":"), F.lower(s["text"])))
+
+
+def _apart(text: Column) -> Column:
+    """The text with blanks for its e-mail addresses, the only entities with letters: what is left has its places and terms."""
+    pieces = F.arrays_zip(F.split(text, EMAIL, -1).alias("gap"), all_matches(text, EMAIL).alias("hit"))
+    blank = F.transform(pieces, lambda x: F.concat(x["gap"], F.coalesce(F.repeat(F.lit(" "), F.length(x["hit"])), F.lit(""))))
+    return F.when(F.contains(text, F.lit("@")), F.array_join(blank, "")).otherwise(text)
+
+
+def _terms(apart: Column) -> Column:
+    return F.array_distinct(F.transform(all_matches(apart, TERM), F.lower))
+
+
+def disclose(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT, context: int | None = CONTEXT) -> DataFrame:
     """One row per input row: ``row_id, doc_id``, ``base`` (spans of entities) and ``terms`` (spans of disclosing terms).
 
     A null text is an empty one. Entities are equal when kind and lower-cased text are. A term is a word of four letters
-    or more, lower-cased, within ``context`` code points of an entity; a word cut by the context's edge does not count.
+    or more, lower-cased. Where ``context`` is None it may stand anywhere in an entity's document outside e-mail addresses,
+    whose words then count for no frequency. Else it stands within ``context`` code points of the entity; the letters at
+    the context's two outer edges, the text's own start and end included, don't count.
     Document frequencies of entities, terms and pairs are taken over all rows, each row once, repeated rows included.
     An entity in fewer than ``support`` rows discloses nothing. An empty input gives an empty result.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = find_entities(rows, "text")
     base = F.concat(*[tagged(F.col(k), k, i) for i, k in enumerate(KINDS)])
+    if context is None:
+        held = F.array_distinct(F.concat(*[_named(k) for k in KINDS]))
+        apart = F.when(F.size("held") > 0, _apart(F.col("text")))
+        rows = rows.select("row_id", "doc_id", "text", base.alias("base"), held.alias("held"))
+        kept = materialize(rows.select("row_id", "doc_id", "base", "held", apart.alias("apart")), "entities")
+        return _with_terms(kept, _by_document(docs, text_col, kept, disclosure, support))
     near = F.concat(*[_contexts(k, context) for k in KINDS])
     kept = materialize(rows.select("row_id", "doc_id", base.alias("base"), near.alias("near")), "entities")
     n = kept.count()
@@ -110,20 +135,50 @@ def disclose(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
     near_any = words.select("row_id", "term").distinct().groupBy("term").agg(F.count("*").alias("df_near"))
     pairs = pairs.join(near_any, "term").where(_discloses(n, F.col("df_near"), disclosure)).select("entity", "df_e", "term", "df_et")
     pairs = materialize(pairs, "pairs")
-    flagged = _flag(docs, text_col, pairs, n, disclosure)
-    terms = words.join(flagged, ["entity", "term"], "left_semi").groupBy("row_id").agg(F.collect_set(F.struct("start", "end")).alias("t")).withColumnRenamed("row_id", "r2")
+    flagged = _flag(docs, F.array_distinct(all_matches(F.lower(F.coalesce(F.col(text_col), F.lit(""))), TERM)), pairs, n, disclosure)
+    return _with_terms(kept, words.join(flagged, ["entity", "term"], "left_semi"))
+
+
+def _by_document(docs: DataFrame, text_col: str, kept: DataFrame, disclosure: float, support: int) -> DataFrame:
+    """``row_id, start, end`` of the terms that disclose an entity of their row, wherever they stand."""
+    n = kept.count()
+    entity = kept.select("row_id", F.explode("held").alias("entity"))
+    often = materialize(entity.groupBy("entity").agg(F.count("*").alias("df_e")).where((F.col("df_e") >= support) & (F.col("df_e") < n)), "often")
+    held = materialize(entity.join(often, "entity"), "held")
+    texts = kept.select("row_id", "apart").join(held.select("row_id").distinct(), "row_id", "left_semi")
+    seen = materialize(texts.select("row_id", F.explode(_terms(F.col("apart"))).alias("term")), "seen")
+    near_any = materialize(seen.groupBy("term").agg(F.count("*").alias("df_near")).where(F.col("df_near") >= support), "near")
+    near_any = F.broadcast(near_any) if near_any.count() <= BROADCAST_TERMS else near_any
+    # A term's rows with any entity are a lower bound of its document frequency, the rarer of the two an upper bound of
+    # their common rows: pairs that fail on these are not grouped.
+    hope = _discloses(n, F.col("df_near"), disclosure, F.least("df_e", "df_near"))
+    rows = materialize(held.join(seen.join(near_any, "term"), "row_id").where(hope).select("row_id", "entity", "df_e", "term", "df_near"), "contexts")
+    pairs = rows.groupBy("entity", "df_e", "term", "df_near").agg(F.count("*").alias("df_et")).where(F.col("df_et") >= support)
+    pairs = materialize(pairs.where(_discloses(n, F.col("df_near"), disclosure)).select("entity", "df_e", "term", "df_et"), "pairs")
+    found = _terms(_apart(F.coalesce(F.col(text_col), F.lit(""))))
+    flagged = _flag(docs, found, pairs, n, disclosure)
+    gone = rows.join(flagged, ["entity", "term"], "left_semi").groupBy("row_id").agg(F.collect_set("term").alias("gone"))
+    hits = all_matches(F.col("apart"), TERM)
+    words = texts.join(gone, "row_id").select("row_id", "gone", F.posexplode(F.arrays_zip(F.slice(F.split("apart", TERM, -1), 1, F.size(hits)).alias("gap"), hits.alias("hit"))).alias("i", "w"))
+    end = F.sum(F.length("w.gap") + F.length("w.hit")).over(Window.partitionBy("row_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    words = words.withColumn("end", end).where(F.array_contains("gone", F.lower("w.hit")))
+    return words.select("row_id", (F.col("end") - F.length("w.hit")).alias("start"), "end")
+
+
+def _with_terms(kept: DataFrame, found: DataFrame) -> DataFrame:
+    terms = found.groupBy("row_id").agg(F.collect_set(F.struct("start", "end")).alias("t")).withColumnRenamed("row_id", "r2")
     spans = F.transform("t", lambda s: F.struct(s["start"].alias("start"), F.lit(len(KINDS)).alias("order"), s["end"].alias("end"), F.lit("term").alias("kind")))
     none = F.array().cast("array<struct<start:bigint,`order`:int,end:bigint,kind:string>>")
     return kept.select("row_id", "doc_id", "base").join(terms, F.col("row_id") == F.col("r2"), "left").select("row_id", "doc_id", "base", F.coalesce(spans, none).alias("terms"))
 
 
-def _flag(docs: DataFrame, text_col: str, pairs: DataFrame, n: int, disclosure: float) -> DataFrame:
-    """The (entity, term) pairs that disclose too much. Terms' document frequencies are counted over every row."""
+def _flag(docs: DataFrame, found: Column, pairs: DataFrame, n: int, disclosure: float) -> DataFrame:
+    """The (entity, term) pairs that disclose too much. Terms' document frequencies are counted over every row, ``found`` in it."""
     terms = pairs.select("term").distinct()
     known = terms.count()
     if not known:
         return pairs.select("entity", "term")
-    seen = docs.select(F.explode(F.array_distinct(all_matches(F.lower(F.coalesce(F.col(text_col), F.lit(""))), TERM))).alias("term"))
+    seen = docs.select(F.explode(found).alias("term"))
     if known <= BROADCAST_TERMS:
         df = seen.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_t"))
     else:
@@ -131,19 +186,19 @@ def _flag(docs: DataFrame, text_col: str, pairs: DataFrame, n: int, disclosure:
     return pairs.join(df, "term").where(_discloses(n, F.col("df_t"), disclosure)).select("entity", "term")
 
 
-def _discloses(n: int, df_t: Column, disclosure: float) -> Column:
+def _discloses(n: int, df_t: Column, disclosure: float, df_et: Column | None = None) -> Column:
     total = F.lit(float(n))
-    pmi = F.log(F.col("df_et") * total / (F.col("df_e") * df_t))
+    pmi = F.log((F.col("df_et") if df_et is None else df_et) * total / (F.col("df_e") * df_t))
     return (pmi >= disclosure * F.log(total / F.col("df_e"))) & (F.col("df_e") < total)
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``doc_id, text`` with every entity generalised to its kind (``<EMAIL>`` ...) and every disclosing term removed to ``<TERM>``.
 
-    Of overlapping spans the one that starts first (then the kind listed first) is replaced and the rest skipped. Rows
+    Terms are those of whole documents unless ``context`` is given. Of overlapping spans the one that starts first (then the kind listed first) is replaced and the rest skipped. Rows
     that repeat an id and a text give one row each.
     """
-    found = disclose(docs, id_col, text_col, **options)
+    found = disclose(docs, id_col, text_col, **{"context": None} | options)
     spans = found.select("doc_id", F.array_sort(F.concat("base", "terms")).alias("spans")).dropDuplicates(["doc_id"])
     text = F.coalesce(F.col(text_col), F.lit(""))
     joined = docs.select(F.col(id_col).alias("key"), text.alias("text")).join(spans.hint("shuffle_hash"), F.col("key").eqNullSafe(F.col("doc_id")), "left")
@@ -160,6 +215,6 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
 def op5_rows(docs: DataFrame) -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone, n_term, base_sha256, spans``; spans are the base ones and the disclosing terms."""
-    out = disclose(docs)
+    out = disclose(docs, context=None)
     counts = [count_of(F.col("base"), k).alias(f"n_{k}") for k in KINDS]
     return out.select("doc_id", *counts, F.size("terms").cast("long").alias("n_term"), F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.concat("base", "terms")).alias("spans"))
