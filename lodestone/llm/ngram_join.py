@@ -1,8 +1,8 @@
-"""Near-duplicate texts: a Jaccard join on word n-grams through a MinHash LSH forest, verified exactly.
+"""Near-duplicate texts: a Jaccard join on word n-grams through MinHash LSH banding, verified exactly.
 
-A text's signature is cut into trees. Texts that share a tree's sorted prefix are neighbours in that tree's trie; the
-prefix is shortened from its full depth until the forest's recall at the threshold reaches the target. Neighbours whose
-whole signatures agree well enough are grouped into clusters, and within a cluster every pair is verified on the full
+A text's signature is cut into trees, of each of which a prefix is hashed to one key. Texts that share a key are
+neighbours. The prefix has one depth for all texts: the longest with which the recall at the threshold reaches the
+target. It stands in for sorted tries whose prefixes are shortened text by text. Neighbours whose whole signatures agree well enough are grouped into clusters, and within a cluster every pair is verified on the full
 n-gram sets, block by block, so that each link is counted once and none is emitted as a row.
 """
 
