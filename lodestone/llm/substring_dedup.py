@@ -162,7 +162,7 @@ def repeated_windows(runs: list[np.ndarray], ask: np.ndarray, window: int = WIND
     begin = np.concatenate([[0], np.cumsum(length.ravel() + 1)])
     text = np.zeros(int(begin[-1]), np.int64)
     text[begin[row[pos] * GRAM + phase] + depth] = symbol[pos]
-    index = FMIndex(text)
+    index = FMIndex(text, max(8, window // GRAM))
     which = np.flatnonzero(ask)
     n_win = sizes[which] - window + 1
     at = np.concatenate([offs[w] + np.arange(n) for w, n in zip(which, n_win, strict=True)]) if len(which) else np.zeros(0, np.int64)
