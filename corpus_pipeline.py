@@ -38,11 +38,11 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates keep the document with the smallest id."""
-    found = ngram_join.near_texts(docs)
-    gone = materialize(found.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    """Of each group of near duplicates keep the document with the smallest id; of those that share it, one text stays."""
+    gone = materialize(ngram_join.near_losers(docs).select(F.col("id").alias("__gone"), F.col("th").alias("__hash")), "gone")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone.hint("shuffle_hash")
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    same = F.col("doc_id").eqNullSafe(F.col("__gone")) & (ngram_join.text_hash(F.col("text")) == F.col("__hash"))
+    return docs.join(gone, same, "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, local_roots, materialize, trim_memory
@@ -25,6 +25,8 @@ RECALL = 0.9999
 SLACK = 5.0
 #: Texts of one bucket or cluster that a task compares with as many others; larger ones are dealt out in pairs of such parts.
 PART = 1024
+#: First rows of components that are broadcast at most; more are joined by shuffle.
+BROADCAST_FIRSTS = 500_000
 _EDGES = "cid long, other long"
 
 
@@ -66,6 +68,11 @@ def prefix_depth(similarity: float = SIMILARITY, recall: float = RECALL) -> int:
     return 1
 
 
+def text_hash(text: Column) -> Column:
+    """With the id it names a row, as rows may share an id."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def _sign(docs: DataFrame, id_col: str, text_col: str, words: int, depth: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -74,13 +81,13 @@ def _sign(docs: DataFrame, id_col: str, text_col: str, words: int, depth: int) -
             keys = [[int.from_bytes(xxhash.xxh3_64_digest(bytes([t]) + s[t * DEPTH : t * DEPTH + depth].tobytes()), "little", signed=True) for t in range(TREES)] for s in sigs]
             both = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             yield pd.DataFrame({
-                "id": pdf["id"], "n": [len(s) for s in sets], "k1": [int.from_bytes(b[:8], "little", signed=True) for b in both], "k2": [int.from_bytes(b[8:], "little", signed=True) for b in both],
+                "id": pdf["id"], "th": pdf["th"], "n": [len(s) for s in sets], "k1": [int.from_bytes(b[:8], "little", signed=True) for b in both], "k2": [int.from_bytes(b[8:], "little", signed=True) for b in both],
                 "keys": keys, "sig": [s.tobytes() for s in sigs],
             })
         trim_memory()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "id long, n long, k1 long, k2 long, keys array<long>, sig binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), text_hash(F.col(text_col)).alias("th"))
+    return rows.mapInPandas(run, "id long, th long, n long, k1 long, k2 long, keys array<long>, sig binary")
 
 
 def in_groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
@@ -116,6 +123,27 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     size; rows that repeat an id count as separate texts under it. ``component_id`` is the smallest id reachable, and
     the row with that id is ``kept``; a null id loses against any other. An empty input gives an empty result.
     """
+    out = _near(docs, id_col, text_col, words, similarity, recall)
+    component_id = F.when(F.col("n_links").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    return out.select(F.col("id").alias("doc_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component_id.alias("component_id"), F.col("id").eqNullSafe(component_id).alias("kept"))
+
+
+def near_losers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """``id, th`` (see ``text_hash``) of the rows that lose in their component of near copies.
+
+    One id and text of a component wins: the smallest id, then the smallest hash; null ids come last. Rows that repeat
+    both win or lose together.
+    """
+    linked = _near(docs, id_col, text_col, words, similarity, recall).where("n_links > 0")
+    linked = materialize(linked.select("id", "th", "component"), "linked")
+    first = materialize(linked.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "th")).alias("first")), "first")
+    first = F.broadcast(first) if first.count() <= BROADCAST_FIRSTS else first
+    wins = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th"))
+    return linked.join(first, "component").where(~wins).select("id", "th").distinct()
+
+
+def _near(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, recall: float) -> DataFrame:
+    """``id, th`` of each row and, of rows with links, ``n_links, component_id`` and ``component``, which names it where ids are null or repeat."""
     rows = materialize(_sign(docs, id_col, text_col, words, prefix_depth(similarity, recall)), "signatures")
     grouped = rows.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
     classes = materialize(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
@@ -127,10 +155,8 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known = materialize(known.withColumn("component", F.coalesce("component", "cid")), "known")
     least = known.groupBy("component").agg(F.min("rep").alias("component_id"))
     # Classes without links or copies need no join: their rows are their own component.
-    more = known.join(least, "component").select("k1", "k2", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id").where("n_links > 0")
-    out = rows.select("id", "k1", "k2").join(more, ["k1", "k2"], "left")
-    component_id = F.when(F.col("n_links").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias("doc_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component_id.alias("component_id"), F.col("id").eqNullSafe(component_id).alias("kept"))
+    more = known.join(least, "component").select("k1", "k2", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id", "component").where("n_links > 0")
+    return rows.select("id", "th", "k1", "k2").join(more, ["k1", "k2"], "left")
 
 
 def _clusters(classes: DataFrame, similarity: float) -> DataFrame:

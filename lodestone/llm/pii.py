@@ -198,10 +198,12 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     Terms are those of whole documents unless ``context`` is given. Of overlapping spans the one that starts first (then the kind listed first) is replaced and the rest skipped. Rows
     that repeat an id and a text give one row each.
     """
-    found = disclose(docs, id_col, text_col, **{"context": None} | options)
-    spans = found.select("doc_id", F.array_sort(F.concat("base", "terms")).alias("spans")).dropDuplicates(["doc_id"])
     text = F.coalesce(F.col(text_col), F.lit(""))
-    joined = docs.select(F.col(id_col).alias("key"), text.alias("text")).join(spans.hint("shuffle_hash"), F.col("key").eqNullSafe(F.col("doc_id")), "left")
+    rows = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("th")).alias("key"), text.alias("text"))
+    found = disclose(rows, "key", "text", **{"context": None} | options)
+    spans = found.select(F.col("doc_id.id").alias("i2"), F.col("doc_id.th").alias("t2"), F.array_sort(F.concat("base", "terms")).alias("spans")).dropDuplicates(["i2", "t2"])
+    same = F.col("key.id").eqNullSafe(F.col("i2")) & (F.col("key.th") == F.col("t2"))
+    joined = rows.join(spans.hint("shuffle_hash"), same, "left")
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
@@ -210,7 +212,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
     rest = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text")))
-    return joined.select(F.col("key").alias("doc_id"), F.aggregate("spans", start, step, rest).alias("text"))
+    return joined.select(F.col("key.id").alias("doc_id"), F.aggregate("spans", start, step, rest).alias("text"))
 
 
 def op5_rows(docs: DataFrame) -> DataFrame:
