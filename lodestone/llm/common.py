@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 import ctypes
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..storage import discard, materialize, scratch_path
 
-__all__ = ["HEAVY_LEAST", "HEAVY_NODES", "WORD_PATTERN", "connected_components", "discard", "local_roots", "materialize", "scratch_path", "trim_memory"]
+__all__ = ["HEAVY_LEAST", "HEAVY_NODES", "WORD_PATTERN", "connected_components", "discard", "join_skewed", "local_roots", "materialize", "scratch_path", "trim_memory"]
 
 #: The separators of words in every word-based operator here: space and the ASCII controls 9 to 13.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: A node is heavy from so many edges on, or from this share of all edges; there are at most twice HEAVY_NODES of them.
 HEAVY_LEAST, HEAVY_NODES = 256, 4_000
+#: Edges (16 bytes each) from which least neighbours are joined by shuffle, not broadcast.
+BROADCAST_NODES = 200_000
 
 
 def trim_memory() -> None:
@@ -28,6 +31,13 @@ def trim_memory() -> None:
         pass
 
 
+def join_skewed(rows: DataFrame, keyed: DataFrame, on: list[str], heavy: Column, how: str = "inner") -> DataFrame:
+    """``rows`` joined (inner or left_semi) with ``keyed``, which has each key once; rows of its ``heavy`` keys, a bounded number, are joined by broadcast and stay where they are."""
+    hot = F.broadcast(keyed.where(heavy))
+    cold = rows.join(hot.select(*on), on, "left_anti").join(keyed.where(~heavy), on, how)
+    return rows.join(hot, on, how).unionByName(cold)
+
+
 def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest member of each of ``n`` nodes' components under the edges (a[i], b[i]); vectorised label propagation with pointer jumping."""
     root = np.arange(n)
@@ -45,43 +55,55 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return root
 
 
-def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
-    """``(node, component)`` for every node of ``edges``; the component is its smallest node.
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition's edges as stars: every node points at the least node that the partition's edges connect it with, once."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if parts:
+        u, v = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        root = local_roots(len(nodes), at[: len(u)], at[len(u) :])
+        off = np.flatnonzero(root != np.arange(len(nodes)))
+        for k in range(0, len(off), 100_000):
+            x = off[k : k + 100_000]
+            yield pa.RecordBatch.from_pydict({"u": nodes[x], "v": nodes[root[x]]})
+
+
+def _stamped(df: DataFrame) -> tuple[DataFrame, tuple]:
+    """``df`` (u, v) as a table, with its size and a hash of its rows, observed while it is written."""
+    seen = Observation()
+    out = materialize(df.observe(seen, F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x")), "edges")
+    return out, (seen.get["n"], seen.get["x"])
 
-    Alternating large-star and small-star rounds; each round is two partially aggregated group-bys and two equi-joins,
-    so a node of any degree is one row of the minimum table, and heavy nodes' edges are not dealt by the node. Every round's
+
+def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """``(node, component)`` for every node of ``edges`` (longs); the component is its smallest node.
+
+    Rounds of a large-star step (an edge's smaller end is replaced by that end's least neighbour) and a contraction of
+    each partition, dealt by the larger end, into stars, until nothing changes. A partition names a node once, so the
+    number of partitions bounds a node's edges to smaller ones; popular smaller ends are joined by broadcast. Every round's
     edges are a table in the shared folder. Self loops and repeated edges are ignored; an empty input gives an empty result.
     """
 
-    def stamp(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
-
-    def with_low(e: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-        """Edges with the least neighbour of ``u``, and the least neighbours themselves. Nodes of more than ``heavy`` edges (a bounded number) are joined by broadcast, so their edges stay where they are."""
-        low = e.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("degree"))
-        heavy = max(HEAVY_LEAST, n // HEAVY_NODES)
-        if n <= heavy:
-            return e.join(low, "u"), low
-        hot = F.broadcast(low.where(F.col("degree") > heavy))
-        cold = e.join(hot.select("u"), "u", "left_anti").join(low.where(F.col("degree") <= heavy), "u")
-        return e.join(hot, "u").unionByName(cold), low
-
-    e = materialize(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
-    seen = stamp(e)
-    for _ in range(max_rounds):
-        if not seen[0]:
-            break
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = with_low(both, seen[0])[0].where("v > u").select(F.col("v").alias("u"), F.least("u", "low").alias("v")).distinct()
-        pairs, least = with_low(large, seen[0])
-        small = pairs.where("v != low").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        nxt = materialize(small.unionByName(least.select("u", F.col("low").alias("v"))).where("u != v").distinct(), "edges")
-        now = stamp(nxt)
+    def dealt(e: DataFrame) -> DataFrame:
+        return e.repartition("u").mapInArrow(_contract, "u long, v long")
+
+    def lifted(e: DataFrame, n: int) -> DataFrame:
+        low = e.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("low"))
+        to = F.coalesce("low", "v").alias("v")
+        if n <= BROADCAST_NODES:
+            return e.join(F.broadcast(low), F.col("v") == F.col("w"), "left").select("u", to)
+        hot = e.groupBy("v").count().where(F.col("count") > max(HEAVY_LEAST, n // HEAVY_NODES)).select(F.col("v").alias("h"))
+        hot = F.broadcast(materialize(hot.join(low, F.col("h") == F.col("w"), "left").select("h", "low"), "hot"))
+        cold = e.join(hot, F.col("v") == F.col("h"), "left_anti").join(low, F.col("v") == F.col("w"), "left").select("u", to)
+        return e.join(hot, F.col("v") == F.col("h")).select("u", to).unionByName(cold)
+
+    ends = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    e, seen = _stamped(dealt(ends.mapInArrow(_contract, "u long, v long")))
+    while seen[0]:
+        nxt, now = _stamped(dealt(lifted(e, seen[0])))
         discard(e)
         e = nxt
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

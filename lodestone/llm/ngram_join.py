@@ -1,9 +1,11 @@
-"""Near-duplicate texts: a Jaccard join on word n-grams through MinHash LSH banding, verified exactly.
-
-A text's signature is cut into trees, of each of which a prefix is hashed to one key. Texts that share a key are
-neighbours. The prefix has one depth for all texts: the longest with which the recall at the threshold reaches the
-target. It stands in for sorted tries whose prefixes are shortened text by text. Neighbours whose whole signatures agree well enough are grouped into clusters, and within a cluster every pair is verified on the full
-n-gram sets, block by block, so that each link is counted once and none is emitted as a row.
+"""Near-duplicate texts: a Jaccard join on word n-grams through a MinHash LSH forest, verified exactly.
+
+A text's signature is cut into trees; its path in a tree is the tree's values in order. Paths with a common prefix are a
+subtree of a prefix trie, which is sorted, and the common prefixes of neighbours tell the branches. Matched prefixes are
+shortened level by level: from the longest at which a text without any close neighbour has reached the target recall,
+on to shorter ones for the texts whose own neighbours, by their estimated similarity, say that more like them may be
+missed. Candidates whose whole signatures agree well enough are grouped into clusters, and within a cluster every pair is
+verified on the full n-gram sets, block by block, so that each link is counted once and none is emitted as a row.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,9 +28,9 @@ RECALL = 0.9999
 SLACK = 5.0
 #: Texts of one bucket or cluster that a task compares with as many others; larger ones are dealt out in pairs of such parts.
 PART = 1024
-#: First rows of components that are broadcast at most; more are joined by shuffle.
-BROADCAST_FIRSTS = 500_000
-_EDGES = "cid long, other long"
+#: Rows of first texts, clusters or open texts (under 100 bytes each) that are broadcast at most; more are joined by shuffle.
+BROADCAST_ROWS = 200_000
+VALUES = TREES * DEPTH
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -60,12 +63,23 @@ def signature(grams: np.ndarray, step: int = 8192) -> np.ndarray:
     return ((low * np.uint64(0x94D049BB133111EB)) >> np.uint64(48)).astype(np.uint16)
 
 
+def found_at(similarity: float, depth: int) -> float:
+    """Probability that some tree matches a pair of this similarity on its first ``depth`` values."""
+    return 1 - (1 - similarity**depth) ** TREES
+
+
 def prefix_depth(similarity: float = SIMILARITY, recall: float = RECALL) -> int:
     """The longest prefix with which the forest finds a pair at ``similarity`` with probability ``recall``."""
-    for depth in range(DEPTH, 0, -1):
-        if 1 - (1 - similarity**depth) ** TREES >= recall:
-            return depth
-    return 1
+    return next((d for d in range(DEPTH, 1, -1) if found_at(similarity, d) >= recall), 1)
+
+
+def open_below(depth: int, similarity: float = SIMILARITY, recall: float = RECALL) -> int:
+    """Agreeing values of 144 under which a text's closest miss still counts as open at ``depth``; 0 where no link can be.
+
+    An estimate under the threshold by more than a standard error is taken as one standard error under it.
+    """
+    lowest = max(0.0, similarity - float(np.sqrt(similarity * (1 - similarity) / VALUES)))
+    return next((a for a in range(VALUES, 0, -1) if found_at(max(lowest, (a - 1) / VALUES), depth) < recall), 0)
 
 
 def text_hash(text: Column) -> Column:
@@ -73,21 +87,18 @@ def text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def _sign(docs: DataFrame, id_col: str, text_col: str, words: int, depth: int) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            sets = [shingles(t, words) for t in pdf["text"]]
-            sigs = [signature(s) if len(s) else np.zeros(TREES * DEPTH, np.uint16) for s in sets]
-            keys = [[int.from_bytes(xxhash.xxh3_64_digest(bytes([t]) + s[t * DEPTH : t * DEPTH + depth].tobytes()), "little", signed=True) for t in range(TREES)] for s in sigs]
-            both = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            yield pd.DataFrame({
-                "id": pdf["id"], "th": pdf["th"], "n": [len(s) for s in sets], "k1": [int.from_bytes(b[:8], "little", signed=True) for b in both], "k2": [int.from_bytes(b[8:], "little", signed=True) for b in both],
-                "keys": keys, "sig": [s.tobytes() for s in sigs],
-            })
+def _sign(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t, words) for t in batch.column("text").to_pylist()]
+            # Big-endian, so that the order of bytes is that of paths.
+            sigs = [signature(s).astype(">u2").tobytes() if len(s) else bytes(2 * VALUES) for s in sets]
+            both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "th": batch.column("th"), "n": pa.array([len(s) for s in sets], pa.int64()), "k1": pa.array(both[:, 0]), "k2": pa.array(both[:, 1]), "sig": pa.array(sigs, pa.binary())})
         trim_memory()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), text_hash(F.col(text_col)).alias("th"))
-    return rows.mapInPandas(run, "id long, th long, n long, k1 long, k2 long, keys array<long>, sig binary")
+    return rows.mapInArrow(run, "id long, th long, n long, k1 long, k2 long, sig binary")
 
 
 def in_groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
@@ -104,14 +115,14 @@ def in_groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFram
         yield rest
 
 
-def _dealt(rows: DataFrame, key: str, size: str, member: str, part: int) -> DataFrame:
+def _dealt(rows: DataFrame, key: str, size: str, member: str, part: int, order: tuple[str, ...] = ()) -> DataFrame:
     """Rows with ``g``, ``a``, ``b``, ``r``: a group of more than ``part`` members is cut into parts by a hash and a row goes to every pair of parts that has its own."""
     parts = F.ceil(F.col(size) / part).cast("int")
     r = F.pmod(F.xxhash64(F.col(member), F.lit(3)), parts).cast("int")
     rows = rows.withColumn("r", r).withColumn("j", F.explode(F.sequence(F.lit(0), parts - 1)))
     rows = rows.withColumns({"a": F.least("r", "j"), "b": F.greatest("r", "j")})
     g = F.xxhash64(key, "a", "b")
-    return rows.withColumn("g", g).drop("j").repartition("g").sortWithinPartitions("g")
+    return rows.withColumn("g", g).drop("j").repartition("g").sortWithinPartitions("g", *order)
 
 
 def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
@@ -137,115 +148,183 @@ def near_losers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     linked = _near(docs, id_col, text_col, words, similarity, recall).where("n_links > 0")
     linked = materialize(linked.select("id", "th", "component"), "linked")
     first = materialize(linked.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "th")).alias("first")), "first")
-    first = F.broadcast(first) if first.count() <= BROADCAST_FIRSTS else first
+    first = F.broadcast(first) if first.count() <= BROADCAST_ROWS else first
     wins = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th"))
     return linked.join(first, "component").where(~wins).select("id", "th").distinct()
 
 
 def _near(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, recall: float) -> DataFrame:
     """``id, th`` of each row and, of rows with links, ``n_links, component_id`` and ``component``, which names it where ids are null or repeat."""
-    rows = materialize(_sign(docs, id_col, text_col, words, prefix_depth(similarity, recall)), "signatures")
-    grouped = rows.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
-    classes = materialize(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    cluster = _clusters(classes, similarity)
+    rows = materialize(_sign(docs, id_col, text_col, words), "signatures")
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "th")).alias("rep")
+    grouped = rows.where("n > 0").groupBy("k1", "k2").agg(first, F.count("*").alias("size"), F.first("sig").alias("sig"))
+    classes = materialize(grouped.select(F.monotonically_increasing_id().alias("cid"), "k1", "k2", F.col("rep.id").alias("rep"), F.col("rep.th").alias("rep_th"), "size", "sig"), "classes")
+    cluster = _clusters(classes, similarity, recall)
     found = _verified(docs, id_col, text_col, words, similarity, classes, cluster)
-    component = connected_components(found, "cid", "other").withColumnRenamed("node", "cid")
+    # A cluster that one task verified has its components; only parts of larger clusters are still to be connected.
+    whole = found.where("not cut").select("cid", F.col("other").alias("component"))
+    component = connected_components(found.where("cut"), "cid", "other").withColumnRenamed("node", "cid").unionByName(whole)
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
-    known = classes.select("cid", "k1", "k2", "rep", "size").join(links, "cid", "left").join(component, "cid", "left")
+    linked = links.join(component, "cid")
+    known = classes.select("cid", "k1", "k2", "rep", "size").join(linked, "cid", "left").where("size > 1 or links is not null")
     known = materialize(known.withColumn("component", F.coalesce("component", "cid")), "known")
     least = known.groupBy("component").agg(F.min("rep").alias("component_id"))
     # Classes without links or copies need no join: their rows are their own component.
-    more = known.join(least, "component").select("k1", "k2", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id", "component").where("n_links > 0")
+    more = known.join(least, "component").select("k1", "k2", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id", "component")
     return rows.select("id", "th", "k1", "k2").join(more, ["k1", "k2"], "left")
 
 
-def _clusters(classes: DataFrame, similarity: float) -> DataFrame:
+def _clusters(classes: DataFrame, similarity: float, recall: float) -> DataFrame:
     """``(cid, cluster)`` of the classes that the forest gives a neighbour."""
-    leaves = classes.select("cid", F.posexplode("keys").alias("tree", "key"))
-    shared = leaves.groupBy("tree", "key").agg(F.count("*").alias("members")).where("members > 1")
-    near = leaves.join(shared, ["tree", "key"]).join(classes.select("cid", "sig"), "cid")
-    dealt = _dealt(near.withColumn("k", F.xxhash64("tree", "key")), "k", "members", "cid", 4 * PART)
-    spread = SLACK * float(np.sqrt(similarity * (1 - similarity) / (TREES * DEPTH)))
-    least = int(np.floor((similarity - spread) * TREES * DEPTH))
+    level, edges, closer = prefix_depth(similarity, recall), None, None
+    while True:
+        found = materialize(_shortened_to(classes, level, similarity, closer), "neighbours")
+        edges = found if edges is None else edges.unionByName(found)
+        below = open_below(level, similarity, recall)
+        if level == 1 or not below:
+            break
+        # The neighbours found so far say which texts have not reached the target.
+        closer = materialize(edges.groupBy("cid").agg(F.min("agree").alias("agree")).where(F.col("agree") < below).select("cid"), "open")
+        if closer.isEmpty():
+            break
+        level -= 1
+    return connected_components(edges, "cid", "other").withColumnsRenamed({"node": "cid", "component": "cluster"})
+
+
+def _shortened_to(classes: DataFrame, level: int, similarity: float, closer: DataFrame | None) -> DataFrame:
+    """``cid, other, agree`` from the subtrees of paths that share their first ``level`` values: spanning edges of agreeing texts, with a text's least agreement.
+
+    Without ``closer`` all texts of a subtree are compared; with it those in it, with texts of the subtree's other branches.
+    """
+    at = F.col("tree") * (2 * DEPTH) + 1
+    root = F.xxhash64("tree", F.substring(F.col("sig"), at, F.lit(2 * level)))
+    trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
+    leaves = classes.select("cid", "sig", trees).select("cid", "tree", root.alias("root"))
+    if closer is not None:
+        small = closer.count() <= BROADCAST_ROWS // TREES
+        roots = classes.join(F.broadcast(closer) if small else closer, "cid", "left_semi").select("sig", trees).select(root.alias("root")).distinct()
+        leaves = leaves.join(F.broadcast(roots) if small else roots, "root", "left_semi")
+    shared = leaves.groupBy("root").agg(F.count("*").alias("members")).where("members > 1")
+    near = leaves.join(shared, "root").join(classes.select("cid", "sig"), "cid")
+    near = near.withColumn("open", F.lit(True)) if closer is None else near.join(closer.withColumn("open", F.lit(True)), "cid", "left").withColumn("open", F.coalesce("open", F.lit(False)))
+    near = near.withColumn("path", F.substring(F.col("sig"), at, F.lit(2 * DEPTH)))
+    dealt = _dealt(near, "root", "members", "cid", PART, ("path", "cid"))
+    spread = SLACK * float(np.sqrt(similarity * (1 - similarity) / VALUES))
+    least = int(np.floor((similarity - spread) * VALUES))
+    fresh = closer is None
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in in_groups(batches, "g"):
-            g, cid = pdf["g"].to_numpy(), pdf["cid"].to_numpy()
+            g, cid, open_ = pdf["g"].to_numpy(), pdf["cid"].to_numpy(), pdf["open"].to_numpy(bool)
             cross = (pdf["a"] != pdf["b"]).to_numpy()
             side = (pdf["r"] == pdf["b"]).to_numpy() & cross
-            sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(len(pdf), -1)
+            sig = np.frombuffer(b"".join(pdf["sig"]), ">u2").astype(np.uint16).reshape(len(pdf), -1)
+            path = np.frombuffer(b"".join(pdf["path"]), ">u2").reshape(len(pdf), -1)
+            common = np.concatenate([[0], np.cumprod(path[1:] == path[:-1], axis=1).sum(axis=1)])
+            common[1:][g[1:] != g[:-1]] = 0
+            branch = np.cumsum(common <= level)  # runs of paths that share more than the subtree's prefix
             starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
             ends = np.append(starts[1:], len(g))
             small = np.repeat(ends - starts <= 32, ends - starts)
-            one, two = [np.arange(len(g))], [np.arange(len(g))]
+            none = np.zeros(0, int)
+            one, two, agree = [none], [none], [none]
             for k in range(1, 32):
-                i = np.flatnonzero((g[:-k] == g[k:]) & small[:-k]) if k < len(g) else np.zeros(0, int)
+                i = np.flatnonzero((g[:-k] == g[k:]) & small[:-k]) if k < len(g) else none
                 if not len(i):
                     break
                 i = i[~cross[i] | (side[i] != side[i + k])]
+                if not fresh:
+                    i = i[(open_[i] | open_[i + k]) & (branch[i] != branch[i + k])]
                 for at in range(0, len(i), 20_000):
                     x = i[at : at + 20_000]
-                    x = x[(sig[x] == sig[x + k]).sum(axis=1) >= least]
-                    one.append(x), two.append(x + k)
+                    n = (sig[x] == sig[x + k]).sum(axis=1)
+                    hit = n >= least
+                    one.append(x[hit]), two.append(x[hit] + k), agree.append(n[hit])
             for s, e in zip(starts, ends, strict=True):
                 if e - s > 32:
-                    x, y = _large(sig[s:e], side[s:e] if cross[s] else None, least)
-                    one.append(s + x), two.append(s + y)
-            root = local_roots(len(g), np.concatenate(one), np.concatenate(two))
-            at = np.flatnonzero(cid != cid[root])
-            if len(at):
-                yield pd.DataFrame({"cid": cid[at], "other": cid[root[at]]}).drop_duplicates()
-
-    edges = materialize(dealt.select("g", "a", "b", "r", "cid", "sig").mapInPandas(link, _EDGES).distinct(), "neighbours")
-    return connected_components(edges, "cid", "other").withColumnsRenamed({"node": "cid", "component": "cluster"})
-
-
-def _large(sig: np.ndarray, side: np.ndarray | None, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect every pair of agreeing signatures: rows are taken up by pivots, then rows of different groups are compared."""
+                    if fresh:
+                        x, y, n = _large(sig[s:e], side[s:e] if cross[s] else None, least)
+                    else:
+                        x, y, n = _branches(sig[s:e], side[s:e] if cross[s] else None, least, branch[s:e], open_[s:e])
+                    one.append(s + x), two.append(s + y), agree.append(n)
+            x, y, n = np.concatenate(one), np.concatenate(two), np.concatenate(agree)
+            root = local_roots(len(g), x, y)
+            low = np.full(len(g), VALUES + 1)
+            np.minimum.at(low, x, n)
+            np.minimum.at(low, y, n)
+            hit = np.flatnonzero(low <= VALUES)
+            if len(hit):
+                yield pd.DataFrame({"cid": cid[hit], "other": cid[root[hit]], "agree": low[hit]})
+
+    return dealt.select("g", "a", "b", "r", "cid", "open", "sig", "path").mapInPandas(link, "cid long, other long, agree long")
+
+
+def _branches(sig: np.ndarray, side: np.ndarray | None, least: int, branch: np.ndarray, open_: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Agreeing pairs of an open row and a row of another branch."""
+    one, two, agree = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0, int)]
+    for i in np.flatnonzero(open_):
+        to = branch != branch[i]
+        to = np.flatnonzero(to if side is None else to & (side != side[i]))
+        n = (sig[to] == sig[i]).sum(axis=1)
+        hit = n >= least
+        one.append(np.full(int(hit.sum()), i)), two.append(to[hit]), agree.append(n[hit])
+    return np.concatenate(one), np.concatenate(two), np.concatenate(agree)
+
+
+def _large(sig: np.ndarray, side: np.ndarray | None, least: int) -> tuple[np.ndarray, ...]:
+    """Edges that connect every pair of agreeing signatures: rows, in the order of the trie, are taken up by pivots, then rows of different groups are compared."""
     n = len(sig)
     none = np.zeros(0, int)
-    root, one, two = np.arange(n), [none], [none]
-    if side is not None:  # two parts of a bucket: only pairs across
+    root, one, two, agree = np.arange(n), [none], [none], [none]
+    if side is not None:  # two parts of a subtree: only pairs across
         a, b = np.flatnonzero(~side), np.flatnonzero(side)
         for at in range(0, len(a), 64):
-            i, j = np.nonzero((sig[a[at : at + 64], None, :] == sig[None, b, :]).sum(axis=2) >= least)
-            one.append(a[at + i]), two.append(b[j])
-        return np.concatenate(one), np.concatenate(two)
+            same = (sig[a[at : at + 64], None, :] == sig[None, b, :]).sum(axis=2)
+            i, j = np.nonzero(same >= least)
+            one.append(a[at + i]), two.append(b[j]), agree.append(same[i, j])
+        return np.concatenate(one), np.concatenate(two), np.concatenate(agree)
+
+    def compare(i: int, other: np.ndarray) -> np.ndarray:
+        same = (sig[other] == sig[i]).sum(axis=1)
+        hit = same >= least
+        one.append(np.full(int(hit.sum()), i)), two.append(other[hit]), agree.append(same[hit])
+        return other[hit]
+
     for p in range(n):
         if root[p] != p:
             continue  # taken up by an earlier row, whose agreement with p makes them one cluster
-        other = np.flatnonzero(root != p)
-        hit = other[(sig[other] == sig[p]).sum(axis=1) >= least]
+        hit = compare(p, np.flatnonzero(root != p))
         if len(hit):
-            one.append(np.full(len(hit), p)), two.append(hit)
-            root = np.minimum(root, local_roots(n, np.concatenate([np.arange(n), one[-1]]), np.concatenate([root, hit])))
+            root = np.minimum(root, local_roots(n, np.concatenate([np.arange(n), np.full(len(hit), p)]), np.concatenate([root, hit])))
     # Rows that joined a group without being a pivot are compared with the rows outside it.
     groups, sizes = np.unique(root, return_counts=True)
     for k in np.argsort(sizes)[:-1]:
         outside = np.flatnonzero(root != groups[k])
         for i in np.flatnonzero(root == groups[k]):
             if i != groups[k]:
-                hit = outside[(sig[outside] == sig[i]).sum(axis=1) >= least]
-                one.append(np.full(len(hit), i)), two.append(hit)
-    return np.concatenate(one), np.concatenate(two)
+                compare(int(i), outside)
+    return np.concatenate(one), np.concatenate(two), np.concatenate(agree)
 
 
 def _verified(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, classes: DataFrame, cluster: DataFrame) -> DataFrame:
-    """``(cid, links, other)``: links counted with the sizes of the classes, and edges that span each verified component."""
+    """``(cid, links, other, cut)``: links counted with the sizes of the classes, and edges that span each verified component; ``cut``: of a cluster in parts."""
     sizes = cluster.groupBy("cluster").agg(F.count("*").alias("members"))
-    chosen = materialize(cluster.join(sizes, "cluster").join(classes.select("cid", "rep", "k1", "k2", "size"), "cid"), "clusters")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    texts = texts.join(chosen.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("rep"))).select("cluster", "cid", "members", "size", "k1", "k2", "text")
+    chosen = cluster.join(sizes, "cluster").join(classes.select("cid", "rep", "rep_th", "k1", "k2", "size"), "cid")
+    chosen = materialize(chosen, "clusters")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), text_hash(F.col(text_col)).alias("th"))
+    few = chosen.count() <= BROADCAST_ROWS
+    same = F.col("id").eqNullSafe(F.col("rep")) & (F.col("th") == F.col("rep_th"))
+    texts = texts.join(F.broadcast(chosen) if few else chosen.hint("shuffle_hash"), same).select("cluster", "cid", "members", "size", "k1", "k2", "text")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sets = [shingles(t, words).tobytes() for t in pdf["text"]]
-            # An id may be repeated with another text; the hash tells which row stands for the class.
+            # Texts of one hash may still differ; the set's own hash tells which row stands for the class.
             right = [xxhash.xxh3_128_digest(s) == int(a).to_bytes(8, "little", signed=True) + int(b).to_bytes(8, "little", signed=True) for s, a, b in zip(sets, pdf["k1"], pdf["k2"], strict=True)]
             yield pdf[["cluster", "cid", "members", "size"]].assign(grams=sets)[right]
 
     sets = texts.mapInPandas(cut, "cluster long, cid long, members long, size long, grams binary")
-    dealt = _dealt(sets, "cluster", "members", "cid", PART).select("g", "a", "b", "r", "cid", "size", "grams")
+    dealt = _dealt(sets, "cluster", "members", "cid", PART).select("g", "a", "b", "r", "cid", "size", "members", "grams")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for many in in_groups(batches, "g"):
@@ -253,12 +332,12 @@ def _verified(docs: DataFrame, id_col: str, text_col: str, words: int, similarit
             for _, pdf in many.groupby("g", sort=False):
                 pdf = pdf.drop_duplicates("cid") if len(pdf) > 1 else pdf
                 if len(pdf) > 1:
-                    outs.append(verify_group(pdf, similarity))
+                    outs.append(verify_group(pdf, similarity).assign(cut=bool(pdf["members"].iloc[0] > PART)))
             if outs:
                 yield pd.concat(outs, ignore_index=True)
         trim_memory()
 
-    return materialize(dealt.mapInPandas(verify, "cid long, links long, other long"), "links")
+    return materialize(dealt.mapInPandas(verify, "cid long, links long, other long, cut boolean"), "links")
 
 
 def verify_group(pdf: pd.DataFrame, similarity: float, cells: int = 8_000_000) -> pd.DataFrame:
