@@ -1,8 +1,9 @@
 """Exact de-duplication by two-pass Bloom filtering, in DataFrame operations only.
 
-Pass one sets two positions per row hash in a Bloom filter with counters and keeps the positions that were set more
-than once, as 64-bit words in a table. Pass two tests every row: a row with a position of its own is unique and passes
-straight through; only the other rows are grouped and joined.
+Pass one sets two bits per row hash in one 64-bit word of a Bloom filter. Each task builds its part of the filter where
+its rows are, and bitwise aggregates merge the parts into the bits that were set more than once; only words of the filter
+travel. Pass two tests every row: a row with a bit of its own is unique and passes straight through; only the other rows
+are grouped and joined, as ids and hashes without their texts.
 """
 
 from __future__ import annotations
@@ -10,11 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A filter of at most this many words of 64 bits is broadcast (16 bytes a row); a larger one is joined by shuffle.
-BROADCAST_WORDS = 2_000_000
+BROADCAST_WORDS = 1_000_000
+#: Rows to drop (an id and a hash each) that are broadcast at most; more are joined by shuffle.
+BROADCAST_LOSERS = 200_000
 #: Groups of more than 1/HOT_SHARE of all rows are joined by broadcast; there are fewer than HOT_SHARE of them.
 HOT_SHARE = 10_000
 HOT_LEAST = 256
@@ -26,30 +29,42 @@ def normalised(text: str) -> Column:
     return F.when(F.octet_length(t) == F.length(t), F.lower(t)).otherwise(F.translate(t, UPPER, LOWER))
 
 
-def _positions(df: DataFrame, bits: int) -> DataFrame:
-    mask = F.lit(bits - 1).cast("long")
-    return df.withColumns({f"p{i}": F.xxhash64(F.col("sha"), F.lit(i)).bitwiseAND(mask) for i in (0, 1)})
+def _placed(df: DataFrame, words: int) -> DataFrame:
+    """``df`` with the ``word`` of the filter that a row's hash falls in, and its bits there."""
+    h = F.xxhash64(F.col("sha"), F.lit(1))
+    bit = lambda by: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, by).bitwiseAND(F.lit(63)).cast("int"))
+    return df.withColumns({"word": F.pmod(F.xxhash64(F.col("sha")), F.lit(words).cast("long")), "mask": bit(0).bitwiseOR(bit(6))})
 
 
-def _filter_words(base: DataFrame, bits: int) -> DataFrame:
-    """The Bloom filter's positions that two or more insertions share: (word, bits)."""
-    return (
-        _positions(base, bits).select(F.explode(F.array("p0", "p1")).alias("p")).groupBy("p").count().where("count > 1")
-        .groupBy(F.shiftright("p", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("bits"))
-    )
+def _filter_words(base: DataFrame, words: int) -> DataFrame:
+    """The filter's bits that two or more rows set: ``word, bits``.
+
+    Of a word's bits those set an even number of times are known from the difference of OR and XOR. Where the number of
+    settings says that some bit was set three times or more, all bits of the word count, which can only add candidates.
+    """
+    merged = _placed(base, words).groupBy("word").agg(F.bit_or("mask").alias("any"), F.bit_xor("mask").alias("odd"), F.sum(F.bit_count("mask")).alias("n"))
+    even = F.col("any").bitwiseAND(F.bitwise_not("odd"))
+    bits = F.when(F.col("n") - F.bit_count("any") == F.bit_count(even), even).otherwise(F.col("any"))
+    return merged.select("word", bits.alias("bits")).where("bits != 0")
 
 
-def _tested(rows: DataFrame, words: DataFrame, bits: int, small: bool) -> DataFrame:
+def _tested(rows: DataFrame, filter_: DataFrame, words: int) -> DataFrame:
     """``rows`` with ``maybe``: false proves that the row's hash occurs once."""
-    out = _positions(rows, bits)
-    for i in (0, 1):
-        w = words.select(F.col("word").alias(f"w{i}"), F.col("bits").alias(f"b{i}"))
-        out = out.join(F.broadcast(w) if small else w, F.shiftright(f"p{i}", 6) == F.col(f"w{i}"), "left")
-    hit = [F.coalesce(F.expr(f"shiftright(b{i}, cast(p{i} & 63 as int)) & 1L"), F.lit(0)) == 1 for i in (0, 1)]
-    return out.withColumn("maybe", hit[0] & hit[1]).drop("p0", "p1", "w0", "w1", "b0", "b1")
+    w = filter_.withColumnRenamed("word", "w")
+    w = F.broadcast(w) if filter_.count() <= BROADCAST_WORDS else w
+    out = _placed(rows, words).join(w, F.col("word") == F.col("w"), "left")
+    return out.withColumn("maybe", F.coalesce(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask"), F.lit(False))).drop("word", "mask", "w", "bits")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16) -> DataFrame:
+def _hashed(docs: DataFrame, id_col: str, text_col: str, bits_per_row: int) -> tuple[DataFrame, int]:
+    """``id, sha, maybe`` of every row, and how many rows there are."""
+    base = materialize(docs.select(F.col(id_col).alias("id"), F.sha2(normalised(text_col), 256).alias("sha")), "sha")
+    n = base.count()
+    words = max(16, bits_per_row * n // 64)
+    return _tested(base, materialize(_filter_words(base, words), "bloom"), words), n
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 32) -> DataFrame:
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Rows are equal when their texts are equal after lower-casing A-Z; a null text is an empty one. Of equal rows the
@@ -57,11 +72,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     loses against any other and is its own ``keep_id`` where the whole group has null ids. An empty input gives an
     empty result; other columns are not read, whatever their names.
     """
-    base = materialize(docs.select(F.col(id_col).alias("id"), F.sha2(normalised(text_col), 256).alias("sha")), "sha")
-    n = base.count()
-    bits = 1 << max(10, (bits_per_row * max(n, 1) - 1).bit_length())
-    words = materialize(_filter_words(base, bits), "bloom")
-    rows = _tested(base, words, bits, words.count() <= BROADCAST_WORDS)
+    rows, n = _hashed(docs, id_col, text_col, bits_per_row)
     once = rows.where(~F.col("maybe")).select("id", "sha", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("size"))
     again = rows.where("maybe").select("id", "sha")
     groups = materialize(again.groupBy("sha").agg(F.max("id").alias("keep_id"), F.count("*").alias("size")).where("size > 1"), "groups")
@@ -75,21 +86,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16) -> DataFrame:
-    """``docs`` without exact copies, all columns kept: rows the filter clears do not move, the others shuffle once.
+def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 32) -> DataFrame:
+    """``docs`` without exact copies, all columns kept; texts do not move while the rows to drop fit a broadcast, else once.
 
     Of rows that repeat id and text one stays. A row travels as one struct, so column names cannot clash.
     """
-    base = materialize(docs.select(F.col(id_col).alias("id"), F.sha2(normalised(text_col), 256).alias("sha")), "sha")
-    n = base.count()
-    bits = 1 << max(10, (bits_per_row * max(n, 1) - 1).bit_length())
-    words = materialize(_filter_words(base, bits), "bloom")
-    small = words.count() <= BROADCAST_WORDS
-    losers = _tested(base, words, bits, small).where("maybe")
-    winners = materialize(losers.groupBy("sha").agg(F.max("id").alias("keep_id")), "groups")
-    discard(base)
-    marked = _tested(docs.select(F.sha2(normalised(text_col), 256).alias("sha"), F.col(id_col).alias("id"), F.struct(*docs.columns).alias("__ls_row")), words, bits, small)
-    # Hash and id together name one row (or rows that repeat both), so no key of this join is heavy.
-    win = winners.select(F.col("sha").alias("win_sha"), "keep_id").hint("shuffle_hash")
-    stay = marked.where("maybe").join(win, (F.col("sha") == F.col("win_sha")) & F.col("id").eqNullSafe(F.col("keep_id")), "left_semi")
-    return marked.where(~F.col("maybe")).select("__ls_row").unionByName(stay.dropDuplicates(["sha", "id"]).select("__ls_row")).select("__ls_row.*")
+    rows, _ = _hashed(docs, id_col, text_col, bits_per_row)
+    again = materialize(rows.where("maybe").groupBy("sha", "id").agg(F.count("*").alias("n")), "again")
+    winners = again.groupBy(F.col("sha").alias("s2")).agg(F.max("id").alias("keep_id"), F.sum("n").alias("size")).where("size > 1")
+    held = materialize(again.join(winners, F.col("sha") == F.col("s2")).withColumn("wins", F.col("id").eqNullSafe(F.col("keep_id"))).where("n > 1 or not wins").select("id", "sha", "wins"), "held")
+    same = F.col("__ls_id").eqNullSafe(F.col("id")) & (F.col("__ls_sha") == F.col("sha"))
+    whole = docs.select(F.col(id_col).alias("__ls_id"), F.sha2(normalised(text_col), 256).alias("__ls_sha"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__ls_row"))
+    keys = held.select("id", "sha")
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_LOSERS else keys.hint("shuffle_hash")
+    out = whole.join(keys, same, "left_anti").select("__ls_row")
+    twins = held.where("wins").select("id", "sha")  # winners that repeat their id: one of them stays
+    if not twins.isEmpty():
+        out = out.unionByName(whole.join(twins, same, "left_semi").dropDuplicates(["__ls_id", "__ls_sha"]).select("__ls_row"))
+    return out.select("__ls_row.*")
