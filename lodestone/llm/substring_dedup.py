@@ -1,10 +1,12 @@
 """Substring de-duplication: word windows that occur twice, found through FM-indexes.
 
 A window's anchor is the least of its k-gram hashes, so equal windows have equal anchors wherever they stand. A text is
-a chain of runs, each the stretch of windows that share an anchor; runs with an anchor that occurs once drop out, equal
-runs become one row with a count, and the other runs are dealt by anchor into shards. A shard builds an FM-index (a
-Burrows-Wheeler transform under a wavelet matrix with sampled ranks) over its runs, streams them against it by backward
-search, and reports the stretches whose match reaches the window's length at two places or more.
+a chain of runs, each the stretch of windows that share an anchor. Hashes only route: runs with an anchor that occurs
+once drop out, equal runs become one row with a count, and the rest are dealt by anchor into shards (those of an anchor
+with very many different runs window by window). A shard builds an FM-index (a Burrows-Wheeler transform under a wavelet
+matrix with sampled ranks, and the runs' counts in the order of suffixes) over its runs and streams them against it:
+backward search gives at each place how long a match occurs twice or more, and the stretches whose match reaches the
+window's length are reported for every place that carries the run.
 Symbols are 5-grams of words, one string for each phase, so a window of 35 words is seven steps.
 """
 
@@ -13,23 +15,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HEAVY_LEAST, HEAVY_NODES, discard, materialize, trim_memory
+from .common import HEAVY_LEAST, HEAVY_NODES, discard, join_skewed, materialize, trim_memory
 
 WINDOW = 35
 ANCHOR = 12
 GRAM = 5
 #: Windows in one run at most; longer runs are cut, which changes no window.
 RUN = 256
-#: Distinct runs of one anchor that an FM-index takes; windows of anchors with more are counted by their hashes, which spreads them.
+#: Distinct runs that an anchor sends to one shard; an anchor with more sends its windows, each by its own hash.
 HOT = 2_000
 SHARD_WORDS = 150_000
-#: Document keys (16 bytes each) that are broadcast at most; more are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Document keys (16 bytes each) or hot anchors that are broadcast at most; more are joined by shuffle.
+BROADCAST_ROWS = 200_000
 _B = [0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93]
 _INV = [pow(b, -1, 1 << 64) for b in _B]
 
@@ -86,9 +88,12 @@ def runs_of(h: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[
 
 
 class FMIndex:
-    """Backward search over a text of dense symbols from 1 on, 0 as separator; right for patterns of up to ``depth`` symbols."""
+    """Backward search over a text of dense symbols from 1 on, 0 as separator; right for patterns of up to ``depth`` symbols.
 
-    def __init__(self, text: np.ndarray, depth: int = 8):
+    ``weight`` says how often each place of the text counts; a match is worth the sum over its places.
+    """
+
+    def __init__(self, text: np.ndarray, depth: int = 8, weight: np.ndarray | None = None):
         n = len(text)
         rank = text.astype(np.int64)
         step = 1
@@ -98,6 +103,7 @@ class FMIndex:
             step *= 2
         order = np.argsort(rank, kind="stable")
         bwt = text[order - 1]
+        self.worth = np.arange(n + 1) if weight is None else np.concatenate([[0], np.cumsum(weight[order])])
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=int(text.max(initial=0)) + 1))])
         self.levels: list[tuple[np.ndarray, np.ndarray, int]] = []
         seq = bwt
@@ -125,25 +131,27 @@ class FMIndex:
             start = np.where(one, level[2] + s, start - s)
         return lo - start, hi - start
 
-    def counts(self, patterns: np.ndarray, enough: int = 2) -> np.ndarray:
-        """Occurrences of each row of ``patterns`` (equal lengths), exact from ``enough`` on; searches that fall below it stop."""
+    def matches(self, patterns: np.ndarray, enough: int = 2) -> tuple[np.ndarray, np.ndarray]:
+        """Of each row of ``patterns`` (equal lengths): how many of its last symbols occur together ``enough`` times or more, and how often those occur."""
         c = patterns[:, -1]
         lo, hi = self.first[c], self.first[c + 1]
-        out = hi - lo
-        live = np.flatnonzero(out >= enough)
-        lo, hi = lo[live], hi[live]
-        for k in range(patterns.shape[1] - 2, -1, -1):
-            c = patterns[live, k]
-            a, b = self.ranks(c, lo, hi)
-            lo, hi = self.first[c] + a, self.first[c] + b
-            out[live] = hi - lo
-            go = hi - lo >= enough
+        times, length = np.zeros(len(c), np.int64), np.zeros(len(c), np.int64)
+        live = np.arange(len(c))
+        for k in range(patterns.shape[1] - 1, -1, -1):
+            if k < patterns.shape[1] - 1:
+                c = patterns[live, k]
+                a, b = self.ranks(c, lo, hi)
+                lo, hi = self.first[c] + a, self.first[c] + b
+            worth = self.worth[hi] - self.worth[lo]
+            go = worth >= enough
             live, lo, hi = live[go], lo[go], hi[go]
-        return out
+            length[live] += 1
+            times[live] = worth[go]
+        return length, times
 
 
-def repeated_windows(runs: list[np.ndarray], ask: np.ndarray, window: int = WINDOW) -> list[np.ndarray]:
-    """For each run (an array of word hashes) with ``ask``: which of its windows occur twice or more among all runs."""
+def _judged(runs: list[np.ndarray], window: int, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each window of each run (an array of word hashes that counts ``weights`` times) occurs twice or more, end to end, and the number of windows of each run."""
     sizes = np.array([len(r) for r in runs])
     offs = np.concatenate([[0], np.cumsum(sizes)])
     h = np.concatenate(runs)
@@ -152,30 +160,42 @@ def repeated_windows(runs: list[np.ndarray], ask: np.ndarray, window: int = WIND
         grams = _mixed(grams * np.uint64(_B[0]) + h[k : len(h) - GRAM + 1 + k])
     row = np.repeat(np.arange(len(runs)), sizes)[: len(grams)]
     rel = np.arange(len(grams)) - offs[row]
-    inside = rel <= sizes[row] - GRAM
-    pos = np.flatnonzero(inside)
+    pos = np.flatnonzero(rel <= sizes[row] - GRAM)
     symbol = np.zeros(len(grams), np.int64)
     symbol[pos] = np.unique(grams[pos], return_inverse=True)[1] + 1
     # One string for each run and phase, each followed by a separator.
     phase, depth = rel[pos] % GRAM, rel[pos] // GRAM
     length = (sizes[:, None] - GRAM - np.arange(GRAM)[None, :]) // GRAM + 1
     begin = np.concatenate([[0], np.cumsum(length.ravel() + 1)])
-    text = np.zeros(int(begin[-1]), np.int64)
-    text[begin[row[pos] * GRAM + phase] + depth] = symbol[pos]
-    index = FMIndex(text, max(8, window // GRAM))
-    which = np.flatnonzero(ask)
-    n_win = sizes[which] - window + 1
-    at = np.concatenate([offs[w] + np.arange(n) for w, n in zip(which, n_win, strict=True)]) if len(which) else np.zeros(0, np.int64)
+    text, weight = np.zeros(int(begin[-1]), np.int64), np.zeros(int(begin[-1]), np.int64)
+    at = begin[row[pos] * GRAM + phase] + depth
+    text[at] = symbol[pos]
+    weight[at] = 1 if weights is None else weights[row[pos]]
+    index = FMIndex(text, max(8, window // GRAM), weight)
+    n_win = np.maximum(sizes - window + 1, 0)
+    at = np.arange(n_win.sum()) + np.repeat(offs[:-1] - (np.cumsum(n_win) - n_win), n_win)
     hit = np.zeros(len(at), bool)
     for s in range(0, len(at), 500_000):
         part = at[s : s + 500_000]
-        hit[s : s + 500_000] = index.counts(symbol[part[:, None] + np.arange(0, window, GRAM)[None, :]]) >= 2
-    return np.split(hit, np.cumsum(n_win)[:-1]) if len(which) else []
+        length, _ = index.matches(symbol[part[:, None] + np.arange(0, window, GRAM)[None, :]])
+        hit[s : s + 500_000] = length * GRAM >= window
+    return hit, n_win
+
+
+def repeated_windows(runs: list[np.ndarray], ask: np.ndarray, window: int = WINDOW) -> list[np.ndarray]:
+    """For each run (an array of word hashes) with ``ask``: which of its windows occur twice or more among all runs."""
+    hit, n_win = _judged(runs, window)
+    return [x for x, a in zip(np.split(hit, np.cumsum(n_win)[:-1]), ask, strict=True) if a]
 
 
-def _stretches(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+def _stretches(hit: np.ndarray, n_win: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(run, first, last)`` of the stretches of windows that are hit."""
+    run = np.repeat(np.arange(len(n_win)), n_win)
+    edge = np.concatenate([[True], run[1:] != run[:-1], [True]])
+    before, after = np.concatenate([[False], hit[:-1]]) & ~edge[:-1], np.concatenate([hit[1:], [False]]) & ~edge[1:]
+    first, last = np.flatnonzero(hit & ~before), np.flatnonzero(hit & ~after)
+    origin = np.cumsum(n_win) - n_win
+    return run[first], first - origin[run[first]], last - origin[run[last]]
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -183,6 +203,32 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.col(text_col).alias("text"))
 
 
+def _bounded(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _with_lists(docs: DataFrame, wanted: DataFrame, twins: bool) -> DataFrame:
+    """``text, runs`` of the documents that ``wanted`` names by id and text hash, one row for each; texts that it doesn't name stay where they are."""
+    lists = materialize(wanted.groupBy("id", "th").agg(F.collect_list(F.struct(*[c for c in wanted.columns if c not in ("id", "th")])).alias("runs")), "lists")
+    lists = lists.withColumnsRenamed({"id": "i2", "th": "t2"})
+    same = F.col("id").eqNullSafe(F.col("i2")) & (F.col("th") == F.col("t2"))
+    texts = docs.join(F.broadcast(lists.select("i2", "t2")), same, "left_semi") if lists.count() <= BROADCAST_ROWS else docs
+    texts = texts.join(lists.hint("shuffle_hash"), same)
+    if twins:
+        texts = texts.dropDuplicates(["id", "th"])  # one of equal rows gives the words of their runs
+    return texts.select("id", "th", "text", "runs")
+
+
+def _listed(batch: pa.RecordBatch) -> Iterator[tuple[int, str | None, dict[str, np.ndarray]]]:
+    """Row number, text and listed runs (arrays by field) of each row."""
+    lists = batch.column("runs")
+    at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    flat = lists.flatten()
+    fields = {f.name: flat.field(k).to_numpy(zero_copy_only=False) for k, f in enumerate(flat.type)}
+    for i, text in enumerate(batch.column("text").to_pylist()):
+        yield i, text, {k: v[at[i] : at[i + 1]] for k, v in fields.items()}
+
+
 def repeated_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """``id, th, s, e``: stretches of words covered by windows that occur twice or more; they may overlap or repeat.
 
@@ -192,95 +238,89 @@ def repeated_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if window % GRAM or window <= ANCHOR:
         raise ValueError(f"the window must be a multiple of {GRAM} and longer than {ANCHOR}")
     id_type = dict(docs.dtypes)[id_col]
-
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [runs_of(word_hashes(t), window) for t in pdf["text"]]
-            n = [len(x[0]) for x in found]
-            parts = [np.concatenate([x[k] for x in found]) for k in range(5)] if found else [np.zeros(0, np.int64)] * 5
-            yield pd.DataFrame({
-                "id": np.repeat(pdf["id"].to_numpy(), n), "th": np.repeat(pdf["th"].to_numpy(), n), "start": parts[0].astype(np.int32), "wins": parts[1].astype(np.int32), "m": parts[2].view(np.int64), "c": parts[3].view(np.int64), "again": parts[4].astype(bool)
+    row = f"id {id_type}, th long, start int"
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [runs_of(word_hashes(t), window) for t in batch.column("text").to_pylist()]
+            if not found:
+                continue
+            of = pa.array(np.repeat(np.arange(len(found)), [len(x[0]) for x in found]))
+            start, wins, m, c, again = (np.concatenate([x[k] for x in found]) for k in range(5))
+            yield pa.RecordBatch.from_pydict({
+                "id": batch.column("id").take(of), "th": batch.column("th").take(of), "start": pa.array(start.astype(np.int32)), "wins": pa.array(wins.astype(np.int32)), "m": pa.array(m.view(np.int64)), "c": pa.array(c.view(np.int64)), "again": pa.array(again.astype(bool))
             })
 
     docs = _keyed(docs, id_col, text_col)
-    runs = materialize(docs.mapInPandas(split, f"id {id_type}, th long, start int, wins int, m long, c long, again boolean"), "runs")
+    runs = materialize(docs.mapInArrow(split, f"{row}, wins int, m long, c long, again boolean"), "runs")
     anchors = runs.groupBy("m").agg(F.count("*").alias("n"), F.max("again").alias("again")).where("n > 1 or again").select("m")
-    anchors = materialize(anchors, "anchors")
-    known = runs.join(anchors, "m", "left_semi").withColumn("rn", F.monotonically_increasing_id())
-    known = materialize(known, "repeated")
+    known = materialize(runs.join(materialize(anchors, "anchors"), "m", "left_semi").drop("again"), "repeated")
     discard(runs)
-    contents = known.groupBy("m", "c").agg(F.count("*").alias("cnt"), F.min("rn").alias("rn"), F.max("again").alias("again"))
-    contents = materialize(contents, "contents")
-    # Anchors with runs that occur once need the index; a run that occurs twice is repeated whole.
-    per = contents.groupBy("m").agg(F.count("*").alias("d"), F.sum(F.when(F.col("cnt") == 1, 1).otherwise(0)).alias("single"), F.max("again").alias("again"))
-    open_ = per.where("single > 0 and (d > 1 or again)").select("m", "d")
-    heavy = max(HEAVY_LEAST, contents.count() // HEAVY_NODES)  # anchors of more runs than this are at most HEAVY_NODES
-    hot_anchors = F.broadcast(open_.where(F.col("d") > heavy))
-    cold = contents.join(hot_anchors.select("m"), "m", "left_anti").join(open_.where(F.col("d") <= heavy), "m")
-    chosen = contents.join(hot_anchors, "m").unionByName(cold).select("rn", "m", "cnt", "d")
-    chosen = known.select("rn", "id", "th", "start", "wins").join(chosen, "rn").groupBy("id", "th").agg(F.collect_list(F.struct("start", "wins", "m", "cnt", "d")).alias("runs"))
-    chosen = materialize(chosen, "chosen")
-    n_docs = chosen.count()
-    texts = docs
-    if n_docs <= BROADCAST_ROWS:
-        texts = texts.join(F.broadcast(chosen.select(F.col("id").alias("i2"), F.col("th").alias("t2"))), F.col("id").eqNullSafe(F.col("i2")) & (F.col("th") == F.col("t2")), "left_semi")
-    lists = chosen.withColumnsRenamed({"id": "i2", "th": "t2"}).hint("shuffle_hash")
-    texts = texts.join(lists, F.col("id").eqNullSafe(F.col("i2")) & (F.col("th") == F.col("t2"))).select("id", "th", "text", "runs")
-    if not docs.select("id", "th").groupBy("id", "th").count().where("count > 1").isEmpty():
-        texts = texts.dropDuplicates(["id", "th"])  # one of equal rows gives the words of their runs
-    total = known.agg(F.sum(F.col("wins") + window - 1)).first()[0] or 0
-    shards = max(1, int(total // SHARD_WORDS) + 1)
-
-    def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows: list[tuple] = []
-            for i, th, text, listed in zip(pdf["id"], pdf["th"], pdf["text"], pdf["runs"], strict=True):
-                h = word_hashes(text)
-                two: list[SliceHashes] = []
-                for r in listed:
-                    start, wins = int(r["start"]), int(r["wins"])
-                    once = int(r["cnt"]) == 1
-                    if int(r["d"]) <= HOT:
-                        words = (h[start : start + wins + window - 1] >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-                        rows.append((i, th, start, int(r["m"]) % shards, once, 0, 0, words))
-                    else:
-                        two = two or [SliceHashes(h, 0), SliceHashes(h, 1)]
-                        at = np.arange(start, start + wins)
-                        a, b = (s.of(at, at + window).view(np.int64) for s in two)
-                        rows += [(i, th, int(x), -1, once, int(p), int(q), None) for x, p, q in zip(at, a, b, strict=True)]
-                if len(rows) > 5_000:
-                    yield pd.DataFrame(rows, columns=cols)
-                    rows = []
-            if rows:
-                yield pd.DataFrame(rows, columns=cols)
-
-    cols = ["id", "th", "start", "shard", "once", "w1", "w2", "words"]
-    fetched = materialize(texts.mapInPandas(fetch, f"id {id_type}, th long, start int, shard int, once boolean, w1 long, w2 long, words binary"), "fetched")
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+    contents = known.groupBy("m", "c").agg(F.count("*").alias("weight"), F.min(F.struct("id", "th", "start", "wins")).alias("at"))
+    contents = materialize(contents.select("at.*", "weight", F.col("m").alias("k1"), F.col("c").alias("k2")), "contents")
+    twins = not docs.groupBy("id", "th").count().where("count > 1").isEmpty()
+    hot = materialize(contents.groupBy("k1").count().where(F.col("count") > HOT).select(F.col("k1").alias("hot")), "hot")
+    wanted, windows = contents, None
+    if not hot.isEmpty():
+        hot = _bounded(hot)
+        wanted = contents.join(hot, F.col("k1") == F.col("hot"), "left_anti")
+
+        def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                of, starts, hashes = [], [], []
+                for i, text, r in _listed(batch):
+                    h = word_hashes(text)
+                    at = np.concatenate([np.arange(s, s + n) for s, n in zip(r["start"], r["wins"], strict=True)])
+                    of.append(np.full(len(at), i)), starts.append(at), hashes.append([SliceHashes(h, k).of(at, at + window) for k in (0, 1)])
+                of = pa.array(np.concatenate(of))
+                k1, k2 = (np.concatenate([x[k] for x in hashes]).view(np.int64) for k in (0, 1))
+                yield pa.RecordBatch.from_pydict({"id": batch.column("id").take(of), "th": batch.column("th").take(of), "start": pa.array(np.concatenate(starts).astype(np.int32)), "k1": pa.array(k1), "k2": pa.array(k2)})
+
+        # Of an anchor with many different runs every window goes by its own hash; windows that occur once drop out.
+        in_hot = known.join(hot, F.col("m") == F.col("hot"), "left_semi").select("id", "th", "start", "wins")
+        in_hot = in_hot.distinct() if twins else in_hot
+        windows = materialize(_with_lists(docs, in_hot, False).mapInArrow(hashed, f"{row}, k1 long, k2 long"), "windows")
+        equal = windows.groupBy("k1", "k2").agg(F.count("*").alias("weight"), F.min(F.struct("id", "th", "start")).alias("at")).where("weight > 1")
+        wanted = wanted.unionByName(equal.select("at.*", F.lit(1).alias("wins"), "weight", "k1", "k2"))
+    wanted = materialize(wanted, "wanted")
+    total, n = wanted.agg(F.sum(F.col("wins") + window - 1), F.sum("weight")).first()
+    shards = max(1, int((total or 0) // SHARD_WORDS) + 1)
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, text, r in _listed(batch):
+                h = (word_hashes(text) >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]
+                for at in range(0, len(r["start"]), 5_000):
+                    x = {k: v[at : at + 5_000] for k, v in r.items()}
+                    words = [h[s : s + w + window - 1].tobytes() for s, w in zip(x["start"].tolist(), x["wins"].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_pydict({"shard": pa.array((x["k1"] % shards).astype(np.int32)), "k1": pa.array(x["k1"]), "k2": pa.array(x["k2"]), "weight": pa.array(x["weight"]), "words": pa.array(words, pa.binary())})
+
+    fetched = _with_lists(docs, wanted, twins).mapInArrow(fetch, "shard int, k1 long, k2 long, weight long, words binary")
+
+    def search(table: pa.Table) -> pa.Table:
         runs = []
-        for x in pdf["words"]:
+        for x in table["words"].to_pylist():
             full = np.zeros((len(x) // 6, 8), np.uint8)
             full[:, :6] = np.frombuffer(x, np.uint8).reshape(-1, 6)
             runs.append(full.view(np.uint64).ravel())
-        ask = pdf["once"].to_numpy(dtype=bool)
-        out = []
-        for k, hit in zip(np.flatnonzero(ask), repeated_windows(runs, ask, window), strict=True):
-            if hit.any():
-                s, e = _stretches(hit)
-                start = int(pdf["start"].iloc[k])
-                out += [(pdf["id"].iloc[k], pdf["th"].iloc[k], start + a, start + b + window - 1) for a, b in zip(s, e, strict=True)]
+        of, first, last = _stretches(*_judged(runs, window, table["weight"].to_numpy()))
         trim_memory()
-        return pd.DataFrame(out, columns=["id", "th", "s", "e"])
-
-    span = f"id {id_type}, th long, s int, e int"
-    indexed = fetched.where("shard >= 0").groupBy("shard").applyInPandas(search, span)
-    hot = fetched.where("shard < 0").select("id", "th", "start", "once", "w1", "w2")
-    twice = hot.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-    counted = hot.where("once").join(twice, ["w1", "w2"], "left_semi").select("id", "th", F.col("start").alias("s"), (F.col("start") + window).cast("int").alias("e"))
-    many = contents.where("cnt > 1").select("m", "c")
-    whole = known.join(many, ["m", "c"], "left_semi").select("id", "th", F.col("start").alias("s"), (F.col("start") + F.col("wins") + window - 1).cast("int").alias("e"))
-    return whole.unionByName(indexed).unionByName(counted)
+        keys = table.select(["k1", "k2", "weight"]).take(pa.array(of))
+        return keys.append_column("first", pa.array(first.astype(np.int32))).append_column("words", pa.array((last - first + window).astype(np.int32)))
+
+    found = materialize(fetched.groupBy("shard").applyInArrow(search, "k1 long, k2 long, weight long, first int, words int"), "found")
+    # Every place that carries a run or window gets its stretches; runs of many places, a bounded number, are joined by broadcast.
+    heavy = max(HEAVY_LEAST, (n or 0) // HEAVY_NODES)
+    by_run = found.groupBy("k1", "k2", "weight").agg(F.collect_list(F.struct("first", "words")).alias("stretches"))
+    places = known.select("id", "th", "start", F.col("m").alias("k1"), F.col("c").alias("k2"))
+    spans = None
+    for where in (places, windows):
+        if where is not None:
+            part = join_skewed(where, by_run, ["k1", "k2"], F.col("weight") > heavy).select("id", "th", "start", F.explode("stretches").alias("x")).select("id", "th", "start", "x.*")
+            s = F.col("start") + F.col("first")
+            part = part.select("id", "th", s.alias("s"), (s + F.col("words")).alias("e"))
+            spans = part if spans is None else spans.unionByName(part)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -289,32 +329,32 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A word goes when a window over it also starts anywhere else, in the same text or another; windows are judged on the
     input. A null or empty text has no words. An empty input gives an empty result; only id and text are read.
     """
-    spans = repeated_stretches(docs, id_col, text_col, window).groupBy("id", "th").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    spans = repeated_stretches(docs, id_col, text_col, window).groupBy("id", "th").agg(F.collect_set(F.struct("s", "e")).alias("runs"))
     spans = materialize(spans.withColumnsRenamed({"id": "i2", "th": "t2"}), "spans")
     rows = _keyed(docs, id_col, text_col)
     same = F.col("id").eqNullSafe(F.col("i2")) & (F.col("th") == F.col("t2"))
     if spans.count() <= BROADCAST_ROWS:  # texts without a repeated window stay where they are
         keys = F.broadcast(spans.select("i2", "t2"))
-        untouched = rows.join(keys, same, "left_anti").withColumn("spans", F.lit(None).cast("array<struct<s:int,e:int>>"))
-        touched = rows.join(keys, same, "left_semi").join(spans.hint("shuffle_hash"), same).select("id", "th", "text", "spans")
+        untouched = rows.join(keys, same, "left_anti").withColumn("runs", F.lit(None).cast("array<struct<s:int,e:int>>"))
+        touched = rows.join(keys, same, "left_semi").join(spans.hint("shuffle_hash"), same).select("id", "th", "text", "runs")
         joined = untouched.unionByName(touched)
     else:
-        joined = rows.join(spans.hint("shuffle_hash"), same, "left").select("id", "th", "text", "spans")
+        joined = rows.join(spans.hint("shuffle_hash"), same, "left").select("id", "th", "text", "runs")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             n, gone, kept = [], [], []
-            for text, spans in zip(pdf["text"], pdf["spans"], strict=True):
+            for _, text, r in _listed(batch):
                 words = (text or "").encode("utf-8", "surrogatepass").split()
                 n.append(len(words))
-                if spans is None or not len(spans):
+                if not len(r["s"]):
                     gone.append(0), kept.append(b" ".join(words))
                     continue
                 cover = np.zeros(len(words) + 1, np.int32)
-                np.add.at(cover, [int(x["s"]) for x in spans], 1)
-                np.add.at(cover, [int(x["e"]) for x in spans], -1)
+                np.add.at(cover, r["s"], 1)
+                np.add.at(cover, r["e"], -1)
                 out = np.cumsum(cover[:-1]) > 0
                 gone.append(int(out.sum())), kept.append(b" ".join([w for w, x in zip(words, out, strict=True) if not x]))
-            yield pd.DataFrame({"doc_id": pdf["id"], "n_words": n, "n_removed": gone, "kept": kept})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("id"), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept": pa.array(kept, pa.binary())})
 
-    return joined.select("id", "text", "spans").mapInPandas(cut, f"doc_id {dict(docs.dtypes)[id_col]}, n_words long, n_removed long, kept binary")
+    return joined.select("id", "text", "runs").mapInArrow(cut, f"doc_id {dict(docs.dtypes)[id_col]}, n_words long, n_removed long, kept binary")
