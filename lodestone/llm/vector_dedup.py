@@ -22,8 +22,8 @@ PRINCIPAL = 6
 #: Vectors that the principal directions are fitted on; any directions give right results.
 FIT_ROWS = 10_000
 BLOCK = 1024
-#: Blocks in an interval of the upper level of the recursion.
-INTERVAL = 32
+#: Parts of an interval, and intervals of a label at the top of the recursion.
+FAN = 16
 LEAF = 128
 
 
@@ -187,20 +187,35 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
 
 def _block_pairs(blocks: DataFrame, eps: float) -> DataFrame:
-    """``(a, b)`` with a <= b for blocks whose boxes come within ``eps``: intervals of blocks first, then the blocks of close intervals."""
-    box = blocks.select("block", "label", "dim", "lo", "hi", F.concat_ws(":", F.shiftright("block", 32), F.expr(f"(block & 4294967295) div {INTERVAL}")).alias("part"))
-    fold = [F.min(F.col("lo")[i]).alias(f"l{i}") for i in range(PRINCIPAL)] + [F.max(F.col("hi")[i]).alias(f"h{i}") for i in range(PRINCIPAL)]
-    upper = box.groupBy("label", "dim", "part").agg(*fold)
-    upper = upper.select("label", "dim", "part", F.array(*[f"l{i}" for i in range(PRINCIPAL)]).alias("lo"), F.array(*[f"h{i}" for i in range(PRINCIPAL)]).alias("hi"))
-
-    def gap(x: str, y: str) -> Column:
-        d = [F.greatest(F.col(f"{x}.lo")[i] - F.col(f"{y}.hi")[i], F.col(f"{y}.lo")[i] - F.col(f"{x}.hi")[i], F.lit(0.0)) for i in range(PRINCIPAL)]
+    """``(a, b)`` with a <= b for blocks whose boxes come within ``eps``.
+
+    Blocks are numbered in the order of the sequence; an interval of a level is FAN intervals of the next. At the top a
+    label has a few intervals; close pairs of intervals are joined with their own parts, level by level, down to blocks.
+    """
+    # One number for each partition of the sorted vectors comes to the driver.
+    sizes = sorted((r[0], r[1]) for r in blocks.groupBy(F.shiftright("block", 32).alias("part")).count().collect())
+    total = sum(n for _, n in sizes)
+    starts = np.cumsum([0] + [n for _, n in sizes]).tolist()
+    base = blocks.sparkSession.createDataFrame([(p, s) for (p, _), s in zip(sizes, starts, strict=False)], "part long, first long")
+    axes = range(PRINCIPAL)
+    box = blocks.join(F.broadcast(base), F.shiftright("block", 32) == F.col("part")).select("block", "label", "dim", "lo", "hi", (F.col("first") + F.expr("(block & 4294967295) - 1")).alias("node"))
+    levels = [box]
+    while FAN ** len(levels) < total:
+        fold = [F.array(*[F.min(F.col("lo")[i]) for i in axes]).alias("lo"), F.array(*[F.max(F.col("hi")[i]) for i in axes]).alias("hi")]
+        levels.append(materialize(levels[-1].groupBy("label", "dim", F.expr(f"node div {FAN}").alias("node")).agg(*fold), "intervals"))
+
+    def close(x: str, y: str) -> Column:
+        d = [F.greatest(F.col(f"{x}.lo")[i] - F.col(f"{y}.hi")[i], F.col(f"{y}.lo")[i] - F.col(f"{x}.hi")[i], F.lit(0.0)) for i in axes]
         return sum((e * e for e in d[1:]), d[0] * d[0]) <= F.lit(eps * eps)
 
-    same = lambda x, y: (F.col(f"{x}.label") == F.col(f"{y}.label")) & (F.col(f"{x}.dim") == F.col(f"{y}.dim"))
-    tops = upper.alias("p").join(upper.alias("q"), same("p", "q") & (F.col("p.part") <= F.col("q.part")) & gap("p", "q"))
-    tops = tops.select(F.col("p.label").alias("label"), F.col("p.dim").alias("dim"), F.col("p.part").alias("pa"), F.col("q.part").alias("pb"))
-    left = tops.join(box.select("label", "dim", F.col("part").alias("pa"), F.struct("block", "lo", "hi").alias("x")), ["label", "dim", "pa"])
-    both = left.join(box.select("label", "dim", F.col("part").alias("pb"), F.struct("block", "lo", "hi").alias("y")), ["label", "dim", "pb"])
-    both = both.where(gap("x", "y") & ((F.col("pa") < F.col("pb")) | (F.col("x.block") <= F.col("y.block"))))
-    return both.select(F.col("x.block").alias("a"), F.col("y.block").alias("b"))
+    def side(level: DataFrame, parent: str, name: str) -> DataFrame:
+        held = F.struct("node", "lo", "hi", *(["block"] if "block" in level.columns else []))
+        return level.select("label", "dim", F.expr(f"node div {FAN}").alias(parent), held.alias(name))
+
+    top = levels[-1]
+    pairs = side(top, "pa", "x").join(side(top, "pb", "y"), ["label", "dim"]).where((F.col("x.node") <= F.col("y.node")) & close("x", "y"))
+    for level in reversed(levels[:-1]):
+        pairs = materialize(pairs.select("label", "dim", F.col("x.node").alias("pa"), F.col("y.node").alias("pb")), "pairs")
+        pairs = pairs.join(side(level, "pa", "x"), ["label", "dim", "pa"]).join(side(level, "pb", "y"), ["label", "dim", "pb"])
+        pairs = pairs.where((F.col("x.node") <= F.col("y.node")) & close("x", "y"))
+    return pairs.select(F.col("x.block").alias("a"), F.col("y.block").alias("b"))
