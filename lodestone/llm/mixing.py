@@ -22,7 +22,6 @@ WEIGHTS = (5, 2, 1)
 MAX_PASSES = 3
 BLOCK_WORDS = 256
 SHARDS = 64
-MAX_SOURCES = 100_000
 #: Documents in one step of the streams, and how many steps there are at least and most; steps are summed first, so no task sees a whole source.
 STEP_DOCS, LEAST_STEPS, MOST_STEPS = 500, 64, 1_000_000
 
@@ -44,18 +43,19 @@ def targets(sizes: list[int], weights: list[int], cap: float = MAX_PASSES) -> np
     return out
 
 
-def permuted(index: np.ndarray, n: np.ndarray, seed: np.ndarray) -> np.ndarray:
-    """The image of ``index`` under a pseudorandom permutation of range(n) chosen by ``seed``: a Feistel network on the next even power of two, walked until it falls inside."""
+def _feistel(n: np.ndarray, seed: np.ndarray, index: np.ndarray, rounds: range) -> np.ndarray:
+    """Four rounds of a Feistel network on the next even power of two from ``n`` on, walked until the result falls under ``n``; rounds in reverse order undo it."""
     index, n, seed = (np.asarray(x, dtype=np.uint64) for x in np.broadcast_arrays(index, n, seed))
     half = np.maximum(1, (np.frexp(np.maximum(n.astype(np.float64) - 1, 1))[1] + 1) // 2).astype(np.uint64)
     mask = (np.uint64(1) << half) - np.uint64(1)
 
     def walk(x: np.ndarray, half: np.ndarray, mask: np.ndarray, seed: np.ndarray) -> np.ndarray:
         a, b = x >> half, x & mask
-        for r in range(4):
-            h = (b + seed + np.uint64((r + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
-            h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-            a, b = b, a ^ ((h >> np.uint64(31)) & mask)
+        for r in rounds:
+            back = rounds.step < 0
+            h = ((a if back else b) + seed + np.uint64((r + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (((h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)) >> np.uint64(31)) & mask
+            a, b = (b ^ h, a) if back else (b, a ^ h)
         return (a << half) | b
 
     out = walk(index, half, mask, seed)
@@ -64,6 +64,16 @@ def permuted(index: np.ndarray, n: np.ndarray, seed: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def permuted(index: np.ndarray, n: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """The image of ``index`` under a pseudorandom permutation of range(n) chosen by ``seed``."""
+    return _feistel(n, seed, index, range(0, 4, 1))
+
+
+def place_of(image: np.ndarray, n: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """The index that :func:`permuted` maps to ``image``."""
+    return _feistel(n, seed, image, range(3, -1, -1))
+
+
 @dataclass
 class Plan:
     """What the mix takes of each source; arrays by source. ``shard_counts`` is shards x sources and sums to ``slots``."""
@@ -96,7 +106,7 @@ def plan_mix(sources: list[str | None], sizes: list[int], weights: list[int], bl
             continue
         short_block = int(size[s] - (blocks[s] - 1) * block_words)
         # Where this pass puts the short block; up to there slots give whole blocks.
-        at = _position(int(blocks[s]) - 1, int(blocks[s]), int(seeds[s]) + passes)
+        at = int(place_of([int(blocks[s]) - 1], int(blocks[s]), int(seeds[s]) + passes)[0])
         if rest <= at * block_words:
             n = -(-rest // block_words)
             last = rest - (n - 1) * block_words
@@ -117,16 +127,6 @@ def plan_mix(sources: list[str | None], sizes: list[int], weights: list[int], bl
     return Plan(sources, size, goal, blocks, slots, last_words, counts, seeds, block_words)
 
 
-def _position(block: int, n: int, seed: int, step: int = 1 << 20) -> int:
-    """The index that :func:`permuted` maps to ``block``."""
-    for at in range(0, n, step):
-        part = np.arange(at, min(n, at + step))
-        hit = np.flatnonzero(permuted(part, n, seed) == block)
-        if len(hit):
-            return at + int(hit[0])
-    raise AssertionError("not a permutation")
-
-
 def slot_table(docs: DataFrame, plan: Plan) -> DataFrame:
     """Every slot of the mix: ``source_no, slot, pass_no, block, words, shard``, made on the executors from the plan alone."""
     spark = docs.sparkSession
@@ -161,15 +161,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     (words ``first .. first + taken`` of the row).
     A null text has size 0 and is never taken; null is a source of its own, last in order, and weights repeat over the
     sources by code point. Repeated rows are separate rows. An empty input, or one without a word, gives an empty mix.
-    Streams are ordered by a hash of the id, then id and size, so that reruns agree.
+    Streams are ordered by a hash of id and text, then id, size and text hash, so that reruns agree and no step holds all
+    rows of a null or repeated id. The plan holds one entry for each source on the driver, nothing for documents.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
-    base = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("h")), "sizes")
+    base = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.xxhash64(F.col(text_col)).alias("th")), "sizes").withColumn("h", F.xxhash64("doc_id", "th", F.lit(seed)))
     steps = min(MOST_STEPS, max(LEAST_STEPS, base.count() // STEP_DOCS))
     base = base.withColumn("step", F.pmod("h", F.lit(steps)))
-    by_source = base.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(by_source) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    by_source = base.groupBy("source").agg(F.sum("size").alias("n")).collect()
     by_source.sort(key=lambda r: (r[0] is None, r[0] or ""))
     plan = plan_mix([r[0] for r in by_source], [r[1] for r in by_source], [weights[i % len(weights)] for i in range(len(by_source))], block_words, shards, seed)
     facts = docs.sparkSession.createDataFrame(
@@ -177,12 +176,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
     sums = base.groupBy("source", "step").agg(F.sum("size").alias("n"))
     before = sums.select("source", "step", (F.sum("n").over(Window.partitionBy("source").orderBy("step")) - F.col("n")).alias("before"))
-    inside = Window.partitionBy("source", "step").orderBy("h", "doc_id", "size")
+    inside = Window.partitionBy("source", "step").orderBy("h", "doc_id", "size", "th")
     rows = base.withColumns({"upto": F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)), "nth": F.row_number().over(inside)})
     rows = rows.join(before.withColumnsRenamed({"source": "s2", "step": "t2"}), F.col("source").eqNullSafe(F.col("s2")) & (F.col("step") == F.col("t2")))
     rows = rows.join(F.broadcast(facts.withColumnRenamed("source", "s3")), F.col("source").eqNullSafe(F.col("s3")))
     rows = rows.select(
-        F.concat_ws(":", "source_no", "step", "nth").alias("row_id"), "doc_id", "source", "size", "source_no", "source_size", "target", (F.col("before") + F.col("upto") - F.col("size")).alias("at")
+        F.concat_ws(":", "source_no", "step", "nth").alias("row_id"), "doc_id", "source", "th", "size", "source_no", "source_size", "target", (F.col("before") + F.col("upto") - F.col("size")).alias("at")
     )
     rows = materialize(rows, "streams")
     b = F.lit(block_words).cast("long")
@@ -199,19 +198,22 @@ def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The mix as documents: a row of ``docs`` for each pass that takes words of it, its text cut to those words.
 
     A text that is taken whole stays as it is; of another, the words taken are joined by one space, in order. Where the
-    input has ``n_chars`` it is set anew. Rows that repeat an id are told apart by their place in the stream.
+    input has ``n_chars`` it is set anew. Rows that repeat an id are told apart by text and source,
+    those that repeat these too by order; a null text, or one without a word, is never in the mix; an empty input gives none.
     """
     rows, pieces, _ = mix(docs, id_col, text_col, source_col, **options)
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
-    whole = docs.select(F.col(id_col).alias("key"), F.struct(*docs.columns).alias("row"))
-    if rows.groupBy("doc_id").count().where("count > 1").isEmpty():
-        whole, names = whole.withColumn("copy", F.lit(1)), rows.select("row_id", F.lit(1).alias("copy"))
-    else:  # copies of an id are matched by their order of size
-        whole = docs.select(F.col(id_col).alias("key"), F.struct(*docs.columns).alias("row"), F.row_number().over(Window.partitionBy(id_col).orderBy(size)).alias("copy"))
-        names = rows.select("row_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("size")).alias("copy"))
+    key = ["doc_id", "th", "source"]
+    named = F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(source_col).cast("string").alias("source"))
+    whole = docs.select(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("order"), named.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    names = rows.select("row_id", F.struct(*key).alias("name"))
+    if rows.groupBy(*key).count().where("count > 1").isEmpty():
+        whole, names = whole.withColumn("copy", F.lit(1)), names.withColumn("nth", F.lit(1))
+    else:  # rows that repeat id, text and source are matched in order; any match gives the same texts
+        whole = whole.withColumn("copy", F.row_number().over(Window.partitionBy("key").orderBy("order")))
+        names = names.withColumn("nth", F.row_number().over(Window.partitionBy("name").orderBy("row_id")))
     parts = pieces.groupBy("row_id", "doc_id", "size", "pass_no").agg(F.sum("taken").alias("all"), F.sort_array(F.collect_list(F.struct("first", "taken"))).alias("parts"))
-    per_row = parts.groupBy("row_id", "doc_id").agg(F.collect_list(F.struct("all", "size", "pass_no", "parts")).alias("takes")).join(names, "row_id")
-    joined = whole.join(per_row.withColumnRenamed("copy", "nth").hint("shuffle_hash"), F.col("key").eqNullSafe(F.col("doc_id")) & (F.col("copy") == F.col("nth")))
+    per_row = parts.groupBy("row_id").agg(F.collect_list(F.struct("all", "size", "pass_no", "parts")).alias("takes")).join(names, "row_id")
+    joined = whole.join(per_row.hint("shuffle_hash"), F.col("key").eqNullSafe(F.col("name")) & (F.col("copy") == F.col("nth")))
     take = F.explode("takes").alias("take")
     text = F.col(f"row.`{text_col}`")
     words = F.regexp_extract_all(text, F.lit(f"({WORD_PATTERN})"), F.lit(1))
