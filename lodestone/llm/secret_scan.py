@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_path
+from .common import HEAVY_LEAST, HEAVY_NODES, materialize, scratch_path
 from .spans import all_matches, count_of, placed, tagged, written
 
 # Kinds in the order of the output, and their patterns.
@@ -39,27 +39,33 @@ def find_secrets(df: DataFrame, text: Column) -> DataFrame:
     return df.withColumn("spans", spans).drop("__text", "__a", "__b", "__c")
 
 
-def scan(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_id", text_col: str = "text", rule_version: str = RULE_VERSION) -> DataFrame:
-    """One row per input row: ``doc_id, blob, spans``; grows the ledger at path ``ledger`` (by default a new one in the shared folder).
+def scan(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_id", text_col: str = "text", rule_version: str = RULE_VERSION, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: ``doc_id``, the columns ``keep`` (path and version, say), ``blob, spans``; grows the ledger at path ``ledger`` (by default a new one in the shared folder).
 
     A null text is an empty one and has no finding. Rows that repeat a text, or id and text, share one ledger entry.
-    An empty input gives an empty result and adds nothing. Only the id and text columns are read.
+    An empty input gives an empty result and adds nothing. Only the id, text and kept columns are read.
     """
     spark = docs.sparkSession
     ledger = ledger or scratch_path(spark, "ledger")
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
+    rows = docs.select(F.col(id_col).alias("id"), F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`") for c in keep]).alias("kept"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
     spark.createDataFrame([], LEDGER).write.mode("append").parquet(ledger)
     seen = spark.read.schema(LEDGER).parquet(ledger).where(F.col("rule_version") == rule_version)
     # One row stands for a blob; blob and id together are a key without heavy values.
-    unseen = rows.select("id", "blob").groupBy("blob").agg(F.min("id").alias("rep")).join(seen.select("blob"), "blob", "left_anti").withColumnRenamed("blob", "b2")
+    blobs = materialize(rows.groupBy("blob").agg(F.min("id").alias("rep"), F.count("*").alias("rows")), "blobs")
+    unseen = blobs.select("blob", "rep").join(seen.select("blob"), "blob", "left_anti").withColumnRenamed("blob", "b2")
     todo = rows.join(unseen.hint("shuffle_hash"), (F.col("blob") == F.col("b2")) & F.col("id").eqNullSafe(F.col("rep")), "left_semi")
     found = find_secrets(todo, F.col("text")).select("blob", F.lit(rule_version).alias("rule_version"), "spans")
     found.write.mode("append").parquet(ledger)
     # An id repeated with its text is scanned twice; the ledger is read as distinct entries.
     entries = spark.read.schema(LEDGER).parquet(ledger).where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select("blob", "spans").dropDuplicates(["blob"])
-    out = rows.select("id", "blob").join(entries, "blob", "left")
+    # Blobs without findings, and those of many rows (a bounded number), need no shuffle of their rows.
+    least = max(HEAVY_LEAST, (blobs.agg(F.sum("rows")).first()[0] or 0) // HEAVY_NODES)
+    heavy = F.broadcast(entries.join(blobs.where(F.col("rows") > least).select("blob"), "blob"))
+    places = rows.select("id", "kept", "blob")
+    cold = places.join(heavy.select("blob"), "blob", "left_anti").join(entries, "blob", "left")
+    out = places.join(heavy, "blob").unionByName(cold)
     empty = F.array().cast("array<struct<start:bigint,`order`:int,end:bigint,kind:string>>")
-    return out.select(F.col("id").alias("doc_id"), "blob", F.coalesce("spans", empty).alias("spans"))
+    return out.select(F.col("id").alias("doc_id"), *[F.col(f"kept.`{c}`") for c in keep], "blob", F.coalesce("spans", empty).alias("spans"))
 
 
 def op4_rows(docs: DataFrame) -> DataFrame:
