@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import HEAVY_LEAST, HEAVY_NODES, join_skewed, materialize
 from .spans import all_matches, count_of, placed, tagged, written
 
 # Kinds in the order of the output, and their patterns.
@@ -103,7 +103,8 @@ def disclose(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
     whose words then count for no frequency. Else it stands within ``context`` code points of the entity; the letters at
     the context's two outer edges, the text's own start and end included, don't count.
     Document frequencies of entities, terms and pairs are taken over all rows, each row once, repeated rows included.
-    An entity in fewer than ``support`` rows discloses nothing. An empty input gives an empty result.
+    An entity in fewer than ``support`` rows discloses nothing. Null and repeated ids are rows like any other, told apart
+    by ``row_id``. An empty input gives an empty result.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = find_entities(rows, "text")
@@ -120,7 +121,9 @@ def disclose(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
     entity = kept.select("row_id", F.explode("near").alias("e")).select("row_id", "e.*")
     often = entity.select("row_id", "entity").distinct().groupBy("entity").agg(F.count("*").alias("df_e")).where(F.col("df_e") >= support)
     often = materialize(often, "often")
-    sides = entity.join(often, "entity", "left")
+    heavy = max(HEAVY_LEAST, n // HEAVY_NODES)
+    hot = F.broadcast(often.where(F.col("df_e") > heavy))
+    sides = entity.join(hot, "entity").unionByName(entity.join(hot.select("entity"), "entity", "left_anti").join(often, "entity", "left"))
     words = None
     for side in ("left", "right"):
         whole = F.regexp_replace(side, r"^\p{L}+" if side == "left" else r"\p{L}+$", "")
@@ -136,7 +139,7 @@ def disclose(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
     pairs = pairs.join(near_any, "term").where(_discloses(n, F.col("df_near"), disclosure)).select("entity", "df_e", "term", "df_et")
     pairs = materialize(pairs, "pairs")
     flagged = _flag(docs, F.array_distinct(all_matches(F.lower(F.coalesce(F.col(text_col), F.lit(""))), TERM)), pairs, n, disclosure)
-    return _with_terms(kept, words.join(flagged, ["entity", "term"], "left_semi"))
+    return _with_terms(kept, join_skewed(words, flagged, ["entity", "term"], F.col("df_et") > heavy, "left_semi"))
 
 
 def _by_document(docs: DataFrame, text_col: str, kept: DataFrame, disclosure: float, support: int) -> DataFrame:
@@ -144,7 +147,8 @@ def _by_document(docs: DataFrame, text_col: str, kept: DataFrame, disclosure: fl
     n = kept.count()
     entity = kept.select("row_id", F.explode("held").alias("entity"))
     often = materialize(entity.groupBy("entity").agg(F.count("*").alias("df_e")).where((F.col("df_e") >= support) & (F.col("df_e") < n)), "often")
-    held = materialize(entity.join(often, "entity"), "held")
+    heavy = max(HEAVY_LEAST, n // HEAVY_NODES)
+    held = materialize(join_skewed(entity, often, ["entity"], F.col("df_e") > heavy), "held")
     texts = kept.select("row_id", "apart").join(held.select("row_id").distinct(), "row_id", "left_semi")
     seen = materialize(texts.select("row_id", F.explode(_terms(F.col("apart"))).alias("term")), "seen")
     near_any = materialize(seen.groupBy("term").agg(F.count("*").alias("df_near")).where(F.col("df_near") >= support), "near")
@@ -157,7 +161,7 @@ def _by_document(docs: DataFrame, text_col: str, kept: DataFrame, disclosure: fl
     pairs = materialize(pairs.where(_discloses(n, F.col("df_near"), disclosure)).select("entity", "df_e", "term", "df_et"), "pairs")
     found = _terms(_apart(F.coalesce(F.col(text_col), F.lit(""))))
     flagged = _flag(docs, found, pairs, n, disclosure)
-    gone = rows.join(flagged, ["entity", "term"], "left_semi").groupBy("row_id").agg(F.collect_set("term").alias("gone"))
+    gone = join_skewed(rows, flagged, ["entity", "term"], F.col("df_et") > heavy, "left_semi").groupBy("row_id").agg(F.collect_set("term").alias("gone"))
     hits = all_matches(F.col("apart"), TERM)
     words = texts.join(gone, "row_id").select("row_id", "gone", F.posexplode(F.arrays_zip(F.slice(F.split("apart", TERM, -1), 1, F.size(hits)).alias("gap"), hits.alias("hit"))).alias("i", "w"))
     end = F.sum(F.length("w.gap") + F.length("w.hit")).over(Window.partitionBy("row_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
@@ -177,13 +181,13 @@ def _flag(docs: DataFrame, found: Column, pairs: DataFrame, n: int, disclosure:
     terms = pairs.select("term").distinct()
     known = terms.count()
     if not known:
-        return pairs.select("entity", "term")
+        return pairs.select("entity", "term", "df_et")
     seen = docs.select(F.explode(found).alias("term"))
     if known <= BROADCAST_TERMS:
         df = seen.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_t"))
     else:
         df = seen.groupBy("term").agg(F.count("*").alias("df_t")).join(terms, "term", "left_semi")
-    return pairs.join(df, "term").where(_discloses(n, F.col("df_t"), disclosure)).select("entity", "term")
+    return pairs.join(df, "term").where(_discloses(n, F.col("df_t"), disclosure)).select("entity", "term", "df_et")
 
 
 def _discloses(n: int, df_t: Column, disclosure: float, df_et: Column | None = None) -> Column:
