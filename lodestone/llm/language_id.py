@@ -19,7 +19,6 @@ ORDERS = (1, 2, 3)
 BUCKET_BITS = 15
 #: Labelled rows learned from, for each language; a smaller corpus is learned from whole.
 TRAIN_ROWS_PER_LANG = 4_000
-MAX_LANGS = 1_000
 UNDETERMINED = "und"
 _MULT = np.uint32(0x9E3779B1)
 _CHUNK = 1 << 20
@@ -51,12 +50,11 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
     """``(languages, log probabilities)``; row ``-1`` of the matrix is the log prior.
 
     Null texts and labels are left out. Of a language with more than ``rows_per_lang`` rows an id-hash sample of about
-    that size is read. What comes to the driver is one row for each language and non-zero bucket.
+    that size is read. What comes to the driver is one row for each language and non-zero bucket,
+    the size of the model itself; the number of documents doesn't enter it.
     """
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col).alias("lang")).count().limit(MAX_LANGS + 1).collect()}
-    if len(sizes) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+    sizes = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col).alias("lang")).count().collect()}
     langs = sorted(sizes)
     if not langs:
         return [], np.zeros((2, 0))

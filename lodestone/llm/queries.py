@@ -24,9 +24,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score``; learned from the rows whose crc32 of the id is not 2 modulo 4."""
+    """``doc_id, held_out, lang_pred, score``; learned from the rows whose crc32 of the id is not 2 modulo 4; a null id is not held out."""
     docs = table(spark, sf_dir, "documents")
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
     model = language_id.train(docs.where(~held_out))
     return language_id.identify(docs, model, keep=["doc_id"]).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
