@@ -102,30 +102,36 @@ def plan_group(sizes: list[int], length: int = SEQUENCE, least_gap: int = LEAST_
 def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", length: int = SEQUENCE, group_docs: int = GROUP_DOCS, end_id: int = END_ID, seed: int = 5) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids, doc_tokens, sequence_id, offset``; ids as little-endian 32-bit binary.
 
-    Texts are encoded and ``end_id`` is appended; a null text counts as empty and gives the end id alone. Documents
-    meet in groups by a hash of id and text length; groups are independent tasks' work and a sequence lies in one group. Rows that
-    repeat an id are packed each for itself. An empty input gives no sequence.
+    Texts are encoded and ``end_id`` is appended; a null text counts as empty and gives the end id alone. Documents are
+    dealt into groups by a hash of their place in the input, so neither null nor repeated ids share a group; groups are
+    independent tasks' work and a sequence lies in one group. Rows that repeat an id are packed each for itself. An empty
+    input gives no sequence.
     """
     groups = max(1, -(-docs.count() // group_docs))
 
     def work(table: pa.Table) -> pa.Table:
         enc = encoder(vocabulary)
-        table = table.sort_by([("id", "ascending")])
-        texts, g = table["text"].to_pylist(), table["g"][0].as_py()
-        end, ids = np.array([end_id], "<u4"), []
+        table = table.sort_by([("id", "ascending"), ("text", "ascending")])
+        texts = table["text"].combine_chunks()
+        texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+        parts, sizes = [], []
         for span in slices(texts):
             flat, ends = enc.encode(texts[span.start : span.stop])
-            ids += [np.concatenate([x, end]) for x in np.split(flat, ends[:-1])]
-        sizes = [len(x) for x in ids]
-        trim_memory()
-        rows = [(i, start, n, (g << 32) | s, off) for s, seq in enumerate(plan_group(sizes, length)) for (i, start, n), off in zip(seq, np.cumsum([0] + [p[2] for p in seq]).tolist(), strict=False)]
+            parts.append(np.insert(flat, ends, end_id).astype("<u4", copy=False))
+            sizes.append(np.diff(ends, prepend=0) + 1)
+        ids, sizes = np.concatenate(parts), np.concatenate(sizes)
+        first, sizes = (np.cumsum(sizes) - sizes).tolist(), sizes.tolist()
+        plan = plan_group(sizes, length)
+        rows = [(i, start, n, (table["g"][0].as_py() << 32) | s, off) for s, seq in enumerate(plan) for (i, start, n), off in zip(seq, np.cumsum([0] + [p[2] for p in seq]).tolist(), strict=False)]
         which = [r[0] for r in rows]
-        return pa.table({
+        out = pa.table({
             "doc_id": table["id"].combine_chunks().take(pa.array(which, pa.int64())), "start": pa.array([r[1] for r in rows], pa.int64()), "length": pa.array([r[2] for r in rows], pa.int64()),
-            "ids": pa.array([ids[r[0]][r[1] : r[1] + r[2]].astype("<u4").tobytes() for r in rows], pa.binary()), "doc_tokens": pa.array([sizes[i] for i in which], pa.int64()),
+            "ids": pa.array([ids[first[i] + start : first[i] + start + n].tobytes() for i, start, n, _, _ in rows], pa.binary()), "doc_tokens": pa.array([sizes[i] for i in which], pa.int64()),
             "sequence_id": pa.array([r[3] for r in rows], pa.int64()), "offset": pa.array([r[4] for r in rows], pa.int64()),
         })
+        trim_memory()
+        return out
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.pmod(F.xxhash64(F.col(id_col), F.length(text), F.lit(seed)), F.lit(groups)).alias("g"), F.col(id_col).cast("long").alias("id"), text.alias("text"))
+    rows = docs.select(F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)), F.lit(groups)).alias("g"), F.col(id_col).cast("long").alias("id"), text.alias("text"))
     return rows.groupBy("g").applyInArrow(work, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

@@ -13,7 +13,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
@@ -140,30 +140,29 @@ def write_token_files(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
     """
     path = path or scratch_path(docs.sparkSession, "tokens")
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(vocabulary), TaskContext.get().partitionId()
         fs, root = filesystem(path)
         writer, name = None, f"{root}/part-{part:06d}-{uuid.uuid4().hex}.szt"
-        end = np.array([end_id], "<u4")
-        for pdf in batches:
-            texts, ids = pdf["text"].tolist(), [None if pd.isna(x) else int(x) for x in pdf["id"]]
+        for batch in batches:
+            texts, ids = batch.column("text"), batch.column("id").to_pylist()
             for span in slices(texts):
                 flat, ends = enc.encode(texts[span.start : span.stop])
                 if writer is None:
                     fs.create_dir(root, recursive=True)
                     writer = TokenFileWriter(fs.open_output_stream(name))
-                start = 0
-                for i, stop in zip(span, ends, strict=True):
-                    writer.add(ids[i], np.concatenate([flat[start:stop], end]))
+                flat, start = np.insert(flat, ends, end_id).astype("<u4", copy=False), 0
+                for i, stop in zip(span, (ends + np.arange(1, len(ends) + 1)).tolist(), strict=True):
+                    writer.add(ids[i], flat[start:stop])
                     start = stop
         trim_memory()
         if writer is not None:
             writer.close()
-            yield pd.DataFrame({"part": [part], "path": [name], "n_docs": [len(writer.docs)], "n_ids": [writer.n_ids]})
+            yield pa.RecordBatch.from_pydict({"part": [part], "path": [name], "n_docs": [len(writer.docs)], "n_ids": [writer.n_ids]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ordered = rows.repartitionByRange(F.col("id")).sortWithinPartitions("id", "text")
-    manifest = materialize(ordered.mapInPandas(write, "part long, path string, n_docs long, n_ids long"), "manifest")
+    manifest = materialize(ordered.mapInArrow(write, "part long, path string, n_docs long, n_ids long"), "manifest")
     manifest.lodestone_files = path
     return manifest
 
@@ -179,23 +178,23 @@ def read_token_files(manifest: DataFrame, path: str) -> DataFrame:
         files.append((r["path"], base))
         base += r["n_ids"]
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = filesystem(path)
-        for pdf in batches:
-            for name, base in zip(pdf["path"], pdf["base"], strict=True):
+        for batch in batches:
+            for name, base in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist(), strict=True):
                 with fs.open_input_file(name) as stream:
                     reader = TokenFileReader(stream)
-                    rows: list[tuple] = []
-                    held = 0
+                    first, held = 0, 0
+                    ids: list[bytes] = []
                     for i in range(len(reader.sizes)):
-                        ids = reader.document(i)
-                        rows.append((int(reader.doc_ids[i]) if reader.known[i] else None, base + int(reader.starts[i]), len(ids), ids.tobytes()))
-                        held += len(ids)
-                        if held > 2_000_000:
-                            yield pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids"]).astype({"doc_id": "Int64"})
-                            rows, held = [], 0
-                    if rows:
-                        yield pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids"]).astype({"doc_id": "Int64"})
+                        ids.append(reader.document(i).tobytes())
+                        held += len(ids[-1])
+                        if held > 8_000_000 or i == len(reader.sizes) - 1:
+                            at = slice(first, i + 1)
+                            yield pa.RecordBatch.from_pydict({
+                                "doc_id": pa.array(reader.doc_ids[at], pa.int64(), mask=~reader.known[at]), "start": pa.array(reader.starts[at] + base), "n_tokens": pa.array(reader.sizes[at]), "ids": pa.array(ids, pa.binary())
+                            })
+                            first, held, ids = i + 1, 0, []
 
     todo = spark.createDataFrame(files, "path string, base long")
-    return todo.repartition(max(1, min(len(files), 10_000))).mapInPandas(read, "doc_id long, start long, n_tokens long, ids binary")
+    return todo.repartition(max(1, min(len(files), 10_000))).mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
