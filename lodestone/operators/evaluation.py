@@ -42,18 +42,24 @@ def by_groups(metrics: DataFrame, groups: list[str], values: list[str], digits:
     return rows.groupBy("g.grouping", "g.group").agg(F.count("*").alias("n"), *[F.round(F.avg(v), digits).alias(v) for v in values])
 
 
+#: Queries of the keyword baseline in one broadcast; more are looked for in several passes over the documents.
+QUERY_BLOCK = 10_000
+
+
 def naive_hits(queries: DataFrame, docs: DataFrame, query_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``query, doc_id, hits``: for a stated, small set of queries with ``words``, how many of them a document contains as substrings.
+    """``query, doc_id, hits``: how many of each query's ``words`` a document contains as substrings, where any.
 
-    The queries are a broadcast side of checked size; each document is read once.
+    The queries are a stated set; blocks of them, dealt by a hash of the id, are broadcast and each document is read once a block.
     """
-    most = 10_000
-    n = queries.limit(most + 1).count()
-    if n > most:
-        raise ValueError(f"the baseline takes {most} queries at a time")
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     d = docs.where(F.col(text_col).isNotNull()).select(id_col, F.lower(text_col).alias("t"))
     hits = F.size(F.filter("words", lambda w: F.contains(F.col("t"), w)))
-    return d.join(F.broadcast(queries), hits > 0).select(query_col, id_col, hits.alias("hits"))
+    out = None
+    for b in range(blocks):
+        block = queries.where(F.pmod(F.xxhash64(query_col), F.lit(blocks)) == b) if blocks > 1 else queries
+        part = d.join(F.broadcast(block), hits > 0).select(query_col, id_col, hits.alias("hits"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def first_overflow(rows: DataFrame, group: list[str], order: list[Column], tokens: str, budget: int, least_rest: int | None = None) -> DataFrame:

@@ -6,13 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .vectors import cosine
+from .vectors import topk
 
 # Feedback of each action.
 FEEDBACK = {"thumbs_up": 1, "helpful": 1, "thumbs_down": -1, "unhelpful": -1}
 MAX_ATTEMPTS, WORKER_ATTEMPTS = 5, 3
-#: New notes in one broadcast, on average; more are classified in several passes over the kept ones.
-NOTE_BLOCK = 2_500
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -95,10 +93,7 @@ def simhash_pairs(hashes: DataFrame, id_col: str, most: int = 3) -> DataFrame:
     Equal hashes are one class first, so copies don't meet; pairs are between class representatives (their smallest ids).
     """
     classes = hashes.groupBy("simhash").agg(F.min(id_col).alias("rep"))
-    bands = most + 1
-    width = 64 // bands
-    cut = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("simhash", i * width).bitwiseAND(F.lit((1 << width) - 1)).alias("part")) for i in range(bands)])
-    x = classes.select("rep", "simhash", F.explode(cut).alias("k")).select("rep", "simhash", "k.*")
+    x = classes.select("rep", "simhash", _bands("simhash", most)).select("rep", "simhash", "k.*")
     y = x.select(F.col("rep").alias("b"), F.col("simhash").alias("hb"), "band", "part")
     pairs = x.select(F.col("rep").alias("a"), F.col("simhash").alias("ha"), "band", "part").join(y, ["band", "part"]).where("a < b")
     d = hamming(F.col("ha"), F.col("hb"))
@@ -109,32 +104,32 @@ def cosine_class(similarity: Column) -> Column:
     return F.when(similarity >= 0.92, "duplicate").when(similarity >= 0.80, "consolidate").otherwise("novel")
 
 
+def _bands(hash_: str, most: int = 3) -> Column:
+    """The bands of a hash: two hashes within ``most`` bits agree on one of them."""
+    width = 64 // (most + 1)
+    return F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(hash_, i * width).bitwiseAND(F.lit((1 << width) - 1)).alias("part")) for i in range(most + 1)])).alias("k")
+
+
 def classify_notes(new: DataFrame, kept: DataFrame) -> DataFrame:
-    """``id, status, matched, similarity, stage`` of each new note (id, simhash, vector) against the kept ones (id, simhash, vector).
+    """``id, status, matched, similarity, stage`` of each new note (id, simhash, vector) against the kept ones (id, simhash, vector); ids are longs.
 
-    First the smallest kept id within three bits; else the nearest vector by cosine. The kept notes of one store are
-    compared with the new ones, of which a block at a time is broadcast; blocks are dealt by a hash of the id.
+    First the smallest other kept id within three bits, whose hash shares a band; else the nearest other vector by cosine,
+    searched block by block. A note is not compared with the kept one of its own id.
     """
-    blocks = max(1, -(-new.count() // NOTE_BLOCK))
-    out = None
-    for b in range(blocks):
-        part = _classified(new.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b) if blocks > 1 else new, kept)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def _classified(new: DataFrame, kept: DataFrame) -> DataFrame:
-    k = kept.select(F.col("id").alias("kept_id"), F.col("simhash").alias("kept_hash"), F.col("vector").alias("kept_vector"))
-    pairs = k.join(F.broadcast(new), F.col("id") != F.col("kept_id"))
-    d = hamming(F.col("simhash"), F.col("kept_hash"))
-    near = F.when((d <= 3) | ((1 - d / 64.0) >= 0.95), F.struct(F.col("kept_id").alias("kept_id"), d.cast("int").alias("d")))
-    sim = F.round(cosine(F.col("vector"), F.col("kept_vector")), 6)
-    best = pairs.groupBy("id").agg(F.min(near).alias("near"), F.max(F.struct(sim.alias("s"), (-F.col("kept_id")).alias("k"))).alias("best"))
-    out = new.select("id").join(best, "id", "left")
+    low = kept.where("simhash is not null").groupBy(F.col("simhash").alias("kept_hash")).agg(F.min("id").alias("first"))
+    rest = kept.join(low, F.col("simhash") == F.col("kept_hash")).where(F.col("id") != F.col("first")).groupBy(F.col("kept_hash").alias("h2")).agg(F.min("id").alias("second"))
+    low = low.join(rest, F.col("kept_hash") == F.col("h2"), "left").select("kept_hash", F.array("first", "second").alias("ids"))
+    hashes = new.where("simhash is not null").select("simhash").distinct()
+    pairs = hashes.select("simhash", _bands("simhash")).join(low.select("kept_hash", "ids", _bands("kept_hash")), "k").select("simhash", "ids", hamming(F.col("simhash"), F.col("kept_hash")).cast("int").alias("d"))
+    pairs = pairs.where("d <= 3").select("simhash", F.explode("ids").alias("kept_id"), "d").where("kept_id is not null").distinct()
+    near = new.select("id", "simhash").join(pairs, "simhash").where(F.col("id") != F.col("kept_id")).groupBy("id").agg(F.min(F.struct("kept_id", "d")).alias("near"))
+    found = topk(new.select(F.col("id").alias("query_id"), "vector"), kept.select("id", "vector"), 2, "id", "vector").where(F.col("query_id") != F.col("vec_id"))
+    best = found.groupBy(F.col("query_id").alias("id")).agg(F.min_by(F.struct("score", "vec_id"), "rank").alias("best"))
+    out = new.select("id").join(near, "id", "left").join(best, "id", "left")
     stage1 = F.col("near").isNotNull()
-    status = F.when(stage1, "duplicate").when(F.col("best").isNull(), "novel").otherwise(cosine_class(F.col("best.s")))
-    matched = F.when(stage1, F.col("near.kept_id")).when(status != "novel", -F.col("best.k"))
-    return out.select("id", status.alias("status"), matched.alias("matched"), F.when(stage1, 1 - F.col("near.d") / 64.0).otherwise(F.col("best.s")).alias("similarity"), F.when(stage1, "simhash").otherwise("cosine").alias("stage"))
+    status = F.when(stage1, "duplicate").when(F.col("best").isNull(), "novel").otherwise(cosine_class(F.col("best.score")))
+    matched = F.when(stage1, F.col("near.kept_id")).when(status != "novel", F.col("best.vec_id"))
+    return out.select("id", status.alias("status"), matched.alias("matched"), F.when(stage1, 1 - F.col("near.d") / 64.0).otherwise(F.col("best.score")).alias("similarity"), F.when(stage1, "simhash").otherwise("cosine").alias("stage"))
 
 
 def in_scope(memories: DataFrame, ingested: DataFrame, least: float = 0.0, words: str | None = None) -> DataFrame:

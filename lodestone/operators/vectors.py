@@ -6,9 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+
 #: Query vectors in one pass; more are searched in several, so that what is broadcast has a bound.
 QUERY_BLOCK = 4_096
 
@@ -32,38 +35,51 @@ def topk(queries: DataFrame, vectors: DataFrame, k: int = 10, id_col: str = "vec
     """``query_id, vec_id, score, rank``: exact search of every query against all vectors.
 
     A block of queries is broadcast; each task multiplies its batches with it and keeps k rows of a query, so what is
-    shuffled is tasks x queries x k rows. ``queries`` has ``query_id`` and the vector column; the query itself is a hit.
+    shuffled is tasks x queries x k rows. More than one block are dealt by a hash of the id and searched one after the
+    other, so that the driver holds one at a time. ``queries`` has ``query_id`` and the vector column; the query itself is a hit.
     """
-    spark = vectors.sparkSession
-    asked = queries.select("query_id", F.col(vector_col).alias("v")).where("v is not null").toPandas()
-    out = None
-    for at in range(0, max(1, len(asked)), QUERY_BLOCK):
-        part = asked.iloc[at : at + QUERY_BLOCK]
-        held = spark.sparkContext.broadcast((part["query_id"].to_numpy(), _unit(np.stack(part["v"].to_list()).astype(float)) if len(part) else np.zeros((0, 1))))
-
-        def search(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            ids, q = held.value
-            best: pd.DataFrame | None = None
-            for pdf in batches:
-                if not len(ids) or not len(pdf):
-                    continue
-                sims = np.round(q @ _unit(np.stack(pdf["v"].to_list()).astype(float)).T, digits)
-                keep = min(k, sims.shape[1])
-                # The k-th best may be tied: ties are kept here and cut by id below.
-                bar = np.partition(sims, sims.shape[1] - keep, axis=1)[:, sims.shape[1] - keep]
-                i, j = np.nonzero(sims >= bar[:, None])
-                rows = pd.DataFrame({"query_id": ids[i], "vec_id": pdf["id"].to_numpy()[j], "score": sims[i, j]})
-                best = rows if best is None else pd.concat([best, rows])
-                best = best.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
-            if best is not None:
-                yield best
-
-        found = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where("v is not null").mapInPandas(search, "query_id long, vec_id long, score double")
-        out = found if out is None else out.unionByName(found)
+    asked = queries.select("query_id", F.col(vector_col).alias("v")).where("v is not null")
+    first = asked.limit(QUERY_BLOCK + 1).toPandas()
+    if len(first) <= QUERY_BLOCK:
+        out = _searched(first, vectors, k, id_col, vector_col, digits)[0]
+    else:
+        asked = materialize(asked, "asked")
+        blocks = -(-asked.count() // max(1, QUERY_BLOCK // 2))
+        out = None
+        for b in range(blocks):
+            found, held = _searched(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toPandas(), vectors, k, id_col, vector_col, digits)
+            found = materialize(found, "hits")
+            held.destroy()
+            out = found if out is None else out.unionByName(found)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _searched(part: pd.DataFrame, vectors: DataFrame, k: int, id_col: str, vector_col: str, digits: int) -> tuple[DataFrame, Broadcast]:
+    """Each task's best rows for a block of queries, and the block's broadcast."""
+    held = vectors.sparkSession.sparkContext.broadcast((part["query_id"].to_numpy(), _unit(np.stack(part["v"].to_list()).astype(float)) if len(part) else np.zeros((0, 1))))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, q = held.value
+        best: pd.DataFrame | None = None
+        for pdf in batches:
+            if not len(ids) or not len(pdf):
+                continue
+            sims = np.round(q @ _unit(np.stack(pdf["v"].to_list()).astype(float)).T, digits)
+            keep = min(k, sims.shape[1])
+            # The k-th best may be tied: ties are kept here and cut by id below.
+            bar = np.partition(sims, sims.shape[1] - keep, axis=1)[:, sims.shape[1] - keep]
+            i, j = np.nonzero(sims >= bar[:, None])
+            rows = pd.DataFrame({"query_id": ids[i], "vec_id": pdf["id"].to_numpy()[j], "score": sims[i, j]})
+            best = rows if best is None else pd.concat([best, rows])
+            best = best.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
+        if best is not None:
+            yield best
+
+    found = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where("v is not null").mapInPandas(search, "query_id long, vec_id long, score double")
+    return found, held
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
     return x / np.where(norm > 0, norm, 1.0)

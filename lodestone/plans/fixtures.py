@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .registry import table
@@ -15,9 +15,7 @@ FILES = f"SELECT doc_id, {PATH} AS path, text, lang, source FROM documents"
 # A part is a symbol: it spans lines of one of 50 files; a line item calls the next one of its order.
 SYMBOLS = """SELECT p_partkey AS symbol_id, p_name AS name, concat(CASE WHEN p_partkey % 50 < 10 THEN 'tests/' ELSE 'src/' END, 'f', CAST(p_partkey % 50 AS VARCHAR(9)), '.py') AS path,
   CAST(floor(p_partkey / 50) * 12 + 1 AS BIGINT) AS start_line, CAST(floor(p_partkey / 50) * 12 + 1 + p_size % 20 AS BIGINT) AS end_line, p_brand AS kind FROM part"""
-CALLS = """SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey AND a.l_orderkey % 20 = 0"""
-# The same calls of all orders.
-ALL_CALLS = CALLS.removesuffix(" AND a.l_orderkey % 20 = 0")
+CALLS = """SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey"""
 # Changed ranges: one for each supplier, in one of the files.
 RANGES = """SELECT concat(CASE WHEN s_suppkey % 50 < 10 THEN 'tests/' ELSE 'src/' END, 'f', CAST(s_suppkey % 50 AS VARCHAR(9)), '.py') AS path, CAST(s_suppkey * 3 % 400 + 1 AS BIGINT) AS lo, CAST(s_suppkey * 3 % 400 + 9 AS BIGINT) AS hi FROM supplier"""
 # Part to supplier: suppliers have no outgoing edge, so their rank is handed back.
@@ -48,10 +46,6 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark, sf_dir, CALLS, "lineitem")
 
 
-def all_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived(spark, sf_dir, ALL_CALLS, "lineitem")
-
-
 def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark, sf_dir, RANGES, "supplier")
 
@@ -61,8 +55,14 @@ def supply(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def follows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Consecutive purchases; the order is total, so the window has one partition: a log is cut by day before this at scale."""
-    return derived(spark, sf_dir, FOLLOWS, "events")
+    """Consecutive purchases. The order is total: each hour is ordered by itself, and its last purchase is followed by the first of the next hour that has one."""
+    e = table(spark, sf_dir, "events").where("event_type = 'purchase'").select("ts", "event_id", "user_id", F.date_trunc("hour", "ts").alias("hour"))
+    inside = e.select("hour", F.col("user_id").alias("src"), F.lead("user_id").over(Window.partitionBy("hour").orderBy("ts", "event_id")).alias("dst"))
+    first = e.groupBy("hour").agg(F.min_by("user_id", F.struct("ts", "event_id")).alias("first"))
+    # One row for each hour is all that the window over hours orders.
+    nxt = first.select("hour", F.lead("first").over(Window.orderBy("hour")).alias("next"))
+    out = inside.join(nxt, "hour").select("src", F.coalesce("dst", "next").alias("dst"))
+    return out.where("dst is not null and src <> dst").distinct()
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:

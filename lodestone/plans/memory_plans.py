@@ -159,34 +159,22 @@ def simhash(spark, sf_dir):
     return h.select("item_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("simhash"))
 
 
-@query("simhash_dups", _SIM.replace("benchmark WHERE text IS NOT NULL", "(SELECT doc_id AS item_id, text FROM documents WHERE text IS NOT NULL AND doc_id % 4 = 0)") + """, c AS (SELECT h, min(item_id) AS rep FROM s GROUP BY h) SELECT x.rep AS a, y.rep AS b, CAST(bit_count(xor(x.h, y.h)) AS INTEGER) AS distance FROM c x JOIN c y ON x.rep < y.rep AND bit_count(xor(x.h, y.h)) <= 3""")
+@query("simhash_dups", _SIM.replace("benchmark WHERE text IS NOT NULL", "(SELECT doc_id AS item_id, text FROM documents WHERE text IS NOT NULL)") + """, c AS (SELECT h, min(item_id) AS rep FROM s GROUP BY h) SELECT x.rep AS a, y.rep AS b, CAST(bit_count(xor(x.h, y.h)) AS INTEGER) AS distance FROM c x JOIN c y ON x.rep < y.rep AND bit_count(xor(x.h, y.h)) <= 3""")
 def simhash_dups(spark, sf_dir):
-    return _near_hashes(table(spark, sf_dir, "documents").where("text is not null and doc_id % 4 = 0"))
+    return memory.simhash_pairs(memory.simhash(table(spark, sf_dir, "documents").where("text is not null"), "doc_id", "text"), "doc_id")
 
 
-@query("simhash_dups_whole")
-def simhash_dups_whole(spark, sf_dir):
-    return _near_hashes(table(spark, sf_dir, "documents").where("text is not null"))
-
-
-def _near_hashes(docs):
-    return memory.simhash_pairs(memory.simhash(docs, "doc_id", "text"), "doc_id")
-
-
-@query("cosine_dedup_class", """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL), p AS (SELECT a.vec_id AS id, b.vec_id AS o, round(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 6) AS s FROM (SELECT * FROM v WHERE vec_id % 10 = 3) a, v b WHERE a.vec_id <> b.vec_id)
-    SELECT id, CASE WHEN s >= 0.92 THEN 'duplicate' WHEN s >= 0.8 THEN 'consolidate' ELSE 'novel' END AS status, CASE WHEN s >= 0.8 THEN o END AS matched, s AS similarity FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, o) = 1""")
+@query("cosine_dedup_class", _SIM.replace("benchmark WHERE text IS NOT NULL", "(SELECT doc_id AS item_id, text FROM documents WHERE text IS NOT NULL AND doc_id IN (SELECT vec_id FROM embeddings))") + """, v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, h FROM embeddings LEFT JOIN s ON item_id = vec_id WHERE embedding IS NOT NULL),
+    p AS (SELECT a.vec_id AS id, b.vec_id AS o, round(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 6) AS s, bit_count(xor(a.h, b.h)) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+    n AS (SELECT id, min(o) FILTER (d <= 3) AS near, max(s) AS s, arg_min(d, o) FILTER (d <= 3) AS d FROM p GROUP BY id), k AS (SELECT id, min(o) AS o FROM p JOIN n USING (id) WHERE p.s = n.s GROUP BY id)
+    SELECT id, CASE WHEN near IS NOT NULL OR s >= 0.92 THEN 'duplicate' WHEN s >= 0.8 THEN 'consolidate' ELSE 'novel' END AS status, CASE WHEN near IS NOT NULL THEN near WHEN s >= 0.8 THEN o ELSE -1 END AS matched,
+      CASE WHEN near IS NOT NULL THEN 1 - d / 64.0::DOUBLE ELSE s END AS similarity, CASE WHEN near IS NOT NULL THEN 'simhash' ELSE 'cosine' END AS stage FROM n JOIN k USING (id)""")
 def cosine_dedup_class(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").where("embedding is not null").select(F.col("vec_id").alias("id"), F.lit(None).cast("long").alias("simhash"), F.col("embedding").alias("vector"))
-    return memory.classify_notes(e.where("id % 10 = 3"), e).select("id", "status", "matched", "similarity")
-
-
-@query("cosine_dedup_class_whole")
-def cosine_dedup_class_whole(spark, sf_dir):
-    """Every vector against all others, after the simhash of its document's text where it has one."""
+    """Every vector against all others, after the simhash of its document's text where it has one; -1 where nothing matches."""
     h = memory.simhash(table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("id"), "text"), "id", "text")
     e = table(spark, sf_dir, "embeddings").where("embedding is not null").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     notes = materialize(e.join(h, "id", "left").select("id", "simhash", "vector"), "notes")  # read once for each block
-    return memory.classify_notes(notes, notes).select("id", "status", "matched", "similarity", "stage")
+    return memory.classify_notes(notes, notes).select("id", "status", F.coalesce("matched", F.lit(-1)).alias("matched"), "similarity", "stage")
 
 
 _MEM = "SELECT p_partkey AS id, p_name AS content, CASE WHEN p_partkey % 3 = 0 THEN 'global' ELSE 'local' END AS scope, p_size / 50.0 AS utility FROM part"

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import classify as C
 from ..functions import text as T
 from ..operators import graph, intervals, lexical, ranking, resolve, vectors
-from .fixtures import CALLS, FILES, FOLLOWS, RANGES, SUPPLY, SYMBOLS, all_calls, calls, event_log, files, follows, ranges, supply, symbols
+from ..storage import materialize
+from .fixtures import CALLS, FILES, FOLLOWS, RANGES, SUPPLY, SYMBOLS, calls, event_log, files, follows, ranges, supply, symbols
 from .registry import query, table
 from .text_plans import TRACE
 
@@ -15,34 +16,32 @@ _WORDS = "list_filter(string_split_regex(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), la
 _W = _WORDS.format(x="text")
 
 
-def _index(spark, sf_dir, name_col=None):
-    return lexical.build_index(files(spark, sf_dir), "doc_id", "text", name_col)
+_INDEXES: dict[tuple, lexical.Index] = {}
 
 
-def _asked(spark, sf_dir, most: int, chars: int | None = None):
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.slice(lexical.words(F.col("text")), 1, most)).alias("term"))
-    return b.withColumn("term", F.substring("term", 1, chars)) if chars else b
+def _index(spark, sf_dir, name_col=None):
+    """The index of the documents: written once in a session and read by every batch of queries."""
+    key = (spark.sparkContext.applicationId, sf_dir, name_col)
+    if key not in _INDEXES:
+        made = lexical.build_index(files(spark, sf_dir), "doc_id", "text", name_col)
+        _INDEXES[key] = lexical.Index(materialize(made.postings, "postings"), materialize(made.lengths, "lengths"))
+    return _INDEXES[key]
 
 
-def _asked_whole(spark, sf_dir):
+def _asked(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(lexical.words(F.col("text"))).alias("term"))
 
 
 _BM25 = f"""tok AS (SELECT doc_id, unnest({_W}) AS term FROM documents), dl AS (SELECT doc_id, coalesce(len({_W}), 0) AS dl FROM documents), tf AS (SELECT term, doc_id, count(*) AS tf FROM tok GROUP BY ALL),
     n AS (SELECT term, count(*) AS n FROM tf GROUP BY term), st AS (SELECT count(*) AS nn, avg(dl) AS avgdl FROM dl),
-    bq AS (SELECT DISTINCT query_id, term FROM (SELECT item_id AS query_id, unnest(list_slice({_W}, 1, 6)) AS term FROM benchmark)),
+    bq AS (SELECT DISTINCT query_id, term FROM (SELECT item_id AS query_id, unnest({_W}) AS term FROM benchmark)),
     sc AS (SELECT query_id, doc_id, round(sum(greatest(1e-6, ln((nn - n + 0.5) / (n + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM bq JOIN tf USING (term) JOIN n USING (term) JOIN dl USING (doc_id), st GROUP BY ALL),
     lex AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc)"""
 
 
 @query("bm25_exact", f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM lex WHERE rank <= 10")
 def bm25_exact(spark, sf_dir):
-    return lexical.bm25(_asked(spark, sf_dir, 6), _index(spark, sf_dir), 10)
-
-
-@query("bm25_exact_whole")
-def bm25_exact_whole(spark, sf_dir):
-    return lexical.bm25(_asked_whole(spark, sf_dir), _index(spark, sf_dir), 10)
+    return lexical.bm25(_asked(spark, sf_dir), _index(spark, sf_dir), 10)
 
 
 _NAME_W = _WORDS.format(x="path")
@@ -52,19 +51,14 @@ _NAME_W = _WORDS.format(x="path")
     "bm25_topk",
     f"""WITH f AS ({FILES}), tok AS (SELECT doc_id, unnest({_W}) AS term, 1 AS body FROM f UNION ALL SELECT doc_id, unnest({_NAME_W}), 0 FROM f), dl AS (SELECT doc_id, coalesce(len({_W}), 0) + len({_NAME_W}) AS dl FROM f),
     tf AS (SELECT term, doc_id, count(*) AS tf, sum(body) AS tf_body FROM tok GROUP BY ALL), st AS (SELECT count(*) AS nn, avg(dl) AS avgdl FROM dl),
-    q AS (SELECT DISTINCT query_id, substr(term, 1, 4) AS prefix FROM (SELECT item_id AS query_id, unnest(list_slice({_W}, 1, 3)) AS term FROM benchmark) WHERE length(substr(term, 1, 4)) >= 2),
+    q AS (SELECT DISTINCT query_id, term AS prefix FROM (SELECT item_id AS query_id, unnest({_W}) AS term FROM benchmark) WHERE length(term) >= 2),
     g AS (SELECT DISTINCT term, prefix FROM (SELECT DISTINCT prefix FROM q) JOIN (SELECT DISTINCT term FROM tf) ON starts_with(term, prefix)), ph AS (SELECT prefix, doc_id, sum(tf) AS a, sum(tf_body) AS b FROM tf JOIN g USING (term) GROUP BY ALL),
     e AS (SELECT prefix, doc_id, 'all' AS p, a AS tf FROM ph UNION ALL SELECT prefix, doc_id, 'body', b FROM ph WHERE b > 0), n AS (SELECT prefix, p, count(*) AS n FROM e GROUP BY ALL),
     sc AS (SELECT query_id, doc_id, round(sum(greatest(1e-6, ln((nn - n + 0.5) / (n + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM q JOIN e USING (prefix) JOIN n USING (prefix, p) JOIN dl USING (doc_id), st GROUP BY ALL)
     SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE rank <= 20""",
 )
 def bm25_topk(spark, sf_dir):
-    return lexical.bm25_prefix(_asked(spark, sf_dir, 3, 4), _index(spark, sf_dir, "path"), 20)
-
-
-@query("bm25_topk_whole")
-def bm25_topk_whole(spark, sf_dir):
-    return lexical.bm25_prefix(_asked_whole(spark, sf_dir), _index(spark, sf_dir, "path"), 20)
+    return lexical.bm25_prefix(_asked(spark, sf_dir), _index(spark, sf_dir, "path"), 20)
 
 
 def _cos(a: str, b: str) -> str:
@@ -142,31 +136,22 @@ def honest_empty(spark, sf_dir):
 
 _HYBRID = f"""WITH {_BM25}, {_VEC}, l AS (SELECT query_id, doc_id AS symbol_id, rank - 1 AS lexical_rank FROM lex WHERE rank <= 50), s AS (SELECT query_id, vec_id AS symbol_id, rank - 1 AS semantic_rank FROM (SELECT a.vec_id AS query_id, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_cos("a.e", "b.e")}, 6) DESC, b.vec_id) AS rank FROM (SELECT * FROM v WHERE vec_id IN (SELECT item_id FROM benchmark)) a, v b) WHERE rank <= 50),
     m AS (SELECT query_id, symbol_id, lexical_rank, semantic_rank FROM l FULL JOIN s USING (query_id, symbol_id)), f AS ({FILES}), c AS (SELECT m.*, CAST(NULL AS INTEGER) AS distance, false AS is_target, path AS name, path FROM m JOIN f ON f.doc_id = m.symbol_id),
-    q AS (SELECT item_id AS query_id, substr(text, 1, 60) AS query, 'architecture' AS intent FROM benchmark), h AS (SELECT doc_id AS hub_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS hub_rank, 0.0::DOUBLE AS pagerank FROM documents QUALIFY hub_rank < 200), z AS ({fuse_sql('c', 'q', 'h')})
+    q AS (SELECT item_id AS query_id, text AS query, 'architecture' AS intent FROM benchmark), h AS (SELECT doc_id AS hub_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS hub_rank, 0.0::DOUBLE AS pagerank FROM documents QUALIFY hub_rank < 200), z AS ({fuse_sql('c', 'q', 'h')})
     SELECT query_id, symbol_id, score, rank FROM (SELECT query_id, symbol_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, symbol_id) AS rank FROM z) WHERE rank <= 10"""
 
 
 @query("hybrid_search", _HYBRID)
 def hybrid_search(spark, sf_dir):
     """Text and vector candidates of every benchmark item fused with hubs: the engine's main query, as one plan for all items."""
-    return _hybrid(spark, sf_dir, _asked(spark, sf_dir, 6), F.substring("text", 1, 60))
-
-
-@query("hybrid_search_whole")
-def hybrid_search_whole(spark, sf_dir):
-    return _hybrid(spark, sf_dir, _asked_whole(spark, sf_dir), F.col("text"))
-
-
-def _hybrid(spark, sf_dir, asked_words, asked_text):
     from pyspark.sql import Window
 
     docs, e, bench = files(spark, sf_dir), table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "benchmark")
-    lex = lexical.bm25(asked_words, _index(spark, sf_dir), 50).select("query_id", F.col("doc_id").alias("symbol_id"), (F.col("rank") - 1).alias("lexical_rank"))
+    lex = lexical.bm25(_asked(spark, sf_dir), _index(spark, sf_dir), 50).select("query_id", F.col("doc_id").alias("symbol_id"), (F.col("rank") - 1).alias("lexical_rank"))
     asked = e.join(bench.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "embedding")
     sem = vectors.topk(asked, e, 50).select("query_id", F.col("vec_id").alias("symbol_id"), (F.col("rank") - 1).alias("semantic_rank"))
     none = lex.where("false").select("query_id", "symbol_id", F.lit(None).cast("int").alias("distance"))
     c = ranking.merge_candidates(lex, sem, none).join(docs.select(F.col("doc_id").alias("symbol_id"), F.col("path").alias("name"), "path"), "symbol_id").withColumn("is_target", F.lit(False))
-    q = bench.select(F.col("item_id").alias("query_id"), asked_text.alias("query"), F.lit("architecture").alias("intent"))
+    q = bench.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.lit("architecture").alias("intent"))
     top = table(spark, sf_dir, "documents").select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(200)
     hubs = top.select(F.col("doc_id").alias("symbol_id"), (F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id")) - 1).alias("hub_rank"), F.lit(0.0).alias("pagerank"))
     s = ranking.fuse(c, q, hubs).withColumn("score", F.round("score", 6))
@@ -191,9 +176,9 @@ def _hops(edges: str, seeds: str, depth: int, direction: str) -> str:
 _SEEDS = "SELECT DISTINCT src AS seed FROM ({e}) WHERE src % 90 = 7"
 
 
-def _khop(direction: str, depth: int, called=calls):
+def _khop(direction: str, depth: int):
     def run(spark, sf_dir):
-        e = called(spark, sf_dir)
+        e = calls(spark, sf_dir)
         return graph.neighbourhood(e, e.where("src % 90 = 7").select(F.col("src").alias("seed")), depth, direction)
 
     return run
@@ -201,7 +186,6 @@ def _khop(direction: str, depth: int, called=calls):
 
 for _name, _dir, _depth in (("khop_down", "down", 3), ("khop_up", "up", 2), ("khop_both", "both", 2)):
     query(_name, _hops(CALLS, _SEEDS.format(e=CALLS), _depth, _dir))(_khop(_dir, _depth))
-    query(_name + "_whole")(_khop(_dir, _depth, all_calls))
 
 
 @query("khop_multiseed", f"SELECT node, min(distance) AS distance FROM ({_hops(CALLS, _SEEDS.format(e=CALLS), 2, 'both')}) GROUP BY node")
@@ -209,21 +193,11 @@ def khop_multiseed(spark, sf_dir):
     return _khop("both", 2)(spark, sf_dir).groupBy("node").agg(F.min("distance").alias("distance"))
 
 
-@query("khop_multiseed_whole")
-def khop_multiseed_whole(spark, sf_dir):
-    return _khop("both", 2, all_calls)(spark, sf_dir).groupBy("node").agg(F.min("distance").alias("distance"))
-
-
 @query("khop_nearest", f"SELECT seed, node, distance FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY distance, node) AS rn FROM ({_hops(CALLS, _SEEDS.format(e=CALLS), 2, 'both')})) WHERE rn <= 50")
 def khop_nearest(spark, sf_dir):
     return graph.nearest(_khop("both", 2)(spark, sf_dir), 50)
 
 
-@query("khop_nearest_whole")
-def khop_nearest_whole(spark, sf_dir):
-    return graph.nearest(_khop("both", 2, all_calls)(spark, sf_dir), 50)
-
-
 @query("graph_degrees", f"WITH e AS ({SUPPLY}) SELECT node, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree, sum(o) = 0 AS dangling FROM (SELECT src AS node, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e) GROUP BY node")
 def graph_degrees(spark, sf_dir):
     return graph.degrees(supply(spark, sf_dir))
@@ -262,8 +236,8 @@ _TOUCHED = f"WITH s AS ({SYMBOLS}), r AS ({RANGES}), e AS ({CALLS}), t AS (SELEC
 _CALLERS = _TOUCHED + ", c AS (SELECT name, path, min(symbol_id) AS symbol_id FROM s WHERE symbol_id IN (SELECT src FROM e WHERE dst IN (SELECT symbol_id FROM t)) GROUP BY name, path) SELECT name, path, symbol_id FROM c WHERE {not_}contains(lower(path), 'test')"
 
 
-def _impact(spark, sf_dir, called=calls):
-    return intervals.impact(symbols(spark, sf_dir), called(spark, sf_dir), ranges(spark, sf_dir))
+def _impact(spark, sf_dir):
+    return intervals.impact(symbols(spark, sf_dir), calls(spark, sf_dir), ranges(spark, sf_dir))
 
 
 @query("blast_touched", _TOUCHED + " SELECT symbol_id FROM t")
@@ -276,22 +250,12 @@ def blast_callers(spark, sf_dir):
     return _impact(spark, sf_dir)[1].select("name", "path", "symbol_id")
 
 
-@query("blast_callers_whole")
-def blast_callers_whole(spark, sf_dir):
-    return _impact(spark, sf_dir, all_calls)[1].select("name", "path", "symbol_id")
-
-
 @query("blast_tests", _CALLERS.format(not_=""))
 def blast_tests(spark, sf_dir):
     return _impact(spark, sf_dir)[2].select("name", "path", "symbol_id")
 
 
-@query("blast_tests_whole")
-def blast_tests_whole(spark, sf_dir):
-    return _impact(spark, sf_dir, all_calls)[2].select("name", "path", "symbol_id")
-
-
-_FRAMES = "SELECT event_id AS frame_id, concat('src/f', CAST(event_id % 50 AS VARCHAR(9)), '.py') AS path, k * 7 AS line FROM (SELECT event_id, CAST({k} AS BIGINT) AS k FROM events) WHERE event_id % 10 = 3"
+_FRAMES = "SELECT event_id AS frame_id, concat('src/f', CAST(event_id % 50 AS VARCHAR(9)), '.py') AS path, k * 7 AS line FROM (SELECT event_id, CAST({k} AS BIGINT) AS k FROM events)"
 
 
 @query("stack_trace_targets", f"""WITH s AS ({SYMBOLS}), f AS ({_FRAMES.format(k="props ->> '$.k'")}), h AS (SELECT frame_id, symbol_id, 'line' AS kind_of_hit FROM f JOIN s ON s.path = f.path AND line BETWEEN start_line AND end_line)
@@ -303,14 +267,6 @@ def stack_trace_targets(spark, sf_dir):
     return intervals.enclosing(frames, symbols(spark, sf_dir))
 
 
-@query("stack_trace_targets_whole")
-def stack_trace_targets_whole(spark, sf_dir):
-    k = F.get_json_object("props", "$.k").cast("long")
-    path = F.concat(F.lit("src/f"), (F.col("event_id") % 50).cast("string"), F.lit(".py"))
-    frames = table(spark, sf_dir, "events").select(F.col("event_id").alias("frame_id"), path.alias("path"), (k * 7).alias("line"))
-    return intervals.enclosing(frames, symbols(spark, sf_dir))
-
-
 @query("line_in_symbol", f"SELECT symbol_id FROM ({SYMBOLS}) WHERE path = 'src/f17.py' AND 40 BETWEEN start_line AND end_line")
 def line_in_symbol(spark, sf_dir):
     return symbols(spark, sf_dir).where((F.col("path") == "src/f17.py") & F.lit(40).between(F.col("start_line"), F.col("end_line"))).select("symbol_id")
@@ -326,13 +282,6 @@ def test_recommend(spark, sf_dir):
     return intervals.recommended_tests(ranges(spark, sf_dir), derived(spark, sf_dir, _PATHS, "part"), _impact(spark, sf_dir)[2])
 
 
-@query("test_recommend_whole")
-def test_recommend_whole(spark, sf_dir):
-    from .fixtures import derived
-
-    return intervals.recommended_tests(ranges(spark, sf_dir), derived(spark, sf_dir, _PATHS, "part"), _impact(spark, sf_dir, all_calls)[2])
-
-
 @query("symbols_files", f"WITH s AS ({SYMBOLS}) SELECT symbol_id, name, s.path, n FROM s JOIN (SELECT path, count(*) AS n FROM s GROUP BY path) f ON s.path = f.path")
 def symbols_files(spark, sf_dir):
     s = symbols(spark, sf_dir)
@@ -345,18 +294,8 @@ def callees_callers(spark, sf_dir):
     return resolve.file_neighbours(symbols(spark, sf_dir), calls(spark, sf_dir), 30)
 
 
-@query("callees_callers_whole")
-def callees_callers_whole(spark, sf_dir):
-    return resolve.file_neighbours(symbols(spark, sf_dir), all_calls(spark, sf_dir), 30)
-
-
-@query("ambiguous_names", f"SELECT name, count(DISTINCT path) AS n, string_agg(DISTINCT path, ',' ORDER BY path) AS paths FROM ({SYMBOLS}) WHERE start_line < 50 GROUP BY name HAVING count(DISTINCT path) > 1")
+@query("ambiguous_names", f"SELECT name, count(DISTINCT path) AS n, string_agg(DISTINCT path, ',' ORDER BY path) AS paths FROM ({SYMBOLS}) GROUP BY name HAVING count(DISTINCT path) > 1")
 def ambiguous_names(spark, sf_dir):
-    return resolve.ambiguous(symbols(spark, sf_dir).where("start_line < 50"))
-
-
-@query("ambiguous_names_whole")
-def ambiguous_names_whole(spark, sf_dir):
     return resolve.ambiguous(symbols(spark, sf_dir))
 
 
@@ -384,8 +323,8 @@ def stdlib_filter(spark, sf_dir):
     return resolve.without_stdlib(derived(spark, sf_dir, _MODULES, "part"), "module")
 
 
-_IMPORT_FILES = "SELECT DISTINCT concat(CASE WHEN p_partkey % 3 = 0 THEN 'src/' ELSE '' END, 'app/m', CAST(p_partkey % 40 AS VARCHAR(9)), '.py') AS path FROM part WHERE p_partkey < 200"
-_IMPORTS = """SELECT DISTINCT 'app/main.py' AS importer, CASE p_partkey % 4 WHEN 0 THEN concat('app.m', CAST(p_partkey % 60 AS VARCHAR(9))) WHEN 1 THEN concat('.m', CAST(p_partkey % 60 AS VARCHAR(9))) WHEN 2 THEN concat('./m', CAST(p_partkey % 60 AS VARCHAR(9))) ELSE 'json' END AS module FROM part WHERE p_partkey < 200"""
+_IMPORT_FILES = "SELECT DISTINCT concat(CASE WHEN p_partkey % 3 = 0 THEN 'src/' ELSE '' END, 'app/m', CAST(p_partkey % 40 AS VARCHAR(9)), '.py') AS path FROM part"
+_IMPORTS = """SELECT DISTINCT 'app/main.py' AS importer, CASE p_partkey % 4 WHEN 0 THEN concat('app.m', CAST(p_partkey % 60 AS VARCHAR(9))) WHEN 1 THEN concat('.m', CAST(p_partkey % 60 AS VARCHAR(9))) WHEN 2 THEN concat('./m', CAST(p_partkey % 60 AS VARCHAR(9))) ELSE 'json' END AS module FROM part"""
 
 
 @query("edge_resolve", f"""WITH f AS ({_IMPORT_FILES}), i AS ({_IMPORTS}), m AS (SELECT *, regexp_extract(module, 'm([0-9]+)$', 1) AS k FROM i WHERE module <> 'json'), c AS (SELECT module, importer, concat('app/m', k, '.py') AS a, concat('src/app/m', k, '.py') AS b, starts_with(module, 'app.') AS dotted FROM m)
@@ -397,14 +336,6 @@ def edge_resolve(spark, sf_dir):
     return resolve.resolve_imports(resolve.without_stdlib(i, "module"), f).select("importer", "module", "target")
 
 
-@query("edge_resolve_whole")
-def edge_resolve_whole(spark, sf_dir):
-    from .fixtures import derived
-
-    f, i = (derived(spark, sf_dir, x.removesuffix(" WHERE p_partkey < 200"), "part") for x in (_IMPORT_FILES, _IMPORTS))
-    return resolve.resolve_imports(resolve.without_stdlib(i, "module"), f).select("importer", "module", "target")
-
-
 @query("substring_search", "WITH r AS (SELECT conv_id, turn, text FROM conversations WHERE text IS NOT NULL ORDER BY conv_id DESC, turn DESC LIMIT 100) SELECT conv_id, turn FROM r WHERE contains(lower(text), 'the') OR contains(lower(text), 'eau') ORDER BY conv_id DESC, turn DESC LIMIT 5")
 def substring_search(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").where("text is not null")
@@ -421,18 +352,10 @@ def mentions_topk(spark, sf_dir):
     return rows.withColumn("rn", F.row_number().over(Window.partitionBy("word").orderBy(F.desc("doc_id")))).where("rn <= 5").select("word", "doc_id")
 
 
-@query("naive_hits", f"""WITH k AS (SELECT item_id, list_slice(list_filter(regexp_extract_all(lower(text), '[a-zA-Z0-9_\\-]+'), lambda w: length(w) >= 3), 1, 6) AS ks FROM benchmark WHERE text IS NOT NULL AND item_id < 20) SELECT item_id, doc_id, hits FROM (SELECT item_id, doc_id, CAST(len(list_filter(ks, lambda w: contains(t, w))) AS INTEGER) AS hits FROM k, (SELECT doc_id, lower(text) AS t FROM documents WHERE text IS NOT NULL)) WHERE hits > 0""")
+@query("naive_hits", f"""WITH k AS (SELECT item_id, list_slice(list_filter(regexp_extract_all(lower(text), '[a-zA-Z0-9_\\-]+'), lambda w: length(w) >= 3), 1, 6) AS ks FROM benchmark WHERE text IS NOT NULL) SELECT item_id, doc_id, hits FROM (SELECT item_id, doc_id, CAST(len(list_filter(ks, lambda w: contains(t, w))) AS INTEGER) AS hits FROM k, (SELECT doc_id, lower(text) AS t FROM documents WHERE text IS NOT NULL)) WHERE hits > 0""")
 def naive_hits(spark, sf_dir):
-    return _hits(spark, sf_dir, table(spark, sf_dir, "benchmark").where("text is not null and item_id < 20"))
-
-
-@query("naive_hits_whole")
-def naive_hits_whole(spark, sf_dir):
-    return _hits(spark, sf_dir, table(spark, sf_dir, "benchmark").where("text is not null"))
-
-
-def _hits(spark, sf_dir, items):
     from ..operators import evaluation
 
+    items = table(spark, sf_dir, "benchmark").where("text is not null")
     b = items.select(F.col("item_id"), F.slice(T.keywords(F.col("text"), ["-"]), 1, 6).alias("words"))
     return evaluation.naive_hits(b, table(spark, sf_dir, "documents"), "item_id")

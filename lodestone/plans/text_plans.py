@@ -175,17 +175,10 @@ TRACE = """concat('Traceback', chr(10), '  File "src/f', CAST(event_id % 50 AS V
 
 
 @query("stack_trace_parse", f"""SELECT event_id, regexp_extract(t, 'File\\s+"([^"]+)"', 1) AS file, CAST(regexp_extract(t, 'line\\s+(\\d+)', 1) AS INTEGER) AS line, nullif(regexp_extract(t, ', in ([a-zA-Z_]\\w*)', 1), '') AS func, CASE WHEN contains(t, 'ValueError') THEN 'ValueError' ELSE '' END AS exceptions
-    FROM (SELECT event_id, {TRACE} AS t FROM (SELECT event_id, CAST(props ->> '$.k' AS BIGINT) AS k FROM events) WHERE event_id % 10 < 5)""")
+    FROM (SELECT event_id, {TRACE} AS t FROM (SELECT event_id, CAST(props ->> '$.k' AS BIGINT) AS k FROM events))""")
 def stack_trace_parse(spark, sf_dir):
     from .fixtures import event_log
 
-    return _frames(event_log(spark, sf_dir).where("event_id % 10 < 5"))
-
-
-@query("stack_trace_parse_whole")
-def stack_trace_parse_whole(spark, sf_dir):
-    from .fixtures import event_log
-
     return _frames(event_log(spark, sf_dir))
 
 
@@ -266,18 +259,13 @@ def test_candidates(spark, sf_dir):
     return files(spark, sf_dir).select("doc_id", C.is_test(F.col("path"), name).alias("is_test"))
 
 
-_SECTIONS = """WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM (SELECT doc_id, string_split(concat('intro', chr(10), '# ', replace(text, '. ', concat(chr(10), '## '))), chr(10)) AS ls FROM documents WHERE text IS NOT NULL AND doc_id % 3 = 0)),
+_SECTIONS = """WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM (SELECT doc_id, string_split(concat('intro', chr(10), '# ', replace(text, '. ', concat(chr(10), '## '))), chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
     s AS (SELECT *, sum(CASE WHEN starts_with(line, '#') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS sec FROM l)
     SELECT doc_id, CAST(sec AS BIGINT) AS section, CAST(min(i) AS BIGINT) AS start_line, CAST(max(i) AS BIGINT) AS end_line, md5(string_agg(line, chr(10) ORDER BY i)) AS body FROM s GROUP BY doc_id, sec"""
 
 
 @query("doc_sections", _SECTIONS)
 def doc_sections(spark, sf_dir):
-    return _sectioned(table(spark, sf_dir, "documents").where("text is not null and doc_id % 3 = 0"))
-
-
-@query("doc_sections_whole")
-def doc_sections_whole(spark, sf_dir):
     return _sectioned(table(spark, sf_dir, "documents").where("text is not null"))
 
 
@@ -339,10 +327,10 @@ def row_hash(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", S.canonical_hash(size=F.col("p_size"), name=F.col("p_name"), brand=F.col("p_brand")).alias("h"))
 
 
-@query("doc_render", "SELECT doc_id, md5(concat_ws(chr(10), concat('# ', path), concat('**What it does:** ', substr(text, 1, 40)), CASE WHEN source = 'src0' THEN '**Recent changes:** many' END)) AS page FROM (" + FILES + ") WHERE text IS NOT NULL")
+@query("doc_render", "SELECT doc_id, md5(concat_ws(chr(10), concat('# ', path), concat('**What it does:** ', text), CASE WHEN source = 'src0' THEN '**Recent changes:** many' END)) AS page FROM (" + FILES + ") WHERE text IS NOT NULL")
 def doc_render(spark, sf_dir):
     f = files(spark, sf_dir).where("text is not null")
-    return f.select("doc_id", F.md5(S.render_page(F.col("path"), F.substring("text", 1, 40), F.when(F.col("source") == "src0", "many"))).alias("page"))
+    return f.select("doc_id", F.md5(S.render_page(F.col("path"), F.col("text"), F.when(F.col("source") == "src0", "many"))).alias("page"))
 
 
 @query("folder_summary", f"SELECT regexp_extract(path, '^[^/]+') AS folder, md5(string_agg(concat('- ', path), chr(10) ORDER BY path)) AS listing, count(*) AS n FROM ({FILES}) GROUP BY 1")
