@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..providers import PARSERS
+
 SYMBOLS = "path string, symbol_id string, name string, kind string, start_line int, end_line int, refs array<string>, doc boolean, body string"
 IMPORTS = "importer string, module string"
 
@@ -82,6 +84,8 @@ def _closing(lines: list[str], start: int) -> int:
 
 def symbols_of(text: str, language: str) -> list[dict]:
     try:
+        if language in PARSERS:
+            return PARSERS[language](text)[0]
         if language == "python":
             return python_symbols(text)
         return pattern_symbols(text, language) if _SAME.get(language, language) in _BRACE else []
@@ -91,6 +95,8 @@ def symbols_of(text: str, language: str) -> list[dict]:
 
 def imports_of(text: str, language: str) -> list[str]:
     try:
+        if language in PARSERS:
+            return PARSERS[language](text)[1]
         if language == "python":
             return python_imports(text)
         rules = _BRACE.get(_SAME.get(language, language), ((), ()))[1]

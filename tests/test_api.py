@@ -1,6 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
-from lodestone.api import OperationError, Workspace, envelope
+from lodestone.api import TOOLS, OperationError, Workspace, envelope, handle
 
 FILES = [
     ("app/auth.py", "from .store import Store\n\n\nclass Authenticator:\n    def login(self, user_id):\n        return Store().get_user(user_id)\n"),
@@ -54,6 +55,94 @@ def test_pack_and_hubs(ws):
     assert set(ws.session_preamble()) == {"counts", "checkpoint", "hubs", "lessons", "memories"}
 
 
+def test_pack_text(ws, spark, tmp_path):
+    blocks = ws.pack("login", 400).orderBy("position").collect()
+    assert [b["position"] for b in blocks] == list(range(len(blocks))) and blocks[0]["tier"] == 1 and "def login" in blocks[0]["text"]
+    assert {b["tier"] for b in ws.pack("login", 4_000).collect()} == {1, 2}
+    assert ws.pack("login", 90).agg({"used": "max"}).first()[0] <= 90
+    ws.log_decision("we chose tables because of speed TOKEN=abcdefgh", "ctx")
+    text = ws.pack_text("ADR tradeoff rationale of the login decision", 2_000, path=str(tmp_path / "out"))
+    assert "# Decisions" in text and "abcdefgh" not in text
+    assert "# Decisions" in "\n".join(r["value"] for r in spark.read.text(str(tmp_path / "out")).collect())
+
+
+def test_search_uses_vectors_and_neighbours(ws, spark):
+    batch = ws.search_batch(spark.createDataFrame([(1, "login"), (2, "getUser"), (3, "zzzqqq")], "query_id long, query string")).collect()
+    assert {r["query_id"] for r in batch} >= {1, 2}
+    assert {r["name"] for r in batch if r["query_id"] == 2} >= {"get_user", "login"}  # a caller comes along
+    assert any("semantic" in r["reason"] for r in batch) and any(r["reason"].startswith("structural") for r in batch)
+    seen = []
+    ws.on_trace = seen.append
+    ws.search("login"), ws.search("login")
+    ws.on_trace = None
+    assert seen[-1]["cached"] and ws.trace_latest()["elements"][0]["name"] == "login"
+
+
+def test_plug_ins(spark, tmp_path):
+    import numpy as np
+
+    from lodestone import providers
+    from lodestone.operators import parse
+
+    class Length:
+        name = "length"
+
+        def embed(self, texts):
+            return np.array([[len(t), 1.0] for t in texts], np.float32)
+
+    class Half:
+        def count(self, texts):
+            return [len(t) // 2 for t in texts]
+
+    w = Workspace(spark, str(tmp_path / "w"), embedder=Length(), counter=Half())
+    w.index(spark.createDataFrame([("a.py", "def f():\n    pass\n")], "path string, text string"))
+    assert w.table("embeddings").first()["model"] == "length"
+    assert [r["n"] for r in spark.createDataFrame([("abcd",), (None,)], "x string").select(providers.token_counts(F.col("x"), Half()).alias("n")).collect()] == [2, 0]
+    providers.register_parser("cobol", lambda t: ([{"name": "only", "kind": "program"}], ["other"]))
+    try:
+        assert parse.symbols_of("x", "cobol")[0]["name"] == "only" and parse.imports_of("x", "cobol") == ["other"]
+    finally:
+        del providers.PARSERS["cobol"]
+
+
+def test_envelope_and_handle(ws):
+    cut = envelope(ws.outline, "app/auth.py", rows=1)
+    assert cut["ok"] and len(cut["data"]) == 1 and cut["warnings"] and cut["dirty_tree"] is False
+    assert handle(ws, {"op": "ping"})["data"] == "pong" and not handle(ws, {"op": "_write"})["ok"]
+    assert handle(ws, {"op": "query", "args": {"query": "login"}})["data"][0]["name"] == "login"
+    assert all(callable(getattr(ws, t)) for t in TOOLS)
+    assert ws.selftest().where("not ok").count() == 0
+
+
+def test_one_write_path_redacts(ws):
+    ws.log_decision("password=hunter2hunter2", "API_KEY=abcdefg")
+    a = ws.submit_lesson("SECRET=topsecret", "TOKEN=abcdefg", [])
+    ws.create_checkpoint("PASSWORD=abcdefg", [], next_step="TOKEN=zzzzzzz", branch="other")
+    stored = "".join(str(r) for n in ("decisions", "lessons", "checkpoints") for r in ws.log(n).collect())
+    assert not any(x in stored for x in ("hunter2", "abcdefg", "topsecret", "zzzzzzz"))
+    with pytest.raises(OperationError):
+        ws.log_decision("a\x00b")
+    ws.reject_lesson(a)
+    assert ws.lessons("rejected").count() == 1
+
+
+def test_updates_keep_what_they_should(ws):
+    a = ws.remember("one", key="same")
+    ws.cite(a, "helpful")
+    assert ws.remember("two", key="same") == a
+    assert ws.utilities().where(F.col("id") == a).first()["citation_count"] == 1
+    before = ws.compact("memories")
+    assert before > 1 and ws.compact("memories") == 1 and ws.memories().where("context_key = 'same'").first()["payload"] == "two"
+    ws.forget("same")
+
+
+def test_ties_in_time_keep_the_order_of_writes(ws):
+    for i in range(4):
+        ws.remember(f"n{i}", key=f"tie{i}")
+        ws.forget(f"tie{i}")
+    assert ws.memories().where("context_key like 'tie%'").count() == 0
+
+
 def test_memory(ws):
     ws.remember("first note about tokens API_KEY=abcdef", key="k")
     ws.remember("second note", key="k")
@@ -102,6 +191,33 @@ def test_sync_and_rollback(ws, spark):
     ws.clock = clock
 
 
+def test_incremental_sync_equals_a_full_index(spark, tmp_path):
+    schema = "path string, text string"
+    a, b = Workspace(spark, str(tmp_path / "a")), Workspace(spark, str(tmp_path / "b"))
+    a.index(spark.createDataFrame(FILES, schema))
+    changed = [FILES[0], ("app/shop.py", FILES[1][1]), (FILES[2][0], FILES[2][1] + "\n\ndef extra():\n    return run()\n"), ("app/new.py", "from app.auth import Authenticator\n\n\ndef fresh():\n    return Authenticator()\n")]
+    kinds = {(r["path"], r["change"], r["old_path"]) for r in a.sync(spark.createDataFrame(changed, schema)).collect()}
+    assert kinds == {("app/shop.py", "R", "app/store.py"), ("app/main.py", "M", None), ("app/new.py", "A", None), ("tests/test_auth.py", "D", None)}
+    b.index(spark.createDataFrame(changed, schema))
+    for t in ("symbols", "imports", "edges", "postings", "lengths", "embeddings"):
+        x, y = (sorted(map(str, w.table(t).collect())) for w in (a, b))
+        assert x == y, t
+    assert a.sync(spark.createDataFrame(changed, schema)).count() == 0
+    with pytest.raises(OperationError):
+        a.index(spark.createDataFrame(changed, schema), in_progress="merge")
+    assert len(a.vacuum()) == 1 and a.doctor().where("not ok").count() == 0 and a.repair() == a.status().first()["snapshot"]
+    a.wipe(True)
+    assert a.status().count() == 0
+
+
+def test_evaluation(ws, spark):
+    q = spark.createDataFrame([(1, "login", "app/auth.py"), (2, "get user", "app/store.py")], "query_id long, query string, path string")
+    assert ws.bench(q).agg({"recall_5": "min"}).first()[0] == 1.0
+    rows = ws.compare(q, (50, 4_000)).collect()
+    assert {(r["query_id"], r["budget"]) for r in rows} == {(i, b) for i in (1, 2) for b in (50, 4_000)}
+    assert all(r["recall"] == 1.0 for r in rows if r["budget"] == 4_000) and all(r["tokens"] <= r["budget"] for r in rows)
+
+
 def test_pages_commits_and_integrity(ws, spark):
     assert ws.generate_pages().count() == len(FILES) and ws.generate_pages().count() == 0
     assert ws.search_pages("authenticator").first()["path"] == "app/auth.py"

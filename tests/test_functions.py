@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import classify as C
+from lodestone.functions import facts as K
 from lodestone.functions import text as T
 
 
@@ -60,3 +61,40 @@ def test_conflicts_and_syllables(spark):
     assert one(spark, "a\n<<<<<<< HEAD\nb", T.has_conflict_markers)
     assert not one(spark, "a <<<<<<< HEAD", T.has_conflict_markers)
     assert [one(spark, w, T.syllables) for w in ("make", "table", "the", "banana", "")] == [1, 2, 1, 3, 0]
+
+
+@pytest.mark.parametrize("path, text, want", [
+    ("Dockerfile", "FROM python:3 AS base\nENV A=1\nEXPOSE 80/tcp\nCMD run\n", {("base", "python:3"), ("stage", "base"), ("env", "A"), ("port", "80/tcp"), ("command", "CMD run")}),
+    ("Makefile", "CC = gcc\nall: x\n\tgcc\n", {("target", "all"), ("variable", "CC")}),
+    (".env", "A=1\nexport B=2\n# C=3\n", {("variable", "A"), ("variable", "B")}),
+    ("ci.yml", "name: x\njobs:\n  build:\n    steps:\n      - uses: a/b@v1\n", {("key", "name"), ("key", "jobs"), ("job", "build"), ("uses", "a/b@v1")}),
+    ("p.toml", "[project]\nname = \"x\"\n", {("table", "project"), ("key", "name")}),
+    ("x.json", '{"a": 1, "b": [2]}', {("key", "a"), ("key", "b")}),
+    ("s.sql", "CREATE TABLE IF NOT EXISTS t (x int);\ncreate index i on t(x);", {("table", "t"), ("index", "i")}),
+    ("a.md", "# Top\n- item `code`\nsee https://x.org/y", {("heading", "Top"), ("item", "item `code`"), ("code", "code"), ("link", "https://x.org/y")}),
+    ("tests/test_a.py", "from app import x\n\ndef test_one():\n    pass\n", {("case", "test_one"), ("imports", "app")}),
+    ("run.sh", "#!/bin/sh\nX=1\ngo() {\n  ls\n}\ngit pull\n", {("interpreter", "/bin/sh"), ("function", "go"), ("variable", "X"), ("command", "git")}),
+    ("a.py", "import os\nMAX_N = 3\nclass A:\n    pass\ndef f():\n    pass\n", {("imports", "os"), ("constant", "MAX_N"), ("class", "A"), ("function", "f")}),
+    ("AGENTS.md", "# Rules\n- Always test `x`\n- a note\n", {("heading", "Rules"), ("rule", "Always test `x`"), ("code", "x")}),
+    ("x.bin", "FROM x", set()), ("x.json", "no", set()), ("a.py", None, set()),
+])
+def test_facts(spark, path, text, want):
+    got = spark.createDataFrame([(path, text)], "path string, text string").select(K.facts(F.col("path"), F.col("text")).alias("f")).first()["f"]
+    assert {(x["label"], x["value"]) for x in got} == want
+
+
+@pytest.mark.parametrize("text, want", [("#!/bin/sh\n# one\n# two\n\n# three\n", "one two"), ("/* a\n * b\n */\nint x;", "a b"), ("// hi\nint x;", "hi"), ("x = 1\n# late", None), ("/* one line */\n// next", "one line next"), ("", None), (None, None)])
+def test_leading_comment(spark, text, want):
+    assert spark.createDataFrame([(text,)], "x string").select(K.leading_comment(F.col("x")).alias("y")).first()["y"] == want
+
+
+@pytest.mark.parametrize("text, want", [('# c\n"""Doc\nmore."""\nx', "Doc\nmore."), ("x = 1", None), ("'''one'''", "one")])
+def test_docstring(spark, text, want):
+    assert one(spark, text, K.docstring) == want
+
+
+def test_page_problems(spark):
+    page = "# a.py\n**What it does:** uses `f()` and `ghost`\n**Key parts**\n**Connects to:** b"
+    f = lambda x: K.page_problems(x, F.array(F.lit("f"), F.lit("g")), F.array(F.lit("src/a.py")))
+    assert one(spark, page, f) == ["empty section **Key parts**", "unevidenced ghost"]
+    assert one(spark, "# x\n**What it does:** nothing at all", f) == ["lacks specificity"]

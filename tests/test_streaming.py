@@ -55,3 +55,34 @@ def test_dispatch(spark, tmp_path):
 def test_relevant(spark):
     d = spark.createDataFrame([(".git/refs/x",), (".git/index",), ("a/node_modules/b",), ("src/x",)], "p string")
     assert {r["p"] for r in S.relevant(d, "p").collect()} == {".git/refs/x", "src/x"}
+
+
+def test_expiries(spark, tmp_path):
+    rows = [("a", 100, 200), ("b", 100, 5_000), ("a", 150, 400), ("c", 1_000, 9_000)]
+    d = spark.createDataFrame(rows, "k string, secs long, expires_at long").withColumn("ts", F.timestamp_seconds("secs"))
+    for secs in (100, 150, 1_000):
+        d.where(F.col("secs") == secs).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).withWatermark("ts", "1 second")
+    assert {(r["k"], r["expired_at"]) for r in drain(S.expiries(s, "k"), "append", "exp").collect()} == {("a", 400)}
+
+
+def test_worker(spark):
+    def handle(payload):
+        if payload == "bad":
+            raise ValueError(payload)
+
+    q = spark.createDataFrame([(1, "good", "pending", 0, None), (2, "bad", "pending", 0, None), (3, "bad", "pending", 2, 5), (4, "good", "pending", 0, 99), (5, "good", "failed", 3, None)], "task_id long, payload string, status string, attempts int, due long")
+    got = {r["task_id"]: (r["status"], r["attempts"], r["due"]) for r in S.worked_off(q, handle, 10).collect()}
+    assert got == {1: ("done", 0, None), 2: ("pending", 1, 12), 3: ("failed", 3, 18), 4: ("pending", 0, 99), 5: ("failed", 3, None)}
+
+
+def test_spaced_and_rows(spark):
+    now = [0.0]
+    slept = []
+
+    def sleep(x):
+        slept.append(x)
+        now[0] += x
+
+    assert list(S.spaced("abc", 2.0, lambda: now[0], sleep)) == ["a", "b", "c"] and slept == [2.0, 2.0]
+    assert sum(r["id"] for r in S.rows_of(spark.range(10))) == 45
