@@ -16,7 +16,8 @@ from lodestone.llm.queries import vocabulary
 
 #: A document goes when no language is determined, or none with at least this posterior.
 LEAST_POSTERIOR = 0.5
-BROADCAST_IDS = 2_000_000
+#: Rows to drop (16 bytes each) that are broadcast at most; more are joined by shuffle.
+BROADCAST_IDS = 500_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,12 +47,18 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources: a row for each pass that takes words of a document, its text cut to the words taken."""
+    """The mix of sources: a row for each pass that takes words of a document, its text cut to the words taken.
+
+    Documents without a word are in no mix; null is a source of its own; columns beside the text and ``n_chars`` are kept as they are.
+    """
     return mixing.mixed_texts(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens, a row for each piece of a document; a document mixed in twice is two documents here."""
+    """Sequences of at most 2048 tokens, a row for each piece of a document; a document mixed in twice is two documents here.
+
+    A null or empty text is its end id alone; null and repeated ids are rows like any other; other columns are not read.
+    """
     out = packing.pack(docs, vocabulary())
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 

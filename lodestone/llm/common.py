@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..storage import discard, materialize, scratch_path
 
-__all__ = ["HEAVY_LEAST", "HEAVY_NODES", "WORD_PATTERN", "connected_components", "discard", "join_skewed", "local_roots", "materialize", "scratch_path", "trim_memory"]
+__all__ = ["HEAVY_LEAST", "HEAVY_NODES", "WORD_PATTERN", "connected_components", "discard", "in_pieces", "join_skewed", "local_roots", "materialize", "scratch_path", "trim_memory"]
 
 #: The separators of words in every word-based operator here: space and the ASCII controls 9 to 13.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -31,6 +31,13 @@ def trim_memory() -> None:
         pass
 
 
+def in_pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows, so that what is worked out for one at a time stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def join_skewed(rows: DataFrame, keyed: DataFrame, on: list[str], heavy: Column, how: str = "inner") -> DataFrame:
     """``rows`` joined (inner or left_semi) with ``keyed``, which has each key once; rows of its ``heavy`` keys, a bounded number, are joined by broadcast and stay where they are."""
     hot = F.broadcast(keyed.where(heavy))

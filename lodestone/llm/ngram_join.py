@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, local_roots, materialize, trim_memory
+from .common import connected_components, in_pieces, local_roots, materialize, trim_memory
 
 WORDS, SIMILARITY = 5, 0.8
 TREES, DEPTH = 24, 6
@@ -89,7 +89,7 @@ def text_hash(text: Column) -> Column:
 
 def _sign(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_pieces(batches):
             sets = [shingles(t, words) for t in batch.column("text").to_pylist()]
             # Big-endian, so that the order of bytes is that of paths.
             sigs = [signature(s).astype(">u2").tobytes() if len(s) else bytes(2 * VALUES) for s in sets]

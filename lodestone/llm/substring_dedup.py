@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HEAVY_LEAST, HEAVY_NODES, discard, join_skewed, materialize, trim_memory
+from .common import HEAVY_LEAST, HEAVY_NODES, discard, in_pieces, join_skewed, materialize, trim_memory
 
 WINDOW = 35
 ANCHOR = 12
@@ -241,7 +241,7 @@ def repeated_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     row = f"id {id_type}, th long, start int"
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_pieces(batches):
             found = [runs_of(word_hashes(t), window) for t in batch.column("text").to_pylist()]
             if not found:
                 continue
