@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lodestone.llm import exact_dedup, language_id, mixing, ngram_join, packing
 from lodestone.llm.common import materialize
 from lodestone.llm.queries import vocabulary
+from lodestone.storage import discard, keep, scope
 
 #: A document goes when no language is determined, or none with at least this posterior.
 LEAST_POSTERIOR = 0.5
@@ -76,7 +77,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of ``sf_dir``. A stage's scratch tables go when its result is written, and that when the next one's is; the last stage is left to the caller."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scope(spark):
+            docs = keep(materialize(stage(spark, docs, sf_dir), f"stage-{name}"))
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

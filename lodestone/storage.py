@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,10 +31,40 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lodestone-{name}-{uuid.uuid4().hex}"
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that :func:`materialize` makes inside are deleted at the end, bar those given to :func:`keep`."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            _delete(spark, path)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Leave a table to the scope around the present one, if there is one."""
+    if _SCOPES and df.lodestone_path in _SCOPES[-1]:
+        _SCOPES[-1].remove(df.lodestone_path)
+        if len(_SCOPES) > 1:
+            _SCOPES[-2].append(df.lodestone_path)
+    return df
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: cuts lineage, survives lost executors, prunes columns."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back.lodestone_path = path
     return back
@@ -41,6 +73,4 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def discard(*frames: DataFrame) -> None:
     """Delete tables made by :func:`materialize` that no later plan reads."""
     for df in frames:
-        spark = df.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(df.lodestone_path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(df.sparkSession, df.lodestone_path)
