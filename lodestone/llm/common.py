@@ -20,6 +20,8 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 HEAVY_LEAST, HEAVY_NODES = 256, 4_000
 #: Edges (16 bytes each) from which least neighbours are joined by shuffle, not broadcast.
 BROADCAST_NODES = 200_000
+#: Edges that a contraction task takes, and the least number of its tasks.
+TASK_EDGES, LEAST_TASKS = 100_000, 8
 
 
 def trim_memory() -> None:
@@ -91,8 +93,9 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     edges are a table in the shared folder. Self loops and repeated edges are ignored; an empty input gives an empty result.
     """
 
-    def dealt(e: DataFrame) -> DataFrame:
-        return e.repartition("u").mapInArrow(_contract, "u long, v long")
+    def dealt(e: DataFrame, n: int) -> DataFrame:
+        # Few edges need few tasks; partitions are put together whole, so a node's edges stay in one.
+        return e.repartition("u").coalesce(max(LEAST_TASKS, n // TASK_EDGES)).mapInArrow(_contract, "u long, v long")
 
     def lifted(e: DataFrame, n: int) -> DataFrame:
         low = e.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("low"))
@@ -105,9 +108,9 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         return e.join(hot, F.col("v") == F.col("h")).select("u", to).unionByName(cold)
 
     ends = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    e, seen = _stamped(dealt(ends.mapInArrow(_contract, "u long, v long")))
+    e, seen = _stamped(dealt(ends.mapInArrow(_contract, "u long, v long"), edges.count()))
     while seen[0]:
-        nxt, now = _stamped(dealt(lifted(e, seen[0])))
+        nxt, now = _stamped(dealt(lifted(e, seen[0]), seen[0]))
         discard(e)
         e = nxt
         if now == seen:
