@@ -208,7 +208,7 @@ class Workspace:
         again = materialize(again.select(symbols.columns), "symbols")
         self._write(kept.unionByName(again), name, "symbols")
         imports = self._read(head, "imports")
-        moved_imports = imports.join(moved.withColumnRenamed("path", "importer"), "importer").select(F.col("to").alias("importer"), "module")
+        moved_imports = imports.join(moved.withColumnRenamed("path", "importer"), "importer").select(F.col("to").alias("importer"), "module", "name")
         self._write(imports.join(gone.withColumnRenamed("path", "importer"), "importer", "left_anti").unionByName(moved_imports).unionByName(parse.parse_imports(fresh)), name, "imports")
         self._index_symbols(again, name, (head, kept))
         self._publish(name, branch, commit)

@@ -46,7 +46,7 @@ def facts(path: Column, text: Column) -> Column:
     t = F.coalesce(text, F.lit(""))
 
     def found(label: str, pattern: str, group: int) -> Column:
-        values = F.filter(F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(group)), F.trim), lambda v: v != "")
+        values = F.filter(F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(group)), lambda v: F.trim(v)), lambda v: v != "")
         return F.transform(values, lambda v: F.struct(F.lit(label).alias("label"), v.alias("value")))
 
     keys = F.transform(F.coalesce(F.json_object_keys(t), F.array().cast("array<string>")), lambda v: F.struct(F.lit("key").alias("label"), v.alias("value")))
@@ -72,7 +72,7 @@ def docstring(text: Column) -> Column:
 
 def leading_comment(text: Column) -> Column:
     """The first block of ``#``, ``//`` or ``/* */`` comment among the first 40 lines, marks taken off and lines joined; null where code comes first. A ``#!`` line is passed over."""
-    lines = F.transform(F.slice(F.split(text, "\r?\n"), 1, 40), F.trim)
+    lines = F.transform(F.slice(F.split(text, "\r?\n"), 1, 40), lambda v: F.trim(v))
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("block"), F.lit(False).alias("done"))
 
     def step(acc: Column, line: Column) -> Column:
@@ -105,7 +105,7 @@ def page_problems(page: Column, symbols: Column, paths: Column) -> Column:
     found = F.regexp_extract_all(page, F.lit(head), F.lit(0))
     bodies = F.slice(F.split(page, head, -1), 2, F.greatest(F.size(found), F.lit(0)))
     empty = F.filter(F.arrays_zip(found.alias("h"), bodies.alias("b")), lambda x: ~x["b"].rlike(r"\S"))
-    spans = F.filter(F.transform(F.regexp_extract_all(page, F.lit("`([^`]+)`"), F.lit(1)), F.trim), lambda s: F.length(s) > 1)
+    spans = F.filter(F.transform(F.regexp_extract_all(page, F.lit("`([^`]+)`"), F.lit(1)), lambda v: F.trim(v)), lambda s: F.length(s) > 1)
     bare = lambda s: F.regexp_replace(s, r"[()]+$", "")
     known = lambda s: F.array_contains(symbols, bare(s)) | bare(s).isin(LANGUAGES) | F.exists(paths, lambda p: F.contains(p, bare(s)))
     unknown = F.filter(spans, lambda s: ~known(s) & ~s.rlike("[ =:]"))

@@ -201,3 +201,11 @@ def trace_exceptions(x: Column) -> Column:
 def normalized_tokens(x: Column) -> Column:
     """Lower-cased ASCII words of two characters or more, repeats kept."""
     return F.filter(F.split(F.lower(F.regexp_replace(x, r"[^a-zA-Z0-9\s]", " ")), r"\s+"), lambda w: F.length(w) >= 2)
+
+
+def retrieved_files(sources: Column, text: Column, trace: Column) -> Column:
+    """The files of an answer, each once in order of first mention: its sources, then the headers in its text, then its trace."""
+    none = F.array().cast("array<string>")
+    headers = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?m)^### File(?: skeleton)?: (.+)$"), F.lit(1)), lambda v: F.trim(v))
+    every = F.concat(F.coalesce(sources, none), headers, F.coalesce(trace, none))
+    return F.array_distinct(F.filter(every, lambda p: p.isNotNull() & (p != "")))

@@ -74,10 +74,11 @@ def pagerank(edges: DataFrame, personal: DataFrame | None = None, damping: float
         both = links.select("src", "dst", F.lit(None).cast("boolean").alias("chosen")).unionByName(nodes.select(F.col("node").alias("src"), F.lit(None).cast("string").alias("dst"), "chosen"))
 
         def rank(pdf: pd.DataFrame) -> pd.DataFrame:
-            vertices = pdf[pdf["dst"].isna()].sort_values("src")
+            vertices = pdf[pdf["dst"].isna()]
             e = pdf[pdf["dst"].notna()]
             names = vertices["src"].to_numpy()
-            src, dst = np.searchsorted(names, e["src"].to_numpy()), np.searchsorted(names, e["dst"].to_numpy())
+            index = pd.Index(names)
+            src, dst = index.get_indexer(e["src"]), index.get_indexer(e["dst"])
             return pd.DataFrame({"node": names, "rank": power_iteration(len(names), src, dst, vertices["chosen"].to_numpy(dtype=bool), damping, iterations)})
 
         return both.withColumn("whole", F.lit(1)).groupBy("whole").applyInPandas(rank, "node string, rank double")

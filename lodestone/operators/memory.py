@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ..functions import text as T
 from .vectors import topk
@@ -63,24 +69,33 @@ def after_failure(queue: DataFrame) -> DataFrame:
     return queue.withColumns({"backoff": F.least(F.lit(30.0), F.pow(F.lit(2.0), n)).cast("long"), "status": F.when(n >= WORKER_ATTEMPTS, "failed").otherwise("pending"), "attempts": n})
 
 
+@F.pandas_udf(LongType())
+def _signs(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The sign votes of each list of words: a distinct word of a batch is hashed once, and its bits are added in blocks."""
+    for lists in batches:
+        sizes = np.array([0 if x is None else len(x) for x in lists])
+        flat = np.concatenate([x for x in lists if x is not None and len(x)] or [np.zeros(0, object)])
+        codes, words = pd.factorize(flat)
+        heads = np.frombuffer(b"".join(hashlib.sha256(w.encode()).digest()[7::-1] for w in words), np.uint8).reshape(-1, 8)
+        bits = np.unpackbits(heads, axis=1, bitorder="little")
+        ends = np.cumsum(sizes)
+        out = np.zeros(len(sizes), np.int64)
+        some = np.flatnonzero(sizes)
+        for at in range(0, len(some), 256):
+            part = some[at : at + 256]
+            first = ends[part[0]] - sizes[part[0]]
+            votes = np.add.reduceat(bits[codes[first : ends[part[-1]]]], ends[part] - sizes[part] - first, axis=0, dtype=np.int64)
+            out[part] = np.packbits(2 * votes > sizes[part][:, None], axis=1, bitorder="little").view(np.int64).ravel()
+        yield pd.Series(out)
+
+
 def simhash(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, simhash`` (64 bits as a long): sign votes of the words' SHA-256 heads, words counted with their repeats.
 
-    The bits of a text are added up in its own row; a text without a word has hash 0.
+    Words are cut in the JVM; their bits are added in numpy, which on sf0.1 takes a fifth of the time of 64 folds over
+    the words as expressions. A text without a word has hash 0.
     """
-    words = T.normalized_tokens(F.col(text_col))
-    hashes = F.transform(words, lambda w: F.conv(F.substring(F.sha2(w, 256), 1, 16), 16, -10).cast("long"))
-    d = docs.select(F.col(id_col), hashes.alias("h"))
-    n = F.size("h")
-    bits = [F.when(2 * F.aggregate("h", F.lit(0), _adder(i)) > n, F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(64)]
-    out = bits[0]
-    for b in bits[1:]:
-        out = out.bitwiseOR(b)
-    return d.select(id_col, out.alias("simhash"))
-
-
-def _adder(i: int):
-    return lambda acc, h: acc + F.shiftrightunsigned(h, i).bitwiseAND(F.lit(1)).cast("int")
+    return docs.select(F.col(id_col), _signs(T.normalized_tokens(F.col(text_col))).alias("simhash"))
 
 
 def hamming(a: Column, b: Column) -> Column:

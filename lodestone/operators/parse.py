@@ -1,7 +1,7 @@
 """Code structure: symbols, imports and references of source files, skeletons and outlines.
 
 Python is read with the standard library's ``ast``; the other languages by line patterns, which find definitions and
-imports but not nesting. Files go through in Arrow batches; a file that doesn't parse gives no rows.
+imports; nesting follows from their lines. Files go through in Arrow batches; a file that doesn't parse gives no rows.
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from ..providers import PARSERS
 
-SYMBOLS = "path string, symbol_id string, name string, kind string, start_line int, end_line int, refs array<string>, doc boolean, body string"
-IMPORTS = "importer string, module string"
+SYMBOLS = "path string, symbol_id string, name string, kind string, start_line int, end_line int, refs array<string>, doc boolean, body string, scope string"
+#: ``name`` is what an import takes out of its module, null for the module as such.
+IMPORTS = "importer string, module string, name string"
 
 # Definition patterns (kind, regex with the name as group 1) and import patterns of each language.
 _BRACE = {
@@ -46,15 +47,24 @@ def python_symbols(text: str) -> list[dict]:
 
 
 def python_imports(text: str) -> list[str]:
+    """``module`` of every import, and ``module:name`` of every name taken from one."""
     out = []
     for node in ast.walk(ast.parse(text)):
         if isinstance(node, ast.Import):
             out += [a.name for a in node.names]
         elif isinstance(node, ast.ImportFrom):
-            out.append("." * node.level + (node.module or ""))
+            module = "." * node.level + (node.module or "")
+            out += [module, *(f"{module}:{a.name}" for a in node.names)]
     return out
 
 
+_NAMED = re.compile(r"""^\s*(?:import|export)\s+(?:type\s+)?(?:[\w$]+\s*,\s*)?\{([^}]*)\}\s*from\s*['"]([^'"]+)['"]""", re.MULTILINE)
+
+
+def _named_imports(text: str) -> list[str]:
+    return [f"{m[2]}:{name}" for m in _NAMED.finditer(text) for part in m[1].split(",") if (name := part.split(" as ")[0].strip().removeprefix("type ").strip())]
+
+
 def pattern_symbols(text: str, language: str) -> list[dict]:
     rules = [(k, re.compile(p)) for k, p in _BRACE[_SAME.get(language, language)][0]]
     lines, out = text.split("\n"), []
@@ -100,7 +110,8 @@ def imports_of(text: str, language: str) -> list[str]:
         if language == "python":
             return python_imports(text)
         rules = _BRACE.get(_SAME.get(language, language), ((), ()))[1]
-        return [m[1] for p in rules for m in re.finditer(p, text, re.MULTILINE)]
+        found = [m[1] for p in rules for m in re.finditer(p, text, re.MULTILINE)]
+        return found + (_named_imports(text) if _SAME.get(language, language) == "javascript" else [])
     except (SyntaxError, ValueError, RecursionError):
         return []
 
@@ -132,6 +143,19 @@ def skeleton_of(text: str, language: str) -> str:
     return "\n".join(lines)
 
 
+def with_scopes(symbols: list[dict]) -> list[dict]:
+    """Symbols in order, each with the dotted names of those whose lines enclose it; empty at the top of a file."""
+    out: list[dict] = []
+    open_: list[dict] = []
+    for s in sorted(symbols, key=lambda s: (s["start_line"], -s["end_line"])):
+        while open_ and open_[-1]["end_line"] < s["end_line"]:
+            open_.pop()
+        inside = [o["name"] for o in open_ if o["start_line"] < s["start_line"]]
+        out.append({**s, "scope": ".".join(inside)})
+        open_.append(s)
+    return sorted(out, key=lambda s: (s["start_line"], s["end_line"]))
+
+
 def parse_symbols(files: DataFrame) -> DataFrame:
     """Rows of ``files`` (path, language, text) to their symbols; a symbol's id tells repeats of a name and kind in a file apart by their order."""
 
@@ -143,7 +167,7 @@ def parse_symbols(files: DataFrame) -> DataFrame:
             rows = []
             for path, language, text in zip(pdf["path"], pdf["language"], pdf["text"], strict=True):
                 seen: dict[tuple, int] = {}
-                for s in symbols_of(text or "", language or ""):
+                for s in with_scopes(symbols_of(text or "", language or "")):
                     k = (path, s["name"], s["kind"])
                     seen[k] = seen.get(k, -1) + 1
                     rows.append({"path": path, "symbol_id": hashlib.sha256("\x1f".join([*k, str(seen[k])]).encode()).hexdigest(), **s})
@@ -152,11 +176,17 @@ def parse_symbols(files: DataFrame) -> DataFrame:
     return files.select("path", "language", "text").mapInPandas(run, SYMBOLS)
 
 
+def _module_and_name(found: str) -> tuple[str, str | None]:
+    """``module:name`` in its parts; a double colon belongs to the module."""
+    module, mark, name = found.rpartition(":")
+    return (module, name) if mark and not module.endswith(":") and re.fullmatch(r"[\w$*]+", name) and "::" not in found and not module.startswith("node") else (found, None)
+
+
 def parse_imports(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(p, m) for p, lang, t in zip(pdf["path"], pdf["language"], pdf["text"], strict=True) for m in imports_of(t or "", lang or "")]
-            yield pd.DataFrame(rows, columns=["importer", "module"]).drop_duplicates()
+            rows = [(p, *_module_and_name(m)) for p, lang, t in zip(pdf["path"], pdf["language"], pdf["text"], strict=True) for m in imports_of(t or "", lang or "")]
+            yield pd.DataFrame(rows, columns=["importer", "module", "name"]).drop_duplicates()
 
     return files.select("path", "language", "text").mapInPandas(run, IMPORTS)
 

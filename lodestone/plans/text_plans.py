@@ -287,10 +287,54 @@ def diff_hunks(spark, sf_dir):
     return S.diff_hunks(lines, "diff_id").select("path", "lo", "hi").distinct()
 
 
-@query("manifest_deps", """SELECT DISTINCT doc_id, trim(regexp_extract(l, '^[^=<>!~\\[]+')) AS dep FROM (SELECT doc_id, unnest(string_split(concat('# c', chr(10), 'pkg', CAST(doc_id % 9 AS VARCHAR), '>=1.0', chr(10), '-r x', chr(10), 'lib[extra]==2'), chr(10))) AS l FROM documents) WHERE NOT starts_with(l, '#') AND NOT starts_with(l, '-')""")
+_MANIFESTS = """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'requirements.txt' WHEN 1 THEN 'web/package.json' WHEN 2 THEN 'pyproject.toml' WHEN 3 THEN 'Cargo.toml' ELSE 'go.mod' END AS path,
+  CASE doc_id % 5 WHEN 0 THEN concat('# c', chr(10), 'pkg', n, '>=1.0', chr(10), '-r x', chr(10), 'lib[extra]==2')
+    WHEN 1 THEN concat('{"name": "x", "dependencies": {"pkg', n, '": "^1.0"}, "devDependencies": {"lib": "2"}}')
+    WHEN 2 THEN concat('[project]', chr(10), 'name = "x"', chr(10), 'dependencies = [', chr(10), '  "pkg', n, '>=1.0",', chr(10), '  "lib[extra]==2",', chr(10), ']', chr(10))
+    WHEN 3 THEN concat('[package]', chr(10), 'name = "x"', chr(10), '[dependencies]', chr(10), 'pkg', n, ' = "1.0"', chr(10), 'lib = { version = "2" }', chr(10))
+    ELSE concat('module m', chr(10), 'require example.org/pkg', n, ' v1.0.0', chr(10), 'require example.org/lib v2.0.0', chr(10)) END AS text
+  FROM (SELECT doc_id, CAST(doc_id % 9 AS VARCHAR(9)) AS n FROM documents)"""
+
+
+@query("manifest_deps", "SELECT doc_id, unnest([concat(CASE doc_id % 5 WHEN 4 THEN 'example.org/' ELSE '' END, 'pkg', CAST(doc_id % 9 AS VARCHAR)), concat(CASE doc_id % 5 WHEN 4 THEN 'example.org/' ELSE '' END, 'lib')]) AS dep FROM documents")
 def manifest_deps(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.lit("requirements.txt").alias("path"), F.concat(F.lit("# c\npkg"), (F.col("doc_id") % 9).cast("string"), F.lit(">=1.0\n-r x\nlib[extra]==2")).alias("text"))
-    return S.manifest_dependencies(d).select("doc_id", "dep")
+    """Two dependencies in a manifest of each of five formats."""
+    from .fixtures import derived
+
+    return S.manifest_dependencies(derived(spark, sf_dir, _MANIFESTS, "documents")).select("doc_id", "dep")
+
+
+_CONTENTS = """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Dockerfile' WHEN 1 THEN concat('db/', CAST(doc_id AS VARCHAR(20)), '.sql') WHEN 2 THEN '.env' ELSE 'notes.md' END AS path,
+  CASE doc_id % 4 WHEN 0 THEN concat('FROM base', n, ' AS b', chr(10), 'EXPOSE 80', chr(10)) WHEN 1 THEN concat('CREATE TABLE t', n, ' (x int);', chr(10), 'CREATE UNIQUE INDEX i', n, ' ON t(x);')
+    WHEN 2 THEN concat('A', n, '=1', chr(10), '# B=2', chr(10)) ELSE concat('# Top ', n, chr(10), '- see `x', n, '`', chr(10)) END AS text FROM (SELECT doc_id, CAST(doc_id % 9 AS VARCHAR(9)) AS n FROM documents)"""
+
+
+@query("file_facts", """SELECT doc_id, kind, unnest(CASE kind WHEN 'dockerfile' THEN [{'label': 'base', 'value': concat('base', n)}, {'label': 'stage', 'value': 'b'}, {'label': 'port', 'value': '80'}] WHEN 'sql' THEN [{'label': 'table', 'value': concat('t', n)}, {'label': 'index', 'value': concat('i', n)}]
+    WHEN 'env' THEN [{'label': 'variable', 'value': concat('A', n)}] ELSE [{'label': 'heading', 'value': concat('Top ', n)}, {'label': 'item', 'value': concat('see `x', n, '`')}, {'label': 'code', 'value': concat('x', n)}] END, recursive := true)
+    FROM (SELECT doc_id, CAST(doc_id % 9 AS VARCHAR) AS n, CASE doc_id % 4 WHEN 0 THEN 'dockerfile' WHEN 1 THEN 'sql' WHEN 2 THEN 'env' ELSE 'doc' END AS kind FROM documents)""")
+def file_facts(spark, sf_dir):
+    from ..functions import facts as K
+    from .fixtures import derived
+
+    f = derived(spark, sf_dir, _CONTENTS, "documents")
+    return f.select("doc_id", K.file_kind(F.col("path")).alias("kind"), F.explode(K.facts(F.col("path"), F.col("text"))).alias("f")).select("doc_id", "kind", "f.label", "f.value")
+
+
+@query("leading_comment", """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN concat('note ', CAST(doc_id AS VARCHAR), ' second') WHEN 1 THEN concat('block ', CAST(doc_id AS VARCHAR)) ELSE 'none' END AS said FROM documents""")
+def leading_comment(spark, sf_dir):
+    from ..functions import facts as K
+
+    n, t = F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("#!/bin/sh\n# note "), n, F.lit("\n# second\n\n"), t)).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("/*\n * block "), n, F.lit("\n */\n"), t)).otherwise(F.concat(F.lit("x = 1\n# late\n"), t))
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(K.leading_comment(text), F.lit("none")).alias("said"))
+
+
+@query("retrieved_files", """SELECT conv_id, turn, concat_ws(',', concat('s', CAST(conv_id % 3 AS VARCHAR)), CASE WHEN turn % 2 = 1 THEN 'h/a.py' END, CASE WHEN conv_id % 3 <> 1 THEN 's1' END) AS files FROM conversations""")
+def retrieved_files(spark, sf_dir):
+    text = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("turn") % 2 == 1, F.lit("\n### File: h/a.py\nx")).otherwise(F.lit("")))
+    own = F.concat(F.lit("s"), (F.col("conv_id") % 3).cast("string"))
+    found = T.retrieved_files(F.array(own, own), text, F.array(F.lit("s1"), own))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(found, ",").alias("files"))
 
 
 @query("module_key", f"""SELECT doc_id, regexp_replace(replace(regexp_replace(regexp_replace(path, '(\\.[^./]+)$', ''), '^((src|lib|app|cmd|pkg|internal|source|packages|main|java|kotlin|scala)/)+', ''), '/', '.'), '(^|\\.)__init__$', '') AS module_key FROM ({FILES})""")

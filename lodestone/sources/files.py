@@ -96,7 +96,7 @@ def dependency_name(x: Column) -> Column:
 def manifest_dependencies(files: DataFrame) -> DataFrame:
     """``files`` rows x dependency names, for requirements, package.json, go.mod and TOML manifests; other files give none."""
     name, text = C.file_name(F.col("path")), F.col("text")
-    lines = F.transform(F.split(text, "\n"), F.trim)
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
     req = F.transform(F.filter(lines, lambda x: (x != "") & ~x.startswith("#") & ~x.startswith("-")), dependency_name)
     js = F.from_json(text, "dependencies map<string,string>, devDependencies map<string,string>")
     node = F.concat(F.coalesce(F.map_keys(js["dependencies"]), F.array().cast("array<string>")), F.coalesce(F.map_keys(js["devDependencies"]), F.array().cast("array<string>")))

@@ -73,3 +73,37 @@ def lineage(symbols: DataFrame, touches: DataFrame, log: DataFrame) -> DataFrame
     named = touches.select("path", "lo", "hi", "commit_hash")
     pairs = overlap(symbols, named.select("path", "lo", "hi").distinct(), BUCKET).select("symbol_id", "path", "lo", "hi")
     return pairs.join(named, ["path", "lo", "hi"]).select("symbol_id", "commit_hash").distinct().join(log.select("commit_hash", "secs", "message"), "commit_hash")
+
+
+def lineage_by_content(symbols: DataFrame, changed: DataFrame, log: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """``symbol_id, commit_hash, secs, message`` of commits whose changed lines (commit_hash, path, line) name a symbol of the same file, for symbols without ``known`` lineage.
+
+    The join is on path and word: only the words of changed lines move.
+    """
+    s = symbols.select("symbol_id", "path", F.col("name").alias("word"))
+    s = s if known is None else s.join(known.select("symbol_id").distinct(), "symbol_id", "left_anti")
+    words = changed.select("commit_hash", "path", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(r"[A-Za-z_]\w*"), F.lit(0)))).alias("word")).distinct()
+    return s.join(words, ["path", "word"]).select("symbol_id", "commit_hash").distinct().join(log.select("commit_hash", "secs", "message"), "commit_hash")
+
+
+def recent_commits(touches: DataFrame, log: DataFrame, k: int = 5) -> DataFrame:
+    """``path, rank, commit_hash, secs, summary``: the last ``k`` commits (newest first, then by hash) that touched each path."""
+    from pyspark.sql import Window
+
+    each = touches.select("path", "commit_hash").distinct().join(log.select("commit_hash", "secs", "summary"), "commit_hash")
+    w = Window.partitionBy("path").orderBy(F.desc("secs"), "commit_hash")
+    return each.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("path", "rank", "commit_hash", "secs", "summary")
+
+
+def documentation(files: DataFrame, status_rows: DataFrame) -> DataFrame:
+    """``path`` of the documentation files, tracked and untracked, each once, in order."""
+    untracked = status_rows.where("untracked").select("path")
+    every = files.select("path").unionByName(untracked).distinct()
+    return every.where(F.lower("path").rlike(r"\.(md|mdx|rst|txt)$")).orderBy("path")
+
+
+def dirty_ranges(hunks: DataFrame, status_rows: DataFrame, files: DataFrame) -> DataFrame:
+    """``path, lo, hi`` of uncommitted changes: the hunks' ranges, and every line of a file that is not tracked."""
+    lines = F.size(F.split(F.regexp_replace("text", r"\n\z", ""), "\n"))
+    whole = files.join(status_rows.where("untracked").select("path"), "path", "left_semi").select("path", F.lit(1).cast("long").alias("lo"), lines.cast("long").alias("hi"))
+    return hunks.select("path", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi")).unionByName(whole).distinct()

@@ -146,3 +146,14 @@ def test_sections_are_one_based_and_cover_the_text(spark):
     d = spark.createDataFrame([(1, "intro\n# A\nx\ny\n## B\nz"), (2, "# only"), (3, "")], "id int, text string")
     got = [tuple(r)[:5] for r in S.sections(d, "id", "text").orderBy("id", "start_line").collect()]
     assert got == [(1, 0, "", 1, 1), (1, 1, "A", 2, 4), (1, 2, "B", 5, 6), (2, 1, "only", 1, 1), (3, 0, "", 1, 1)]
+
+
+def test_scopes_and_imported_names():
+    code = "from a.b import C, d\nimport os\n\n\nclass A:\n    def f(self):\n        def g():\n            pass\n\n\ndef f():\n    pass\n"
+    assert [(x["name"], x["scope"]) for x in parse.with_scopes(parse.symbols_of(code, "python"))] == [("A", ""), ("f", "A"), ("g", "A.f"), ("f", "")]
+    assert set(map(parse._module_and_name, parse.imports_of(code, "python"))) == {("a.b", None), ("a.b", "C"), ("a.b", "d"), ("os", None)}
+    js = "import x, { a, b as c } from './m';\nclass K {\n  run() {\n  }\n}\n"
+    assert {("./m", None), ("./m", "a"), ("./m", "b")} <= set(map(parse._module_and_name, parse.imports_of(js, "typescript")))
+    assert parse._module_and_name("std::io") == ("std::io", None) and parse._module_and_name("node:fs") == ("node:fs", None)
+    inner = "public class Outer {\n  class Inner {\n    void run() {\n    }\n  }\n}\n"
+    assert ("Inner", "Outer") in [(x["name"], x["scope"]) for x in parse.with_scopes(parse.symbols_of(inner, "java"))]

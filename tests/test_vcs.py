@@ -40,3 +40,23 @@ def test_lineage(spark):
     t = spark.createDataFrame([("c1", "f", 5, 6), ("c2", "f", 9, 25), ("c3", "g", 1, 99)], "commit_hash string, path string, lo int, hi int")
     log = spark.createDataFrame([(c, 1, "m") for c in ("c1", "c2", "c3")], "commit_hash string, secs long, message string")
     assert {(r["symbol_id"], r["commit_hash"]) for r in vcs.lineage(s, t, log).collect()} == {("s1", "c1"), ("s1", "c2"), ("s2", "c2")}
+
+
+def test_lineage_by_content(spark):
+    s = spark.createDataFrame([("s1", "f", "run"), ("s2", "f", "stop")], "symbol_id string, path string, name string")
+    lines = spark.createDataFrame([("c1", "f", "def run(x):"), ("c2", "f", "return prerun"), ("c3", "g", "run()"), ("c4", "f", "run() or stop()")], "commit_hash string, path string, line string")
+    log = spark.createDataFrame([(f"c{i}", i, "m") for i in range(1, 5)], "commit_hash string, secs long, message string")
+    known = spark.createDataFrame([("s2",)], "symbol_id string")
+    assert {(r["symbol_id"], r["commit_hash"]) for r in vcs.lineage_by_content(s, lines, log, known).collect()} == {("s1", "c1"), ("s1", "c4")}
+
+
+def test_recent_commits_and_ranges(spark):
+    t = spark.createDataFrame([("f", f"c{i}") for i in range(8)] + [("f", "c7"), ("g", "c1")], "path string, commit_hash string")
+    log = spark.createDataFrame([(f"c{i}", i // 2, f"m{i}") for i in range(8)], "commit_hash string, secs long, summary string")
+    got = [r["commit_hash"] for r in vcs.recent_commits(t, log, 3).where("path = 'f'").orderBy("rank").collect()]
+    assert got == ["c6", "c7", "c4"]
+    files = spark.createDataFrame([("new.py", "a\nb\n"), ("old.py", "a")], "path string, text string")
+    status = spark.createDataFrame([("new.py", "??", True), ("old.py", "M", False), ("docs/x.md", "??", True)], "path string, state string, untracked boolean")
+    hunks = spark.createDataFrame([("old.py", 1, 1)], "path string, lo int, hi int")
+    assert {tuple(r) for r in vcs.dirty_ranges(hunks, status, files).collect()} == {("old.py", 1, 1), ("new.py", 1, 2)}
+    assert [r["path"] for r in vcs.documentation(spark.createDataFrame([("a.md",), ("b.py",), ("docs/x.md",)], "path string"), status).collect()] == ["a.md", "docs/x.md"]
