@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_skewed, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A filter of at most this many words of 64 bits is broadcast (16 bytes a row); a larger one is joined by shuffle.
@@ -91,10 +91,11 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Of rows that repeat id and text one stays. A row travels as one struct, so column names cannot clash.
     """
-    rows, _ = _hashed(docs, id_col, text_col, bits_per_row)
+    rows, n = _hashed(docs, id_col, text_col, bits_per_row)
     again = materialize(rows.where("maybe").groupBy("sha", "id").agg(F.count("*").alias("n")), "again")
-    winners = again.groupBy(F.col("sha").alias("s2")).agg(F.max("id").alias("keep_id"), F.sum("n").alias("size")).where("size > 1")
-    held = materialize(again.join(winners, F.col("sha") == F.col("s2")).withColumn("wins", F.col("id").eqNullSafe(F.col("keep_id"))).where("n > 1 or not wins").select("id", "sha", "wins"), "held")
+    winners = materialize(again.groupBy("sha").agg(F.max("id").alias("keep_id"), F.sum("n").alias("size")).where("size > 1"), "winners")
+    held = join_skewed(again, winners, ["sha"], F.col("size") > max(HOT_LEAST, n // HOT_SHARE))
+    held = materialize(held.withColumn("wins", F.col("id").eqNullSafe(F.col("keep_id"))).where("n > 1 or not wins").select("id", "sha", "wins"), "held")
     same = F.col("__ls_id").eqNullSafe(F.col("id")) & (F.col("__ls_sha") == F.col("sha"))
     whole = docs.select(F.col(id_col).alias("__ls_id"), F.sha2(normalised(text_col), 256).alias("__ls_sha"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__ls_row"))
     keys = held.select("id", "sha")
