@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import discard, materialize
+from ..storage import materialize
 
 # Other names of the directions.
 DIRECTIONS = {"downstream": "down", "callees": "down", "outgoing": "down", "children": "down", "upstream": "up", "callers": "up", "incoming": "up", "parents": "up"}
-#: A graph of at most so many edges is ranked in one task, which saves the shuffles of every iteration.
-LOCAL_EDGES = 2_000_000
+#: Iterations of PageRank in one job.
+LEVELS = 5
+#: A source is heavy from more than so many edges on, and more than this share of all; there are fewer than HEAVY_SHARE of them.
+HEAVY_LEAST, HEAVY_SHARE = 10_000, 2_000
 
 
 def oriented(edges: DataFrame, direction: str) -> DataFrame:
@@ -55,61 +57,64 @@ def degrees(edges: DataFrame) -> DataFrame:
     return edges.select(ends).groupBy("e.node").agg(F.sum("e.o").alias("out_degree"), F.sum("e.i").alias("in_degree")).withColumn("dangling", F.col("out_degree") == 0)
 
 
-def pagerank(edges: DataFrame, personal: DataFrame | None = None, damping: float = 0.85, iterations: int = 20, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def pagerank(edges: DataFrame, personal: DataFrame | None = None, damping: float = 0.85, iterations: int = 20) -> DataFrame:
     """``node, rank``: power iteration from the personalisation vector, to which dangling nodes hand their rank back.
 
     ``personal`` has a column ``node``; without it, or if none of its nodes has an edge, the vector is uniform. Repeated
-    edges count repeatedly. A graph of ``local_edges`` edges or fewer (counted first) is ranked by one task; a larger one
-    by a join and a pre-aggregated sum in each iteration, over a table of edges written once.
+    edges count repeatedly; an empty table gives an empty result.
+
+    With p the vector and M the step along edges, the iterates are sums of p, Mp, MMp, ... whose factors depend only on how
+    much of each of these levels stands on dangling nodes. So the levels are walked without a global sum in between: one
+    join by source and one pre-aggregated sum by target each, ``LEVELS`` of them in a job, and none once a level is empty.
+    Sources with very many edges are joined by broadcast, so their edges stay where they are.
     """
     links = materialize(edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")), "links")
-    nodes = links.select("src").union(links.select("dst")).distinct().withColumnRenamed("src", "node")
+    ends = degrees(links)
     if personal is None:
-        nodes = nodes.withColumn("chosen", F.lit(True))
+        ends = ends.withColumn("chosen", F.lit(True))
     else:
         mark = personal.select(F.col("node").cast("string").alias("node")).distinct().withColumn("chosen", F.lit(True))
-        nodes = nodes.join(mark, "node", "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))
-    n_edges = links.count()
-    if n_edges <= local_edges:
-        both = links.select("src", "dst", F.lit(None).cast("boolean").alias("chosen")).unionByName(nodes.select(F.col("node").alias("src"), F.lit(None).cast("string").alias("dst"), "chosen"))
-
-        def rank(pdf: pd.DataFrame) -> pd.DataFrame:
-            vertices = pdf[pdf["dst"].isna()]
-            e = pdf[pdf["dst"].notna()]
-            names = vertices["src"].to_numpy()
-            index = pd.Index(names)
-            src, dst = index.get_indexer(e["src"]), index.get_indexer(e["dst"])
-            return pd.DataFrame({"node": names, "rank": power_iteration(len(names), src, dst, vertices["chosen"].to_numpy(dtype=bool), damping, iterations)})
-
-        return both.withColumn("whole", F.lit(1)).groupBy("whole").applyInPandas(rank, "node string, rank double")
-    return _distributed(links, materialize(nodes, "nodes"), damping, iterations)
-
-
-def power_iteration(n: int, src: np.ndarray, dst: np.ndarray, chosen: np.ndarray, damping: float, iterations: int) -> np.ndarray:
-    p = (chosen if chosen.any() else np.ones(n, dtype=bool)).astype(float)
-    p /= p.sum()
-    out = np.bincount(src, minlength=n)
-    share, ranks = np.where(out > 0, 1.0 / np.maximum(out, 1), 0.0), p.copy()
-    for _ in range(iterations):
-        moved = np.bincount(dst, weights=(ranks * share)[src], minlength=n)
-        ranks = (1 - damping + damping * ranks[out == 0].sum()) * p + damping * moved
-    return ranks
-
-
-def _distributed(links: DataFrame, nodes: DataFrame, damping: float, iterations: int) -> DataFrame:
-    total = nodes.agg(F.count("*"), F.count_if("chosen")).first()
-    share = F.when(F.col("chosen"), 1.0 / total[1]).otherwise(0.0) if total[1] else F.lit(1.0 / total[0])
-    out = links.groupBy("src").agg(F.count("*").alias("out"))
-    vertices = materialize(nodes.join(out, nodes["node"] == out["src"], "left").select("node", share.alias("p"), F.coalesce("out", F.lit(0)).alias("out")), "vertices")
-    ranks = vertices.select("node", "p", "out", F.col("p").alias("rank"))
-    for i in range(iterations):
-        lost = ranks.where("out = 0").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        given = ranks.where("out > 0").select(F.col("node").alias("src"), (F.col("rank") / F.col("out")).alias("give"))
-        moved = links.join(given, "src").groupBy("dst").agg(F.sum("give").alias("got"))
-        new = vertices.join(moved, vertices["node"] == moved["dst"], "left").crossJoin(F.broadcast(lost))  # one row
-        new = new.select("node", "p", "out", ((1 - damping + damping * F.col("lost")) * F.col("p") + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        new = materialize(new, "ranks")
-        if i:
-            discard(ranks)
-        ranks = new
-    return ranks.select("node", "rank")
+        ends = ends.join(mark, "node", "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))
+    nodes = materialize(ends.select("node", F.col("out_degree").alias("out"), "chosen"), "nodes")
+    n, chosen, n_edges = nodes.agg(F.count("*"), F.count_if("chosen"), F.coalesce(F.sum("out"), F.lit(0))).first()
+    if not n:
+        return nodes.select("node", F.lit(0.0).alias("rank"))
+    start = (nodes.where("chosen") if chosen else nodes).select("node", F.lit(1.0 / (chosen or n)).alias("v"), F.lit(0).alias("level"))
+    weights = nodes.where("out > 0").select(F.col("node").alias("src"), (1.0 / F.col("out")).alias("w"), (F.col("out") > max(HEAVY_LEAST, n_edges // HEAVY_SHARE)).alias("heavy"))
+    weighted = materialize(links.join(weights, "src"), "weighted")
+    heavy = weighted.where("heavy").select("src", "dst", "w")
+    parts = [weighted.where("not heavy").select("src", "dst", "w"), None if heavy.isEmpty() else heavy]
+    level, levels = start, [materialize(start, "levels")]
+    for first in range(1, iterations + 1, LEVELS):
+        level, batch = levels[-1].where(F.col("level") == first - 1), None
+        for k in range(first, min(first + LEVELS, iterations + 1)):
+            level = _step(level, *parts).withColumn("level", F.lit(k))
+            batch = level if batch is None else batch.unionByName(level)
+        levels.append(materialize(batch, "levels"))
+        if levels[-1].where(F.col("level") == k).isEmpty():
+            break
+    every = reduce(DataFrame.unionByName, levels)
+    lost = dict(every.join(nodes.where("out = 0").select("node"), "node", "left_semi").groupBy("level").agg(F.sum("v")).collect())  # a row for each level
+    factors = _factors([lost.get(k, 0.0) for k in range(iterations + 1)], damping)
+    factor = F.element_at(F.lit(factors), F.col("level") + 1)
+    ranks = every.groupBy("node").agg(F.sum(F.col("v") * factor).alias("rank"))
+    return nodes.select("node").join(ranks, "node", "left").select("node", F.coalesce("rank", F.lit(0.0)).alias("rank"))
+
+
+def _step(level: DataFrame, light: DataFrame, heavy: DataFrame | None) -> DataFrame:
+    """The next level: what every node gets along its incoming edges."""
+    v = level.select(F.col("node").alias("src"), "v")
+    given = light.join(v, "src").select("dst", (F.col("v") * F.col("w")).alias("v"))
+    if heavy is not None:
+        some = v.join(F.broadcast(heavy.select("src").distinct()), "src", "left_semi")
+        given = given.unionByName(heavy.join(F.broadcast(some), "src").select("dst", (F.col("v") * F.col("w")).alias("v")))
+    return given.groupBy(F.col("dst").alias("node")).agg(F.sum("v").alias("v"))
+
+
+def _factors(lost: list[float], damping: float) -> list[float]:
+    """The factor of each level in the last iterate, from the share of each level that stands on dangling nodes."""
+    given: list[float] = []  # what the personalisation vector gets in each iteration
+    of = lambda t: [given[t - 1 - j] * damping**j for j in range(t)] + [damping**t]
+    for t in range(len(lost) - 1):
+        given.append(1 - damping + damping * sum(f * x for f, x in zip(of(t), lost)))
+    return of(len(lost) - 1)

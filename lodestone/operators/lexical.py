@@ -1,17 +1,38 @@
-"""An inverted index as tables, and BM25 over it for batches of queries.
+"""An inverted index as tables, and BM25 over it for batches of queries, without scoring what cannot reach the top.
 
 Score of a phrase: idf x tf (k1 + 1) / (tf + k1 (1 - b + b dl / avgdl)), idf = ln((N - n + 0.5) / (n + 0.5)), floored.
+
+Documents are dealt to pages by a hash, and a term's postings in a page are one block with its largest frequencies and
+its shortest document, which bound every score in it. A search takes a query's terms from the most to the least promising
+one: a few give a threshold that the k-th best document has at least; terms whose bounds together stay below it cannot
+bring a document into the top by themselves (MaxScore), so their blocks are read only for documents that the other terms
+found and that may still pass. All of it is joins on (term, part) and (term, page): a stop word is many blocks in many
+parts, never one task's group.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 WORD = r"[\p{L}\p{N}]+"
+#: Documents of a page, pages of a part (as a power of two), and terms of a page of the dictionary.
+PAGE_DOCS, PART_BITS, DICTIONARY_PAGE = 64, 10, 1_024
+#: First terms of dictionary pages that a search for prefixes holds; a larger dictionary gets larger pages.
+FENCES = 100_000
+#: Postings from which a query's first threshold comes, for each result asked for.
+SEED_POSTINGS = 40
+#: Scores are rounded to so many digits before they are ranked; bounds leave room for that.
+DIGITS = 6
+SLACK = 2 * 10**-DIGITS
 
 
 def words(x: Column) -> Column:
@@ -20,60 +41,190 @@ def words(x: Column) -> Column:
 
 @dataclass
 class Index:
-    """``postings(term, doc_id, tf, tf_body)``, ``lengths(doc_id, dl)``; build once, write both, read them for every batch."""
+    """The tables of an index; ``saved`` writes them once, for every batch that reads them.
+
+    ``blocks``: ``seg, term, page, part, n, n_body, top_tf, top_body, least_dl, posts`` (doc_id, tf, body, dl); ``heads``: the
+    same of a term's part, without pages and postings; ``dictionary``: ``term, ord``, sorted; ``lengths``: ``doc_id, dl, seg``.
+    ``dead`` (doc_id, seg) names postings of a segment that a later one replaced; None if there are none.
+    """
 
-    postings: DataFrame
+    blocks: DataFrame
+    heads: DataFrame
+    dictionary: DataFrame
     lengths: DataFrame
+    dead: DataFrame | None = None
 
+    def saved(self) -> Index:
+        blocks = materialize(self.blocks, "blocks")
+        heads = materialize(heads_of(blocks), "heads")
+        return replace(self, blocks=blocks, heads=heads, dictionary=materialize(dictionary_of(heads), "dictionary"), lengths=materialize(self.lengths, "lengths"))
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", body_col: str = "text", name_col: str | None = None) -> Index:
-    """Documents' words counted; ``tf`` over name and body, ``tf_body`` over the body alone. The shuffle carries counts, combined per task first."""
-    body = docs.select(F.col(id_col).alias("doc_id"), F.explode(words(F.col(body_col))).alias("term"), F.lit(1).alias("body"))
-    if name_col:
-        body = body.unionByName(docs.select(F.col(id_col).alias("doc_id"), F.explode(words(F.col(name_col))).alias("term"), F.lit(0).alias("body")))
-    postings = body.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.sum("body").cast("long").alias("tf_body"))
-    size = F.size(words(F.col(body_col))) + (F.size(words(F.col(name_col))) if name_col else F.lit(0))
-    return Index(postings, docs.select(F.col(id_col).alias("doc_id"), F.coalesce(size, F.lit(0)).cast("long").alias("dl")))
 
+def postings(docs: DataFrame, id_col: str = "doc_id", body_col: str = "text", name_col: str | None = None) -> DataFrame:
+    """``term, doc_id, tf, body, dl``: words counted over name and body, and over the body alone. The shuffle carries counts, combined per task first."""
+    size = lambda c: F.coalesce(F.size(words(F.col(c))), F.lit(0))
+    dl = (size(body_col) + (size(name_col) if name_col else F.lit(0))).alias("dl")
+    of = lambda c, body: docs.select(F.col(id_col).alias("doc_id"), dl, F.explode(words(F.col(c))).alias("term"), F.lit(body).alias("body"))
+    each = of(body_col, 1).unionByName(of(name_col, 0)) if name_col else of(body_col, 1)
+    return each.groupBy("term", "doc_id").agg(F.count("*").cast("int").alias("tf"), F.sum("body").cast("int").alias("body"), F.min("dl").cast("int").alias("dl"))
 
-def _scored(hits: DataFrame, index: Index, phrase: list[str]) -> DataFrame:
-    """``hits`` (phrase..., doc_id, tf), a row for each phrase and document that has it, with its score: once for all queries that ask the phrase."""
-    stats = index.lengths.agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"))
-    # Counted on tf, so that both sides of the join below have one plan and Spark runs it once.
-    n = hits.groupBy(*phrase).agg(F.count_if(F.col("tf") > 0).alias("n"))
-    scored = hits.join(n, phrase).join(index.lengths, "doc_id").crossJoin(F.broadcast(stats))  # one row of totals
-    idf = F.greatest(F.lit(IDF_FLOOR), F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)))
-    return scored.withColumn("part", idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
 
+def build_index(docs: DataFrame, id_col: str = "doc_id", body_col: str = "text", name_col: str | None = None, seg: int = 0) -> Index:
+    """The index of documents with distinct ids; null texts have no words. Lazy but for a count of the documents."""
+    pages = 1 << max(0, (docs.count() // PAGE_DOCS).bit_length())
+    p = postings(docs, id_col, body_col, name_col).withColumn("page", F.pmod(F.xxhash64("doc_id"), F.lit(pages)).cast("long"))
+    size = F.coalesce(F.size(words(F.col(body_col))), F.lit(0)) + (F.coalesce(F.size(words(F.col(name_col))), F.lit(0)) if name_col else F.lit(0))
+    lengths = docs.select(F.col(id_col).alias("doc_id"), size.cast("long").alias("dl"), F.lit(seg).alias("seg"))
+    blocks = blocks_of(p.withColumn("seg", F.lit(seg)))
+    heads = heads_of(blocks)
+    return Index(blocks, heads, dictionary_of(heads), lengths)
+
+
+def blocks_of(p: DataFrame) -> DataFrame:
+    """Postings (seg, term, page, doc_id, tf, body, dl) as blocks."""
+    grouped = p.groupBy("seg", "term", "page").agg(
+        F.count("*").alias("n"), F.count_if(F.col("body") > 0).alias("n_body"), F.max("tf").alias("top_tf"), F.max("body").alias("top_body"), F.min("dl").alias("least_dl"), F.collect_list(F.struct("doc_id", "tf", "body", "dl")).alias("posts")
+    )
+    return grouped.withColumn("part", F.shiftright("page", PART_BITS))
+
+
+def heads_of(blocks: DataFrame) -> DataFrame:
+    return blocks.groupBy("term", "part").agg(F.sum("n").alias("n"), F.sum("n_body").alias("n_body"), F.max("top_tf").alias("top_tf"), F.max("top_body").alias("top_body"), F.min("least_dl").alias("least_dl"), F.count("*").alias("blocks"))
+
+
+def dictionary_of(heads: DataFrame) -> DataFrame:
+    """``term, ord``: the terms in order; ordinals rise with them and may leave gaps. To be written once before it is read."""
+    return heads.select("term").distinct().orderBy("term").withColumn("ord", F.monotonically_increasing_id())
+
+
+def terms_with_prefix(prefixes: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """``prefix, term`` for every term of the dictionary that starts with a prefix.
+
+    A prefix is an interval of the sorted dictionary: binary search among the pages' first terms gives the pages that it
+    spans, and only those are looked through.
+    """
+    wide = max(1, -(-dictionary.count() // (FENCES * DICTIONARY_PAGE)))
+    pages = dictionary.withColumn("page", F.expr(f"ord div {DICTIONARY_PAGE * wide}"))
+    # At most FENCES first terms, and one more for each file that the dictionary has.
+    fences = sorted((r["first"].encode(), r["page"]) for r in pages.groupBy("page").agg(F.min("term").alias("first")).collect())
+    held = dictionary.sparkSession.sparkContext.broadcast(([f for f, _ in fences], [p for _, p in fences]))
+
+    @F.arrow_udf("array<long>")
+    def span(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        first, number = held.value
+        for batch in batches:
+            found = [(bisect_right(first, p) - 1, bisect_left(first, p + b"\xff")) for p in (x.encode() for x in batch.to_pylist())]
+            yield pa.array([number[max(0, lo) : hi] for lo, hi in found], pa.list_(pa.int64()))
+
+    spans = prefixes.select("prefix", F.explode(span(F.col("prefix"))).alias("page"))
+    return spans.join(pages, "page").where(F.startswith("term", "prefix")).select("prefix", "term")
+
+
+def _norm(dl: Column) -> Column:
+    return K1 * (1 - B + B * dl / F.col("avgdl"))
+
+
+def _weight(tf: Column, body: Column, dl: Column, idf: Column, idf_body: Column) -> Column:
+    """What a posting adds to a score: the phrase over all columns and, where it counts, once more over the body."""
+    norm = _norm(dl)
+    return idf * tf * (K1 + 1) / (tf + norm) + F.when(body > 0, idf_body * body * (K1 + 1) / (body + norm)).otherwise(0.0)
 
-def _top(scores: DataFrame, k: int, digits: int = 6) -> DataFrame:
-    """The best ``k`` documents of each query by rounded score, then id; Spark keeps k rows of a query in each task before it shuffles."""
-    best = scores.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), digits).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+@dataclass
+class _Search:
+    """A batch of queries against blocks. ``plan``: a query's terms from the most promising on, and what those from each on can add together."""
+
+    index: Index
+    stats: DataFrame
+    plan: DataFrame
+    k: int
+
+    def of(self, asked: DataFrame) -> DataFrame:
+        """Postings of rows of the plan, with what they add."""
+        found = asked.join(self.index.heads.select("term", "part"), "term").join(self.index.blocks.select("seg", "term", "part", "page", "posts"), ["term", "part"])
+        found = _live(found.select("query_id", "seg", "page", "idf", "idf_body", F.inline("posts")), self.index).crossJoin(F.broadcast(self.stats))
+        return found.select("query_id", "seg", "page", "doc_id", "dl", _weight(F.col("tf"), F.col("body"), F.col("dl"), F.col("idf"), F.col("idf_body")).alias("w"))
+
+    def threshold(self, scores: DataFrame, name: str) -> DataFrame:
+        """What the ``k``-th best document of a query has at least; queries with fewer documents have no row."""
+        w = Window.partitionBy("query_id").orderBy(F.desc("part_score"))
+        return scores.withColumn("nth", F.row_number().over(w)).where(F.col("nth") == self.k).select("query_id", F.col("part_score").alias(name))
+
+    def candidates(self) -> tuple[DataFrame, DataFrame]:
+        """``query_id, seg, page, doc_id, dl, part_score, rest`` of the documents that may reach the top, and the plan with each term's kind.
+
+        ``rest`` are the terms that were not scored.
+        """
+        add = lambda rows: rows.groupBy("query_id", "seg", "page", "doc_id", "dl").agg(F.sum("w").alias("part_score"))
+        first = self.threshold(add(self.of(self.plan.where(F.col("before") < SEED_POSTINGS * self.k))), "least")
+        plan = materialize(self.plan.join(first, "query_id", "left").withColumn("essential", F.col("least").isNull() | (F.col("onward") >= F.col("least") - SLACK)), "plan")
+        scores = materialize(add(self.of(plan.where("essential"))), "scores")
+        rest = plan.where("not essential").groupBy("query_id").agg(F.max("least").alias("least"), F.collect_list(F.struct("term", "idf", "idf_body", "top_tf", "top_body")).alias("rest"))
+        bar = rest.join(self.threshold(scores, "later"), "query_id", "left").select("query_id", "rest", F.greatest("least", "later").alias("least"))
+        open_ = scores.join(bar, "query_id", "left").crossJoin(F.broadcast(self.stats))
+        none = F.array().cast("array<struct<term:string,idf:double,idf_body:double,top_tf:int,top_body:int>>")
+        most = F.col("part_score") + F.aggregate(F.coalesce("rest", none), F.lit(0.0), lambda a, t: a + _weight(t["top_tf"], t["top_body"], F.col("dl"), t["idf"], t["idf_body"]))
+        return open_.where(F.col("least").isNull() | (most >= F.col("least") - SLACK)).drop("avgdl", "docs", "least"), plan
+
+    def lookups(self, found: DataFrame) -> DataFrame:
+        """What the unscored terms add to the candidates: a candidate's page has one block of a term at most."""
+        asked = found.select("query_id", "seg", "page", "doc_id", F.inline("rest")).drop("top_tf", "top_body")
+        blocks = self.index.blocks.select("seg", "term", "page", "posts")
+        return asked.join(blocks, ["seg", "term", "page"]).withColumn("p", F.get(F.filter("posts", lambda p: p["doc_id"] == F.col("doc_id")), F.lit(0))).drop("posts")
+
+    def top(self) -> DataFrame:
+        found = materialize(self.candidates()[0], "candidates")
+        more = self.lookups(found).where("p is not null").crossJoin(F.broadcast(self.stats))
+        more = more.select("query_id", "doc_id", _weight(F.col("p.tf"), F.col("p.body"), F.col("p.dl"), F.col("idf"), F.col("idf_body")).alias("w"))
+        best = found.select("query_id", "doc_id", F.col("part_score").alias("w")).unionByName(more).groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), DIGITS).alias("score"))
+        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+        return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= self.k)
+
+
+def _live(found: DataFrame, index: Index) -> DataFrame:
+    return found if index.dead is None else found.join(index.dead, ["doc_id", "seg"], "left_anti")
+
+
+def _search(asked: DataFrame, index: Index, k: int, body: bool) -> _Search:
+    """``asked``: distinct ``query_id, term``. ``body``: whether a phrase counts once more over the body alone."""
+    stats = index.lengths.agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"))
+    known = index.heads.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n"), F.sum("n_body").alias("n_body"), F.max("top_tf").alias("top_tf"), F.max("top_body").alias("top_body"), F.min("least_dl").alias("least_dl"), F.sum("blocks").alias("blocks"))
+    idf = lambda n: F.greatest(F.lit(IDF_FLOOR), F.log((F.col("docs") - F.col(n) + 0.5) / (F.col(n) + 0.5)))
+    known = known.where("n > 0").crossJoin(F.broadcast(stats)).withColumns({"idf": idf("n"), "idf_body": idf("n_body") if body else F.lit(0.0)})
+    known = known.withColumn("most", _weight(F.col("top_tf"), F.col("top_body"), F.col("least_dl"), F.col("idf"), F.col("idf_body"))).drop("docs", "avgdl", "least_dl", "n_body")
+    by = Window.partitionBy("query_id").orderBy(F.desc("most"), "term")
+    plan = asked.join(known, "term").withColumns({
+        "before": F.coalesce(F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "onward": F.sum("most").over(by.rowsBetween(0, Window.unboundedFollowing)),
+    })
+    return _Search(index, stats, materialize(plan, "asked"), k)
 
 
 def bm25(queries: DataFrame, index: Index, k: int = 10) -> DataFrame:
     """``query_id, doc_id, score, rank``: whole terms OR'ed; ``queries`` has ``query_id, term``."""
-    q = queries.select("query_id", "term").distinct()
-    # A semi-join on the grouping key sinks below an index that is built on the fly, so only asked terms are counted.
-    hits = index.postings.select("term", "doc_id", "tf").join(q.select("term").distinct(), "term", "left_semi")
-    return _top(q.join(_scored(hits, index, ["term"]), "term"), k)
+    return _search(queries.select("query_id", "term").distinct(), index, k, False).top()
+
+
+def merged(prefixes: DataFrame, index: Index) -> Index:
+    """An index whose terms are the prefixes: the postings of a prefix's terms are added up where they meet in a page."""
+    pairs = terms_with_prefix(prefixes, index.dictionary).join(index.heads.select("term", "part"), "term")
+    found = pairs.join(index.blocks.select("seg", "term", "part", "page", "posts"), ["term", "part"]).select("prefix", "seg", "page", F.inline("posts"))
+    p = _live(found, index).groupBy(F.col("prefix").alias("term"), "seg", "page", "doc_id").agg(F.sum("tf").cast("int").alias("tf"), F.sum("body").cast("int").alias("body"), F.min("dl").alias("dl"))
+    blocks = materialize(blocks_of(p), "merged")
+    return Index(blocks, materialize(heads_of(blocks), "merged-heads"), index.dictionary, index.lengths)
 
 
 def bm25_prefix(queries: DataFrame, index: Index, k: int = 50) -> DataFrame:
-    """Prefix terms: each counts once over all columns and once over the body, so a hit in the body counts twice.
+    """Prefix terms: each counts once over all columns and once over the body, so a hit in the body counts twice."""
+    q = queries.select("query_id", "term").where(F.length("term") >= 2).distinct()
+    return _search(q, merged(q.select(F.col("term").alias("prefix")).distinct(), index), k, True).top()
 
-    Postings and prefixes meet on their first two characters, then by ``startswith``.
-    """
-    q = queries.select("query_id", F.col("term").alias("prefix")).where(F.length("prefix") >= 2).distinct()
-    p = q.select("prefix").distinct().withColumn("head", F.substring("prefix", 1, 2))
-    # The prefixes of a batch are the small side; postings that match none end at this join.
-    grown = index.postings.join(p, (F.substring("term", 1, 2) == F.col("head")) & F.startswith(F.col("term"), F.col("prefix")))
-    tf = grown.groupBy("prefix", "doc_id").agg(F.sum("tf").alias("tf"), F.sum("tf_body").alias("tf_body"))
-    kinds = F.explode(F.array(F.struct(F.lit("all").alias("part_of"), F.col("tf").alias("tf")), F.struct(F.lit("body").alias("part_of"), F.col("tf_body").alias("tf")))).alias("x")
-    each = tf.select("prefix", "doc_id", kinds).select("prefix", "doc_id", "x.part_of", "x.tf").where("tf > 0")
-    return _top(q.join(_scored(each, index, ["prefix", "part_of"]), "prefix"), k)
+
+def blocks_read(queries: DataFrame, index: Index, k: int = 10) -> DataFrame:
+    """``query_id, term, essential, n, blocks, read`` of a batch of whole-term queries: the blocks a term has, and those that its query reads."""
+    s = _search(queries.select("query_id", "term").distinct(), index, k, False)
+    found, plan = s.candidates()
+    looked = s.lookups(found).groupBy("query_id", "term").agg(F.count_distinct("seg", "page").alias("looked"))
+    return plan.join(looked, ["query_id", "term"], "left").select("query_id", "term", "essential", "n", "blocks", F.when(F.col("essential"), F.col("blocks")).otherwise(F.coalesce("looked", F.lit(0))).alias("read"))
 
 
 def any_substring(rows: DataFrame, text_col: str, needles: list[str], order: list[Column], newest: int = 100, limit: int = 5) -> DataFrame:

@@ -19,12 +19,23 @@ _W = _WORDS.format(x="text")
 _INDEXES: dict[tuple, lexical.Index] = {}
 
 
+def _version(spark, sf_dir, name):
+    """The files of a table with their sizes and times: another table under the same name has another version."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    listed = fs.listFiles(path, True)
+    out = []
+    while listed.hasNext():
+        f = listed.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
 def _index(spark, sf_dir, name_col=None):
-    """The index of the documents: written once in a session and read by every batch of queries."""
-    key = (spark.sparkContext.applicationId, sf_dir, name_col)
+    """The index of the documents: written once in a session and read by every batch of queries, as long as the table is the same."""
+    key = (spark.sparkContext.applicationId, _version(spark, sf_dir, "documents"), name_col)
     if key not in _INDEXES:
-        made = lexical.build_index(files(spark, sf_dir), "doc_id", "text", name_col)
-        _INDEXES[key] = lexical.Index(materialize(made.postings, "postings"), materialize(made.lengths, "lengths"))
+        _INDEXES[key] = lexical.build_index(files(spark, sf_dir), "doc_id", "text", name_col).saved()
     return _INDEXES[key]
 
 
