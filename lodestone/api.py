@@ -6,10 +6,12 @@ Every operation returns a DataFrame and reads what it needs; only ``index`` and
 
 from __future__ import annotations
 
+import contextlib
 import time
 import uuid
 from collections import OrderedDict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,9 +21,10 @@ from pyspark.sql.utils import AnalysisException
 from .functions import classify as C
 from .functions import facts as K
 from .functions import text as T
-from .operators import assemble, evaluation, graph, intervals, lexical, memory, packing, parse, ranking, resolve, snapshot, vectors
+from .operators import assemble, evaluation, graph, history, intervals, lexical, memory, packing, parse, ranking, resolve, snapshot, vectors
 from .providers import Embedder, HashingEmbedder, PatternTokenCounter, TokenCounter, embedded
 from .sources import files as S
+from .sources import vcs
 from .storage import materialize
 
 # Schemas of the logs. ``seq`` orders the rows of one key, ``secs`` is their time.
@@ -43,7 +46,8 @@ TEXTS = {
     "memories": ("context_key", "payload", "summary"), "decisions": ("content", "context"), "lessons": ("what_failed", "why_failed"),
     "checkpoints": ("doing", "next_step", "blockers"), "activity": ("subject",),
 }
-SNAPSHOT_TABLES = ("files", "symbols", "imports", "edges", "postings", "lengths", "embeddings", "hubs")
+SNAPSHOT_TABLES = ("files", "symbols", "imports", "edges", "segments", "hubs")
+SEGMENT_TABLES = ("postings", "terms", "dictionary", "lengths", "dead", "embeddings")
 # Codes of errors in an envelope, and states of a repository in which nothing is indexed.
 ERRORS = ("AMBIGUOUS_SYMBOL", "INDEX_STALE", "NOT_FOUND", "INVALID_ARGUMENT", "INTERNAL_ERROR")
 IN_PROGRESS = ("merge", "rebase", "cherry-pick", "revert", "bisect", "unmerged")
@@ -127,14 +131,19 @@ class Workspace:
 
     def wipe(self, logs: bool = False) -> None:
         """Drop every snapshot; with ``logs`` the memory too."""
-        self._remove(f"{self.root}/snapshots", f"{self.root}/logs/heads", *([f"{self.root}/logs"] if logs else []))
+        self._remove(f"{self.root}/snapshots", f"{self.root}/index", f"{self.root}/logs/heads", *([f"{self.root}/logs"] if logs else []))
         self._found.clear()
 
     def vacuum(self) -> list[str]:
         """Drop snapshots that no branch's head names; what a rollback could still reach goes too. Their names."""
         keep = {r["snapshot"] for r in self.state("heads", "branch").select("snapshot").collect()}
         gone = sorted({r["snapshot"] for r in self.log("heads").select("snapshot").distinct().collect()} - keep)
-        self._remove(*gone)
+        held = {s for k in keep for s in self._segments(k)}
+        segments = set()
+        for name in gone:
+            with contextlib.suppress(AnalysisException):  # dropped before
+                segments |= set(self._segments(name))
+        self._remove(*gone, *sorted(segments - held))
         return gone
 
     @property
@@ -159,16 +168,46 @@ class Workspace:
             raise OperationError("INDEX_STALE" if in_progress in IN_PROGRESS else "INVALID_ARGUMENT", f"nothing is indexed during: {in_progress}")
 
     def _index_symbols(self, symbols: DataFrame, name: str, old: tuple[str, DataFrame] | None = None) -> None:
-        """Postings, lengths and embeddings of ``symbols``; with ``old`` (a snapshot and the symbols kept of it) its rows are carried over."""
-        docs = symbols.select("symbol_id", "name", F.coalesce("body", F.lit("")).alias("body"))
-        index = lexical.build_index(docs, "symbol_id", "body", "name")
+        """The segments of a snapshot's index and embeddings: one of ``symbols``, and with ``old`` (a snapshot and its symbols that go) those of that snapshot before it.
+
+        A change writes one segment of its own size, until the segments are due to be merged.
+        """
+        docs = lambda s: s.select("symbol_id", "name", F.coalesce("body", F.lit("")).alias("body"))
+        names = self._segments(old[0]) if old else []
+        path = f"{self.root}/index/{uuid.uuid4().hex}"
+        if old:
+            made = lexical.segment(lexical.read_segments(self.spark, names), docs(old[1]), docs(symbols), time.time_ns(), "symbol_id", "body", "name")
+        else:
+            made = lexical.build_index(docs(symbols), "symbol_id", "body", "name", time.time_ns())
+        made.saved(path)
         said = F.concat_ws(" ", "name", K.docstring(F.regexp_replace("body", r"^[^\n]*\n\s*", "")))
-        made = {"postings": index.postings, "lengths": index.lengths, "embeddings": embedded(symbols.select("symbol_id", "name", "body"), "symbol_id", said, self.embedder)}
-        for table, rows in made.items():
-            if old:
-                key = "symbol_id" if table == "embeddings" else "doc_id"
-                rows = rows.unionByName(self._read(old[0], table).join(old[1].select(F.col("symbol_id").alias(key)), key, "left_semi"))
-            self._write(rows, name, table)
+        self._write(embedded(symbols.select("symbol_id", "name", "body"), "symbol_id", said, self.embedder), path, "embeddings")
+        names.append(path)
+        if lexical.to_merge(self.spark, names):
+            path = f"{self.root}/index/{uuid.uuid4().hex}"
+            lexical.merge(lexical.read_segments(self.spark, names), time.time_ns()).saved(path)
+            self._write(self._embeddings(names), path, "embeddings")
+            names = [path]
+        self._write(self.spark.createDataFrame([(i, n) for i, n in enumerate(names)], "nth int, path string").coalesce(1), name, "segments")
+
+    def _segments(self, name: str) -> list[str]:
+        return [r["path"] for r in self._read(name, "segments").orderBy("nth").collect()]
+
+    def lexicon(self, branch: str = "main") -> lexical.Index:
+        """The inverted index of the branch's head."""
+        return lexical.read_segments(self.spark, self._segments(self._need(branch)))
+
+    def embeddings(self, branch: str = "main") -> DataFrame:
+        return self._embeddings(self._segments(self._need(branch)))
+
+    def _embeddings(self, names: list[str]) -> DataFrame:
+        """The embeddings of the living symbols: those of a segment that a later one names as dead are left out."""
+        each = [self._read(n, "embeddings") for n in names]
+        for i in range(len(names) - 1):
+            gone = self.spark.read.parquet(*[f"{n}/dead" for n in names[i + 1 :]]).select(F.col("doc_id").alias("symbol_id"), "seg")
+            own = self._read(names[i], "lengths").select("seg").limit(1)
+            each[i] = each[i].join(gone.join(F.broadcast(own), "seg", "left_semi").select("symbol_id"), "symbol_id", "left_anti")  # one row
+        return reduce(DataFrame.unionByName, each)
 
     def _publish(self, name: str, branch: str, commit: str) -> str:
         """Edges and ranks are of the whole snapshot; then the head moves."""
@@ -181,7 +220,7 @@ class Workspace:
         return name
 
     def sync(self, files: DataFrame, branch: str = "main", commit: str = "", in_progress: str | None = None) -> DataFrame:
-        """Bring the head up to ``files``; the differences by path.
+        """Bring the head up to ``files``; the differences by path, in which a file that moved and was edited is one rename with its similarity.
 
         Files of unchanged content are not parsed again. The symbols of a renamed file move to its new path under new ids;
         changed and new files are parsed, what was in removed ones goes, and edges and ranks are worked out anew.
@@ -191,15 +230,16 @@ class Workspace:
         head = self._head(branch)
         if head is None:
             self.index(files, branch, commit)
-            return snapshot.diff(new.where("false"), new)
+            return snapshot.diff(new.where("false"), new).withColumn("similarity", F.lit(None).cast("double"))
         changes = materialize(snapshot.diff(self._read(head, "files").select("path", "content_hash"), S.observe(files).select("path", "content_hash")), "changes")
+        changes = materialize(history.with_renames(changes, self._read(head, "files"), S.observe(files)), "changes")
         if changes.isEmpty():
             return changes
         name = f"{self.root}/snapshots/{uuid.uuid4().hex}"
         self._write(S.observe(files), name, "files")
         gone = changes.where("change <> 'A'").select(F.coalesce("old_path", "path").alias("path"))
-        moved = changes.where("change = 'R'").select(F.col("old_path").alias("path"), F.col("path").alias("to"))
-        fresh = self._read(name, "files").join(changes.where("change in ('A', 'M')").select("path"), "path", "left_semi")
+        moved = changes.where("change = 'R' and similarity = 1").select(F.col("old_path").alias("path"), F.col("path").alias("to"))
+        fresh = self._read(name, "files").join(changes.where("change in ('A', 'M') or similarity < 1").select("path"), "path", "left_semi")
         symbols = self._read(head, "symbols")
         kept = symbols.join(gone, "path", "left_anti")
         nth = F.row_number().over(Window.partitionBy("path", "name", "kind").orderBy("start_line", "end_line", "symbol_id")) - 1
@@ -210,7 +250,7 @@ class Workspace:
         imports = self._read(head, "imports")
         moved_imports = imports.join(moved.withColumnRenamed("path", "importer"), "importer").select(F.col("to").alias("importer"), "module", "name")
         self._write(imports.join(gone.withColumnRenamed("path", "importer"), "importer", "left_anti").unionByName(moved_imports).unionByName(parse.parse_imports(fresh)), name, "imports")
-        self._index_symbols(again, name, (head, kept))
+        self._index_symbols(again, name, (head, symbols.join(gone, "path", "left_semi")))
         self._publish(name, branch, commit)
         return changes
 
@@ -224,11 +264,19 @@ class Workspace:
         row = self.state("heads", "branch").where(F.col("branch") == branch).first()
         return row["snapshot"] if row else None
 
-    def table(self, table: str, branch: str = "main") -> DataFrame:
+    def _need(self, branch: str) -> str:
         head = self._head(branch)
         if head is None:
             raise OperationError("NOT_FOUND", f"branch {branch} has no index")
-        return self._read(head, table)
+        return head
+
+    def table(self, table: str, branch: str = "main") -> DataFrame:
+        return self._read(self._need(branch), table)
+
+    def _whole(self, name: str) -> Iterator[tuple[str, str]]:
+        """Every folder and table that a snapshot consists of."""
+        yield from ((name, t) for t in SNAPSHOT_TABLES)
+        yield from ((n, t) for n in self._segments(name) for t in SEGMENT_TABLES)
 
     def status(self) -> DataFrame:
         return self.state("heads", "branch").select("branch", "commit_hash", "snapshot", "secs")
@@ -244,8 +292,8 @@ class Workspace:
         """Move a branch's head to its newest snapshot that can be read whole; its name, None if there is none."""
         for r in self.log("heads").where(F.col("branch") == branch).orderBy(F.desc("seq")).select("snapshot", "commit_hash").toLocalIterator():
             try:
-                for t in SNAPSHOT_TABLES:
-                    self._read(r["snapshot"], t).count()
+                for n, t in self._whole(r["snapshot"]):
+                    self._read(n, t).count()
             except Exception:  # noqa: BLE001, S112  whatever is wrong with a snapshot, an older one may be whole
                 continue
             if r["snapshot"] != self._head(branch):
@@ -259,12 +307,12 @@ class Workspace:
         head = self._head(branch)
         rows.append(("head", head is not None, head or ""))
         if head is not None:
-            bad = []
-            for t in SNAPSHOT_TABLES:
-                try:
-                    self._read(head, t).count()
-                except Exception as e:  # noqa: BLE001  reported
-                    bad.append(f"{t}: {str(e)[:80]}")
+            bad, t = [], ""
+            try:
+                for n, t in self._whole(head):
+                    self._read(n, t).count()
+            except Exception as e:  # noqa: BLE001  reported
+                bad.append(f"{t}: {str(e)[:80]}")
             rows.append(("tables", not bad, "; ".join(bad)))
             if not bad:
                 edges, symbols = self._read(head, "edges"), self._read(head, "symbols")
@@ -290,7 +338,7 @@ class Workspace:
         terms = F.concat(T.query_tokens(F.col("query")), T.query_tokens(F.array_join(exceptions, " ")))
         words = q.select("query_id", F.explode(terms).alias("term")).withColumn("term", F.lower("term")).distinct()
         symbols = self.table("symbols", branch)
-        lex = lexical.bm25_prefix(words, lexical.Index(self.table("postings", branch), self.table("lengths", branch)), CANDIDATES)
+        lex = lexical.bm25_prefix(words, self.lexicon(branch), CANDIDATES)
         lex = lex.select("query_id", F.col("doc_id").alias("symbol_id"), (F.col("rank") - 1).alias("lexical_rank"))
         asked = embedded(q.select("query_id", "query"), "query_id", F.col("query"), self.embedder)
         sem = vectors.topk(asked, self._numbered(branch), CANDIDATES, "no").where((F.col("score") > 0) & (F.col("score") >= getattr(self.embedder, "least", 0.0)))
@@ -313,7 +361,7 @@ class Workspace:
 
     def _numbered(self, branch: str) -> DataFrame:
         """Embeddings with a number for each symbol, which its id gives."""
-        return self.table("embeddings", branch).select(F.xxhash64("symbol_id").alias("no"), "symbol_id", "embedding")
+        return self.embeddings(branch).select(F.xxhash64("symbol_id").alias("no"), "symbol_id", "embedding")
 
     def search(self, query: str, limit: int = 10, branch: str = "main") -> DataFrame:
         """The best symbols for a query, see ``search_batch``; empty where nothing but neighbours was found or the best score is too low.
@@ -425,6 +473,20 @@ class Workspace:
         hit, callers, tests = intervals.impact(self.table("symbols", branch), self.table("edges", branch), ranges)
         return {"touched": hit, "callers": callers, "tests": tests}
 
+    def dirty(self, files: DataFrame, branch: str = "main") -> DataFrame:
+        """``path, lo, hi`` of the lines in which ``files`` (path, text) differ from the branch's head, moved files followed: ranges for ``blast`` and ``test``."""
+        old, new = self.table("files", branch), S.observe(files)
+        changes = materialize(snapshot.diff(old.select("path", "content_hash"), new.select("path", "content_hash")), "changes")
+        moved = history.with_renames(changes, old, new).where("change = 'R'").select("path", "old_path")
+        touched = changes.select("path").unionByName(changes.where("old_path is not null").select(F.col("old_path").alias("path"))).distinct()
+        of = lambda f: f.join(touched, "path", "left_semi").select("path", "text")
+        return history.changed_ranges(of(old), of(new), moved)
+
+    def lineage(self, changes: DataFrame, name: str | None = None, branch: str = "main") -> DataFrame:
+        """``symbol_id, commit_hash, secs, message`` of the last commits that changed each symbol's lines, from the hunks of all commits (see ``history.lineage``)."""
+        symbols = self.table("symbols", branch)
+        return vcs.lineage(symbols if name is None else symbols.where(F.col("name") == name), changes, self.log("commits"))
+
     def diff(self, lines: DataFrame) -> DataFrame:
         """Changed ranges of a diff given as rows (diff_id, line_no, line)."""
         return S.diff_hunks(lines, "diff_id").select("path", "lo", "hi").distinct()

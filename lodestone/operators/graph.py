@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..storage import materialize
@@ -12,7 +12,7 @@ from ..storage import materialize
 # Other names of the directions.
 DIRECTIONS = {"downstream": "down", "callees": "down", "outgoing": "down", "children": "down", "upstream": "up", "callers": "up", "incoming": "up", "parents": "up"}
 #: Iterations of PageRank in one job.
-LEVELS = 5
+LEVELS = 4
 #: A source is heavy from more than so many edges on, and more than this share of all; there are fewer than HEAVY_SHARE of them.
 HEAVY_LEAST, HEAVY_SHARE = 10_000, 2_000
 
@@ -76,22 +76,24 @@ def pagerank(edges: DataFrame, personal: DataFrame | None = None, damping: float
         mark = personal.select(F.col("node").cast("string").alias("node")).distinct().withColumn("chosen", F.lit(True))
         ends = ends.join(mark, "node", "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))
     nodes = materialize(ends.select("node", F.col("out_degree").alias("out"), "chosen"), "nodes")
-    n, chosen, n_edges = nodes.agg(F.count("*"), F.count_if("chosen"), F.coalesce(F.sum("out"), F.lit(0))).first()
+    n, chosen, n_edges, most = nodes.agg(F.count("*"), F.count_if("chosen"), F.coalesce(F.sum("out"), F.lit(0)), F.max("out")).first()
+    least = max(HEAVY_LEAST, n_edges // HEAVY_SHARE)
     if not n:
         return nodes.select("node", F.lit(0.0).alias("rank"))
     start = (nodes.where("chosen") if chosen else nodes).select("node", F.lit(1.0 / (chosen or n)).alias("v"), F.lit(0).alias("level"))
-    weights = nodes.where("out > 0").select(F.col("node").alias("src"), (1.0 / F.col("out")).alias("w"), (F.col("out") > max(HEAVY_LEAST, n_edges // HEAVY_SHARE)).alias("heavy"))
+    weights = nodes.where("out > 0").select(F.col("node").alias("src"), (1.0 / F.col("out")).alias("w"), (F.col("out") > least).alias("heavy"))
     weighted = materialize(links.join(weights, "src"), "weighted")
-    heavy = weighted.where("heavy").select("src", "dst", "w")
-    parts = [weighted.where("not heavy").select("src", "dst", "w"), None if heavy.isEmpty() else heavy]
-    level, levels = start, [materialize(start, "levels")]
+    heavy = weighted.where("heavy").select("src", "dst", "w") if most > least else None
+    light = weighted.where("not heavy").select("src", "dst", "w")
+    levels = [start]
     for first in range(1, iterations + 1, LEVELS):
         level, batch = levels[-1].where(F.col("level") == first - 1), None
         for k in range(first, min(first + LEVELS, iterations + 1)):
-            level = _step(level, *parts).withColumn("level", F.lit(k))
+            level = _step(level, light, heavy).withColumn("level", F.lit(k))
             batch = level if batch is None else batch.unionByName(level)
-        levels.append(materialize(batch, "levels"))
-        if levels[-1].where(F.col("level") == k).isEmpty():
+        seen = Observation()
+        levels.append(materialize(batch.observe(seen, F.max("level").alias("last")), "levels"))
+        if seen.get["last"] != k:  # no node has anything left to give
             break
     every = reduce(DataFrame.unionByName, levels)
     lost = dict(every.join(nodes.where("out = 0").select("node"), "node", "left_semi").groupBy("level").agg(F.sum("v")).collect())  # a row for each level

@@ -2,12 +2,12 @@
 
 Score of a phrase: idf x tf (k1 + 1) / (tf + k1 (1 - b + b dl / avgdl)), idf = ln((N - n + 0.5) / (n + 0.5)), floored.
 
-Documents are dealt to pages by a hash, and a term's postings in a page are one block with its largest frequencies and
-its shortest document, which bound every score in it. A search takes a query's terms from the most to the least promising
-one: a few give a threshold that the k-th best document has at least; terms whose bounds together stay below it cannot
-bring a document into the top by themselves (MaxScore), so their blocks are read only for documents that the other terms
-found and that may still pass. All of it is joins on (term, part) and (term, page): a stop word is many blocks in many
-parts, never one task's group.
+Documents are dealt to pages by a hash, and a term's postings in a page are one block. The largest frequencies and the
+shortest document of a term bound every score in its blocks. A search takes a query's terms from the most to the least
+promising one: a few give a threshold that the k-th best document has at least; terms whose bounds together stay below it
+cannot bring a document into the top by themselves (MaxScore), so their blocks are read only where the other terms found
+documents that may still pass. A batch's terms are broadcast, in blocks of a bounded size, and looked-up blocks are joined
+on term and page: a stop word is many blocks, never one task's group.
 """
 
 from __future__ import annotations
@@ -15,17 +15,28 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialize
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 WORD = r"[\p{L}\p{N}]+"
-#: Documents of a page, pages of a part (as a power of two), and terms of a page of the dictionary.
-PAGE_DOCS, PART_BITS, DICTIONARY_PAGE = 64, 10, 1_024
+#: Documents of a page, and terms of a page of the dictionary.
+PAGE_DOCS, DICTIONARY_PAGE = 512, 1_024
+#: Rows (query, term) of a batch that are searched for at once, and broadcast; a larger batch is searched in blocks.
+BLOCK_TERMS = 200_000
+#: Pairs of a prefix and a term that are broadcast; more are joined by shuffle, where Spark splits the rows of a stop word.
+BROADCAST_PAIRS = 1_000_000
+#: Look-ups that are broadcast at most; more are joined by shuffle.
+BROADCAST_LOOKUPS = 300_000
+#: Segments of an index, and the share of dead documents in them, beyond which they are merged.
+SEGMENTS, MOST_DEAD = 8, 0.25
 #: First terms of dictionary pages that a search for prefixes holds; a larger dictionary gets larger pages.
 FENCES = 100_000
 #: Postings from which a query's first threshold comes, for each result asked for.
@@ -33,6 +44,7 @@ SEED_POSTINGS = 40
 #: Scores are rounded to so many digits before they are ranked; bounds leave room for that.
 DIGITS = 6
 SLACK = 2 * 10**-DIGITS
+_REST = "array<struct<term:string,idf:double,idf_body:double,top_tf:int,top_body:int>>"
 
 
 def words(x: Column) -> Column:
@@ -41,60 +53,111 @@ def words(x: Column) -> Column:
 
 @dataclass
 class Index:
-    """The tables of an index; ``saved`` writes them once, for every batch that reads them.
+    """The tables of an index, of one segment or several; ``saved`` writes them once, for every batch that reads them.
 
-    ``blocks``: ``seg, term, page, part, n, n_body, top_tf, top_body, least_dl, posts`` (doc_id, tf, body, dl); ``heads``: the
-    same of a term's part, without pages and postings; ``dictionary``: ``term, ord``, sorted; ``lengths``: ``doc_id, dl, seg``.
-    ``dead`` (doc_id, seg) names postings of a segment that a later one replaced; None if there are none.
+    ``postings``: ``seg, term, page, doc_id, tf, body, dl``; ``terms``: ``term, n, n_body, top_tf, top_body, least_dl, blocks`` of
+    each segment, and rows of negative numbers and no blocks for postings that are dead; ``dictionaries``: ``term, ord`` of
+    each segment, sorted; ``lengths``: ``doc_id, dl, seg`` of the living documents. ``dead`` (doc_id, seg) names documents of
+    a segment that a later one replaced or dropped; None if there are none.
     """
 
-    blocks: DataFrame
-    heads: DataFrame
-    dictionary: DataFrame
+    postings: DataFrame
+    terms: DataFrame
+    dictionaries: tuple[DataFrame, ...]
     lengths: DataFrame
     dead: DataFrame | None = None
 
-    def saved(self) -> Index:
-        blocks = materialize(self.blocks, "blocks")
-        heads = materialize(heads_of(blocks), "heads")
-        return replace(self, blocks=blocks, heads=heads, dictionary=materialize(dictionary_of(heads), "dictionary"), lengths=materialize(self.lengths, "lengths"))
+    def saved(self, name: str | None = None) -> Index:
+        """The index of tables that are written, once, as scratch tables or under ``name``."""
+        spark = self.postings.sparkSession
 
+        def put(df: DataFrame, table: str) -> DataFrame:
+            if name is None:
+                return materialize(df, table)
+            df.write.parquet(f"{name}/{table}")
+            return spark.read.schema(df.schema).parquet(f"{name}/{table}")
 
-def postings(docs: DataFrame, id_col: str = "doc_id", body_col: str = "text", name_col: str | None = None) -> DataFrame:
-    """``term, doc_id, tf, body, dl``: words counted over name and body, and over the body alone. The shuffle carries counts, combined per task first."""
-    size = lambda c: F.coalesce(F.size(words(F.col(c))), F.lit(0))
-    dl = (size(body_col) + (size(name_col) if name_col else F.lit(0))).alias("dl")
-    of = lambda c, body: docs.select(F.col(id_col).alias("doc_id"), dl, F.explode(words(F.col(c))).alias("term"), F.lit(body).alias("body"))
-    each = of(body_col, 1).unionByName(of(name_col, 0)) if name_col else of(body_col, 1)
-    return each.groupBy("term", "doc_id").agg(F.count("*").cast("int").alias("tf"), F.sum("body").cast("int").alias("body"), F.min("dl").cast("int").alias("dl"))
+        written = put(self.postings, "postings")
+        terms = terms_of(written) if self.dead is None else terms_of(written).unionByName(self.terms.where("blocks = 0"))
+        terms = put(terms, "terms")
+        dead = self.dead if self.dead is None and name is None else put(self.lengths.where("false").select("doc_id", "seg") if self.dead is None else self.dead, "dead")
+        return Index(written, terms, (put(dictionary_of(terms), "dictionary"),), put(self.lengths, "lengths"), dead)
+
+
+def postings(docs: DataFrame, id_col: str = "doc_id", body_col: str = "text", name_col: str | None = None, pages: int = 1) -> DataFrame:
+    """``term, page, doc_id, tf, body, dl``: words counted over name and body, and over the body alone.
+
+    Texts move once, by page; a document's words are counted where it is, and its postings stay together.
+    """
+    none = F.array().cast("array<string>")
+    # Cut into words first: an expression of the text beside the explosion would be worked out for each word.
+    cut = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(words(F.col(body_col)), none).alias("in_body"), F.coalesce(words(F.col(name_col)), none).alias("in_name") if name_col else none.alias("in_name"))
+    cut = cut.withColumn("page", F.pmod(F.xxhash64("doc_id"), F.lit(pages)).cast("long")).repartition("page")
+    both = F.concat(F.transform("in_body", lambda t: F.struct(t.alias("term"), F.lit(1).alias("body"))), F.transform("in_name", lambda t: F.struct(t.alias("term"), F.lit(0).alias("body"))))
+    each = cut.select("page", "doc_id", (F.size("in_body") + F.size("in_name")).alias("dl"), F.inline(both))
+    return each.groupBy("page", "doc_id", "term").agg(F.count("*").cast("int").alias("tf"), F.sum("body").cast("int").alias("body"), F.min("dl").alias("dl"))
+
+
+def _pages(docs: int) -> int:
+    return 1 << max(0, (docs // PAGE_DOCS).bit_length())
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", body_col: str = "text", name_col: str | None = None, seg: int = 0) -> Index:
     """The index of documents with distinct ids; null texts have no words. Lazy but for a count of the documents."""
-    pages = 1 << max(0, (docs.count() // PAGE_DOCS).bit_length())
-    p = postings(docs, id_col, body_col, name_col).withColumn("page", F.pmod(F.xxhash64("doc_id"), F.lit(pages)).cast("long"))
+    p = postings(docs, id_col, body_col, name_col, _pages(docs.count())).withColumn("seg", F.lit(seg).cast("long"))
     size = F.coalesce(F.size(words(F.col(body_col))), F.lit(0)) + (F.coalesce(F.size(words(F.col(name_col))), F.lit(0)) if name_col else F.lit(0))
-    lengths = docs.select(F.col(id_col).alias("doc_id"), size.cast("long").alias("dl"), F.lit(seg).alias("seg"))
-    blocks = blocks_of(p.withColumn("seg", F.lit(seg)))
-    heads = heads_of(blocks)
-    return Index(blocks, heads, dictionary_of(heads), lengths)
+    terms = terms_of(p)
+    return Index(p, terms, (dictionary_of(terms),), docs.select(F.col(id_col).alias("doc_id"), size.cast("long").alias("dl"), F.lit(seg).cast("long").alias("seg")))
+
+
+def segment(index: Index, gone: DataFrame, new: DataFrame, seg: int, id_col: str = "doc_id", body_col: str = "text", name_col: str | None = None) -> Index:
+    """A segment for a change: the postings of the documents ``new``, and what the documents ``gone`` (in ``index``, with their texts) take away.
+
+    Work and size follow the change: of ``index`` only the segments of the documents that go are looked up. A document
+    that is replaced is in both tables. ``seg`` is above every segment of ``index``.
+    """
+    made = build_index(new, id_col, body_col, name_col, seg)
+    dead = index.lengths.join(gone.select(F.col(id_col).alias("doc_id")), "doc_id", "left_semi").select("doc_id", "seg")
+    less = postings(gone, id_col, body_col, name_col).groupBy("term").agg(F.count("*").alias("n"), F.count_if(F.col("body") > 0).alias("n_body"))
+    none = F.lit(None).cast("int")
+    minus = less.select("term", (-F.col("n")).alias("n"), (-F.col("n_body")).alias("n_body"), none.alias("top_tf"), none.alias("top_body"), none.alias("least_dl"), F.lit(0).cast("long").alias("blocks"))
+    return replace(made, terms=made.terms.unionByName(minus), dead=dead)
+
 
+def read_segments(spark: SparkSession, names: list[str]) -> Index:
+    """The index that written segments make together."""
+    of = lambda t: spark.read.schema(spark.read.parquet(f"{names[0]}/{t}").schema).parquet(*[f"{n}/{t}" for n in names])
+    if len(names) == 1:
+        return Index(of("postings"), of("terms"), (of("dictionary"),), of("lengths"))
+    dead = of("dead")
+    return Index(of("postings"), of("terms"), tuple(spark.read.parquet(f"{n}/dictionary") for n in names), of("lengths").join(dead, ["doc_id", "seg"], "left_anti"), dead)
 
-def blocks_of(p: DataFrame) -> DataFrame:
-    """Postings (seg, term, page, doc_id, tf, body, dl) as blocks."""
-    grouped = p.groupBy("seg", "term", "page").agg(
-        F.count("*").alias("n"), F.count_if(F.col("body") > 0).alias("n_body"), F.max("tf").alias("top_tf"), F.max("body").alias("top_body"), F.min("dl").alias("least_dl"), F.collect_list(F.struct("doc_id", "tf", "body", "dl")).alias("posts")
-    )
-    return grouped.withColumn("part", F.shiftright("page", PART_BITS))
 
+def merge(index: Index, seg: int) -> Index:
+    """One segment of the living postings of all; texts are not read again."""
+    page = F.pmod(F.xxhash64("doc_id"), F.lit(_pages(index.lengths.count()))).cast("long")
+    p = _live(index.postings, index).withColumns({"seg": F.lit(seg).cast("long"), "page": page}).repartition("page")
+    terms = terms_of(p)
+    return Index(p, terms, (dictionary_of(terms),), index.lengths.withColumn("seg", F.lit(seg).cast("long")))
 
-def heads_of(blocks: DataFrame) -> DataFrame:
-    return blocks.groupBy("term", "part").agg(F.sum("n").alias("n"), F.sum("n_body").alias("n_body"), F.max("top_tf").alias("top_tf"), F.max("top_body").alias("top_body"), F.min("least_dl").alias("least_dl"), F.count("*").alias("blocks"))
 
+def to_merge(spark: SparkSession, names: list[str]) -> bool:
+    """Whether segments are to be merged: there are more than ``SEGMENTS``, or over ``MOST_DEAD`` of their documents are dead."""
+    if len(names) <= 1:
+        return False
+    dead = spark.read.parquet(*[f"{n}/dead" for n in names]).count()
+    return len(names) > SEGMENTS or dead > MOST_DEAD * spark.read.parquet(*[f"{n}/lengths" for n in names]).count()
 
-def dictionary_of(heads: DataFrame) -> DataFrame:
+
+def terms_of(p: DataFrame) -> DataFrame:
+    """A row for each term; its blocks are counted, their bounds taken together."""
+    heads = p.groupBy("term", "page").agg(F.count("*").alias("n"), F.count_if(F.col("body") > 0).alias("n_body"), F.max("tf").alias("top_tf"), F.max("body").alias("top_body"), F.min("dl").alias("least_dl"))
+    return heads.groupBy("term").agg(F.sum("n").alias("n"), F.sum("n_body").alias("n_body"), F.max("top_tf").alias("top_tf"), F.max("top_body").alias("top_body"), F.min("least_dl").alias("least_dl"), F.count("*").alias("blocks"))
+
+
+def dictionary_of(terms: DataFrame) -> DataFrame:
     """``term, ord``: the terms in order; ordinals rise with them and may leave gaps. To be written once before it is read."""
-    return heads.select("term").distinct().orderBy("term").withColumn("ord", F.monotonically_increasing_id())
+    return terms.select("term").distinct().orderBy("term").withColumn("ord", F.monotonically_increasing_id())
 
 
 def terms_with_prefix(prefixes: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -116,115 +179,143 @@ def terms_with_prefix(prefixes: DataFrame, dictionary: DataFrame) -> DataFrame:
             found = [(bisect_right(first, p) - 1, bisect_left(first, p + b"\xff")) for p in (x.encode() for x in batch.to_pylist())]
             yield pa.array([number[max(0, lo) : hi] for lo, hi in found], pa.list_(pa.int64()))
 
-    spans = prefixes.select("prefix", F.explode(span(F.col("prefix"))).alias("page"))
-    return spans.join(pages, "page").where(F.startswith("term", "prefix")).select("prefix", "term")
+    spans = materialize(prefixes.select("prefix", F.explode(span(F.col("prefix"))).alias("page")), "spans")
+    return (F.broadcast(spans) if spans.count() <= BROADCAST_PAIRS else spans).join(pages, "page").where(F.startswith("term", "prefix")).select("prefix", "term")
 
 
-def _norm(dl: Column) -> Column:
-    return K1 * (1 - B + B * dl / F.col("avgdl"))
-
-
-def _weight(tf: Column, body: Column, dl: Column, idf: Column, idf_body: Column) -> Column:
-    """What a posting adds to a score: the phrase over all columns and, where it counts, once more over the body."""
-    norm = _norm(dl)
-    return idf * tf * (K1 + 1) / (tf + norm) + F.when(body > 0, idf_body * body * (K1 + 1) / (body + norm)).otherwise(0.0)
+def _live(found: DataFrame, index: Index) -> DataFrame:
+    return found if index.dead is None else found.join(index.dead, ["doc_id", "seg"], "left_anti")
 
 
 @dataclass
 class _Search:
-    """A batch of queries against blocks. ``plan``: a query's terms from the most promising on, and what those from each on can add together."""
+    """A block of queries against an index. ``plan`` (pandas) has a row for each query and term, a query's terms from the most promising on:
+    ``before`` counts the postings of those before, ``onward`` is what a term and those after it can add together."""
 
     index: Index
-    stats: DataFrame
-    plan: DataFrame
+    plan: pd.DataFrame
+    avgdl: float
     k: int
 
-    def of(self, asked: DataFrame) -> DataFrame:
-        """Postings of rows of the plan, with what they add."""
-        found = asked.join(self.index.heads.select("term", "part"), "term").join(self.index.blocks.select("seg", "term", "part", "page", "posts"), ["term", "part"])
-        found = _live(found.select("query_id", "seg", "page", "idf", "idf_body", F.inline("posts")), self.index).crossJoin(F.broadcast(self.stats))
-        return found.select("query_id", "seg", "page", "doc_id", "dl", _weight(F.col("tf"), F.col("body"), F.col("dl"), F.col("idf"), F.col("idf_body")).alias("w"))
-
-    def threshold(self, scores: DataFrame, name: str) -> DataFrame:
-        """What the ``k``-th best document of a query has at least; queries with fewer documents have no row."""
-        w = Window.partitionBy("query_id").orderBy(F.desc("part_score"))
-        return scores.withColumn("nth", F.row_number().over(w)).where(F.col("nth") == self.k).select("query_id", F.col("part_score").alias(name))
-
-    def candidates(self) -> tuple[DataFrame, DataFrame]:
-        """``query_id, seg, page, doc_id, dl, part_score, rest`` of the documents that may reach the top, and the plan with each term's kind.
-
-        ``rest`` are the terms that were not scored.
-        """
-        add = lambda rows: rows.groupBy("query_id", "seg", "page", "doc_id", "dl").agg(F.sum("w").alias("part_score"))
-        first = self.threshold(add(self.of(self.plan.where(F.col("before") < SEED_POSTINGS * self.k))), "least")
-        plan = materialize(self.plan.join(first, "query_id", "left").withColumn("essential", F.col("least").isNull() | (F.col("onward") >= F.col("least") - SLACK)), "plan")
-        scores = materialize(add(self.of(plan.where("essential"))), "scores")
-        rest = plan.where("not essential").groupBy("query_id").agg(F.max("least").alias("least"), F.collect_list(F.struct("term", "idf", "idf_body", "top_tf", "top_body")).alias("rest"))
-        bar = rest.join(self.threshold(scores, "later"), "query_id", "left").select("query_id", "rest", F.greatest("least", "later").alias("least"))
-        open_ = scores.join(bar, "query_id", "left").crossJoin(F.broadcast(self.stats))
-        none = F.array().cast("array<struct<term:string,idf:double,idf_body:double,top_tf:int,top_body:int>>")
-        most = F.col("part_score") + F.aggregate(F.coalesce("rest", none), F.lit(0.0), lambda a, t: a + _weight(t["top_tf"], t["top_body"], F.col("dl"), t["idf"], t["idf_body"]))
-        return open_.where(F.col("least").isNull() | (most >= F.col("least") - SLACK)).drop("avgdl", "docs", "least"), plan
-
-    def lookups(self, found: DataFrame) -> DataFrame:
-        """What the unscored terms add to the candidates: a candidate's page has one block of a term at most."""
-        asked = found.select("query_id", "seg", "page", "doc_id", F.inline("rest")).drop("top_tf", "top_body")
-        blocks = self.index.blocks.select("seg", "term", "page", "posts")
-        return asked.join(blocks, ["seg", "term", "page"]).withColumn("p", F.get(F.filter("posts", lambda p: p["doc_id"] == F.col("doc_id")), F.lit(0))).drop("posts")
+    def weight(self, tf: Column, body: Column, dl: Column, idf: Column, idf_body: Column) -> Column:
+        """What a posting adds to a score: the phrase over all columns and, where it counts, once more over the body."""
+        norm = K1 * (1 - B) + (K1 * B / self.avgdl if self.avgdl else 0.0) * dl
+        return idf * tf * (K1 + 1) / (tf + norm) + F.when(body > 0, idf_body * body * (K1 + 1) / (body + norm)).otherwise(0.0)
+
+    def scores(self, rows: pd.DataFrame) -> DataFrame:
+        """``query, seg, page, doc_id, dl, part_score`` of the documents that have one of these terms of the plan."""
+        asked = self.index.postings.sparkSession.createDataFrame(rows[["query", "term", "idf", "idf_body"]], "query int, term string, idf double, idf_body double")
+        found = _live(self.index.postings.join(F.broadcast(asked), "term"), self.index)  # at most BLOCK_TERMS rows
+        w = self.weight(F.col("tf"), F.col("body"), F.col("dl"), F.col("idf"), F.col("idf_body"))
+        return found.select("query", "seg", "page", "doc_id", "dl", w.alias("w")).groupBy("query", "seg", "page", "doc_id", "dl").agg(F.sum("w").alias("part_score"))
+
+    def essential(self) -> pd.DataFrame:
+        """The plan with ``least``, a score that a query's ``k``-th best document has at least (null if unknown), and ``essential``."""
+        seeds = self.scores(self.plan[self.plan["before"] < SEED_POSTINGS * self.k])
+        w = Window.partitionBy("query").orderBy(F.desc("part_score"))
+        kth = seeds.withColumn("nth", F.row_number().over(w)).where(F.col("nth") == self.k).select("query", F.col("part_score").alias("least"))
+        plan = self.plan.merge(kth.toPandas(), "left", "query")  # a row a query
+        plan = plan.assign(essential=plan["least"].isna() | (plan["onward"] >= plan["least"] - SLACK))
+        # Terms are left for look-ups only where that promises to read less: each document found may ask for each of them.
+        each = lambda x: x.groupby(plan["query"]).transform("sum")
+        found, rest, unread = each(plan["n"] * plan["essential"]), each(1 - plan["essential"]), each(plan["n"] * ~plan["essential"])
+        return plan.assign(essential=plan["essential"] | (found * rest >= unread))
+
+    def candidates(self, plan: pd.DataFrame) -> DataFrame:
+        """``query, seg, page, doc_id, part_score, rest`` of the documents that may reach the top; ``rest``: the terms that are not essential, and not scored yet."""
+        scores, rest = self.scores(plan[plan["essential"]]), plan[~plan["essential"]]
+        terms = ["term", "idf", "idf_body", "top_tf", "top_body"]
+        held = [(int(q), float(g["least"].iloc[0]), [tuple(r) for r in g[terms].astype(object).to_numpy().tolist()]) for q, g in rest.groupby("query")]
+        more = scores.join(F.broadcast(scores.sparkSession.createDataFrame(held, f"query int, least double, rest {_REST}")), "query")  # a row a query
+        most = F.col("part_score") + F.aggregate("rest", F.lit(0.0), lambda a, t: a + self.weight(t["top_tf"], t["top_body"], F.col("dl"), t["idf"], t["idf_body"]))
+        return more.where(most >= F.col("least") - SLACK).select("query", "seg", "page", "doc_id", "part_score", "rest")
 
     def top(self) -> DataFrame:
-        found = materialize(self.candidates()[0], "candidates")
-        more = self.lookups(found).where("p is not null").crossJoin(F.broadcast(self.stats))
-        more = more.select("query_id", "doc_id", _weight(F.col("p.tf"), F.col("p.body"), F.col("p.dl"), F.col("idf"), F.col("idf_body")).alias("w"))
-        best = found.select("query_id", "doc_id", F.col("part_score").alias("w")).unionByName(more).groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), DIGITS).alias("score"))
-        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+        """``query, doc_id, score, rank``."""
+        plan = self.essential()
+        pruned = plan["query"].isin(plan.loc[~plan["essential"], "query"])
+        scored = self.scores(plan[~pruned]).select("query", "doc_id", "part_score")
+        if pruned.any():
+            found = materialize(self.candidates(plan[pruned]), "candidates")
+            # A candidate's page has one block of a term at most: only these blocks are looked up.
+            asked = found.select("query", "seg", "page", "doc_id", F.inline("rest")).drop("top_tf", "top_body")
+            n = found.agg(F.coalesce(F.sum(F.size("rest")), F.lit(0))).first()[0]
+            more = self.index.postings.join(F.broadcast(asked) if n <= BROADCAST_LOOKUPS else asked, ["seg", "term", "page", "doc_id"])
+            more = more.select("query", "doc_id", self.weight(F.col("tf"), F.col("body"), F.col("dl"), F.col("idf"), F.col("idf_body")).alias("w"))
+            whole = found.select("query", "doc_id", F.col("part_score").alias("w")).unionByName(more).groupBy("query", "doc_id").agg(F.sum("w").alias("part_score"))
+            scored = scored.unionByName(whole)
+        best = scored.select("query", "doc_id", F.round("part_score", DIGITS).alias("score"))
+        w = Window.partitionBy("query").orderBy(F.desc("score"), "doc_id")
         return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= self.k)
 
 
-def _live(found: DataFrame, index: Index) -> DataFrame:
-    return found if index.dead is None else found.join(index.dead, ["doc_id", "seg"], "left_anti")
-
-
-def _search(asked: DataFrame, index: Index, k: int, body: bool) -> _Search:
-    """``asked``: distinct ``query_id, term``. ``body``: whether a phrase counts once more over the body alone."""
-    stats = index.lengths.agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"))
-    known = index.heads.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n"), F.sum("n_body").alias("n_body"), F.max("top_tf").alias("top_tf"), F.max("top_body").alias("top_body"), F.min("least_dl").alias("least_dl"), F.sum("blocks").alias("blocks"))
-    idf = lambda n: F.greatest(F.lit(IDF_FLOOR), F.log((F.col("docs") - F.col(n) + 0.5) / (F.col(n) + 0.5)))
-    known = known.where("n > 0").crossJoin(F.broadcast(stats)).withColumns({"idf": idf("n"), "idf_body": idf("n_body") if body else F.lit(0.0)})
-    known = known.withColumn("most", _weight(F.col("top_tf"), F.col("top_body"), F.col("least_dl"), F.col("idf"), F.col("idf_body"))).drop("docs", "avgdl", "least_dl", "n_body")
-    by = Window.partitionBy("query_id").orderBy(F.desc("most"), "term")
-    plan = asked.join(known, "term").withColumns({
-        "before": F.coalesce(F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "onward": F.sum("most").over(by.rowsBetween(0, Window.unboundedFollowing)),
-    })
-    return _Search(index, stats, materialize(plan, "asked"), k)
+def _planned(asked: DataFrame, index: Index, k: int, body: bool) -> tuple[_Search, pd.DataFrame]:
+    """A search for a block of distinct ``query_id, term``, and the queries' numbers in it. ``body``: whether a phrase counts once more over the body alone."""
+    docs, avgdl = index.lengths.agg(F.count("*"), F.coalesce(F.avg("dl"), F.lit(0.0))).first()
+    rows = index.terms.join(F.broadcast(asked), "term").toPandas()  # at most BLOCK_TERMS for each segment
+    tops = {c: (c, "max") for c in ("top_tf", "top_body")}
+    p = rows.groupby(["query_id", "term"], as_index=False).agg(n=("n", "sum"), n_body=("n_body", "sum"), **tops, least_dl=("least_dl", "min"), blocks=("blocks", "sum"))
+    p = p[p["n"] > 0]
+    numbers = pd.Series(p["query_id"].unique())
+    p = p.assign(query=pd.Index(numbers).get_indexer(p["query_id"]), **{c: p[c].fillna(0).astype(int) for c in tops}, least_dl=p["least_dl"].fillna(0).astype(float))
+    idf = lambda n: np.maximum(IDF_FLOOR, np.log((docs - n + 0.5) / (n + 0.5)))
+    norm = K1 * (1 - B) + (K1 * B / avgdl if avgdl else 0.0) * p["least_dl"]
+    full = lambda tf: tf * (K1 + 1) / (tf + norm)
+    p = p.assign(idf=idf(p["n"].astype(float)), idf_body=idf(p["n_body"].astype(float)) if body else 0.0)
+    p = p.assign(most=p["idf"] * full(p["top_tf"]) + p["idf_body"] * full(p["top_body"])).sort_values(["query", "most", "term"], ascending=[True, False, True])
+    each = p.groupby("query")
+    p = p.assign(before=each["n"].cumsum() - p["n"], onward=each["most"].transform("sum") - each["most"].cumsum() + p["most"])
+    return _Search(index, p, avgdl, k), pd.DataFrame({"query": range(len(numbers)), "query_id": numbers})
+
+
+def _search(asked: DataFrame, index: Index, k: int, body: bool) -> DataFrame:
+    """Whole queries in blocks of about BLOCK_TERMS rows, dealt by a hash of the query: what is held for one is bounded. ``asked`` is a table that is written."""
+    n, out = asked.count(), None
+    blocks = 1 if n <= BLOCK_TERMS else 2 * n // BLOCK_TERMS + 1
+    for b in range(blocks):
+        s, numbers = _planned(asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b), index, k, body)
+        if len(numbers):
+            ids = asked.sparkSession.createDataFrame(numbers, f"query int, query_id {dict(asked.dtypes)['query_id']}")
+            found = s.top().join(F.broadcast(ids), "query").select("query_id", "doc_id", "score", "rank")  # a row a query
+            out = found if out is None else out.unionByName(found)
+    if out is None:
+        return index.lengths.where("false").crossJoin(asked.where("false")).select("query_id", "doc_id", F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
+    return out
 
 
 def bm25(queries: DataFrame, index: Index, k: int = 10) -> DataFrame:
     """``query_id, doc_id, score, rank``: whole terms OR'ed; ``queries`` has ``query_id, term``."""
-    return _search(queries.select("query_id", "term").distinct(), index, k, False).top()
+    return _search(materialize(queries.select("query_id", "term").distinct(), "asked"), index, k, False)
 
 
 def merged(prefixes: DataFrame, index: Index) -> Index:
-    """An index whose terms are the prefixes: the postings of a prefix's terms are added up where they meet in a page."""
-    pairs = terms_with_prefix(prefixes, index.dictionary).join(index.heads.select("term", "part"), "term")
-    found = pairs.join(index.blocks.select("seg", "term", "part", "page", "posts"), ["term", "part"]).select("prefix", "seg", "page", F.inline("posts"))
-    p = _live(found, index).groupBy(F.col("prefix").alias("term"), "seg", "page", "doc_id").agg(F.sum("tf").cast("int").alias("tf"), F.sum("body").cast("int").alias("body"), F.min("dl").alias("dl"))
-    blocks = materialize(blocks_of(p), "merged")
-    return Index(blocks, materialize(heads_of(blocks), "merged-heads"), index.dictionary, index.lengths)
+    """An index whose terms are the prefixes: the postings of a prefix's terms are added up where they meet in a document."""
+    terms = reduce(DataFrame.unionByName, [terms_with_prefix(prefixes, d) for d in index.dictionaries])
+    terms = materialize(terms if len(index.dictionaries) == 1 else terms.distinct(), "prefixes")
+    held = F.broadcast(terms) if terms.count() <= BROADCAST_PAIRS else terms
+    found = _live(index.postings.join(held, "term"), index)
+    p = found.repartition("page").groupBy(F.col("prefix").alias("term"), "seg", "page", "doc_id").agg(F.sum("tf").cast("int").alias("tf"), F.sum("body").cast("int").alias("body"), F.min("dl").alias("dl"))
+    p = materialize(p, "merged")
+    return Index(p, materialize(terms_of(p), "merged-terms"), index.dictionaries, index.lengths)
 
 
 def bm25_prefix(queries: DataFrame, index: Index, k: int = 50) -> DataFrame:
     """Prefix terms: each counts once over all columns and once over the body, so a hit in the body counts twice."""
-    q = queries.select("query_id", "term").where(F.length("term") >= 2).distinct()
-    return _search(q, merged(q.select(F.col("term").alias("prefix")).distinct(), index), k, True).top()
+    q = materialize(queries.select("query_id", "term").where(F.length("term") >= 2).distinct(), "asked")
+    return _search(q, merged(q.select(F.col("term").alias("prefix")).distinct(), index), k, True)
 
 
 def blocks_read(queries: DataFrame, index: Index, k: int = 10) -> DataFrame:
-    """``query_id, term, essential, n, blocks, read`` of a batch of whole-term queries: the blocks a term has, and those that its query reads."""
-    s = _search(queries.select("query_id", "term").distinct(), index, k, False)
-    found, plan = s.candidates()
-    looked = s.lookups(found).groupBy("query_id", "term").agg(F.count_distinct("seg", "page").alias("looked"))
-    return plan.join(looked, ["query_id", "term"], "left").select("query_id", "term", "essential", "n", "blocks", F.when(F.col("essential"), F.col("blocks")).otherwise(F.coalesce("looked", F.lit(0))).alias("read"))
+    """``query_id, term, essential, n, blocks, read`` of one block of whole-term queries: the blocks a term has, and those that its query reads."""
+    asked = materialize(queries.select("query_id", "term").distinct(), "asked")
+    s, _ = _planned(asked, index, k, False)
+    plan = s.essential()
+    pruned = plan["query"].isin(plan.loc[~plan["essential"], "query"])
+    want = s.candidates(plan[pruned]).select("query", "page", F.inline("rest")).select("query", "page", "term").distinct()
+    looked = want.join(index.postings.select("term", "page").distinct(), ["term", "page"]).groupBy("query", "term").agg(F.count("*").alias("looked"))
+    kinds = f"query int, query_id {dict(asked.dtypes)['query_id']}, term string, essential boolean, n long, blocks long"
+    p = asked.sparkSession.createDataFrame(plan[["query", "query_id", "term", "essential", "n", "blocks"]], kinds)
+    return p.join(looked, ["query", "term"], "left").select("query_id", "term", "essential", "n", "blocks", F.when(F.col("essential"), F.col("blocks")).otherwise(F.coalesce("looked", F.lit(0))).alias("read"))
 
 
 def any_substring(rows: DataFrame, text_col: str, needles: list[str], order: list[Column], newest: int = 100, limit: int = 5) -> DataFrame:

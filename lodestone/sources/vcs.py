@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Separators of fields and records in an exported commit log.
@@ -66,30 +66,30 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema + ", _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
 
 
-def lineage(symbols: DataFrame, touches: DataFrame, log: DataFrame) -> DataFrame:
-    """``symbol_id, commit_hash, secs, message`` of commits whose changed ranges (commit_hash, path, lo, hi) overlap a symbol."""
-    from ..operators.intervals import BUCKET, overlap
+def lineage(symbols: DataFrame, changes: DataFrame, log: DataFrame, most: int = 10) -> DataFrame:
+    """``symbol_id, commit_hash, secs, message``: the last ``most`` commits that changed a symbol's lines, its range carried back through the hunks (``history.lineage``)."""
+    from ..operators import history
 
-    named = touches.select("path", "lo", "hi", "commit_hash")
-    pairs = overlap(symbols, named.select("path", "lo", "hi").distinct(), BUCKET).select("symbol_id", "path", "lo", "hi")
-    return pairs.join(named, ["path", "lo", "hi"]).select("symbol_id", "commit_hash").distinct().join(log.select("commit_hash", "secs", "message"), "commit_hash")
+    found = history.lineage(symbols, changes)
+    w = Window.partitionBy("symbol_id").orderBy(F.desc("gen"), "commit_hash")
+    last = found.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= most)
+    return last.select("symbol_id", "commit_hash").distinct().join(log.select("commit_hash", "secs", "message"), "commit_hash")
 
 
-def lineage_by_content(symbols: DataFrame, changed: DataFrame, log: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """``symbol_id, commit_hash, secs, message`` of commits whose changed lines (commit_hash, path, line) name a symbol of the same file, for symbols without ``known`` lineage.
+def lineage_by_content(symbols: DataFrame, versions: DataFrame, log: DataFrame, known: DataFrame | None = None, most: int = 10) -> DataFrame:
+    """The same of the commits that changed how often a symbol's name stands in its file (``history.pickaxe``), for symbols without ``known`` lineage."""
+    from ..operators import history
 
-    The join is on path and word: only the words of changed lines move.
-    """
-    s = symbols.select("symbol_id", "path", F.col("name").alias("word"))
+    s = symbols.select("symbol_id", "path", "name")
     s = s if known is None else s.join(known.select("symbol_id").distinct(), "symbol_id", "left_anti")
-    words = changed.select("commit_hash", "path", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(r"[A-Za-z_]\w*"), F.lit(0)))).alias("word")).distinct()
-    return s.join(words, ["path", "word"]).select("symbol_id", "commit_hash").distinct().join(log.select("commit_hash", "secs", "message"), "commit_hash")
+    found = s.join(history.pickaxe(s, versions), ["path", "name"])
+    w = Window.partitionBy("symbol_id").orderBy(F.desc("gen"), "commit_hash")
+    last = found.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= most)
+    return last.select("symbol_id", "commit_hash").distinct().join(log.select("commit_hash", "secs", "message"), "commit_hash")
 
 
 def recent_commits(touches: DataFrame, log: DataFrame, k: int = 5) -> DataFrame:
     """``path, rank, commit_hash, secs, summary``: the last ``k`` commits (newest first, then by hash) that touched each path."""
-    from pyspark.sql import Window
-
     each = touches.select("path", "commit_hash").distinct().join(log.select("commit_hash", "secs", "summary"), "commit_hash")
     w = Window.partitionBy("path").orderBy(F.desc("secs"), "commit_hash")
     return each.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("path", "rank", "commit_hash", "secs", "summary")

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.api import TOOLS, OperationError, Workspace, envelope, handle
+from lodestone.operators import lexical
 
 FILES = [
     ("app/auth.py", "from .store import Store\n\n\nclass Authenticator:\n    def login(self, user_id):\n        return Store().get_user(user_id)\n"),
@@ -96,7 +97,7 @@ def test_plug_ins(spark, tmp_path):
 
     w = Workspace(spark, str(tmp_path / "w"), embedder=Length(), counter=Half())
     w.index(spark.createDataFrame([("a.py", "def f():\n    pass\n")], "path string, text string"))
-    assert w.table("embeddings").first()["model"] == "length"
+    assert w.embeddings().first()["model"] == "length"
     assert [r["n"] for r in spark.createDataFrame([("abcd",), (None,)], "x string").select(providers.token_counts(F.col("x"), Half()).alias("n")).collect()] == [2, 0]
     providers.register_parser("cobol", lambda t: ([{"name": "only", "kind": "program"}], ["other"]))
     try:
@@ -191,6 +192,59 @@ def test_sync_and_rollback(ws, spark):
     ws.clock = clock
 
 
+def indexed(w):
+    """What a workspace's index and embeddings say, whatever their segments."""
+    i = w.lexicon()
+    p = lexical._live(i.postings, i)
+    n = i.terms.groupBy("term").agg(F.sum("n").alias("n"), F.sum("n_body").alias("n_body")).where("n > 0")
+    return [sorted(map(str, d.collect())) for d in (p.select("term", "doc_id", "tf", "body", "dl"), n, i.lengths.select("doc_id", "dl"), w.embeddings())]
+
+
+def test_one_changed_file_writes_one_small_segment(spark, tmp_path, monkeypatch):
+    schema = "path string, text string"
+    files = [(f"m{i}.py", f"def alpha{i}(x):\n    return beta{i} + gamma\n") for i in range(30)]
+    w = Workspace(spark, str(tmp_path / "w"))
+    w.index(spark.createDataFrame(files, schema))
+    for k in range(10):
+        files[k % 2] = (files[k % 2][0], f"def alpha{k}(x):\n    return delta{k}\n\n\ndef more{k}():\n    return gamma\n")
+        if k == 4:
+            files = files[:-1]
+        before = w._segments(w._need("main"))
+        w.sync(spark.createDataFrame(files, schema))
+        after = w._segments(w._need("main"))
+        if len(after) > 1:
+            assert after[:-1] == before and spark.read.parquet(f"{after[-1]}/lengths").count() <= 2
+        else:
+            assert len(before) > 1  # merged
+    assert 1 <= len(after) <= lexical.SEGMENTS
+    whole = Workspace(spark, str(tmp_path / "x"))
+    whole.index(spark.createDataFrame(files, schema))
+    assert indexed(w) == indexed(whole)
+    for q in ("delta9", "gamma", "alpha", "more8 beta"):
+        assert [tuple(r) for r in w.search(q).collect()] == [tuple(r) for r in whole.search(q).collect()]
+    assert w.doctor().where("not ok").count() == 0 and len(w.vacuum()) == 10 and w.search("gamma", 5).count() == 5
+
+
+def test_moved_and_edited_files_and_dirty_lines(spark, tmp_path):
+    schema = "path string, text string"
+    w = Workspace(spark, str(tmp_path / "w"))
+    w.index(spark.createDataFrame(FILES, schema))
+    edited = FILES[1][1].replace("return user_id", "return str(user_id)")
+    new = [FILES[0], ("app/shop.py", edited), FILES[2], FILES[3], ("app/none.py", "x = 1\n")]
+    d = spark.createDataFrame(new, schema)
+    ranges = {tuple(r) for r in w.dirty(d).collect()}
+    assert ranges == {("app/store.py", 3, 3), ("app/shop.py", 3, 3), ("app/none.py", 1, 1)}
+    touched = w.blast(w.dirty(d))["touched"]
+    assert {r["name"] for r in touched.collect()} == {"Store", "get_user"}
+    kinds = {(r["path"], r["change"], r["old_path"], r["similarity"] is None) for r in w.sync(d).collect()}
+    assert kinds == {("app/shop.py", "R", "app/store.py", False), ("app/none.py", "A", None, True)}
+    assert {r["name"] for r in w.outline("app/shop.py").collect()} == {"Store", "get_user"} and w.dirty(d).count() == 0
+    commits = spark.createDataFrame([("h1", "a", 5, "made", "s"), ("h2", "a", 6, "moved", "s")], "commit_hash string, author string, secs long, message string, summary string")
+    w.record_commits(commits)
+    changes = spark.createDataFrame([("h1", 1, "app/store.py", "app/store.py", 0, 0, 1, 3), ("h2", 2, "app/shop.py", "app/store.py", 3, 1, 3, 1)], "commit_hash string, gen long, path string, old_path string, old_start long, old_count long, new_start long, new_count long")
+    assert {r["message"] for r in w.lineage(changes, "get_user").collect()} == {"made", "moved"}
+
+
 def test_incremental_sync_equals_a_full_index(spark, tmp_path):
     schema = "path string, text string"
     a, b = Workspace(spark, str(tmp_path / "a")), Workspace(spark, str(tmp_path / "b"))
@@ -199,9 +253,10 @@ def test_incremental_sync_equals_a_full_index(spark, tmp_path):
     kinds = {(r["path"], r["change"], r["old_path"]) for r in a.sync(spark.createDataFrame(changed, schema)).collect()}
     assert kinds == {("app/shop.py", "R", "app/store.py"), ("app/main.py", "M", None), ("app/new.py", "A", None), ("tests/test_auth.py", "D", None)}
     b.index(spark.createDataFrame(changed, schema))
-    for t in ("symbols", "imports", "edges", "postings", "lengths", "embeddings"):
+    for t in ("symbols", "imports", "edges"):
         x, y = (sorted(map(str, w.table(t).collect())) for w in (a, b))
         assert x == y, t
+    assert indexed(a) == indexed(b)
     assert a.sync(spark.createDataFrame(changed, schema)).count() == 0
     with pytest.raises(OperationError):
         a.index(spark.createDataFrame(changed, schema), in_progress="merge")

@@ -6,19 +6,36 @@ from lodestone.operators import graph, intervals, lexical, memory, packing, pars
 from lodestone.sources import files as S
 
 
-def test_pagerank_paths_agree(spark):
-    e = spark.createDataFrame([(i % 7, (i * 5 + 2) % 11) for i in range(30)], "src int, dst int")
-    near = {r["node"]: r["rank"] for r in graph.pagerank(e).collect()}
-    far = {r["node"]: r["rank"] for r in graph.pagerank(e, local_edges=0).collect()}
-    assert near.keys() == far.keys() and sum(near.values()) == pytest.approx(1.0)
-    assert all(near[k] == pytest.approx(far[k], abs=1e-12) for k in near)
-
-
-def test_personalised_pagerank_paths_agree(spark):
-    e = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (3, 0), (2, 4)], "src int, dst int")
-    p = spark.createDataFrame([("3",), ("9",)], "node string")
-    a, b = ({r["node"]: round(r["rank"], 12) for r in graph.pagerank(e, p, local_edges=n).collect()} for n in (100, 0))
-    assert a == b
+def power_iteration(edges, chosen=None, damping=0.85, iterations=20):
+    nodes = sorted({x for e in edges for x in e})
+    start = [x for x in nodes if x in (chosen or [])] or nodes
+    p = {x: (1 / len(start) if x in start else 0.0) for x in nodes}
+    out, ranks = {x: sum(a == x for a, _ in edges) for x in nodes}, dict(p)
+    for _ in range(iterations):
+        lost = sum(r for x, r in ranks.items() if not out[x])
+        new = {x: (1 - damping + damping * lost) * p[x] for x in nodes}
+        for a, b in edges:
+            new[b] += damping * ranks[a] / out[a]
+        ranks = new
+    return {str(x): r for x, r in ranks.items()}
+
+
+GRAPHS = [[(i % 7, (i * 5 + 2) % 11) for i in range(30)], [(0, 1), (1, 2), (2, 0), (3, 0), (2, 4)], [(1, 1), (1, 1), (1, 2)], [(i, 100) for i in range(50)] + [(100, i) for i in range(30)], [(i, i + 1) for i in range(12)]]
+
+
+@pytest.mark.parametrize("heavy", [10_000, 2])
+@pytest.mark.parametrize("edges", GRAPHS)
+def test_pagerank(spark, monkeypatch, edges, heavy):
+    monkeypatch.setattr(graph, "HEAVY_LEAST", heavy)
+    e = spark.createDataFrame(edges, "src int, dst int")
+    for chosen in (None, [3, 99_999], [99_999]):
+        p = None if chosen is None else spark.createDataFrame([(str(x),) for x in chosen], "node string")
+        got = {r["node"]: r["rank"] for r in graph.pagerank(e, p).collect()}
+        assert got == pytest.approx(power_iteration(edges, chosen), abs=1e-12) and sum(got.values()) == pytest.approx(1.0)
+
+
+def test_pagerank_of_no_edges(spark):
+    assert graph.pagerank(spark.createDataFrame([], "src int, dst int")).count() == 0
 
 
 def test_neighbourhood_directions_and_cycles(spark):

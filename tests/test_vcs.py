@@ -35,19 +35,25 @@ def test_tolerant_json(spark, tmp_path):
     assert [r["calls"] for r in got] == [3, None] and got[1]["_corrupt"] == "{oops"
 
 
+CHANGE = "commit_hash string, gen long, path string, old_path string, old_start long, old_count long, new_start long, new_count long"
+
+
 def test_lineage(spark):
-    s = spark.createDataFrame([("s1", "f", 1, 10), ("s2", "f", 20, 30)], "symbol_id string, path string, start_line int, end_line int")
-    t = spark.createDataFrame([("c1", "f", 5, 6), ("c2", "f", 9, 25), ("c3", "g", 1, 99)], "commit_hash string, path string, lo int, hi int")
-    log = spark.createDataFrame([(c, 1, "m") for c in ("c1", "c2", "c3")], "commit_hash string, secs long, message string")
-    assert {(r["symbol_id"], r["commit_hash"]) for r in vcs.lineage(s, t, log).collect()} == {("s1", "c1"), ("s1", "c2"), ("s2", "c2")}
+    """c3 puts ten lines on top of the file, so what c2 changed as lines 5 and 6 are lines 15 and 16 today."""
+    s = spark.createDataFrame([("s1", "f", 11, 20), ("s2", "f", 30, 40)], "symbol_id string, path string, start_line int, end_line int")
+    t = spark.createDataFrame([("c1", 1, "f", "f", 0, 0, 1, 30), ("c2", 2, "f", "f", 5, 2, 5, 2), ("c3", 3, "f", "f", 0, 0, 1, 10), ("c4", 4, "g", "g", 1, 9, 1, 9)], CHANGE)
+    log = spark.createDataFrame([(f"c{c}", c, "m") for c in range(1, 5)], "commit_hash string, secs long, message string")
+    assert {(r["symbol_id"], r["commit_hash"]) for r in vcs.lineage(s, t, log).collect()} == {("s1", "c1"), ("s1", "c2"), ("s2", "c1")}
+    assert {(r["symbol_id"], r["commit_hash"]) for r in vcs.lineage(s, t, log, 1).collect()} == {("s1", "c2"), ("s2", "c1")}
 
 
 def test_lineage_by_content(spark):
     s = spark.createDataFrame([("s1", "f", "run"), ("s2", "f", "stop")], "symbol_id string, path string, name string")
-    lines = spark.createDataFrame([("c1", "f", "def run(x):"), ("c2", "f", "return prerun"), ("c3", "g", "run()"), ("c4", "f", "run() or stop()")], "commit_hash string, path string, line string")
-    log = spark.createDataFrame([(f"c{i}", i, "m") for i in range(1, 5)], "commit_hash string, secs long, message string")
+    texts = ["def run(x):", "def run(x): # moved", "return prerun", "run() or stop() or run()", "run() or run() or stop()"]
+    v = spark.createDataFrame([("f", i, f"c{i}", t) for i, t in enumerate(texts)] + [("g", 9, "c9", "run run")], "path string, gen long, commit_hash string, text string")
+    log = spark.createDataFrame([(f"c{i}", i, "m") for i in range(10)], "commit_hash string, secs long, message string")
     known = spark.createDataFrame([("s2",)], "symbol_id string")
-    assert {(r["symbol_id"], r["commit_hash"]) for r in vcs.lineage_by_content(s, lines, log, known).collect()} == {("s1", "c1"), ("s1", "c4")}
+    assert {(r["symbol_id"], r["commit_hash"]) for r in vcs.lineage_by_content(s, v, log, known).collect()} == {("s1", "c0"), ("s1", "c2"), ("s1", "c3")}
 
 
 def test_recent_commits_and_ranges(spark):
