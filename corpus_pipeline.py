@@ -7,7 +7,7 @@ through every stage as an empty table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import exact_dedup, language_id, mixing, ngram_join, packing
@@ -21,6 +21,11 @@ LEAST_POSTERIOR = 0.5
 BROADCAST_IDS = 500_000
 
 
+def _whole(docs: DataFrame) -> Column:
+    """A row as one struct: whatever the names of its columns, they clash with none."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in a language that the labelled documents teach; a text that is null or has no letter goes.
 
@@ -29,7 +34,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = language_id.train(docs)
     if not model[0]:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    rows = docs.select(F.col("text").alias("text"), F.struct(*docs.columns).alias("row"))
+    rows = docs.select(F.col("text").alias("text"), _whole(docs))
     known = language_id.identify(rows, model, keep=["row"])
     return known.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_POSTERIOR)).select("row.*")
 
@@ -43,8 +48,8 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates keep the document with the smallest id; of those that share it, one text stays."""
     gone = materialize(ngram_join.near_losers(docs).select(F.col("id").alias("__gone"), F.col("th").alias("__hash")), "gone")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone.hint("shuffle_hash")
-    same = F.col("doc_id").eqNullSafe(F.col("__gone")) & (ngram_join.text_hash(F.col("text")) == F.col("__hash"))
-    return docs.join(gone, same, "left_anti")
+    rows = docs.select(F.col("doc_id").alias("__id"), ngram_join.text_hash(F.col("text")).alias("__th"), _whole(docs))
+    return rows.join(gone, F.col("__id").eqNullSafe(F.col("__gone")) & (F.col("__th") == F.col("__hash")), "left_anti").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
