@@ -164,11 +164,19 @@ def intent_fast(spark, sf_dir):
     return questions(spark, sf_dir).select("event_id", C.intent_fast(F.col("q")).alias("intent"))
 
 
-@query("intent_weights", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', CAST({a} AS DOUBLE), CAST({b} AS DOUBLE), CAST({c} AS DOUBLE), CAST({d} AS DOUBLE))" for k, (a, b, c, d) in C.INTENT_WEIGHTS.items()) + ") AS t(intent, w_lex, w_sem, w_struct, w_hub)")
+_INTENTS = f"SELECT event_id, CASE user_id % {len(C.INTENT_WEIGHTS)} " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(C.INTENT_WEIGHTS)) + " END AS intent, user_id % 50 AS rank FROM events"
+_WEIGHTS = "(VALUES " + ", ".join(f"('{k}', CAST({a} AS DOUBLE), CAST({b} AS DOUBLE), CAST({c} AS DOUBLE), CAST({d} AS DOUBLE))" for k, (a, b, c, d) in C.INTENT_WEIGHTS.items()) + ") AS w(intent, w_lex, w_sem, w_struct, w_hub)"
+
+
+@query("intent_weights", f"SELECT event_id, intent, round(w_lex / (60 + rank) + w_sem / (60 + rank) + w_struct / (160 + rank) + w_hub / (60 + rank), 9) AS score FROM ({_INTENTS}) e JOIN {_WEIGHTS} USING (intent)")
 def intent_weights(spark, sf_dir):
+    """Every event, as a candidate that all four lists hold at one rank, scored with the weights of its intent."""
     from ..operators.ranking import weights_table
+    from .fixtures import derived
 
-    return weights_table(spark)
+    e = derived(spark, sf_dir, _INTENTS, "events").join(F.broadcast(weights_table(spark)), "intent")  # a row for each intent
+    parts = [F.col(w) / (far + F.col("rank")) for w, far in (("w_lex", 60), ("w_sem", 60), ("w_struct", 160), ("w_hub", 60))]
+    return e.select("event_id", "intent", F.round(parts[0] + parts[1] + parts[2] + parts[3], 9).alias("score"))
 
 
 TRACE = """concat('Traceback', chr(10), '  File "src/f', CAST(event_id % 50 AS VARCHAR(9)), '.py", line ', CAST(k AS VARCHAR(9)), CASE WHEN event_id % 2 = 0 THEN ', in do_it' ELSE '' END, chr(10), CASE WHEN event_id % 3 = 0 THEN 'ValueError: x' ELSE 'all well' END)"""

@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,26 +32,31 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lodestone-{name}-{uuid.uuid4().hex}"
 
 
-_SCOPES: list[list[str]] = []
+#: The scopes that are open here, the innermost last; each thread has its own.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 @contextlib.contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
     """Tables that :func:`materialize` makes inside are deleted at the end, bar those given to :func:`keep`."""
-    _SCOPES.append([])
+    made: list[str] = []
+    outer = _SCOPES.get()
+    _SCOPES.set((*outer, made))
     try:
         yield
     finally:
-        for path in _SCOPES.pop():
+        _SCOPES.set(outer)
+        for path in made:
             _delete(spark, path)
 
 
 def keep(df: DataFrame) -> DataFrame:
     """Leave a table to the scope around the present one, if there is one."""
-    if _SCOPES and df.lodestone_path in _SCOPES[-1]:
-        _SCOPES[-1].remove(df.lodestone_path)
-        if len(_SCOPES) > 1:
-            _SCOPES[-2].append(df.lodestone_path)
+    scopes = _SCOPES.get()
+    if scopes and df.lodestone_path in scopes[-1]:
+        scopes[-1].remove(df.lodestone_path)
+        if len(scopes) > 1:
+            scopes[-2].append(df.lodestone_path)
     return df
 
 
@@ -63,8 +69,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: cuts lineage, survives lost executors, prunes columns."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    if _SCOPES:
-        _SCOPES[-1].append(path)
+    if _SCOPES.get():
+        _SCOPES.get()[-1].append(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back.lodestone_path = path
     return back
