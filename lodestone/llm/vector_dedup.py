@@ -74,6 +74,11 @@ def close_pairs(a: np.ndarray, b: np.ndarray, pa: np.ndarray, pb: np.ndarray, co
             yield i0 + i, j0 + j
 
 
+def _first_hash(v: Column) -> Column:
+    """One of two hashes by which equal vectors are known; the other starts from another seed, so it does not follow from this one."""
+    return F.xxhash64(v)
+
+
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
     """One row per input row: ``vec_id, n_links, component_id, kept``.
 
@@ -88,7 +93,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
     rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), v.alias("v"))
     rows = rows.withColumn("ok", F.coalesce(finite & F.col("label").isNotNull(), F.lit(False)))
-    rows = materialize(rows.select("id", "label", "ok", F.when(F.col("ok"), F.col("v")).alias("v"), F.xxhash64("v").alias("k1"), F.xxhash64("v", F.lit(1)).alias("k2")), "vectors")
+    rows = materialize(rows.select("id", "label", "ok", F.when(F.col("ok"), F.col("v")).alias("v"), _first_hash(F.col("v")).alias("k1"), F.xxhash64(F.lit(1), "v").alias("k2")), "vectors")
     grouped = rows.where("ok").groupBy("label", "k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.first("v").alias("v"))
     classes = materialize(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
     n = classes.count()

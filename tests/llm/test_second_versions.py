@@ -162,3 +162,34 @@ def test_pipeline(spark):
         sizes[i, len(plain.encode(text, add_special_tokens=False).ids) + 1] += n
     assert {k: sum(n for _, n in v) for k, v in packed.items()} == {k: k[1] * n for k, n in sizes.items()}
     assert all(sum(1 for s, _ in packed[k] if s == 0) == n for k, n in sizes.items())
+
+
+CLASHING = ["a.b", "__gone", "__hash", "row", "lang_pred", "score", "id", "th", "found"]
+
+
+def test_pipeline_stages_keep_columns_of_any_name(spark):
+    rows = corpus()
+    names = ["doc_id", "text", "lang", "source", "n_chars", *CLASHING]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING)
+    docs = spark.createDataFrame([(i, t, lang, s, len(t or ""), *CLASHING) for i, t, lang, s in rows], schema)
+    plain = docs.select(*names[:5])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs, plain = stage(spark, docs, ""), stage(spark, plain, "")
+        assert docs.columns == names and docs.count() == plain.count() > 0, name
+        assert docs.select(*[F.col(f"`{c}`") for c in CLASHING]).distinct().collect() == [tuple(CLASHING)]
+    assert corpus_pipeline.pack_sequences(spark, docs, "").count() == corpus_pipeline.pack_sequences(spark, plain, "").count()
+
+
+def test_vectors_of_one_first_hash_stay_apart(spark, monkeypatch):
+    """The second hash does not follow from the first: with the first one the same for all, equal and different vectors are still told apart."""
+    from brute import near_vectors
+
+    from lodestone.llm import vector_dedup
+
+    rng = random.Random(2)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6)], "x") for i in range(30)]
+    rows += [(100 + i, rows[i][1], "x") for i in range(10)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    monkeypatch.setattr(vector_dedup, "_first_hash", lambda v: F.lit(7).cast("long"))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vector_dedup.near_vectors(d).collect()}
+    assert got == near_vectors(rows)
