@@ -135,12 +135,13 @@ def contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item
 
 def without_passages(docs: DataFrame, items: DataFrame, text_col: str = "text", **how) -> DataFrame:
     """``docs`` with the benchmark passages cut out of their texts; rows and other columns stay, null texts stay null."""
-    found = contaminated(docs, items, text_col, **how)
-    t, n = F.col(f"`{text_col}`"), F.size("found.spans")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.col(f"`{text_col}`").alias("text"))
+    found = contaminated(whole, items, "text", **how)
+    t, n = F.col("text"), F.size("found.spans")
     after = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.element_at(F.col("found.spans"), F.greatest(i, F.lit(1)))["end"])
     upto = lambda i: F.when(i == n, F.length(t)).otherwise(F.element_at(F.col("found.spans"), F.least(i + 1, n))["start"])
     rest = F.array_join(F.transform(F.sequence(F.lit(0), n), lambda i: F.substr(t, after(i) + 1, upto(i) - after(i))), "")
-    return found.withColumn(text_col, F.when(n > 0, rest).otherwise(t)).drop("found").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return found.select(*[F.when(n > 0, rest).otherwise(t).alias(c) if c == text_col else F.col("whole").getField(c).alias(c) for c in docs.columns])
 
 
 def op11_rows(docs: DataFrame, items: DataFrame) -> DataFrame:
