@@ -7,7 +7,7 @@ from importlib import import_module
 from .registry import ORACLES, QUERIES, Query
 
 FLAGSHIP = "hybrid_search"
-MODULES = ["text_plans", "search_plans", "memory_plans", "history_plans"]
+MODULES = ["text_plans", "search_plans", "memory_plans", "history_plans", "code_plans"]
 
 
 def _load() -> None:
