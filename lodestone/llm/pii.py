@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HEAVY_LEAST, HEAVY_NODES, join_skewed, materialize
+from .common import HEAVY_LEAST, HEAVY_NODES, materialize
 from .spans import all_matches, count_of, placed, tagged, written
 
 # Kinds in the order of the output, and their patterns.
@@ -26,8 +26,11 @@ TERM = r"\p{L}{4,}+"
 CONTEXT = 60
 #: Share of an entity's information from which a term is withheld, and documents that must show the pair.
 DISCLOSURE, SUPPORT = 0.9, 3
-#: So many candidate terms are broadcast at most (under 64 bytes each); more are joined after counting.
-BROADCAST_TERMS = 200_000
+#: So many terms or keys, of so many bytes together, are broadcast at most; more are shuffled, heavy keys in parts.
+BROADCAST_TERMS, BROADCAST_BYTES = 200_000, 16_000_000
+KEY_PARTS = 16
+#: What tells a class of entities, and one of terms, from others.
+ENTITIES, TERMS = ["df_e", "e1", "e2"], ["df_t", "t1", "t2"]
 
 
 def _digits(s: Column) -> Column:
@@ -122,8 +125,7 @@ def disclose(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
     often = entity.select("row_id", "entity").distinct().groupBy("entity").agg(F.count("*").alias("df_e")).where(F.col("df_e") >= support)
     often = materialize(often, "often")
     heavy = max(HEAVY_LEAST, n // HEAVY_NODES)
-    hot = F.broadcast(often.where(F.col("df_e") > heavy))
-    sides = entity.join(hot, "entity").unionByName(entity.join(hot.select("entity"), "entity", "left_anti").join(often, "entity", "left"))
+    sides = _join_counted(entity, often, ["entity"], F.col("df_e") > heavy, "left")
     words = None
     for side in ("left", "right"):
         whole = F.regexp_replace(side, r"^\p{L}+" if side == "left" else r"\p{L}+$", "")
@@ -138,30 +140,45 @@ def disclose(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
     near_any = words.select("row_id", "term").distinct().groupBy("term").agg(F.count("*").alias("df_near"))
     pairs = pairs.join(near_any, "term").where(_discloses(n, F.col("df_near"), disclosure)).select("entity", "df_e", "term", "df_et")
     pairs = materialize(pairs, "pairs")
-    flagged = _flag(docs, F.array_distinct(all_matches(F.lower(F.coalesce(F.col(text_col), F.lit(""))), TERM)), pairs, n, disclosure)
-    return _with_terms(kept, join_skewed(words, flagged, ["entity", "term"], F.col("df_et") > heavy, "left_semi"))
+    found = F.array_distinct(all_matches(F.lower(F.coalesce(F.col(text_col), F.lit(""))), TERM))
+    df = _frequencies(docs, found, materialize(pairs.select("term").distinct(), "suspects"))
+    flagged = materialize(pairs.join(df, "term").where(_discloses(n, F.col("df_t"), disclosure)).select("entity", "term", "df_et"), "flagged")
+    return _with_terms(kept, _join_counted(words, flagged, ["entity", "term"], F.col("df_et") > heavy, "left_semi"))
+
+
+def _row_set(rows: str, name: str) -> list[Column]:
+    """How many rows a group has (each once), and 128 bits that tell its set of rows from others."""
+    return [F.count("*").alias(f"df_{name}"), F.expr(f"bit_xor(xxhash64({rows}))").alias(f"{name}1"), F.expr(f"bit_xor(xxhash64(1, {rows}))").alias(f"{name}2")]
 
 
 def _by_document(docs: DataFrame, text_col: str, kept: DataFrame, disclosure: float, support: int) -> DataFrame:
-    """``row_id, start, end`` of the terms that disclose an entity of their row, wherever they stand."""
+    """``row_id, start, end`` of the terms that disclose an entity of their row, wherever they stand.
+
+    Entities of one set of rows are one class, terms of one set of entities' rows another: a page of thousands of entities
+    and terms, and its copies, is one pair of classes. Rows meet classes; a class' terms are told apart at the end, by
+    their document frequencies.
+    """
     n = kept.count()
     entity = kept.select("row_id", F.explode("held").alias("entity"))
-    often = materialize(entity.groupBy("entity").agg(F.count("*").alias("df_e")).where((F.col("df_e") >= support) & (F.col("df_e") < n)), "often")
+    often = materialize(entity.groupBy("entity").agg(*_row_set("row_id", "e")).where((F.col("df_e") >= support) & (F.col("df_e") < n)), "often")
     heavy = max(HEAVY_LEAST, n // HEAVY_NODES)
-    held = materialize(join_skewed(entity, often, ["entity"], F.col("df_e") > heavy), "held")
+    held = materialize(_join_counted(entity, often, ["entity"], F.col("df_e") > heavy).select("row_id", *ENTITIES).distinct(), "held")
     texts = kept.select("row_id", "apart").join(held.select("row_id").distinct(), "row_id", "left_semi")
     seen = materialize(texts.select("row_id", F.explode(_terms(F.col("apart"))).alias("term")), "seen")
-    near_any = materialize(seen.groupBy("term").agg(F.count("*").alias("df_near")).where(F.col("df_near") >= support), "near")
-    near_any = F.broadcast(near_any) if near_any.count() <= BROADCAST_TERMS else near_any
+    known = materialize(seen.groupBy("term").agg(*_row_set("row_id", "t")).where(F.col("df_t") >= support), "near")
+    seen = materialize(_join_counted(seen, known, ["term"], F.col("df_t") > heavy), "classes")
     # A term's rows with any entity are a lower bound of its document frequency, the rarer of the two an upper bound of
     # their common rows: pairs that fail on these are not grouped.
-    hope = _discloses(n, F.col("df_near"), disclosure, F.least("df_e", "df_near"))
-    rows = materialize(held.join(seen.join(near_any, "term"), "row_id").where(hope).select("row_id", "entity", "df_e", "term", "df_near"), "contexts")
-    pairs = rows.groupBy("entity", "df_e", "term", "df_near").agg(F.count("*").alias("df_et")).where(F.col("df_et") >= support)
-    pairs = materialize(pairs.where(_discloses(n, F.col("df_near"), disclosure)).select("entity", "df_e", "term", "df_et"), "pairs")
-    found = _terms(_apart(F.coalesce(F.col(text_col), F.lit(""))))
-    flagged = _flag(docs, found, pairs, n, disclosure)
-    gone = join_skewed(rows, flagged, ["entity", "term"], F.col("df_et") > heavy, "left_semi").groupBy("row_id").agg(F.collect_set("term").alias("gone"))
+    hope = _discloses(n, F.col("df_t"), disclosure, F.least("df_e", "df_t"))
+    rows = materialize(held.join(seen.select("row_id", *TERMS).distinct(), "row_id").where(hope), "contexts")
+    pairs = rows.groupBy(*ENTITIES, *TERMS).agg(F.count("*").alias("df_et")).where(F.col("df_et") >= support)
+    pairs = materialize(pairs.where(_discloses(n, F.col("df_t"), disclosure)), "pairs")
+    suspects = materialize(known.join(pairs.select(*TERMS).distinct(), TERMS, "left_semi").select("term"), "suspects")
+    counts = materialize(_frequencies(docs, _terms(_apart(F.coalesce(F.col(text_col), F.lit("")))), suspects).withColumnRenamed("df_t", "n_t"), "counts")
+    # What a term's frequency is held against: the few different counts of its class' pairs in a row.
+    by = _join_counted(rows, pairs, [*ENTITIES, *TERMS], F.col("df_et") > heavy).groupBy("row_id", *TERMS).agg(F.collect_set(F.struct("df_e", "df_et")).alias("by"))
+    gone = _join_counted(seen.join(by, ["row_id", *TERMS]), counts, ["term"], F.col("n_t") > heavy)
+    gone = gone.where(F.exists("by", lambda p: _discloses(n, F.col("n_t"), disclosure, p["df_et"], p["df_e"]))).groupBy("row_id").agg(F.collect_set("term").alias("gone"))
     hits = all_matches(F.col("apart"), TERM)
     words = texts.join(gone, "row_id").select("row_id", "gone", F.posexplode(F.arrays_zip(F.slice(F.split("apart", TERM, -1), 1, F.size(hits)).alias("gap"), hits.alias("hit"))).alias("i", "w"))
     end = F.sum(F.length("w.gap") + F.length("w.hit")).over(Window.partitionBy("row_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
@@ -169,6 +186,23 @@ def _by_document(docs: DataFrame, text_col: str, kept: DataFrame, disclosure: fl
     return words.select("row_id", (F.col("end") - F.length("w.hit")).alias("start"), "end")
 
 
+def _join_counted(rows: DataFrame, keyed: DataFrame, on: list[str], heavy: Column, how: str = "inner") -> DataFrame:
+    """``rows`` joined (inner, left or left_semi) with the table ``keyed``, which has each key once.
+
+    Rows of ``heavy`` keys stay where they are: these keys are counted and weighed first and then broadcast. Where they
+    are too many or too long, every key is dealt over so many parts and both sides are shuffled.
+    """
+    hot = keyed.where(heavy)
+    size = hot.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.concat_ws("", *on))).alias("bytes")).first()
+    if size["n"] > BROADCAST_TERMS or (size["bytes"] or 0) > BROADCAST_BYTES:
+        parts = F.explode(F.sequence(F.lit(0), F.lit(KEY_PARTS - 1)))
+        dealt = F.pmod(F.xxhash64(*[c for c in rows.columns if c not in on]), F.lit(KEY_PARTS)).cast("int")
+        return rows.withColumn("__part", dealt).join(keyed.withColumn("__part", parts).hint("merge"), [*on, "__part"], how).drop("__part")
+    hot = F.broadcast(hot)
+    cold = rows.join(hot.select(*on), on, "left_anti").join(keyed.where(~heavy), on, how)
+    return rows.join(hot, on, "inner" if how == "left" else how).unionByName(cold)
+
+
 def _with_terms(kept: DataFrame, found: DataFrame) -> DataFrame:
     terms = found.groupBy("row_id").agg(F.collect_set(F.struct("start", "end")).alias("t")).withColumnRenamed("row_id", "r2")
     spans = F.transform("t", lambda s: F.struct(s["start"].alias("start"), F.lit(len(KINDS)).alias("order"), s["end"].alias("end"), F.lit("term").alias("kind")))
@@ -176,24 +210,22 @@ def _with_terms(kept: DataFrame, found: DataFrame) -> DataFrame:
     return kept.select("row_id", "doc_id", "base").join(terms, F.col("row_id") == F.col("r2"), "left").select("row_id", "doc_id", "base", F.coalesce(spans, none).alias("terms"))
 
 
-def _flag(docs: DataFrame, found: Column, pairs: DataFrame, n: int, disclosure: float) -> DataFrame:
-    """The (entity, term) pairs that disclose too much. Terms' document frequencies are counted over every row, ``found`` in it."""
-    terms = pairs.select("term").distinct()
-    known = terms.count()
-    if not known:
-        return pairs.select("entity", "term", "df_et")
+def _frequencies(docs: DataFrame, found: Column, terms: DataFrame) -> DataFrame:
+    """``term, df_t``: in how many rows each of the table ``terms`` stands, every row counted, ``found`` in it."""
+    size = terms.agg(F.count("*").alias("n"), F.sum(F.octet_length("term")).alias("bytes")).first()
+    if not size["n"]:
+        return terms.withColumn("df_t", F.lit(0).cast("long"))
     seen = docs.select(F.explode(found).alias("term"))
-    if known <= BROADCAST_TERMS:
-        df = seen.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_t"))
-    else:
-        df = seen.groupBy("term").agg(F.count("*").alias("df_t")).join(terms, "term", "left_semi")
-    return pairs.join(df, "term").where(_discloses(n, F.col("df_t"), disclosure)).select("entity", "term", "df_et")
+    if size["n"] <= BROADCAST_TERMS and size["bytes"] <= BROADCAST_BYTES:
+        return seen.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_t"))
+    return seen.groupBy("term").agg(F.count("*").alias("df_t")).join(terms.hint("merge"), "term", "left_semi")
 
 
-def _discloses(n: int, df_t: Column, disclosure: float, df_et: Column | None = None) -> Column:
+def _discloses(n: int, df_t: Column, disclosure: float, df_et: Column | None = None, df_e: Column | None = None) -> Column:
     total = F.lit(float(n))
-    pmi = F.log((F.col("df_et") if df_et is None else df_et) * total / (F.col("df_e") * df_t))
-    return (pmi >= disclosure * F.log(total / F.col("df_e"))) & (F.col("df_e") < total)
+    df_e = F.col("df_e") if df_e is None else df_e
+    pmi = F.log((F.col("df_et") if df_et is None else df_et) * total / (df_e * df_t))
+    return (pmi >= disclosure * F.log(total / df_e)) & (df_e < total)
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

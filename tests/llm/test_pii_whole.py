@@ -72,3 +72,29 @@ def test_terms_at_the_edges_and_far_off(spark):
     assert got == {k: {(0, 8), (len(texts[0]) - 10, len(texts[0]))} for k in range(4)}
     clean = [r["text"] for r in pii.sanitise(docs(spark, texts)).collect()]
     assert clean.count(f"<TERM> <EMAIL> {far} <TERM>") == 4 and clean.count(far) == 40
+
+
+@pytest.mark.parametrize("most, least", [(200_000, 256), (0, 2)])
+def test_a_page_of_many_entities_and_terms(spark, most, least, monkeypatch):
+    """Copies of one page of 400 addresses and 600 terms are one pair of classes; beyond the bounds the result is the same."""
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", most)
+    monkeypatch.setattr(pii, "HEAVY_LEAST", least)
+    monkeypatch.setattr(pii, "HEAVY_NODES", 10**9)
+    sizes = []
+    real = pii.materialize
+
+    def counted(df, name):
+        out = real(df, name)
+        if name in ("contexts", "held"):
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(pii, "materialize", counted)
+    word = lambda k, head: head + "".join("abcdefghij"[int(c)] for c in f"{k:04d}")
+    page = " ".join([f"u{k}@mail.org {word(k, 'term')}" for k in range(400)] + [word(k, "only") for k in range(200)])
+    other = " ".join([f"u{k}@mail.org" for k in range(5)] + [word(k, "term") for k in range(5)])
+    texts = [page] * 6 + [other] * 3 + ["weather report " + word(7, "only")] * 30 + ["weather report"] * 40 + [None]
+    got = term_spans(pii.op5_rows(docs(spark, texts)).collect())
+    assert got == whole(texts) and set(got) == set(range(9))
+    # Entities: those of the page only, and those of both texts. Terms likewise; of the four pairs one is hopeless.
+    assert sizes == [6 * 2 + 3, 6 * 3 + 3]
