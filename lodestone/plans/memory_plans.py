@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import classify as C
 from ..functions import text as T
-from ..operators import evaluation, memory, packing, snapshot
+from ..operators import claims, evaluation, memory, packing, snapshot
 from ..storage import materialize
 from ..streaming import events as S
-from .fixtures import EVENT_LOG, FILES, NOW, event_log, files
+from .fixtures import EVENT_LOG, FILES, NOW, derived, event_log, files
 from .registry import query, table
 
 _E = f"({EVENT_LOG})"
@@ -209,6 +209,28 @@ def restore_missing(spark, sf_dir):
     return memory.restore(current, backup, ["doc_id"])
 
 
+# A log of claims: a user has a task in each 500 events, and each event is an entry of one; an outcome names the claim
+# before it, or one that never was.
+_TASK = "concat(CAST(user_id AS VARCHAR(20)), '-', CAST(CAST(floor(event_id / 500) AS BIGINT) AS VARCHAR(20)))"
+_ENTRIES = f"""SELECT event_id AS seg, {_TASK} AS task_id, CASE WHEN event_id % 8 < 5 THEN 'claim' WHEN event_id % 8 < 7 THEN 'fail' ELSE 'done' END AS kind,
+  CASE WHEN event_id % 8 >= 5 THEN max(CASE WHEN event_id % 8 < 5 THEN event_id END) OVER (PARTITION BY user_id, floor(event_id / 500) ORDER BY event_id) - CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END END AS token,
+  'w' AS worker, event_id AS at, CASE WHEN event_id % 8 < 5 THEN event_id + event_id % 7 * 1000 END AS until FROM events"""
+
+
+@query("queue_claims", f"""WITH log AS ({_ENTRIES}), n AS (SELECT CAST(max(event_id) AS BIGINT) AS now FROM events), q AS (SELECT DISTINCT task_id FROM log),
+    claims AS (SELECT task_id, seg, until, lead(seg) OVER (PARTITION BY task_id ORDER BY seg) AS next FROM log WHERE kind = 'claim'),
+    ends AS (SELECT task_id, token, seg, kind, "at" FROM log WHERE kind <> 'claim' QUALIFY row_number() OVER (PARTITION BY task_id, token ORDER BY seg) = 1),
+    fails AS (SELECT e.task_id, count(*) AS fails FROM ends e JOIN claims c ON c.task_id = e.task_id AND c.seg = e.token WHERE e.kind = 'fail' AND (c.next IS NULL OR e.seg < c.next) GROUP BY e.task_id),
+    held AS (SELECT q.task_id, c.seg AS token, c.until, e.kind, e."at", coalesce(f.fails, 0) AS attempts FROM q LEFT JOIN claims c ON c.task_id = q.task_id AND c.next IS NULL LEFT JOIN ends e ON e.task_id = c.task_id AND e.token = c.seg LEFT JOIN fails f ON f.task_id = q.task_id)
+    SELECT task_id, CASE WHEN kind = 'done' THEN 'done' WHEN attempts >= 3 THEN 'failed' WHEN kind IS NULL AND until > now THEN 'running' ELSE 'pending' END AS status, CAST(attempts AS BIGINT) AS attempts,
+      CAST(CASE WHEN kind = 'fail' THEN "at" + least(30, pow(2, attempts)) ELSE coalesce(until, 0) END AS BIGINT) AS due, CAST(token AS BIGINT) AS token FROM held, n""")
+def queue_claims(spark, sf_dir):
+    log = derived(spark, sf_dir, _ENTRIES, "events")
+    queue = log.select("task_id").distinct()
+    now = table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] or 0
+    return claims.states(queue, log, now)
+
+
 @query("queue_next", f"SELECT event_id AS task_id FROM {_E} WHERE event_type IN ('click', 'view') AND k % 8 < 5 ORDER BY secs, event_id LIMIT 1")
 def queue_next(spark, sf_dir):
     q = event_log(spark, sf_dir).select(F.col("event_id").alias("task_id"), F.when(F.col("event_type").isin("click", "view"), "pending").otherwise("done").alias("status"), (F.col("k") % 8).alias("attempts"), F.col("secs").alias("created_at"))
