@@ -223,12 +223,12 @@ _ENTRIES = f"""SELECT event_id AS seg, {_TASK} AS task_id, CASE WHEN event_id %
     fails AS (SELECT e.task_id, count(*) AS fails FROM ends e JOIN claims c ON c.task_id = e.task_id AND c.seg = e.token WHERE e.kind = 'fail' AND (c.next IS NULL OR e.seg < c.next) GROUP BY e.task_id),
     held AS (SELECT q.task_id, c.seg AS token, c.until, e.kind, e."at", coalesce(f.fails, 0) AS attempts FROM q LEFT JOIN claims c ON c.task_id = q.task_id AND c.next IS NULL LEFT JOIN ends e ON e.task_id = c.task_id AND e.token = c.seg LEFT JOIN fails f ON f.task_id = q.task_id)
     SELECT task_id, CASE WHEN kind = 'done' THEN 'done' WHEN attempts >= 3 THEN 'failed' WHEN kind IS NULL AND until > now THEN 'running' ELSE 'pending' END AS status, CAST(attempts AS BIGINT) AS attempts,
-      CAST(CASE WHEN kind = 'fail' THEN "at" + least(30, pow(2, attempts)) ELSE coalesce(until, 0) END AS BIGINT) AS due, CAST(token AS BIGINT) AS token FROM held, n""")
+      CAST(CASE WHEN kind = 'fail' THEN "at" + least(30, pow(2, attempts)) ELSE coalesce(until, 0) END AS BIGINT) AS due, CAST(coalesce(token, -1) AS BIGINT) AS token FROM held, n""")
 def queue_claims(spark, sf_dir):
     log = derived(spark, sf_dir, _ENTRIES, "events")
     queue = log.select("task_id").distinct()
     now = table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] or 0
-    return claims.states(queue, log, now)
+    return claims.states(queue, log, now).withColumn("token", F.coalesce("token", F.lit(-1)).cast("long"))
 
 
 @query("queue_next", f"SELECT event_id AS task_id FROM {_E} WHERE event_type IN ('click', 'view') AND k % 8 < 5 ORDER BY secs, event_id LIMIT 1")
