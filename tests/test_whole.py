@@ -51,3 +51,27 @@ def test_baseline_has_no_largest_batch(spark, monkeypatch):
     d = spark.createDataFrame([(i, f"w{i} y" if i else "x") for i in range(5)], "doc_id long, text string")
     got = {(r["q"], r["doc_id"]): r["hits"] for r in evaluation.naive_hits(q, d, "q").collect()}
     assert got == {**{(i, 0): 1 for i in range(10)}, **{(i, i): 1 for i in range(1, 5)}}
+
+
+def test_python_holds_slices_of_a_batch(spark, monkeypatch):
+    """Vectors, versions and notes are worked on in parts of an Arrow batch; ties across parts go to the smaller id."""
+    import numpy as np
+    import pyarrow as pa
+
+    from lodestone.operators import vectors
+
+    monkeypatch.setattr(vectors, "CELLS", 8)
+    rng = np.random.default_rng(1)
+    v = [(i, [float(x) for x in rng.integers(-2, 3, 3)]) for i in range(60)]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in vectors.topk(df.where("vec_id < 4").withColumnRenamed("vec_id", "query_id"), df, 5).orderBy("query_id", "rank").select("query_id", "vec_id", "score").collect()]
+    unit = {i: np.array(x) / (np.linalg.norm(x) or 1.0) for i, x in v}
+    want = [(q, *p) for q in range(4) for p in sorted(((i, round(float(unit[q] @ unit[i]), 6)) for i in unit), key=lambda x: (-x[1], x[0]))[:5]]
+    assert got == want
+    from lodestone.operators import history
+
+    runs = list(history._hunks.func(iter([(pa.array([None, "a\n"]), pa.array(["x", "a"]))])))[0].to_pylist()
+    assert [[tuple(r.values()) for r in x] for x in runs] == [[(0, 0, 1, 1)], []]
+    texts = [None, "", "a b", "The the cat"] * 150
+    hashes = {r["id"]: r["simhash"] for r in memory.simhash(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id", "text").collect()}
+    assert len(hashes) == 600 and all(hashes[i] == hashes[i % 4] for i in hashes) and hashes[0] == hashes[1] == hashes[2] == 0 != hashes[3]
