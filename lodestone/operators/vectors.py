@@ -14,6 +14,8 @@ from ..storage import materialize
 
 #: Query vectors in one pass; more are searched in several, so that what is broadcast has a bound.
 QUERY_BLOCK = 4_096
+#: Similarities that a task works out at once.
+CELLS = 1 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -61,25 +63,36 @@ def _searched(part: pd.DataFrame, vectors: DataFrame, k: int, id_col: str, vecto
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, q = held.value
-        best: pd.DataFrame | None = None
-        for pdf in batches:
-            if not len(ids) or not len(pdf):
+        step = max(1, CELLS // max(1, len(ids)))
+        rows, n, least = [], 0, np.full(len(ids), -np.inf)
+        for pdf in (whole.iloc[at : at + step] for whole in batches for at in range(0, len(whole), step)):
+            if not len(ids):
                 continue
             sims = np.round(q @ _unit(np.stack(pdf["v"].to_list()).astype(float)).T, digits)
             keep = min(k, sims.shape[1])
             # The k-th best may be tied: ties are kept here and cut by id below.
             bar = np.partition(sims, sims.shape[1] - keep, axis=1)[:, sims.shape[1] - keep]
-            i, j = np.nonzero(sims >= bar[:, None])
-            rows = pd.DataFrame({"query_id": ids[i], "vec_id": pdf["id"].to_numpy()[j], "score": sims[i, j]})
-            best = rows if best is None else pd.concat([best, rows])
-            best = best.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
-        if best is not None:
-            yield best
+            i, j = np.nonzero(sims >= np.maximum(bar, least)[:, None])
+            rows.append(pd.DataFrame({"i": i, "vec_id": pdf["id"].to_numpy()[j], "score": sims[i, j]}))
+            n += len(i)
+            if n > 2 * k * len(ids):
+                rows = [_best(rows, k)]
+                n = len(rows[0])
+                full = rows[0].groupby("i")["score"].agg(["size", "min"])
+                full = full[full["size"] == k]
+                least[full.index.to_numpy()] = full["min"].to_numpy()
+        if rows:
+            best = _best(rows, k)
+            yield pd.DataFrame({"query_id": ids[best["i"].to_numpy()], "vec_id": best["vec_id"], "score": best["score"]})
 
     found = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where("v is not null").mapInPandas(search, "query_id long, vec_id long, score double")
     return found, held
 
 
+def _best(rows: list[pd.DataFrame], k: int) -> pd.DataFrame:
+    return pd.concat(rows).sort_values(["i", "score", "vec_id"], ascending=[True, False, True]).groupby("i").head(k)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
     return x / np.where(norm > 0, norm, 1.0)
