@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,24 +49,77 @@ def by_groups(metrics: DataFrame, groups: list[str], values: list[str], digits:
 
 #: Queries of the keyword baseline in one broadcast; more are looked for in several passes over the documents.
 QUERY_BLOCK = 10_000
+#: Different runs of a text whose words a task remembers.
+KNOWN_RUNS = 200_000
+_RUN = re.compile("[a-z0-9_-]+")
 
 
 def naive_hits(queries: DataFrame, docs: DataFrame, query_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``query, doc_id, hits``: how many of each query's ``words`` a document contains as substrings, where any.
 
-    The queries are a stated set; blocks of them, dealt by a hash of the id, are broadcast and each document is read once a block.
+    The queries are a stated set; blocks of them, dealt by a hash of the id, are broadcast and each document is read once a
+    block. A word of letters, digits, ``_`` and ``-`` stands inside one run of these: a run is looked through once in a task,
+    and a document asks for its different runs. Other words are looked for in the whole text.
     """
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     d = docs.where(F.col(text_col).isNotNull()).select(id_col, F.lower(text_col).alias("t"))
-    hits = F.size(F.filter("words", lambda w: F.contains(F.col("t"), w)))
+    kinds = f"`{query_col}` {dict(queries.dtypes)[query_col]}, `{id_col}` {dict(docs.dtypes)[id_col]}, hits int"
     out = None
     for b in range(blocks):
         block = queries.where(F.pmod(F.xxhash64(query_col), F.lit(blocks)) == b) if blocks > 1 else queries
-        part = d.join(F.broadcast(block), hits > 0).select(query_col, id_col, hits.alias("hits"))
+        part = d.mapInArrow(_hits_of(block.select(query_col, "words"), d.columns[0]), kinds)
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def _hits_of(block: DataFrame, id_col: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    asked = block.toArrow()  # at most about QUERY_BLOCK rows
+    ids = asked.column(0).combine_chunks()
+    ask: dict[str, list[int]] = {}
+    for i, words in enumerate(asked.column(1).to_pylist()):
+        for w in words or []:
+            if w is not None:
+                ask.setdefault(w, []).append(i)
+    held = block.sparkSession.sparkContext.broadcast((ids, {w: np.array(i) for w, i in ask.items()}, block.columns[0]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, ask, query_col = held.value
+        plain = {w for w in ask if _RUN.fullmatch(w)}
+        sizes, others = sorted({len(w) for w in plain}), [w for w in ask if w not in plain]
+        inside: dict[str, list[str]] = {}
+
+        def of(x: str) -> list[str]:
+            if x not in inside:
+                if len(inside) >= KNOWN_RUNS:
+                    inside.clear()
+                inside[x] = [w for n in sizes if n <= len(x) for w in {x[i : i + n] for i in range(len(x) - n + 1)} & plain]
+            return inside[x]
+
+        def put(batch: pa.RecordBatch, *rows: list[np.ndarray]) -> pa.RecordBatch:
+            q, docs, n = (pa.array(np.concatenate(x)) for x in rows)
+            return pa.RecordBatch.from_arrays([ids.take(q), batch.column(0).take(docs), n.cast(pa.int32())], [query_col, id_col, "hits"])
+
+        for batch in batches:
+            docs, q, n, rows = [], [], [], 0
+            for k, t in enumerate(batch.column(1)):
+                t = t.as_py()
+                found = {w for x in set(_RUN.findall(t)) for w in of(x)}.union(w for w in others if w in t)
+                if found:
+                    hits = np.bincount(np.concatenate([ask[w] for w in found]), minlength=len(ids))
+                    some = np.flatnonzero(hits)
+                    docs.append(np.full(len(some), k))
+                    q.append(some)
+                    n.append(hits[some])
+                    rows += len(some)
+                if docs and rows >= 100_000:
+                    yield put(batch, q, docs, n)
+                    docs, q, n, rows = [], [], [], 0
+            if docs:
+                yield put(batch, q, docs, n)
+
+    return run
+
+
 def first_overflow(rows: DataFrame, group: list[str], order: list[Column], tokens: str, budget: int, least_rest: int | None = None) -> DataFrame:
     """Rows before the running total first passes ``budget``; with ``least_rest`` the row that overflows stays cut to what is left, if that is so much."""
     w = Window.partitionBy(*group).orderBy(*order)

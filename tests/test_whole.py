@@ -75,3 +75,15 @@ def test_python_holds_slices_of_a_batch(spark, monkeypatch):
     texts = [None, "", "a b", "The the cat"] * 150
     hashes = {r["id"]: r["simhash"] for r in memory.simhash(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id", "text").collect()}
     assert len(hashes) == 600 and all(hashes[i] == hashes[i % 4] for i in hashes) and hashes[0] == hashes[1] == hashes[2] == 0 != hashes[3]
+
+
+def test_baseline_looks_through_a_run_once(spark, monkeypatch):
+    """Words inside runs, words with other characters, repeats, nulls and texts of none; runs that are forgotten and met again."""
+    monkeypatch.setattr(evaluation, "KNOWN_RUNS", 2)
+    asked = [("a", ["art", "art", None, "-x_"]), ("b", ["é!", "Art", ""]), ("c", []), ("d", None), ("e", ["zz"])]
+    texts = ["Start-x_ART", "é! art", "", None, "cart start art zz!"]
+    q = spark.createDataFrame(asked, "q string, words array<string>")
+    d = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)], "path string, text string")
+    got = {(r["q"], r["path"]): r["hits"] for r in evaluation.naive_hits(q, d, "q", "path").collect()}
+    hits = lambda ws, t: sum(w in t.lower() for w in ws or [] if w is not None)
+    assert got == {(i, f"d{k}"): n for i, ws in asked for k, t in enumerate(texts) if t is not None and (n := hits(ws, t))}
