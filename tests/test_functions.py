@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,3 +111,25 @@ def test_a_reading_grade_shares_its_words(spark):
     df = spark.createDataFrame([("One two three four five six. Seven eight nine table.",), ("short",), (None,)], "t string").select(T.reading_grade(F.col("t"), 6).alias("g"))
     assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 2  # the plan without shared values has five
     assert [r["g"] for r in df.collect()] == [round(0.39 * 5 + 11.8 * 1.2 - 15.59, 6), 0.0, 0.0]
+
+
+def test_a_page_is_worked_out_once(spark):
+    """The text of a page is an expression of its own: it is in the plan once. Grades against plain Python; a pattern in any case."""
+    df = spark.createDataFrame([("é Runs  code\nTHROUGH the ```",), ("",), (None,)], "x string")
+    found = df.select(T.doc_problems(F.regexp_replace("x", "[^ -~\n]", "")).alias("p"))
+    assert found._jdf.queryExecution().analyzed().toString().count("[^ -~") == 1
+    assert [r["p"] for r in found.collect()] == [["unbalanced fences", "boilerplate 2"], [], []]
+
+    def grade(t):
+        t = re.sub(r"(?m)^\s*[-*0-9.]+\s+", "", t)  # list marks are no prose
+        words = [w.lower() for w in re.findall(r"(?<![A-Za-z0-9_])[a-zA-Z]+(?![A-Za-z0-9_])", t)]
+        body = lambda w: w[:-1] if w.endswith("e") and not w.endswith("le") else w
+        total = sum(1 if len(w) <= 3 else max(1, len(re.findall("[aeiouy]+", body(w)))) for w in words)
+        sentences = sum(bool(re.search(r"[^ \t\n\r\f\x0b]", s)) for s in re.split("[.!?]+", t))
+        return 0.39 * len(words) / sentences + 11.8 * total / len(words) - 15.59 if len(words) >= 10 and sentences else 0.0
+
+    words = ["make", "Table", "THE", "banana", "eye", "queue", "rhythms", "brrr", "a1b", "x_y", "idea", "apple", "tee", "agree", "e", "cafe", "le", "ile", "axle", "Aye", "one2", ".", "?!", " . ", "\n", "!!", "pfft."]
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 60))) for _ in range(300)] + [". " * 20 + "one two three four five six seven eight nine ten"]
+    got = [r["g"] for r in spark.createDataFrame([(t,) for t in texts], "x string").coalesce(1).select(T.reading_grade(F.col("x"), 6).alias("g")).collect()]
+    assert all(abs(g - grade(t)) < 2e-6 for g, t in zip(got, texts, strict=True)) and len(set(got)) > 200
