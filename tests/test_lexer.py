@@ -120,3 +120,23 @@ def test_table_function_equals_the_parser(spark):
     files.createOrReplaceTempView("some_files")
     got = spark.sql("SELECT s.* FROM some_files f, LATERAL analyze(f.path, f.language, f.text) s").collect()
     assert sorted(got) == sorted(parse.parse_symbols(files).collect()) and len(got) > 30
+
+
+def test_spans_of_many_files_are_one_table(spark, monkeypatch):
+    """A task hands back tables of many files' spans, and none is left behind."""
+    df = spark.createDataFrame([(f"f{i}", "go", f"// {i}\nx = \"a\"\n") for i in range(50)] + [("none", "go", None)], "path string, language string, text string").coalesce(1)
+    pdf = df.toPandas()
+    held = {}
+    monkeypatch.setattr(lexer, "SPAN_ROWS", 30)
+
+    class Files:
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, run, _):
+            held["run"] = run
+
+    lexer.lex(Files())
+    frames = list(held["run"](iter([pdf, pdf.iloc[:0], pdf])))
+    assert len(frames) <= 8 and sum(map(len, frames)) == 200
+    assert lexer.lex(df).count() == 100
