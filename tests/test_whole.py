@@ -87,3 +87,28 @@ def test_baseline_looks_through_a_run_once(spark, monkeypatch):
     got = {(r["q"], r["path"]): r["hits"] for r in evaluation.naive_hits(q, d, "q", "path").collect()}
     hits = lambda ws, t: sum(w in t.lower() for w in ws or [] if w is not None)
     assert got == {(i, f"d{k}"): n for i, ws in asked for k, t in enumerate(texts) if t is not None and (n := hits(ws, t))}
+
+
+def test_single_precision_only_finds_what_is_compared(spark, monkeypatch):
+    """Vectors whose cosines differ less than single precision tells, in blocks by their components; nulls inside and lengths of 0."""
+    monkeypatch.setattr(vectors, "QUERY_CELLS", 64)
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=8)
+    v = [(i, [float(x) for x in base + rng.normal(size=8) * (1e-3 if i % 2 else 1.0)]) for i in range(80)] + [(80, [0.0] * 8), (81, [None] + [1.0] * 7)]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in vectors.topk(df.withColumnRenamed("vec_id", "query_id"), df, 4, digits=9).collect()}
+    unit = {i: np.array(x) / (np.linalg.norm(x) or 1.0) for i, x in v if None not in x}
+    for q in unit:
+        want = sorted(((-float(unit[q] @ unit[i]), i) for i in unit))[:4]
+        assert all(abs(got[q, r][1] + want[r - 1][0]) < 2e-9 for r in range(1, 5))
+        if q != 80:
+            assert [got[q, r][0] for r in range(1, 5)] == [i for _, i in want]
+    assert [got[80, r][0] for r in range(1, 5)] == [0, 1, 2, 3] and (81, 1) not in got
+
+
+def test_only_texts_with_a_vector_are_hashed(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(memory, "simhash", lambda d, *a, f=memory.simhash: asked.append(d) or f(d, *a))
+    plans.queries()["cosine_dedup_class"](spark, DATA)
+    ids = {r[0] for r in spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id").collect()}
+    assert {r["id"] for r in asked[0].select("id").collect()} <= ids
