@@ -545,7 +545,7 @@ class Workspace:
         """``path, problem`` of the pages: form, boilerplate, reading level, empty sections, unevidenced spans, pages that name nothing of their file."""
         names = self.table("symbols", branch).groupBy("path").agg(F.collect_set("name").alias("names"))
         p = self.pages().join(names, "path", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
-        found = F.concat(T.doc_problems(F.col("content")), K.page_problems(F.col("content"), F.col("names"), F.array("path")))
+        found = T.doc_problems(F.col("content"), symbols=F.col("names"), paths=F.array("path"))
         return p.select("path", F.explode(found).alias("problem"))
 
     def integrity(self, branch: str = "main") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import text as T
+
 # File kinds, by a pattern over the lower-cased path; the first that matches decides.
 KINDS = [
     ("rules", r"(^|/)(\.cursorrules|\.windsurfrules|\.clinerules|agents\.md|claude\.md|gemini\.md)$|^\.(cursor|windsurf|cline)/rules/"),
@@ -93,23 +95,6 @@ def purpose(path: Column, text: Column) -> Column:
     return F.coalesce(F.when(path.endswith(".py"), docstring(text)), leading_comment(text), F.nullif(F.regexp_extract(text, r"(?m)^#+[ \t]+(.+)$", 1), F.lit("")))
 
 
-# Sections of a page.
-SECTIONS = ["What it does:", "How it works", "Key parts", "Connects to:", "Watch out for:", "Recent changes:"]
-# Code spans that need no evidence.
-LANGUAGES = ["python", "bash", "json", "yaml", "toml", "sql", "git"]
-
-
 def page_problems(page: Column, symbols: Column, paths: Column) -> Column:
-    """Beside ``text.doc_problems``: empty sections, code spans that are neither a known symbol nor a path, and a page that names nothing of its file."""
-    head = r"\*\*(?:" + "|".join(SECTIONS) + r")\*\*"
-    found = F.regexp_extract_all(page, F.lit(head), F.lit(0))
-    bodies = F.slice(F.split(page, head, -1), 2, F.greatest(F.size(found), F.lit(0)))
-    empty = F.filter(F.arrays_zip(found.alias("h"), bodies.alias("b")), lambda x: ~x["b"].rlike(r"\S"))
-    spans = F.filter(F.transform(F.regexp_extract_all(page, F.lit("`([^`]+)`"), F.lit(1)), lambda v: F.trim(v)), lambda s: F.length(s) > 1)
-    bare = lambda s: F.regexp_replace(s, r"[()]+$", "")
-    known = lambda s: F.array_contains(symbols, bare(s)) | bare(s).isin(LANGUAGES) | F.exists(paths, lambda p: F.contains(p, bare(s)))
-    unknown = F.filter(spans, lambda s: ~known(s) & ~s.rlike("[ =:]"))
-    named = F.filter(symbols, lambda s: ~F.lower(s).isin([*LANGUAGES, "unknown"]) & (F.trim(s) != ""))
-    cited = F.exists(named, lambda s: F.contains(F.concat(F.lit(" "), F.regexp_replace(page, r"[^\w.]+", " "), F.lit(" ")), F.concat(F.lit(" "), F.regexp_replace(s, r"[^\w.]+", " "), F.lit(" "))))
-    vague = F.when((F.size(named) > 0) & ~cited, F.array(F.lit("lacks specificity"))).otherwise(F.array().cast("array<string>"))
-    return F.concat(F.transform(empty, lambda x: F.concat(F.lit("empty section "), x["h"])), F.transform(unknown, lambda s: F.concat(F.lit("unevidenced "), s)), vague)
+    """Of ``text.doc_problems`` what needs a file's facts, and its sections: empty ones, code spans that are neither a known symbol nor a path, a page that names nothing of its file."""
+    return F.concat(T.empty_sections(page), T.unevidenced(page, symbols, paths), T.unspecific(page, symbols))

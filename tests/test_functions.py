@@ -103,6 +103,32 @@ def test_page_problems(spark):
     assert one(spark, "# x\n**What it does:** nothing at all", f) == ["lacks specificity"]
 
 
+def test_a_page_is_checked_whole(spark, tmp_path):
+    """All six checks of a page, alone and in the query, whose SQL makes them too."""
+    import duckdb
+
+    from lodestone import plans
+
+    pages = [
+        ("**Key parts** \x1c\n**Connects to:** en", ["empty section **Key parts**"]),
+        ("en: it Sends\nback\x0bRESULTS", ["boilerplate 4"]),
+        ("`ghost` en ```", ["unbalanced fences", "unevidenced ghost"]),
+        ("`self`, ` src0() `, `doc_`, `git`, `a b`, `k=v`, `x`, `()`, en.", []),
+        ("men and src01, _en_", ["lacks specificity"]),
+        ("**What it does:**\xa0**How it works**`Ghost()`", ["empty section **What it does:**", "unevidenced Ghost()", "lacks specificity"]),
+    ]
+    one_by_one = [one(spark, x, lambda c: T.doc_problems(c, symbols=F.array(F.lit("src0"), F.lit("en"), F.lit(None)), paths=F.array(F.lit("docs/en/doc_1.py")))) for x, _ in pages]
+    assert one_by_one == [want for _, want in pages]
+    assert one(spark, "say c++ x.", lambda c: T.unspecific(c, F.array(F.lit("c"), F.lit("2 of x"), F.lit("git")))) == []
+    rows = [(i, x, "en", "src0", len(x)) for i, (x, _) in enumerate(pages)] + [(6, "none", None, None, 4), (7, "é `ab`", "c.", None, 4)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = {r["doc_id"]: r["problems"] for r in plans.queries()["doc_validate"](spark, str(tmp_path)).collect()}
+    assert got == dict(con.execute(plans.oracles()["doc_validate"]).fetchall())
+    assert [got[i] for i in range(6)] == [len(want) for _, want in pages] and got[6] == 0 and got[7] == 2
+
+
 def test_a_reading_grade_shares_its_words(spark):
     from pyspark.sql import functions as F
 
