@@ -89,6 +89,29 @@ def test_simhash_bands_lose_no_pair(spark):
     assert got == {(a, b) for a in range(6) for b in range(a + 1, 6) if bin((hs[a] ^ hs[b]) & (2**64 - 1)).count("1") <= 3}
 
 
+def test_simhash_links_tell_every_link(spark, tmp_path):
+    """Classes and their pairs give back all links between rows; different texts of one hash, and texts without a word, are linked."""
+    import duckdb
+
+    from lodestone import plans
+
+    hs = [5, 7, 7, 5, 1 << 40, 7, -1, -1, None]
+    got = [tuple(r) for r in memory.simhash_links(spark.createDataFrame(list(enumerate(hs)), "id long, simhash long"), "id").collect()]
+    rep = {b: a for a, b, d in got if d == 0}
+    pairs = {(a, b): d for a, b, d in got if d}
+    link = lambda x, y: 0 if x == y else pairs.get((min(x, y), max(x, y)))
+    for a in range(8):
+        for b in range(a + 1, 8):
+            d = bin((hs[a] ^ hs[b]) & (2**64 - 1)).count("1")
+            assert link(rep.get(a, a), rep.get(b, b)) == (d if d <= 3 else None)
+    texts = ["red fox runs", "runs fox red", "a", "", "!", None, "red fox runs"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = sorted(tuple(r) for r in plans.queries()["simhash_dups"](spark, str(tmp_path)).collect())
+    assert found == sorted(con.execute(plans.oracles()["simhash_dups"]).fetchall()) == [(0, 1, 0), (0, 6, 0), (2, 3, 0), (2, 4, 0)]
+
+
 def test_note_stages(spark):
     kept = spark.createDataFrame([(1, 0, [1.0, 0.0, 0.0]), (2, (1 << 40) - 1, [0.0, 1.0, 0.0])], "id long, simhash long, vector array<double>")
     far = (1 << 62) - (1 << 41)
